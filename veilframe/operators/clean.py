@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.draws import Draws
 from veilframe.functions.numeric import clip, missing_to_null, strip, to_number
-from veilframe.operators.ranking import keep_smallest
+from veilframe.operators.ranking import cut_points, up_to
 from veilframe.spec import MaskSpec
 
 # Accepted headers per column in order of preference, and the income pattern.
@@ -95,10 +95,21 @@ def binary_target(column: Column) -> Column:
 
 
 def cap_rows(df: DataFrame, limit: int, spec: MaskSpec, draws: Draws, rows: int | None = None) -> DataFrame:
-    """Exactly ``limit`` rows without replacement (all rows when there are fewer)."""
+    """Exactly ``limit`` rows without replacement (all rows when there are fewer).
+
+    The limit-th smallest draw is found first; keeping the rows up to it is a filter, so a
+    large limit costs no more than a small one and nothing is gathered in one task.
+    """
+    rows = df.count() if rows is None else rows
+    if limit >= rows:
+        return df
+    if limit <= 0:
+        return df.limit(0)
     token = draws.token("cap", "cap", F.col(spec.row_id))
-    drawn = df.withColumn("__u", draws.uniform(token, 0)).withColumn("__limit", F.lit(limit).cast("bigint"))
-    return keep_smallest(drawn, [], "__u", spec.row_id, "__limit", rows).drop("__u", "__limit", "__rank")
+    drawn = df.withColumns({"__u": draws.uniform(token, 0), "__all": F.lit(0)})
+    cut = cut_points(drawn, "__all", "__u", spec.row_id, {0: [limit]}, rows)[(0, limit)]
+    kept = up_to(F.col("__u"), F.col(spec.row_id), F.lit(cut[0]), F.lit(cut[1]))
+    return drawn.where(kept).drop("__u", "__all")
 
 
 def share_rows(df: DataFrame, share: float, spec: MaskSpec, draws: Draws) -> DataFrame:

@@ -314,9 +314,9 @@ def drift_table(
     ``original`` is the wide frame without settings, ``frame`` the one with masked columns.
     """
     old_cube, new_cube = cubes or (settle(original_cube(original, spec)), settle(masked_cube(frame, spec)))
-    before, after = moments(old_cube, spec).drop("config_id"), moments(new_cube, spec)
+    before, after = settle(moments(old_cube, spec).drop("config_id")), settle(moments(new_cube, spec))
     edges = edges or spec_edges(original, spec)
-    bounds = settle(pooled_bounds(before, after))
+    bounds = pooled_bounds(before, after)
     numbers = number_points(frame, spec, edges)
     codes = code_points(new_cube, spec)
     hist = settle(histogram(numbers, bounds).unionByName(histogram(codes, bounds)))

@@ -12,6 +12,7 @@ one schema.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.draws import Draws, gaussian_pair, laplace
 from veilframe.functions.numeric import clip
-from veilframe.operators.ranking import BUCKET_ROWS, draw_bucket, rank_by_draw, split_smallest
+from veilframe.operators.ranking import BUCKET_ROWS, bucket_count, cut_points, draw_bucket, up_to
+from veilframe.session import settle
 from veilframe.spec import GENERALIZED, PERTURBED, SUPPRESSED, MaskingConfig, MaskSpec
 
 ROW_LOCAL = ("noise", "generalization", "differential_privacy", "feature_perturbation")
@@ -131,22 +133,31 @@ def setting_values(config_id: int, config: MaskingConfig, spec: MaskSpec, facts:
         "perturb_p": min(strength, 0.65),
         "swap_n": swap_size(config.swap_fraction, facts.rows),
         "swap_p": _clamped(config.swap_fraction, 0.0, 1.0),
+        "swap_u": -1.0,
+        "swap_id": None,
         "left": left,
         "right": right,
     }
 
 
-def _setting_column(values: dict[str, object]) -> Column:
-    typed = {
-        name: F.lit(v).cast("bigint") if name in ("width", "swap_n") else F.lit(v) for name, v in values.items()
-    }
-    return F.struct(*[column.alias(name) for name, column in typed.items()])
+SETTING_TYPE = (
+    "config_id int, key string, method string, noise_std double, suppress_p double, width bigint, "
+    "generalize_p double, number_scale double, flag_scale double, epsilon double, strength double, "
+    "number_sd double, flip_p double, perturb_p double, swap_n bigint, swap_p double, swap_u double, "
+    "left string, right string, swap_id "
+)
 
 
 def with_settings(df: DataFrame, settings: Sequence[dict[str, object]]) -> DataFrame:
-    """One row per (row, setting). A single setting adds no fan-out at all."""
-    columns = [_setting_column(values) for values in settings]
-    cfg = columns[0] if len(columns) == 1 else F.explode(F.array(*columns))
+    """One row per (row, setting). A single setting adds no fan-out at all.
+
+    The settings enter as one literal that the optimiser folds into an array of structs.
+    """
+    fields = SETTING_TYPE + dict(df.dtypes)["row_id"]
+    if len(settings) == 1:
+        cfg = F.from_json(F.lit(json.dumps(settings[0], default=str)), fields)
+    else:
+        cfg = F.explode(F.from_json(F.lit(json.dumps(settings, default=str)), f"array<struct<{fields}>>"))
     return df.select("*", cfg.alias("cfg")).withColumn("config_id", F.col("cfg.config_id"))
 
 
@@ -211,11 +222,11 @@ def noise_columns(spec: MaskSpec, category_too: bool = True) -> tuple[Column, Co
     return number, flag, category
 
 
-def perturb_columns(spec: MaskSpec, facts: TableFacts, sd: Column | None = None) -> tuple[Column, Column, Column]:
+def perturb_columns(spec: MaskSpec, facts: TableFacts) -> tuple[Column, Column, Column]:
     z, _ = gaussian_pair(_u(0), _u(1))
     old_number, old_flag = _filled(F.col(NUMBER), facts.numeric_fill), _filled(F.col(FLAG), facts.flag_fill)
     active = _cfg("strength") > 0
-    number = clip(old_number + (_cfg("number_sd") if sd is None else sd) * z, spec.lower, spec.upper)
+    number = clip(old_number + _cfg("number_sd") * z, spec.lower, spec.upper)
     flag = F.when(_u(3) < _cfg("flip_p"), F.lit(1.0) - (old_flag >= 0.5).cast("double")).otherwise(old_flag)
     return (
         F.when(active, number).otherwise(F.col(NUMBER)),
@@ -257,14 +268,11 @@ def randomized_response(category: Column, left: Column, right: Column, epsilon:
     )
 
 
-def laplace_columns(
-    spec: MaskSpec, facts: TableFacts, left: Column | None = None, right: Column | None = None
-) -> tuple[Column, Column, Column]:
+def laplace_columns(spec: MaskSpec, facts: TableFacts) -> tuple[Column, Column, Column]:
     old_number, old_flag = _filled(F.col(NUMBER), facts.numeric_fill), _filled(F.col(FLAG), facts.flag_fill)
     number = clip(old_number + laplace(_u(0), _cfg("number_scale")), spec.lower, spec.upper)
     flag = clip(old_flag + laplace(_u(1), _cfg("flag_scale")), 0.0, 1.0)
-    pair = (_cfg("left") if left is None else left, _cfg("right") if right is None else right)
-    return number, flag, randomized_response(F.col(CATEGORY), *pair, _cfg("epsilon"))
+    return number, flag, randomized_response(F.col(CATEGORY), _cfg("left"), _cfg("right"), _cfg("epsilon"))
 
 
 def _filled(column: Column, fill: float | None) -> Column:
@@ -274,47 +282,86 @@ def _filled(column: Column, fill: float | None) -> Column:
 # --- swapping --------------------------------------------------------------------------
 
 
+def _swap_values(spec: MaskSpec) -> list[str]:
+    return [c for c, role in ((NUMBER, spec.numeric), (CATEGORY, spec.category)) if spec.is_sensitive(role)]
+
+
+def settle_swap_cuts(
+    df: DataFrame, spec: MaskSpec, settings: Sequence[dict[str, object]], draws: Draws, rows: int, bucket_rows: int
+) -> list[dict[str, object]]:
+    """Add to each setting the draw of its last swapped row, so choosing rows is a filter."""
+    limits = {s["config_id"]: [s["swap_n"]] for s in settings if 0 < s["swap_n"] < rows}
+    cuts = {}
+    if limits:
+        drawn = _with_draws(with_settings(df.select("row_id"), settings), draws, "swap")
+        cuts = cut_points(drawn, "config_id", "__u0", "row_id", limits, rows, bucket_rows)
+    placed = []
+    for s in settings:
+        u, row_id = cuts.get((s["config_id"], s["swap_n"]), (2.0 if s["swap_n"] else -1.0, None))
+        placed.append({**s, "swap_u": u, "swap_id": row_id})
+    return placed
+
+
+def _take_next(df: DataFrame, values: Sequence[str], buckets: int, across: bool) -> DataFrame:
+    """Give every row the values of the next row in the random order of ``__u1``.
+
+    Rows are ordered inside buckets. ``across`` links the buckets of a setting into one
+    cycle: the last row of a bucket takes the values of the first row of the next bucket,
+    which come from one small row per setting and bucket.
+    """
+    bucketed = df.withColumn("__bucket", draw_bucket(_u(1), buckets))
+    order = Window.partitionBy("config_id", "__bucket").orderBy("__u1", "row_id")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    moved = F.struct(*values)
+    following = F.lead(moved).over(order)
+    if not across or buckets == 1:
+        taken = bucketed.withColumn("__in", F.coalesce(following, F.first(moved).over(whole)))
+    else:
+        heads = settle(
+            bucketed.groupBy("config_id", "__bucket").agg(
+                F.min_by(moved, F.struct("__u1", "row_id")).alias("__head")
+            )
+        )
+        ring = Window.partitionBy("config_id").orderBy("__bucket")
+        all_heads = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        next_head = F.coalesce(F.lead("__head").over(ring), F.first("__head").over(all_heads))
+        # heads: at most MAX_BUCKETS rows per setting.
+        heads = heads.select("config_id", "__bucket", next_head.alias("__next_head"))
+        taken = bucketed.withColumn("__following", following).join(F.broadcast(heads), ["config_id", "__bucket"])
+        taken = taken.withColumn("__in", F.coalesce(F.col("__following"), F.col("__next_head")))
+    return taken.withColumns({v: F.col(f"__in.{v}") for v in values})
+
+
 def swap_rows(
-    df: DataFrame, spec: MaskSpec, draws: Draws, rows: int, bucket_rows: int = BUCKET_ROWS
+    df: DataFrame, spec: MaskSpec, draws: Draws, settings: Sequence[dict[str, object]], bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
-    """Permute (number, category) together among exactly ``swap_n`` rows of each setting.
+    """Move (number, category) together among exactly ``swap_n`` rows of each setting.
 
-    Row i in the order of one draw receives the values of row i in the order of another
-    draw. Only rows near or below the cut are shuffled; the others pass straight through.
+    The chosen rows form one random cycle: each takes the values of the next one. Only they
+    are shuffled, once; all other rows pass straight through. ``settings`` carry their cuts
+    (``settle_swap_cuts``).
     """
-    values = [c for c, role in ((NUMBER, spec.numeric), (CATEGORY, spec.category)) if spec.is_sensitive(role)]
-    if not values or rows < 2:
+    values = _swap_values(spec)
+    most = max(s["swap_n"] for s in settings)
+    if not values or most == 0:
         return df
-    drawn = _with_draws(df, draws, "swap").withColumn("__limit", _cfg("swap_n"))
-    near, far = split_smallest(drawn, ["config_id"], "__u0", "row_id", "__limit", rows, bucket_rows)
-    near = near.withColumnRenamed("__rank", "__slot")
-    chosen = near.where(F.col("__slot") <= F.col("__limit"))
-    donors = rank_by_draw(
-        chosen.select("config_id", "row_id", "__u1", *[F.col(v).alias(f"{v}_in") for v in values]),
-        ["config_id"], "__u1", "row_id", "__slot", rows, bucket_rows,
-    ).select("config_id", "__slot", *[f"{v}_in" for v in values])
-    swapped = chosen.join(donors, ["config_id", "__slot"]).withColumns({v: F.col(f"{v}_in") for v in values})
-    columns = df.columns
-    left_over = near.where(F.col("__slot") > F.col("__limit"))
-    return swapped.select(columns).unionByName(left_over.select(columns)).unionByName(far.select(columns))
+    drawn = _with_draws(df, draws, "swap")
+    chosen = F.coalesce(up_to(_u(0), F.col("row_id"), _cfg("swap_u"), _cfg("swap_id")), F.lit(False))
+    moved = _take_next(drawn.where(chosen), values, bucket_count(most, bucket_rows), across=True)
+    return moved.select(df.columns).unionByName(drawn.where(~chosen).select(df.columns))
 
 
 def swap_rows_in_buckets(df: DataFrame, spec: MaskSpec, draws: Draws, buckets: int) -> DataFrame:
-    """Cheaper swap: each row joins with probability ``swap_p`` and takes the values of the
-    next row in the random order of its bucket (the last one takes the first's).
+    """Cheaper swap: each row joins with probability ``swap_p`` and the chosen rows of each
+    random bucket form a cycle of their own.
 
-    One shuffle of the chosen rows, no global rank; the number of swapped rows is a draw.
+    No pass to find the cut or to link buckets; the number of swapped rows is a draw.
     """
-    values = [c for c, role in ((NUMBER, spec.numeric), (CATEGORY, spec.category)) if spec.is_sensitive(role)]
+    values = _swap_values(spec)
     if not values:
         return df
     drawn = _with_draws(df, draws, "swap")
-    chosen = drawn.where(_u(0) < _cfg("swap_p")).withColumn("__bucket", draw_bucket(_u(2), buckets))
-    order = Window.partitionBy("config_id", "__bucket").orderBy("__u1", "row_id")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    moved = chosen.withColumns(
-        {f"{v}_in": F.coalesce(F.lead(v).over(order), F.first(v).over(whole)) for v in values}
-    ).withColumns({v: F.col(f"{v}_in") for v in values})
+    moved = _take_next(drawn.where(_u(0) < _cfg("swap_p")), values, buckets, across=False)
     return moved.select(df.columns).unionByName(drawn.where(_u(0) >= _cfg("swap_p")).select(df.columns))
 
 
@@ -379,7 +426,8 @@ def _row_local(df: DataFrame, spec: MaskSpec, settings: list, draws: Draws, fact
 def _swapping(
     df: DataFrame, spec: MaskSpec, settings: list, draws: Draws, facts: TableFacts, bucket_rows: int
 ) -> DataFrame:
-    return _finish(swap_rows(_start(df, spec, settings), spec, draws, facts.rows, bucket_rows), spec)
+    placed = settle_swap_cuts(df, spec, settings, draws, facts.rows, bucket_rows)
+    return _finish(swap_rows(_start(df, spec, placed), spec, draws, placed, bucket_rows), spec)
 
 
 def _hybrid(
@@ -387,40 +435,46 @@ def _hybrid(
 ) -> DataFrame:
     """Noise, swap, perturbation, generalisation without the category, then a Laplace release.
 
-    The spread of the noised number does not change under swapping, so it is taken before
-    the swap. The categories present after perturbation decide the response pair.
+    Two stage statistics are taken first, one small row per setting each, and then enter the
+    expressions as constants: the spread of the noised number (swapping does not change it)
+    and the categories that are present after perturbation.
     """
-    noised = _with_draws(_start(df, spec, settings), draws, "noise")
-    noised = _without_draws(_set(noised, spec, *noise_columns(spec, category_too=False)))
-    spread = noised.groupBy("config_id").agg(F.stddev_samp(NUMBER).alias("__sd"))
-    swapped = noised
-    if any(s["swap_n"] for s in settings):
-        swapped = swap_rows(noised, spec, draws, facts.rows, bucket_rows)
-    # One row per setting on the small side of both joins below.
-    swapped = swapped.join(F.broadcast(spread), "config_id")
-    sd = F.greatest(F.coalesce(F.col("__sd"), F.lit(1.0)), F.lit(1.0)) * _cfg("strength")
-    perturbed = _with_draws(swapped, draws, "feature_perturbation")
-    perturbed = _without_draws(_set(perturbed, spec, *perturb_columns(spec, facts, sd)))
 
-    if spec.is_sensitive(spec.category):
-        found = (
-            perturbed.groupBy("config_id", CATEGORY)
-            .agg(F.count(F.lit(1)).alias("__n"))
+    def noised(some: list) -> DataFrame:
+        start = _with_draws(_start(df, spec, some), draws, "noise")
+        return _without_draws(_set(start, spec, *noise_columns(spec, category_too=False)))
+
+    def perturbed(some: list) -> DataFrame:
+        swapped = swap_rows(noised(some), spec, draws, some, bucket_rows)
+        drawn = _with_draws(swapped, draws, "feature_perturbation")
+        return _without_draws(_set(drawn, spec, *perturb_columns(spec, facts)))
+
+    settings = settle_swap_cuts(df, spec, settings, draws, facts.rows, bucket_rows)
+    if spec.is_sensitive(spec.numeric) and any(s["strength"] > 0 for s in settings):
+        spread = noised(settings).groupBy("config_id").agg(F.stddev_samp(NUMBER).alias("sd")).collect()
+        by_id = {r["config_id"]: r["sd"] or 0.0 for r in spread}
+        settings = [{**s, "number_sd": max(by_id.get(s["config_id"], 0.0), 1.0) * s["strength"]} for s in settings]
+    active = [s for s in settings if s["strength"] > 0]
+    if spec.is_sensitive(spec.category) and active:
+        # Without perturbation swapping keeps the table's own categories, so nothing to look up.
+        present = (
+            perturbed(active)
+            .groupBy("config_id", CATEGORY)
+            .agg(F.count(F.lit(1)).alias("n"))
             .groupBy("config_id")
-            .agg(F.count(CATEGORY).alias("__count"), F.min(CATEGORY).alias("__min"), F.max(CATEGORY).alias("__max"))
+            .agg(F.count(CATEGORY).alias("count"), F.min(CATEGORY).alias("low"), F.max(CATEGORY).alias("high"))
+            .collect()
         )
-        two = F.col("__count") == 2
-        pair = found.select(
-            "config_id",
-            F.when(two, F.col("__min")).otherwise(F.lit(spec.category_pair[0])).alias("__left"),
-            F.when(two, F.col("__max")).otherwise(F.lit(spec.category_pair[1])).alias("__right"),
-        )
-        perturbed = perturbed.join(F.broadcast(pair), "config_id")
-    else:
-        perturbed = perturbed.withColumns({"__left": F.lit(None), "__right": F.lit(None)})
-    binned = _set(perturbed, spec, *generalize_columns(facts, category_too=False))
+        pairs = {r["config_id"]: (r["low"], r["high"]) if r["count"] == 2 else spec.category_pair for r in present}
+        settings = [
+            {**s, "left": pairs[s["config_id"]][0], "right": pairs[s["config_id"]][1]}
+            if s["config_id"] in pairs
+            else s
+            for s in settings
+        ]
+    binned = _set(perturbed(settings), spec, *generalize_columns(facts, category_too=False))
     final = _with_draws(binned, draws, "differential_privacy")
-    return _finish(_set(final, spec, *laplace_columns(spec, facts, F.col("__left"), F.col("__right"))), spec)
+    return _finish(_set(final, spec, *laplace_columns(spec, facts)), spec)
 
 
 def evaluate_masks(

@@ -9,13 +9,11 @@ number of category combinations, not with the rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.functions.numeric import safe_ratio
 from veilframe.operators.project import as_text
 from veilframe.spec import MaskSpec
 
@@ -94,55 +92,58 @@ def with_codes(cube: DataFrame, spec: MaskSpec) -> DataFrame:
     return cube.withColumns(codes)
 
 
-def _means(spec: MaskSpec) -> dict[str, Column]:
-    means = {spec.numeric: F.col("number_mean"), spec.flag: F.col("flag_mean")}
-    return means | {f"{c}_code": F.col(f"{c}_code") for c in spec.texts}
+def _group_mean(spec: MaskSpec, feature: str) -> str:
+    """Column of the cube that holds a feature's mean inside a category group."""
+    return {spec.numeric: "number_mean", spec.flag: "flag_mean"}.get(feature, f"`{feature}`")
 
 
-def _within(spec: MaskSpec, a: str, b: str) -> Column:
+def _group_bound(spec: MaskSpec, feature: str, which: str) -> str:
+    return {spec.numeric: f"number_{which}", spec.flag: f"flag_{which}"}.get(feature, f"`{feature}`")
+
+
+def _within(spec: MaskSpec, a: str, b: str) -> str:
     """Covariance inside a category group; zero whenever a code takes part."""
     inside = {
-        (spec.numeric, spec.numeric): F.col("number_var"),
-        (spec.flag, spec.flag): F.col("flag_var"),
-        (spec.numeric, spec.flag): F.col("cross"),
+        (spec.numeric, spec.numeric): "number_var",
+        (spec.flag, spec.flag): "flag_var",
+        (spec.numeric, spec.flag): "cross",
     }
-    return inside.get((a, b), F.lit(0.0))
-
-
-def _bound(spec: MaskSpec, feature: str, which: str) -> Column:
-    names = {spec.numeric: f"number_{which}", spec.flag: f"flag_{which}"}
-    return F.col(names.get(feature, feature))
+    return inside.get((a, b), "0D")
 
 
 def moments_wide(cube: DataFrame, spec: MaskSpec) -> DataFrame:
-    """One row per setting: size, mean, bounds and co-moment of every pair of features."""
-    means = _means(spec)
-    everything = Window.partitionBy(ALL_ROWS)
-    total = F.sum("n").over(everything)
-    coded = with_codes(cube, spec)
-    centred = coded.withColumns({f"mean_{f}": F.sum(F.col("n") * m).over(everything) / total for f, m in means.items()})
-    gap = {f: m - F.col(f"mean_{f}") for f, m in means.items()}
-    return centred.groupBy(ALL_ROWS).agg(
-        F.sum("n").alias("n"),
-        *[F.first(f"mean_{f}").alias(f"mean_{f}") for f in spec.features],
-        *[F.min(_bound(spec, f, "min")).alias(f"min_{f}") for f in spec.features],
-        *[F.max(_bound(spec, f, "max")).alias(f"max_{f}") for f in spec.features],
+    """One row per setting: size, and per feature ``mean_i``, ``min_i``, ``max_i``; per pair ``co_i_j``.
+
+    ``i`` and ``j`` are positions in ``spec.features``. A co-moment is the sum over groups of
+    n x (covariance inside + product of the group's distances to the means), and exactly zero
+    when a feature is constant.
+    """
+    features = list(enumerate(spec.features))
+    centred = with_codes(cube, spec).selectExpr(
+        "*",
         *[
-            F.sum(F.col("n") * (_within(spec, a, b) + gap[a] * gap[b])).alias(f"co_{a}__{b}")
-            for a, b in combinations_with_replacement(spec.features, 2)
+            f"sum(n * {_group_mean(spec, f)}) OVER (PARTITION BY {ALL_ROWS}) / sum(n) OVER (PARTITION BY {ALL_ROWS})"
+            f" AS mean_{i}"
+            for i, f in features
         ],
     )
-
-
-def _co_moment(spec: MaskSpec, a: str, b: str) -> Column:
-    """Co-moment of two features; exactly zero when one of them is constant."""
-    first, second = (a, b) if spec.features.index(a) <= spec.features.index(b) else (b, a)
-    varies = (F.col(f"min_{a}") < F.col(f"max_{a}")) & (F.col(f"min_{b}") < F.col(f"max_{b}"))
-    return F.when(varies, F.col(f"co_{first}__{second}")).otherwise(F.lit(0.0))
-
-
-def _explode(df: DataFrame, structs: Sequence[Column], keep: Sequence[str]) -> DataFrame:
-    return df.select(*keep, F.explode(F.array(*structs)).alias("item")).select(*keep, "item.*")
+    pairs = [(i, j, a, b) for (i, a), (j, b) in combinations_with_replacement(features, 2)]
+    sums = centred.groupBy(ALL_ROWS).agg(
+        F.expr("sum(n)").alias("n"),
+        *[F.expr(f"first(mean_{i})").alias(f"mean_{i}") for i, _ in features],
+        *[F.expr(f"min({_group_bound(spec, f, 'min')})").alias(f"min_{i}") for i, f in features],
+        *[F.expr(f"max({_group_bound(spec, f, 'max')})").alias(f"max_{i}") for i, f in features],
+        *[
+            F.expr(
+                f"sum(n * ({_within(spec, a, b)} + ({_group_mean(spec, a)} - mean_{i}) * ({_group_mean(spec, b)} - mean_{j})))"
+            ).alias(f"raw_{i}_{j}")
+            for i, j, a, b in pairs
+        ],
+    )
+    kept = [ALL_ROWS, "n", *[f"{name}_{i}" for name in ("mean", "min", "max") for i, _ in features]]
+    return sums.selectExpr(
+        *kept, *[f"IF(min_{i} < max_{i} AND min_{j} < max_{j}, raw_{i}_{j}, 0D) AS co_{i}_{j}" for i, j, _, _ in pairs]
+    )
 
 
 def moments(cube: DataFrame, spec: MaskSpec) -> DataFrame:
@@ -151,19 +152,13 @@ def moments(cube: DataFrame, spec: MaskSpec) -> DataFrame:
 
 
 def moments_long(wide: DataFrame, spec: MaskSpec) -> DataFrame:
-    def feature(f: str) -> Column:
-        square = _co_moment(spec, f, f)
-        return F.struct(
-            F.lit(f).alias("feature"),
-            F.col("n"),
-            F.col(f"mean_{f}").alias("mean"),
-            safe_ratio(square, F.col("n") - 1).alias("variance"),
-            F.sqrt(square / F.col("n")).alias("std_pop"),
-            F.col(f"min_{f}").cast("double").alias("low"),
-            F.col(f"max_{f}").cast("double").alias("high"),
-        )
-
-    return _explode(wide, [feature(f) for f in spec.features], [ALL_ROWS])
+    rows = [
+        f"named_struct('feature', '{f}', 'n', n, 'mean', mean_{i}, "
+        f"'variance', coalesce(try_divide(co_{i}_{i}, n - 1), 0D), 'std_pop', sqrt(co_{i}_{i} / n), "
+        f"'low', double(min_{i}), 'high', double(max_{i}))"
+        for i, f in enumerate(spec.features)
+    ]
+    return wide.selectExpr(ALL_ROWS, f"inline(array({', '.join(rows)}))")
 
 
 def matrices(cube: DataFrame, spec: MaskSpec) -> DataFrame:
@@ -172,17 +167,19 @@ def matrices(cube: DataFrame, spec: MaskSpec) -> DataFrame:
 
 
 def matrices_long(wide: DataFrame, spec: MaskSpec) -> DataFrame:
-    def cell(a: str, b: str) -> Column:
-        product = _co_moment(spec, a, b)
-        spread = F.sqrt(_co_moment(spec, a, a)) * F.sqrt(_co_moment(spec, b, b))
-        return F.struct(
-            F.lit(a).alias("feature_a"),
-            F.lit(b).alias("feature_b"),
-            safe_ratio(product, F.col("n") - 1).alias("covariance"),
-            safe_ratio(product, spread).alias("correlation"),
+    features = list(enumerate(spec.features))
+    spread = wide.selectExpr("*", *[f"sqrt(co_{i}_{i}) AS root_{i}" for i, _ in features])
+
+    def cell(i: int, a: str, j: int, b: str) -> str:
+        product = f"co_{min(i, j)}_{max(i, j)}"
+        return (
+            f"named_struct('feature_a', '{a}', 'feature_b', '{b}', "
+            f"'covariance', coalesce(try_divide({product}, n - 1), 0D), "
+            f"'correlation', coalesce(try_divide({product}, root_{i} * root_{j}), 0D))"
         )
 
-    return _explode(wide, [cell(a, b) for a in spec.features for b in spec.features], [ALL_ROWS])
+    cells = [cell(i, a, j, b) for i, a in features for j, b in features]
+    return spread.selectExpr(ALL_ROWS, f"inline(array({', '.join(cells)}))")
 
 
 def profile(df: DataFrame, spec: MaskSpec) -> tuple[DataFrame, DataFrame]:

@@ -1,13 +1,14 @@
-"""Ranks and row numbers without moving a table into one task.
+"""Order statistics and row numbers without moving a table into one task.
 
 An ordered window without partitions runs in a single task. Here the order column is cut
-into buckets, the bucket sizes (a few thousand rows at most) give each bucket its first
-rank, and only rows inside one bucket are ordered against each other.
+into buckets whose sizes are counted map-side; that settles all but one bucket per cut, and
+only that bucket is ordered. What remains is a pair of numbers per cut, so picking exactly n
+rows becomes a plain filter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,74 +30,50 @@ def draw_bucket(draw: Column, buckets: int) -> Column:
 
 
 def bucket_starts(df: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
-    """Rows before each bucket: at most groups x MAX_BUCKETS rows come back."""
+    """Size of each bucket and the rows before it: at most groups x MAX_BUCKETS rows come back."""
     sizes = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("__size"))
-    before = (
-        Window.partitionBy(*(keys or [F.lit(0)])).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return sizes.select(*keys, bucket, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("__start", F.coalesce(F.sum("__size").over(before), F.lit(0)))
 
 
-def rank_by_draw(
+def cut_points(
     df: DataFrame,
-    keys: Sequence[str],
+    key: str,
     draw: str,
     tie: str,
-    rank: str,
+    limits: Mapping[object, Sequence[int]],
     rows: int,
     bucket_rows: int = BUCKET_ROWS,
-) -> DataFrame:
-    """Global rank 1..n by ``draw`` within ``keys``; ties are settled by ``tie``."""
-    bucketed = df.withColumn("__bucket", draw_bucket(F.col(draw), bucket_count(rows, bucket_rows)))
-    starts = bucket_starts(bucketed, keys, "__bucket")
-    within = Window.partitionBy(*keys, "__bucket").orderBy(draw, tie)
-    return (
-        bucketed.join(F.broadcast(starts), [*keys, "__bucket"])
-        .withColumn(rank, F.col("__start") + F.row_number().over(within))
-        .drop("__bucket", "__start")
-    )
+) -> dict[tuple[object, int], tuple[float, object]]:
+    """For each key and each limit n, the n-th smallest ``(draw, tie)`` of that key.
 
-
-def split_smallest(
-    df: DataFrame,
-    keys: Sequence[str],
-    draw: str,
-    tie: str,
-    limit: str,
-    rows: int,
-    bucket_rows: int = BUCKET_ROWS,
-) -> tuple[DataFrame, DataFrame]:
-    """Split into rows that may be among the ``limit`` smallest (ranked) and rows that cannot.
-
-    Buckets that start past the limit are settled by the bucket sizes alone and are never
-    shuffled; only the rest is ordered. The ranked part has a ``__rank`` column.
+    ``rows`` is the size of the largest group. Limits outside 1..size have no entry.
     """
-    bucketed = df.withColumn("__bucket", draw_bucket(F.col(draw), bucket_count(rows, bucket_rows)))
-    starts = bucket_starts(bucketed, keys, "__bucket")
-    placed = bucketed.join(F.broadcast(starts), [*keys, "__bucket"])
-    within = Window.partitionBy(*keys, "__bucket").orderBy(draw, tie)
-    near = (
-        placed.where(F.col("__start") < F.col(limit))
-        .withColumn("__rank", F.col("__start") + F.row_number().over(within))
-        .drop("__bucket", "__start")
-    )
-    far = placed.where(F.col("__start") >= F.col(limit)).drop("__bucket", "__start")
-    return near, far
-
-
-def keep_smallest(
-    df: DataFrame,
-    keys: Sequence[str],
-    draw: str,
-    tie: str,
-    limit: str,
-    rows: int | None = None,
-    bucket_rows: int = BUCKET_ROWS,
-) -> DataFrame:
-    """The ``limit`` rows with the smallest draws, any limit, without a single-task top-k."""
-    known = df.count() if rows is None else rows
-    near, _ = split_smallest(df, keys, draw, tie, limit, known, bucket_rows)
-    return near.where(F.col("__rank") <= F.col(limit))
+    asked = [(k, int(n)) for k, numbers in limits.items() for n in numbers if n >= 1]
+    if not asked:
+        return {}
+    buckets = bucket_count(rows, bucket_rows)
+    schema = f"`{key}` {dict(df.dtypes)[key]}, __limit bigint"
+    wanted = df.sparkSession.createDataFrame(asked, schema)
+    placed = df.select(key, draw, tie, draw_bucket(F.col(draw), buckets).alias("__bucket"))
+    if buckets == 1:
+        hits = wanted.select(key, F.lit(0).alias("__bucket"), "__limit", F.col("__limit").alias("__offset"))
+    else:
+        starts = bucket_starts(placed, [key], "__bucket")
+        inside = (F.col("__limit") > F.col("__start")) & (F.col("__limit") <= F.col("__start") + F.col("__size"))
+        hits = starts.join(F.broadcast(wanted), key).where(inside)
+        hits = hits.select(key, "__bucket", "__limit", (F.col("__limit") - F.col("__start")).alias("__offset"))
+    # hits: one row per asked limit, so both broadcasts are bounded by the number of cuts.
+    near = placed.join(F.broadcast(hits.select(key, "__bucket").distinct()), [key, "__bucket"], "left_semi")
+    order = Window.partitionBy(key, "__bucket").orderBy(draw, tie)
+    numbered = near.withColumn("__offset", F.row_number().over(order).cast("bigint"))
+    found = numbered.join(F.broadcast(hits), [key, "__bucket", "__offset"]).select(key, "__limit", draw, tie)
+    return {(r[0], r[1]): (r[2], r[3]) for r in found.collect()}
+
+
+def up_to(draw: Column, tie: Column, cut_draw: Column, cut_tie: Column) -> Column:
+    """True for rows at or before a cut point."""
+    return (draw < cut_draw) | ((draw == cut_draw) & (tie <= cut_tie))
 
 
 def number_rows(df: DataFrame, name: str = "row_id") -> DataFrame:
