@@ -6,6 +6,7 @@ import json
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,8 @@ from veilframe.operators.features import (
 )
 from veilframe.operators.masks import wide
 from veilframe.operators.project import add_category_code
-from veilframe.operators.scoring import classifier_metrics, generalization_flags, roc_auc, sensitive_signal
+from veilframe.operators.scoring import evaluation_rows
+from veilframe.session import settle
 from veilframe.spec import MaskSpec
 
 # Report names, tuning grids and training settings of the model families.
@@ -323,49 +325,23 @@ def _probabilities(name: str, fitted, data: TrainingData) -> DataFrame:
     return curve.transform(margin).withColumn("p", vector_to_array("probability")[1])
 
 
-def fit_one(name: str, data: TrainingData, options: ModelOptions) -> dict:
-    """Train one family and return its report row."""
+def fit_one(name: str, data: TrainingData, options: ModelOptions) -> tuple[DataFrame, tuple]:
+    """Train one family; its scored rows, and what only training knows about it."""
     pipeline, grid, names = BUILDERS[name](data, options)
     chosen = _search(data, pipeline, grid, options)
     fitted = chosen.fit(data.frame.where(F.col("part") == "train"))
-    scored = _probabilities(name, fitted, data).withColumnRenamed("label", "y")
-    scored = scored.select("part", "y", "p", "predicted", "__number", "__code").persist(StorageLevel.MEMORY_AND_DISK)
-    parts = {r["part"]: r for r in classifier_metrics(scored, ["part"]).collect()}
-    test = scored.where(F.col("part") == "test")
-    auc = roc_auc(test).first()
-    signal = sensitive_signal(test, ["__number", "__code"]).first()
-    scored.unpersist()
-    cv = _fold_accuracy(data, chosen, options) if options.cross_validate else None
-    blank = {"accuracy": 0.0, "precision": 0.0, "recall": 0.0, "f1": 0.0, "rmse": 1.0, "log_loss": 1.0}
-    measured = {part: (parts[part].asDict() if part in parts else blank) for part in ("train", "validation", "test")}
-    row = {k: measured["test"][k] for k in ("accuracy", "precision", "recall", "f1", "rmse")}
-    kept = next((s.getIndices() for s in chosen.getStages() if isinstance(s, VectorSlicer)), data.names)
+    mean, std = _fold_accuracy(data, chosen, options) if options.cross_validate else (None, 0.0)
+    kept = next(stage.getIndices() for stage in chosen.getStages() if isinstance(stage, VectorSlicer))
     model = chosen.getStages()[-1]
     best = {label: read(model.getOrDefault(param)) for param, (label, read) in names.items()}
     best["select__k"] = len(kept) if len(kept) < len(data.names) else "all"
-    train_accuracy = measured["train"]["accuracy"]
-    validation_accuracy = measured["validation"]["accuracy"]
-    mean, std = cv if cv else (validation_accuracy, 0.0)
-    return {
-        **row,
-        "model": name,
-        "roc_auc": auc["roc_auc"] if auc else 0.0,
-        "train_accuracy": train_accuracy,
-        "validation_accuracy": validation_accuracy,
-        "validation_log_loss": measured["validation"]["log_loss"],
-        "test_log_loss": measured["test"]["log_loss"],
-        "cv_accuracy_mean": mean,
-        "cv_accuracy_std": std,
-        "feature_count": len(kept),
-        "sensitive_signal_correlation": signal["sensitive_signal_correlation"] if signal else 0.0,
-        "best_params": json.dumps(best, sort_keys=True),
-    }
-
-
-RESULT_FIELDS = [
-    f for f in MODEL_SCHEMA
-    if f.name not in ("train_validation_gap", "overfitting_flag", "underfitting_flag", "memorization_risk_flag")
-]
+    scored = _probabilities(name, fitted, data).select(
+        F.lit(name).alias("model"), "part", F.col("label").alias("y"), "p", "predicted", "__number", "__code"
+    )
+    return scored, (name, mean, std, len(kept), json.dumps(best, sort_keys=True))
+
+
+TRAINING_SCHEMA = "model string, cv_mean double, cv_accuracy_std double, feature_count int, best_params string"
 
 
 def evaluate_models(
@@ -374,7 +350,8 @@ def evaluate_models(
     """Train the chosen families on one masked frame; one report row per family.
 
     ``frame`` is a wide frame with a single setting, or ``unmasked`` for the baseline. The
-    label always comes from the original flag, whatever the mask did to it.
+    label always comes from the original flag, whatever the mask did to it. Without
+    cross-validation the validation accuracy stands in for the fold mean.
     """
     options = options or ModelOptions()
     spark = frame.sparkSession
@@ -383,12 +360,14 @@ def evaluate_models(
         return guard_rows(spark)
     with ThreadPoolExecutor(max_workers=max(1, options.parallelism)) as pool:
         work = inheritable_thread_target(spark)(lambda name: fit_one(name, data, options))
-        rows = list(pool.map(work, options.models))
-    data.frame.unpersist()
-    plain = spark.createDataFrame(
-        [tuple(r[f.name] for f in RESULT_FIELDS) for r in rows], T.StructType(RESULT_FIELDS)
-    )
-    flags = generalization_flags(
-        F.col("train_accuracy"), F.col("validation_accuracy"), F.col("sensitive_signal_correlation")
+        fitted = list(pool.map(work, options.models))
+    scored = reduce(DataFrame.unionByName, [rows for rows, _ in fitted]).persist(StorageLevel.MEMORY_AND_DISK)
+    measured = evaluation_rows(scored, ["model"], ["__number", "__code"])
+    training = spark.createDataFrame([facts for _, facts in fitted], TRAINING_SCHEMA)
+    report = measured.join(F.broadcast(training), "model").withColumn(  # one row per family
+        "cv_accuracy_mean", F.coalesce(F.col("cv_mean"), F.col("validation_accuracy"))
     )
-    return plain.withColumns(flags).select(*[f.name for f in MODEL_SCHEMA])
+    rows = settle(report.select(*[F.col(f.name).cast(f.dataType) for f in MODEL_SCHEMA]))
+    scored.unpersist()
+    data.frame.unpersist()
+    return rows

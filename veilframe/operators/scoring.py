@@ -115,3 +115,34 @@ def generalization_flags(train: Column, validation: Column, signal: Column) -> d
         "underfitting_flag": (train < UNDERFIT_ACCURACY) & (validation < UNDERFIT_ACCURACY),
         "memorization_risk_flag": overfit | (signal > SIGNAL_LIMIT),
     }
+
+
+def evaluation_rows(
+    scored: DataFrame, keys: Sequence[str], sensitive: Sequence[str], y="y", p="p", predicted="predicted"
+) -> DataFrame:
+    """Report row per key from scored rows of the train, validation and test parts.
+
+    Quality is that of the test part; a part without rows counts as all wrong.
+    """
+    per_part = classifier_metrics(scored, [*keys, "part"], y, p, predicted)
+
+    def of(part: str, metric: str, missing: float = 0.0) -> Column:
+        return F.coalesce(F.max(F.when(F.col("part") == part, F.col(metric))), F.lit(missing))
+
+    rows = per_part.groupBy(*keys).agg(
+        *[of("test", m).alias(m) for m in ("accuracy", "precision", "recall", "f1")],
+        of("test", "rmse", 1.0).alias("rmse"),
+        of("train", "accuracy").alias("train_accuracy"),
+        of("validation", "accuracy").alias("validation_accuracy"),
+        of("validation", "log_loss", 1.0).alias("validation_log_loss"),
+        of("test", "log_loss", 1.0).alias("test_log_loss"),
+    )
+    test = scored.where(F.col("part") == "test")
+    joined = rows.join(roc_auc(test, keys, y, p), list(keys), "left").join(
+        sensitive_signal(test, sensitive, keys, p), list(keys), "left"
+    )
+    joined = joined.fillna(0.0, ["roc_auc", "sensitive_signal_correlation"])
+    flags = generalization_flags(
+        F.col("train_accuracy"), F.col("validation_accuracy"), F.col("sensitive_signal_correlation")
+    )
+    return joined.withColumns(flags)
