@@ -138,7 +138,10 @@ def crossover_search(
 
 def distinct(configs: Iterable[MaskingConfig]) -> list[MaskingConfig]:
     """First setting of each label."""
-    return list({config.label(): config for config in reversed(list(configs))}.values())[::-1]
+    by_label: dict[str, MaskingConfig] = {}
+    for config in configs:
+        by_label.setdefault(config.label(), config)
+    return list(by_label.values())
 
 
 def canonical(config: MaskingConfig) -> MaskingConfig:
