@@ -1,9 +1,10 @@
 """The six masks as column expressions.
 
-``evaluate_masks`` fans rows out over many settings in one pass: the settings are a
-literal array that is exploded map-side, so the table is read once whatever their number
-and nothing is shuffled before aggregation. ``release`` applies a single setting with
-literal parameters.
+``evaluate_masks`` fans rows out over many settings: the settings of one method are a
+literal array that is exploded map-side, so the table is read once per method whatever the
+number of settings, and nothing is shuffled before aggregation. One branch per method keeps
+the generated code small enough for the JVM to compile, and draws only what the method
+needs. ``release`` applies a single setting with literal parameters.
 
 Original values are in ``o_*`` columns and masked ones in ``m_*``. A generalised number
 keeps its bin midpoint in ``m_*`` and its text in ``m_*_label``, so all settings share
@@ -20,12 +21,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.draws import Draws, gaussian_pair, laplace
-from veilframe.functions.numeric import clip
 from veilframe.operators.ranking import BUCKET_ROWS, bucket_count, cut_points, draw_bucket, up_to
 from veilframe.session import settle
-from veilframe.spec import GENERALIZED, PERTURBED, SUPPRESSED, MaskingConfig, MaskSpec
+from veilframe.spec import GENERALIZED, METHODS, PERTURBED, SUPPRESSED, MaskingConfig, MaskSpec
 
-ROW_LOCAL = ("noise", "generalization", "differential_privacy", "feature_perturbation")
 SMALLEST_EPSILON = 1e-6
 NUMBER, FLAG, CATEGORY = "__number", "__flag", "__category"
 
@@ -214,8 +213,8 @@ def suppress(category: Column, probability: Column, draw: Column, token: str) ->
 
 def noise_columns(spec: MaskSpec, category_too: bool = True) -> tuple[Column, Column, Column]:
     z_number, z_flag = gaussian_pair(_u(0), _u(1))
-    number = clip(F.col(NUMBER) + _cfg("noise_std") * z_number, spec.lower, spec.upper)
-    flag = clip(F.col(FLAG) + _cfg("noise_std") / F.lit(10.0) * z_flag, 0.0, 1.0)
+    number = _bounded(F.col(NUMBER), _cfg("noise_std") * z_number, spec.lower, spec.upper)
+    flag = _bounded(F.col(FLAG), _cfg("noise_std") / F.lit(10.0) * z_flag, 0.0, 1.0)
     category = F.col(CATEGORY)
     if category_too:
         category = suppress(category, _cfg("suppress_p"), _u(2), SUPPRESSED)
@@ -226,7 +225,7 @@ def perturb_columns(spec: MaskSpec, facts: TableFacts) -> tuple[Column, Column,
     z, _ = gaussian_pair(_u(0), _u(1))
     old_number, old_flag = _filled(F.col(NUMBER), facts.numeric_fill), _filled(F.col(FLAG), facts.flag_fill)
     active = _cfg("strength") > 0
-    number = clip(old_number + _cfg("number_sd") * z, spec.lower, spec.upper)
+    number = _bounded(old_number, _cfg("number_sd") * z, spec.lower, spec.upper)
     flag = F.when(_u(3) < _cfg("flip_p"), F.lit(1.0) - (old_flag >= 0.5).cast("double")).otherwise(old_flag)
     return (
         F.when(active, number).otherwise(F.col(NUMBER)),
@@ -270,11 +269,16 @@ def randomized_response(category: Column, left: Column, right: Column, epsilon:
 
 def laplace_columns(spec: MaskSpec, facts: TableFacts) -> tuple[Column, Column, Column]:
     old_number, old_flag = _filled(F.col(NUMBER), facts.numeric_fill), _filled(F.col(FLAG), facts.flag_fill)
-    number = clip(old_number + laplace(_u(0), _cfg("number_scale")), spec.lower, spec.upper)
-    flag = clip(old_flag + laplace(_u(1), _cfg("flag_scale")), 0.0, 1.0)
+    number = _bounded(old_number, laplace(_u(0), _cfg("number_scale")), spec.lower, spec.upper)
+    flag = _bounded(old_flag, laplace(_u(1), _cfg("flag_scale")), 0.0, 1.0)
     return number, flag, randomized_response(F.col(CATEGORY), _cfg("left"), _cfg("right"), _cfg("epsilon"))
 
 
+def _bounded(old: Column, noise: Column, low: float, high: float) -> Column:
+    """Noised value inside its bounds; a missing value stays missing."""
+    return F.when(old.isNotNull(), F.greatest(F.least(old + noise, F.lit(high)), F.lit(low)))
+
+
 def _filled(column: Column, fill: float | None) -> Column:
     return column if fill is None else F.coalesce(column, F.lit(fill))
 
@@ -379,17 +383,15 @@ def _start(df: DataFrame, spec: MaskSpec, settings: Sequence[dict[str, object]])
     )
 
 
-def _finish(df: DataFrame, spec: MaskSpec) -> DataFrame:
+def _finish(df: DataFrame, spec: MaskSpec, method: str) -> DataFrame:
     """Masked columns under their public names; labels only where a setting generalises."""
-    binned = _cfg("method") == "generalization"
     number, flag, width = F.col(NUMBER), F.col(FLAG), _cfg("width")
-    start = (number - (width.cast("double") - F.lit(1.0)) / F.lit(2.0)).cast("bigint")
-    number_label = F.when(binned, bin_label(start, width)) if spec.is_sensitive(spec.numeric) else F.lit(None)
-    flag_label = (
-        F.when(binned, F.when(flag >= 0.5, F.lit("High")).otherwise(F.lit("Low")))
-        if spec.is_sensitive(spec.flag)
-        else F.lit(None)
-    )
+    number_label = flag_label = F.lit(None)
+    if method == "generalization" and spec.is_sensitive(spec.numeric):
+        start = (number - (width.cast("double") - F.lit(1.0)) / F.lit(2.0)).cast("bigint")
+        number_label = bin_label(start, width)
+    if method == "generalization" and spec.is_sensitive(spec.flag):
+        flag_label = F.when(flag >= 0.5, F.lit("High")).otherwise(F.lit("Low"))
     return df.select(
         "config_id", "row_id", "label",
         f"o_{spec.numeric}", f"o_{spec.category}", f"o_{spec.flag}", *spec.carried,
@@ -401,33 +403,25 @@ def _finish(df: DataFrame, spec: MaskSpec) -> DataFrame:
     )
 
 
-def _row_local(df: DataFrame, spec: MaskSpec, settings: list, draws: Draws, facts: TableFacts) -> DataFrame:
-    """Noise, generalisation, Laplace and perturbation settings together, in one pass."""
-    drawn = _with_draws(_start(df, spec, settings), draws, _cfg("method"))
+def _row_local(
+    df: DataFrame, spec: MaskSpec, settings: list, draws: Draws, facts: TableFacts, method: str
+) -> DataFrame:
+    """Settings of one method that looks at one row at a time."""
+    drawn = _with_draws(_start(df, spec, settings), draws, method)
     steps = {
-        "noise": noise_columns(spec),
-        "generalization": generalize_columns(facts),
-        "differential_privacy": laplace_columns(spec, facts),
-        "feature_perturbation": perturb_columns(spec, facts),
+        "noise": lambda: noise_columns(spec),
+        "generalization": lambda: generalize_columns(facts),
+        "differential_privacy": lambda: laplace_columns(spec, facts),
+        "feature_perturbation": lambda: perturb_columns(spec, facts),
     }
-    present = [m for m in ROW_LOCAL if any(s["method"] == m for s in settings)]
-
-    def choose(part: int) -> Column:
-        if len(present) == 1:
-            return steps[present[0]][part]
-        choice = F.when(_cfg("method") == present[0], steps[present[0]][part])
-        for method in present[1:-1]:
-            choice = choice.when(_cfg("method") == method, steps[method][part])
-        return choice.otherwise(steps[present[-1]][part])
-
-    return _finish(_set(drawn, spec, choose(0), choose(1), choose(2)), spec)
+    return _finish(_set(drawn, spec, *steps[method]()), spec, method)
 
 
 def _swapping(
     df: DataFrame, spec: MaskSpec, settings: list, draws: Draws, facts: TableFacts, bucket_rows: int
 ) -> DataFrame:
     placed = settle_swap_cuts(df, spec, settings, draws, facts.rows, bucket_rows)
-    return _finish(swap_rows(_start(df, spec, placed), spec, draws, placed, bucket_rows), spec)
+    return _finish(swap_rows(_start(df, spec, placed), spec, draws, placed, bucket_rows), spec, "data_swapping")
 
 
 def _hybrid(
@@ -474,7 +468,7 @@ def _hybrid(
         ]
     binned = _set(perturbed(settings), spec, *generalize_columns(facts, category_too=False))
     final = _with_draws(binned, draws, "differential_privacy")
-    return _finish(_set(final, spec, *laplace_columns(spec, facts)), spec)
+    return _finish(_set(final, spec, *laplace_columns(spec, facts)), spec, "hybrid")
 
 
 def evaluate_masks(
@@ -494,15 +488,16 @@ def evaluate_masks(
     settings = [setting_values(i, c, spec, facts) for i, c in enumerate(configs, start=first_id)]
     original = wide(df, spec)
     parts = []
-    local = [s for s in settings if s["method"] in ROW_LOCAL]
-    swaps = [s for s in settings if s["method"] == "data_swapping"]
-    hybrids = [s for s in settings if s["method"] == "hybrid"]
-    if local:
-        parts.append(_row_local(original, spec, local, draws, facts))
-    if swaps:
-        parts.append(_swapping(original, spec, swaps, draws, facts, bucket_rows))
-    if hybrids:
-        parts.append(_hybrid(original, spec, hybrids, draws, facts, bucket_rows))
+    by_method = {m: [s for s in settings if s["method"] == m] for m in METHODS}
+    for method, some in by_method.items():
+        if not some:
+            continue
+        if method == "data_swapping":
+            parts.append(_swapping(original, spec, some, draws, facts, bucket_rows))
+        elif method == "hybrid":
+            parts.append(_hybrid(original, spec, some, draws, facts, bucket_rows))
+        else:
+            parts.append(_row_local(original, spec, some, draws, facts, method))
     frame = parts[0]
     for part in parts[1:]:
         frame = frame.unionByName(part)
@@ -543,4 +538,4 @@ def bucketed_swap(
     """Wide frame of the bucketed swap."""
     facts = TableFacts(0, 0.0, 0, None, None)
     start = _start(wide(df, spec), spec, [setting_values(0, config, spec, facts)])
-    return _finish(swap_rows_in_buckets(start, spec, draws or Draws(), buckets), spec)
+    return _finish(swap_rows_in_buckets(start, spec, draws or Draws(), buckets), spec, config.method)

@@ -19,6 +19,8 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # The JVM never compiles methods above 8000 bytes; past that, Spark's split code is faster.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )
 
