@@ -21,6 +21,7 @@ from checks.settings import (
     SWAP_BUCKETS,
     WEIGHT,
 )
+from veilframe.functions.draws import key_number
 from veilframe.plans.candidates import ANCHORS, default_grid
 from veilframe.sources.fixtures import ORDERS_PEOPLE, PEOPLE
 from veilframe.spec import MaskingConfig, MaskSpec
@@ -104,14 +105,58 @@ def strip(text: str) -> str:
     return rf"regexp_replace({text}, '^\s+|\s+$', '', 'g')"
 
 
+# --- XXH64 of one 64-bit number, as Python for constants and as SQL for columns ------------------
+
+# The five primes of XXH64.
+P1, P2, P3 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+P4, P5 = 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+WORD = 2**64
+
+
+def hash_long(value: int, seed: int) -> int:
+    def turn(x: int, by: int) -> int:
+        return ((x << by) | (x >> (64 - by))) % WORD
+
+    h = (seed + P5 + 8) % WORD ^ (turn(value * P2 % WORD, 31) * P1 % WORD)
+    h = (turn(h, 27) * P1 + P4) % WORD
+    h = (h ^ (h >> 33)) * P2 % WORD
+    h = (h ^ (h >> 29)) * P3 % WORD
+    return h ^ (h >> 32)
+
+
+def number64(value: int) -> str:
+    return f"{value % WORD}::UHUGEINT"
+
+
+def wrap(value: str) -> str:
+    return f"({value} % {WORD}::UHUGEINT)"
+
+
+def mul(value: str, by: int) -> str:
+    return wrap(f"({value} * {number64(by)})")
+
+
+def add_number(value: str, by: int) -> str:
+    return f"({value} + {number64(by)})"
+
+
+def rotl(value: str, by: int) -> str:
+    return f"({wrap(f'({value} * {2**by}::UHUGEINT)')} + {value} // {2 ** (64 - by)}::UHUGEINT)"
+
+
+def shifted(value: str, by: int) -> str:
+    return f"xor({value}, {value} // {2**by}::UHUGEINT)"
+
+
 # --- masks -------------------------------------------------------------------------------------
 
 
 class Masks:
     """CTEs that mask ``people`` under the columns x (number), f (flag) and c (category)."""
 
-    def __init__(self, spec: MaskSpec, source: str) -> None:
+    def __init__(self, spec: MaskSpec, source: str, kind: str = "sha256") -> None:
         self.spec = spec
+        self.kind = kind
         s = spec
         carried = "".join(f", {c}" for c in s.carried)
         self.parts = [
@@ -130,12 +175,29 @@ class Masks:
         return name
 
     def draws(self, source: str, config: MaskingConfig, stage: str) -> str:
+        if self.kind == "xxhash64":
+            return self.hashed_draws(source, config, stage)
         token = self.add(f"SELECT *, sha256('42:{config.key()}:{stage}:' || row_id) AS tok FROM {source}")
         lanes = ", ".join(
             f"(('0x' || substr(tok, {1 + 13 * i}, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / {TWO52} AS u{i}" for i in range(4)
         )
         return self.add(f"SELECT * EXCLUDE (tok), {lanes} FROM {token}")
 
+    def hashed_draws(self, source: str, config: MaskingConfig, stage: str) -> str:
+        """XXH64 of the row id under a constant seed per lane, in 128-bit arithmetic."""
+        seeds = [hash_long(key_number(config.key()), hash_long(key_number(f"42:{stage}:{i}"), 42)) for i in range(4)]
+        row = f"{mul('row_id::UHUGEINT', P2)}"
+        name = self.add(f"SELECT *, {mul(rotl(row, 31), P1)} AS k FROM {source}")
+        mixed = ", ".join(f"{wrap(add_number(mul(rotl(f'xor({number64(s + P5 + 8)}, k)', 27), P1), P4))} AS h{i}" for i, s in enumerate(seeds))
+        name = self.add(f"SELECT * EXCLUDE (k), {mixed} FROM {name}")
+        for shift, prime in ((33, P2), (29, P3), (32, None)):
+            step = ", ".join(
+                f"{mul(shifted(f'h{i}', shift), prime) if prime else shifted(f'h{i}', shift)} AS h{i}" for i in range(4)
+            )
+            name = self.add(f"SELECT * REPLACE ({step}) FROM {name}")
+        lanes = ", ".join(f"((h{i} // 4096)::DOUBLE + 0.5::DOUBLE) / {TWO52} AS u{i}" for i in range(4))
+        return self.add(f"SELECT * EXCLUDE (h0, h1, h2, h3), {lanes} FROM {name}")
+
     def replace(self, source: str, x: str = "x", f: str = "f", c: str = "c") -> str:
         return self.add(f"SELECT * EXCLUDE (u0, u1, u2, u3) REPLACE ({x} AS x, {f} AS f, {c} AS c) FROM {source}")
 
@@ -262,13 +324,20 @@ class Masks:
         return "WITH " + ",\n".join(p.strip() for p in parts) + "\n" + body
 
 
-def masked(configs: Sequence[MaskingConfig], spec: MaskSpec = PEOPLE, buckets: int | None = None) -> Masks:
-    made = Masks(spec, PEOPLE_CTE if spec is PEOPLE else ORDERS_CTE)
+def masked(
+    configs: Sequence[MaskingConfig], spec: MaskSpec = PEOPLE, buckets: int | None = None, kind: str = "sha256"
+) -> Masks:
+    made = Masks(spec, PEOPLE_CTE if spec is PEOPLE else ORDERS_CTE, kind)
     for config_id, config in enumerate(configs):
         made.mask(config, config_id, buckets)
     return made
 
 
+def trial(configs: Sequence[MaskingConfig], spec: MaskSpec = PEOPLE) -> Masks:
+    """Masks as the measures see them: with the cheap draws."""
+    return masked(configs, spec, kind="xxhash64")
+
+
 def masked_rows(config: MaskingConfig, spec: MaskSpec = PEOPLE, buckets: int | None = None) -> str:
     s = spec
     return masked([config], spec, buckets).query(
@@ -383,7 +452,7 @@ for _name, _config in (("mask_suppress", NOISE), ("mask_randomized_response", LA
     ORACLE[_name] = masked([_config]).query(
         "SELECT o_c AS o_gender, m_c AS m_gender, count(*)::BIGINT AS n FROM masked GROUP BY o_c, m_c"
     )
-ORACLE["mask_many_settings"] = masked(SIX).query(
+ORACLE["mask_many_settings"] = trial(SIX).query(
     f"""SELECT config_id, count(*)::BIGINT AS n, {r("avg(m_x)")} AS mean_age, {r("avg(m_f)")} AS mean_income,
        count(*) FILTER (WHERE m_c = o_c)::BIGINT AS same_gender, count(m_x_label)::BIGINT AS binned FROM masked GROUP BY config_id"""
 )
@@ -491,7 +560,7 @@ DRIFT_COLUMNS = (
 
 def drift_sql(configs: Sequence[MaskingConfig], columns: Sequence[str], spec: MaskSpec = PEOPLE) -> str:
     shown = ", ".join(f"{r(f'coalesce({c}, 0::DOUBLE)')} AS {c}" for c in columns)
-    return masked(configs, spec).query(f"SELECT config_id, feature, {shown} {DRIFT_JOIN}", *drift_parts(spec))
+    return trial(configs, spec).query(f"SELECT config_id, feature, {shown} {DRIFT_JOIN}", *drift_parts(spec))
 
 
 PROFILE = projected(PEOPLE, settings=False)
@@ -518,7 +587,7 @@ ORACLE["correlation_long"] = people_query(
     ),
     PROFILE,
 )
-ORACLE["drift_welch"] = masked([NOISE, GENERAL]).query(
+ORACLE["drift_welch"] = trial([NOISE, GENERAL]).query(
     "SELECT config_id, feature, "
     + ", ".join(
         f"{r(c)} AS {c}"
@@ -537,10 +606,10 @@ ORACLE["drift_orders"] = drift_sql([ORDERS_NOISE, ORDERS_GENERAL], DRIFT_COLUMNS
 
 # --- privacy ---------------------------------------------------------------------------------------
 
-ORACLE["equivalence_classes"] = masked([GENERAL]).query(
+ORACLE["equivalence_classes"] = trial([GENERAL]).query(
     "SELECT m_x_label AS m_age_label, m_c AS m_gender, m_f_label AS m_income_label, count(*)::BIGINT AS class_size FROM masked GROUP BY 1, 2, 3"
 )
-ORACLE["class_size_per_record"] = masked([GENERAL]).query(
+ORACLE["class_size_per_record"] = trial([GENERAL]).query(
     "SELECT row_id, (count(*) OVER (PARTITION BY m_x_label, m_c, m_f_label))::BIGINT AS class_size FROM masked"
 )
 
@@ -556,8 +625,8 @@ def class_parts(columns: str = "m_x, m_c, m_f") -> list[str]:
 
 CLASS_SELECT = f"""SELECT config_id, k AS k_anonymity, {r("avg_size")} AS average_equivalence_class_size,
   {r("risk")} AS reidentification_risk FROM summary JOIN reid USING (config_id)"""
-ORACLE["k_anonymity_generalized"] = masked([GENERAL]).query(CLASS_SELECT, *class_parts())
-ORACLE["k_anonymity_by_education"] = masked([GENERAL]).query(CLASS_SELECT, *class_parts("m_x, m_c, education"))
+ORACLE["k_anonymity_generalized"] = trial([GENERAL]).query(CLASS_SELECT, *class_parts())
+ORACLE["k_anonymity_by_education"] = trial([GENERAL]).query(CLASS_SELECT, *class_parts("m_x, m_c, education"))
 
 DISCLOSURE = """disclosure AS (
   SELECT config_id, (greatest(least(1 - avg(abs(o_x - m_x)) / greatest(max(o_x) - min(o_x), 1e-9), 1), 0)
@@ -579,15 +648,15 @@ def privacy_parts() -> list[str]:
     return [*class_parts(), DISCLOSURE, PRIVACY]
 
 
-ORACLE["disclosure_risk"] = masked(SIX).query(f"SELECT config_id, {r('dis')} AS attribute_disclosure_risk FROM disclosure", DISCLOSURE)
-ORACLE["privacy_score"] = masked(SIX).query(PRIVACY_SELECT, *privacy_parts())
-ORACLE["privacy_without_identifiers"] = masked([NOISE, GENERAL]).query(
+ORACLE["disclosure_risk"] = trial(SIX).query(f"SELECT config_id, {r('dis')} AS attribute_disclosure_risk FROM disclosure", DISCLOSURE)
+ORACLE["privacy_score"] = trial(SIX).query(PRIVACY_SELECT, *privacy_parts())
+ORACLE["privacy_without_identifiers"] = trial([NOISE, GENERAL]).query(
     """SELECT DISTINCT config_id, 0::DOUBLE AS k_anonymity, 0::DOUBLE AS average_equivalence_class_size, 1::DOUBLE AS reidentification_risk,
        1::DOUBLE AS attribute_disclosure_risk, 1::DOUBLE AS membership_inference_risk, 1::DOUBLE AS information_leakage,
        0::DOUBLE AS privacy_score, 1::DOUBLE AS privacy_loss FROM masked"""
 )
-ORACLE["sweep_privacy"] = masked(default_grid()).query(PRIVACY_SELECT, *privacy_parts())
-ORACLE["sweep_searched_settings"] = masked(searched_settings()).query(PRIVACY_SELECT, *privacy_parts())
+ORACLE["sweep_privacy"] = trial(default_grid()).query(PRIVACY_SELECT, *privacy_parts())
+ORACLE["sweep_searched_settings"] = trial(searched_settings()).query(PRIVACY_SELECT, *privacy_parts())
 
 # --- utility ---------------------------------------------------------------------------------------
 
@@ -631,15 +700,15 @@ def fidelity_parts() -> list[str]:
     ]
 
 
-ORACLE["matrix_preservation"] = masked(SIX).query(
+ORACLE["matrix_preservation"] = trial(SIX).query(
     f"SELECT config_id, {r('correlation_preservation')} AS correlation_preservation, {r('covariance_preservation')} AS covariance_preservation FROM fidelity",
     *fidelity_parts(),
 )
-ORACLE["statistical_similarity"] = masked(SIX).query(
+ORACLE["statistical_similarity"] = trial(SIX).query(
     f"SELECT config_id, {r('statistical_similarity')} AS statistical_similarity FROM similarity",
     projected(PEOPLE), side_moments(PEOPLE), SIMILARITY,
 )
-ORACLE["information_loss"] = masked(SIX).query(
+ORACLE["information_loss"] = trial(SIX).query(
     f"SELECT config_id, {r('information_loss')} AS information_loss FROM loss", projected(PEOPLE), LOSS
 )
 
@@ -651,7 +720,7 @@ FIDELITY_COLUMNS = (
     "correlation_preservation", "covariance_preservation", "statistical_similarity", "information_loss",
     "mean_ks_statistic", "mean_kl_divergence", "mean_wasserstein_distance", "mean_variance_preservation",
 )
-ORACLE["sweep_fidelity"] = masked(default_grid()).query(
+ORACLE["sweep_fidelity"] = trial(default_grid()).query(
     "SELECT config_id, " + ", ".join(f"{r(c)} AS {c}" for c in FIDELITY_COLUMNS) + " FROM fidelity JOIN means USING (config_id)",
     *fidelity_parts(), points(PEOPLE), MOMENT_DRIFT, DISTANCES, DIVERGENCE, DRIFT_MEANS,
 )
@@ -775,11 +844,11 @@ UTILITY_COLUMNS = (
 PRIVACY_RENAMED = PRIVACY.replace("scored AS (", "private AS (")
 OBJECTIVE = f"utility_score - (1 - score) + {WEIGHT * 0.10!r}::DOUBLE * (1 - abs(score - utility_score))"
 
-ORACLE["utility_score"] = masked([NOISE, GENERAL]).query(
+ORACLE["utility_score"] = trial([NOISE, GENERAL]).query(
     "SELECT config_id, " + ", ".join(f"{r(c)} AS {c}" for c in UTILITY_COLUMNS) + f", {r('1 - utility_score')} AS utility_loss FROM useful",
     *fidelity_parts(), SPLIT, SCORED, QUALITY, UTILITY,
 )
-ORACLE["objective_score"] = masked([NOISE, GENERAL]).query(
+ORACLE["objective_score"] = trial([NOISE, GENERAL]).query(
     f"SELECT config_id, round({OBJECTIVE}, 4) AS objective_score FROM useful JOIN private USING (config_id)",
     *fidelity_parts(), SPLIT, SCORED, QUALITY, UTILITY, *class_parts(), DISCLOSURE, PRIVACY_RENAMED,
 )
@@ -804,7 +873,7 @@ placed AS (SELECT *, row_number() OVER (ORDER BY objective_score DESC, config_id
 
 
 def screened(body: str) -> str:
-    return masked(ANCHORS).query(
+    return trial(ANCHORS).query(
         body, *fidelity_parts(), RETAINED, UTILITY, *class_parts(), DISCLOSURE, PRIVACY_RENAMED, label_cte(ANCHORS), RESULTS
     )
 
@@ -852,14 +921,14 @@ ORACLE["report_mean_scores"] = people_query(
     SPLIT, SCORED, comparison(MODEL_METRICS),
 )
 _ROW_LOCAL = [c for c in default_grid() if c.method != "hybrid"]
-ORACLE["report_loss_by_method"] = masked(_ROW_LOCAL).query(
+ORACLE["report_loss_by_method"] = trial(_ROW_LOCAL).query(
     f"""SELECT method, count(*)::BIGINT AS settings, {r("min(information_loss)")} AS lowest,
         {r("quantile_cont(information_loss, 0.25)")} AS lower_quartile, {r("quantile_cont(information_loss, 0.5)")} AS median,
         {r("quantile_cont(information_loss, 0.75)")} AS upper_quartile, {r("max(information_loss)")} AS highest
         FROM loss JOIN settings USING (config_id) GROUP BY method""",
     projected(PEOPLE), LOSS, label_cte(_ROW_LOCAL),
 )
-ORACLE["report_drift_metrics"] = masked([GENERAL]).query(
+ORACLE["report_drift_metrics"] = trial([GENERAL]).query(
     " UNION ALL ".join(
         f"SELECT feature, '{c}' AS metric, {r(f'coalesce({c}, 0::DOUBLE)')} AS value {DRIFT_JOIN}"
         for c in ("ks_statistic", "kl_divergence", "variance_preservation")

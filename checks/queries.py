@@ -24,7 +24,7 @@ from checks.settings import (
     SWAP_BUCKETS,
     WEIGHT,
 )
-from veilframe.functions.draws import Draws
+from veilframe.functions.draws import TRIAL, Draws
 from veilframe.functions.numeric import range_midpoint, rounded
 from veilframe.operators import drift, features, masks, moments, privacy, scoring, utility
 from veilframe.operators.clean import binary_target, cap_rows, clean_people, income_flag, person_cells, share_rows
@@ -230,7 +230,7 @@ def mask_orders_generalize(spark, sf):
 @query
 def mask_many_settings(spark, sf):
     """All six masks in one frame, summed up per setting."""
-    frame = masks.evaluate_masks(people(spark, sf), PEOPLE, SIX)
+    frame = masks.evaluate_masks(people(spark, sf), PEOPLE, SIX, TRIAL)
     return tidy(
         frame.groupBy("config_id").agg(
             F.count(F.lit(1)).alias("n"),
@@ -269,7 +269,7 @@ def correlation_long(spark, sf):
 
 
 def drift_of(df: DataFrame, spec: MaskSpec, configs: Sequence[MaskingConfig]) -> DataFrame:
-    frame = masks.evaluate_masks(df, spec, configs)
+    frame = masks.evaluate_masks(df, spec, configs, TRIAL)
     return drift.drift_table(masks.wide(df, spec), frame, spec)
 
 
@@ -280,7 +280,7 @@ def drift_columns(df: DataFrame, spec: MaskSpec, configs: Sequence[MaskingConfig
 @query
 def drift_welch(spark, sf):
     df = people(spark, sf)
-    frame = masks.evaluate_masks(df, PEOPLE, [NOISE, GENERAL])
+    frame = masks.evaluate_masks(df, PEOPLE, [NOISE, GENERAL], TRIAL)
     before = moments.moments(moments.original_cube(masks.wide(df, PEOPLE), PEOPLE), PEOPLE).drop("config_id")
     after = moments.moments(moments.masked_cube(frame, PEOPLE), PEOPLE)
     return tidy(drift.moment_drift(before, after))
@@ -316,21 +316,21 @@ def drift_orders(spark, sf):
 
 @query
 def equivalence_classes(spark, sf):
-    frame = masks.evaluate_masks(people(spark, sf), PEOPLE, [GENERAL])
+    frame = masks.evaluate_masks(people(spark, sf), PEOPLE, [GENERAL], TRIAL)
     classes = privacy.equivalence_classes(frame, ["m_age_label", "m_gender", "m_income_label"])
     return classes
 
 
 @query
 def class_size_per_record(spark, sf):
-    frame = masks.evaluate_masks(people(spark, sf), PEOPLE, [GENERAL])
+    frame = masks.evaluate_masks(people(spark, sf), PEOPLE, [GENERAL], TRIAL)
     sized = privacy.class_size_per_record(frame, ["m_age_label", "m_gender", "m_income_label"])
     return sized.select("row_id", "class_size")
 
 
 @query
 def k_anonymity_generalized(spark, sf):
-    frame = masks.evaluate_masks(people(spark, sf), PEOPLE, [GENERAL])
+    frame = masks.evaluate_masks(people(spark, sf), PEOPLE, [GENERAL], TRIAL)
     classes = privacy.equivalence_classes(frame, privacy.masked_identifiers(PEOPLE), ["config_id"])
     return tidy(privacy.class_summary(classes, ["config_id"]))
 
@@ -338,25 +338,25 @@ def k_anonymity_generalized(spark, sf):
 @query
 def k_anonymity_by_education(spark, sf):
     """Identifiers may include carried columns."""
-    frame = masks.evaluate_masks(people(spark, sf), PEOPLE, [GENERAL])
+    frame = masks.evaluate_masks(people(spark, sf), PEOPLE, [GENERAL], TRIAL)
     columns = privacy.masked_identifiers(PEOPLE, ["age", "gender", "education"])
     return tidy(privacy.class_summary(privacy.equivalence_classes(frame, columns, ["config_id"]), ["config_id"]))
 
 
 @query
 def disclosure_risk(spark, sf):
-    frame = masks.evaluate_masks(people(spark, sf), PEOPLE, SIX)
+    frame = masks.evaluate_masks(people(spark, sf), PEOPLE, SIX, TRIAL)
     return tidy(privacy.disclosure_risk(moments.masked_cube(frame, PEOPLE), PEOPLE))
 
 
 @query
 def privacy_score(spark, sf):
-    return tidy(privacy.privacy_metrics(masks.evaluate_masks(people(spark, sf), PEOPLE, SIX), PEOPLE))
+    return tidy(privacy.privacy_metrics(masks.evaluate_masks(people(spark, sf), PEOPLE, SIX, TRIAL), PEOPLE))
 
 
 @query
 def privacy_without_identifiers(spark, sf):
-    return tidy(privacy.privacy_metrics(masks.evaluate_masks(people(spark, sf), PEOPLE, [NOISE, GENERAL]), PEOPLE, []))
+    return tidy(privacy.privacy_metrics(masks.evaluate_masks(people(spark, sf), PEOPLE, [NOISE, GENERAL], TRIAL), PEOPLE, []))
 
 
 # --- utility -----------------------------------------------------------------------------------
@@ -364,7 +364,7 @@ def privacy_without_identifiers(spark, sf):
 
 def cubes(spark: SparkSession, sf: str, configs: Sequence[MaskingConfig]) -> tuple[DataFrame, DataFrame]:
     df = people(spark, sf)
-    frame = masks.evaluate_masks(df, PEOPLE, configs)
+    frame = masks.evaluate_masks(df, PEOPLE, configs, TRIAL)
     return moments.original_cube(masks.wide(df, PEOPLE), PEOPLE), moments.masked_cube(frame, PEOPLE)
 
 
@@ -418,7 +418,7 @@ def utility_score(spark, sf):
 @query
 def objective_score(spark, sf):
     df = people(spark, sf)
-    frame = masks.evaluate_masks(df, PEOPLE, [NOISE, GENERAL])
+    frame = masks.evaluate_masks(df, PEOPLE, [NOISE, GENERAL], TRIAL)
     score = privacy.privacy_metrics(frame, PEOPLE).select("config_id", "privacy_score")
     useful = utility_score(spark, sf).select("config_id", "utility_score")
     value = utility.objective(F.col("privacy_score"), F.col("utility_score"), WEIGHT)
@@ -500,7 +500,7 @@ SCREEN = SweepOptions(models=None, privacy_weight=WEIGHT, configs_per_job=32)
 
 @query
 def sweep_privacy(spark, sf):
-    frame = masks.evaluate_masks(people(spark, sf), PEOPLE, default_grid())
+    frame = masks.evaluate_masks(people(spark, sf), PEOPLE, default_grid(), TRIAL)
     return tidy(privacy.privacy_metrics(frame, PEOPLE))
 
 
@@ -508,7 +508,7 @@ def sweep_privacy(spark, sf):
 def sweep_searched_settings(spark, sf):
     """Random picks with anchors, and crossover children, without repeats."""
     configs = searched_settings()
-    frame = masks.evaluate_masks(people(spark, sf), PEOPLE, configs)
+    frame = masks.evaluate_masks(people(spark, sf), PEOPLE, configs, TRIAL)
     return tidy(privacy.privacy_metrics(frame, PEOPLE))
 
 
@@ -630,7 +630,7 @@ def report_mean_scores(spark, sf):
 def report_loss_by_method(spark, sf):
     prepared = prepare(people(spark, sf), PEOPLE)
     configs = [c for c in default_grid() if c.method != "hybrid"]
-    losses = utility.information_loss(moments.masked_cube(masks.evaluate_masks(prepared.table, PEOPLE, configs), PEOPLE), PEOPLE)
+    losses = utility.information_loss(moments.masked_cube(masks.evaluate_masks(prepared.table, PEOPLE, configs, TRIAL), PEOPLE), PEOPLE)
     methods = F.create_map(*[F.lit(v) for i, c in enumerate(configs) for v in (i, c.method)])
     return tidy(report.loss_by_method(losses.withColumn("method", methods[F.col("config_id")])))
 

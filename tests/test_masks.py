@@ -120,8 +120,7 @@ def test_randomized_response_outside_the_pair(spark):
 @pytest.mark.parametrize("kind", ["sha256", "xxhash64"])
 def test_draws_are_uniform_and_noise_has_its_scale(spark, kind):
     draws = Draws(7, kind)
-    token = draws.token("k", "s", F.col("id"))
-    u = spark.range(50000).select(*[draws.uniform(token, i).alias(f"u{i}") for i in range(4)])
+    u = spark.range(50000).select(*[draws.uniform("k", "s", F.col("id"), i).alias(f"u{i}") for i in range(4)])
     z1, z2 = gaussian_pair(F.col("u0"), F.col("u1"))
     row = u.select(
         F.avg("u0").alias("mean"), F.min("u0").alias("low"), F.max("u0").alias("high"),
@@ -138,6 +137,7 @@ def test_draws_are_uniform_and_noise_has_its_scale(spark, kind):
 def test_fast_draws_mask_too(crowd):
     frame = evaluate_masks(crowd, SPEC, ALL, Draws(1, "xxhash64"))
     assert frame.count() == 6 * crowd.count()
+    assert rows(evaluate_masks(crowd.repartition(7), SPEC, ALL, Draws(1, "xxhash64"))) == rows(frame)
     other = evaluate_masks(crowd, SPEC, [NOISE], Draws(2, "xxhash64"))
     assert rows(other) != rows(frame.where("config_id = 0"))
 

@@ -221,7 +221,7 @@ def test_cut_points_equal_sorting(spark, bucket_rows):
     draws = Draws(5)
     df = spark.range(1000).select(
         F.col("id").alias("row_id"), (F.col("id") % 3).alias("k"),
-        F.round(draws.uniform(draws.token("a", "b", F.col("id")), 0), 2).alias("u"),
+        F.round(draws.uniform("a", "b", F.col("id")), 2).alias("u"),
     )
     limits = {0: [1, 100, 334], 1: [50], 2: [0, 5000]}
     found = cut_points(df, "k", "u", "row_id", limits, 334, bucket_rows)

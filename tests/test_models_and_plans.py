@@ -145,8 +145,8 @@ def test_whole_run(spark, crowd, tmp_path, masked_format):
     assert table.count() == 1000 and table.select("row_id").distinct().count() == 1000
     quick = ModelOptions(models=("Logistic Regression",), tune=False, cross_validate=False, **TINY)
     out = str(tmp_path / "out")
-    options = SweepOptions(privacy_weight=0.55, models=quick, draws=Draws("secret"))
-    done = run(table, out, SPEC, options, quick, [NOISE, GENERAL], trials=2, masked_format=masked_format)
+    options = SweepOptions(privacy_weight=0.55, models=quick)
+    done = run(table, out, SPEC, options, quick, [NOISE, GENERAL], trials=2, masked_format=masked_format, draws=Draws("secret"))
     assert done.masked.count() == 1000
     written = {p.name for p in (tmp_path / "out").iterdir()}
     assert {

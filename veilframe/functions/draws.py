@@ -1,28 +1,32 @@
 """Keyed random draws.
 
-A draw is a deterministic expression of ``(seed, setting, stage, row id, lane)``.
-Rows have no position in Spark, so tying a draw to the row id is what makes a mask
-independent of partitioning, safe under task retries and repeatable in another engine.
+A draw is a deterministic expression of ``(seed, setting, stage, row id, lane)``. Rows have
+no position in Spark, so tying a draw to the row id is what makes a mask independent of
+partitioning, safe under task retries and repeatable in another engine.
 
-``sha256`` is the default: with a secret seed nobody can recompute the noise of a
-released table, and any SQL engine can check it. ``xxhash64`` is about twenty times
-cheaper per draw and meant for trial sweeps whose masked rows are never published.
+``sha256`` is for tables that are released: with a secret seed nobody can recompute the
+noise. ``xxhash64`` costs a few nanoseconds instead of a microsecond and is for trials, such
+as a sweep over settings, whose masked rows never leave the cluster.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.functions.numeric import as_column
-
 LANES = 4
 HEX_DIGITS = 13
 RESOLUTION = float(2**52)
 
 
+def key_number(text: str) -> int:
+    """Non-negative 60-bit number of a text."""
+    return int(hashlib.sha256(text.encode()).hexdigest()[:15], 16)
+
+
 @dataclass(frozen=True)
 class Draws:
     """Source of uniform draws in the open interval (0, 1)."""
@@ -34,22 +38,44 @@ class Draws:
         if self.kind not in ("sha256", "xxhash64"):
             raise ValueError(f"unknown draw kind: {self.kind}")
 
-    def token(self, key: Column | str, stage: Column | str, row_id: Column) -> Column:
-        """One hashable value per (setting, stage, row); every lane is read from it."""
-        parts = (F.lit(str(self.seed)), as_column(key), as_column(stage), row_id.cast("string"))
-        if self.kind == "sha256":
-            return F.sha2(F.concat_ws(":", *parts), 256)
-        return F.xxhash64(*parts)
+    def key_column(self, key: str | Column) -> Column:
+        """What identifies a setting: a text for sha256, its number for xxhash64."""
+        if isinstance(key, Column):
+            return key
+        return F.lit(key) if self.kind == "sha256" else F.lit(key_number(key)).cast("bigint")
 
-    def uniform(self, token: Column, lane: int) -> Column:
+    def _token(self, key: str | Column, stage: str, row_id: Column) -> Column:
+        parts = (F.lit(str(self.seed)), self.key_column(key), F.lit(stage), row_id.cast("string"))
+        return F.sha2(F.concat_ws(":", *parts), 256)
+
+    def _read(self, token: Column, lane: int) -> Column:
+        digits = F.substring(token, 1 + HEX_DIGITS * lane, HEX_DIGITS)
+        return self._share(F.conv(digits, 16, 10).cast("bigint"))
+
+    def _share(self, bits: Column) -> Column:
+        return (bits.cast("double") + F.lit(0.5)) / F.lit(RESOLUTION)
+
+    def _hashed(self, key: str | Column, stage: str, row_id: Column, lane: int) -> Column:
+        place = F.lit(key_number(f"{self.seed}:{stage}:{lane}")).cast("bigint")
+        return self._share(F.shiftrightunsigned(F.xxhash64(place, self.key_column(key), row_id), 12))
+
+    def uniform(self, key: str | Column, stage: str, row_id: Column, lane: int = 0) -> Column:
+        """One draw per row."""
         if not 0 <= lane < LANES:
             raise ValueError(f"lane must be in 0..{LANES - 1}")
         if self.kind == "sha256":
-            digits = F.substring(token, 1 + HEX_DIGITS * lane, HEX_DIGITS)
-            bits = F.conv(digits, 16, 10).cast("bigint")
-        else:
-            bits = F.shiftrightunsigned(F.xxhash64(token, F.lit(lane)), 12)
-        return (bits.cast("double") + F.lit(0.5)) / F.lit(RESOLUTION)
+            return self._read(self._token(key, stage, row_id), lane)
+        return self._hashed(key, stage, row_id, lane)
+
+    def add(self, df: DataFrame, key: str | Column, stage: str, row_id: Column) -> DataFrame:
+        """Four draws per row as ``__u0..__u3``; sha256 reads all of them from one hash."""
+        if self.kind == "xxhash64":
+            return df.withColumns({f"__u{i}": self._hashed(key, stage, row_id, i) for i in range(LANES)})
+        hashed = df.withColumn("__token", self._token(key, stage, row_id))
+        return hashed.withColumns({f"__u{i}": self._read(F.col("__token"), i) for i in range(LANES)}).drop("__token")
+
+
+TRIAL = Draws(kind="xxhash64")
 
 
 def gaussian_pair(u1: Column, u2: Column) -> tuple[Column, Column]:

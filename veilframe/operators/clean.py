@@ -105,8 +105,7 @@ def cap_rows(df: DataFrame, limit: int, spec: MaskSpec, draws: Draws, rows: int
         return df
     if limit <= 0:
         return df.limit(0)
-    token = draws.token("cap", "cap", F.col(spec.row_id))
-    drawn = df.withColumns({"__u": draws.uniform(token, 0), "__all": F.lit(0)})
+    drawn = df.withColumns({"__u": draws.uniform("cap", "cap", F.col(spec.row_id)), "__all": F.lit(0)})
     cut = cut_points(drawn, "__all", "__u", spec.row_id, {0: [limit]}, rows)[(0, limit)]
     kept = up_to(F.col("__u"), F.col(spec.row_id), F.lit(cut[0]), F.lit(cut[1]))
     return drawn.where(kept).drop("__u", "__all")
@@ -114,5 +113,4 @@ def cap_rows(df: DataFrame, limit: int, spec: MaskSpec, draws: Draws, rows: int
 
 def share_rows(df: DataFrame, share: float, spec: MaskSpec, draws: Draws) -> DataFrame:
     """About ``share`` of the rows by a filter alone, for tables too large to rank."""
-    token = draws.token("cap", "cap", F.col(spec.row_id))
-    return df.where(draws.uniform(token, 0) < F.lit(float(share)))
+    return df.where(draws.uniform("cap", "cap", F.col(spec.row_id)) < F.lit(float(share)))

@@ -50,7 +50,7 @@ def feature_names(model: PipelineModel, numbers: Sequence[str], texts: Sequence[
 
 def add_split(df: DataFrame, draws: Draws, row_id: str = "row_id") -> DataFrame:
     """``part`` by a keyed draw: 60/20/20 in expectation within every label, no shuffle."""
-    u = draws.uniform(draws.token("models", "split", F.col(row_id)), 0)
+    u = draws.uniform("models", "split", F.col(row_id))
     first, second = F.lit(TRAIN_SHARE), F.lit(TRAIN_SHARE + VALIDATION_SHARE)
     part = F.when(u < first, PARTS[0]).when(u < second, PARTS[1]).otherwise(PARTS[2])
     return df.withColumn("part", part)
@@ -59,7 +59,7 @@ def add_split(df: DataFrame, draws: Draws, row_id: str = "row_id") -> DataFrame:
 def add_exact_split(df: DataFrame, draws: Draws, label: str = "label", row_id: str = "row_id") -> DataFrame:
     """``part`` with exact shares within every label (half-even rounding of the cuts)."""
     sizes = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
-    drawn = df.withColumn("__u", draws.uniform(draws.token("models", "split", F.col(row_id)), 0))
+    drawn = df.withColumn("__u", draws.uniform("models", "split", F.col(row_id)))
     limits = {
         value: (round(size * TRAIN_SHARE), round(size * (TRAIN_SHARE + VALIDATION_SHARE)))
         for value, size in sizes.items()
@@ -80,7 +80,7 @@ def add_exact_split(df: DataFrame, draws: Draws, label: str = "label", row_id: s
 
 
 def add_fold(df: DataFrame, draws: Draws, folds: int, row_id: str = "row_id") -> DataFrame:
-    u = draws.uniform(draws.token("models", "fold", F.col(row_id)), 0)
+    u = draws.uniform("models", "fold", F.col(row_id))
     return df.withColumn("fold", F.floor(u * F.lit(float(folds))).cast("int"))
 
 

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.functions.draws import Draws, gaussian_pair, laplace
+from veilframe.functions.draws import Draws, gaussian_pair, key_number, laplace
 from veilframe.operators.ranking import BUCKET_ROWS, bucket_count, cut_points, draw_bucket, up_to
 from veilframe.session import settle
 from veilframe.spec import GENERALIZED, METHODS, PERTURBED, SUPPRESSED, MaskingConfig, MaskSpec
@@ -118,6 +118,7 @@ def setting_values(config_id: int, config: MaskingConfig, spec: MaskSpec, facts:
     return {
         "config_id": config_id,
         "key": config.key(),
+        "key_number": key_number(config.key()),
         "method": config.method,
         "noise_std": float(config.noise_std),
         "suppress_p": float(config.gender_mask_probability),
@@ -140,7 +141,7 @@ def setting_values(config_id: int, config: MaskingConfig, spec: MaskSpec, facts:
 
 
 SETTING_TYPE = (
-    "config_id int, key string, method string, noise_std double, suppress_p double, width bigint, "
+    "config_id int, key string, key_number bigint, method string, noise_std double, suppress_p double, width bigint, "
     "generalize_p double, number_scale double, flag_scale double, epsilon double, strength double, "
     "number_sd double, flip_p double, perturb_p double, swap_n bigint, swap_p double, swap_u double, "
     "left string, right string, swap_id "
@@ -188,10 +189,9 @@ def _set(df: DataFrame, spec: MaskSpec, number: Column, flag: Column, category:
     return df.withColumns(values) if values else df
 
 
-def _with_draws(df: DataFrame, draws: Draws, stage: Column | str) -> DataFrame:
-    """Four uniforms ``__u0..__u3`` of this stage, all read from one hash of the row id."""
-    token = df.withColumn("__token", draws.token(F.col("cfg.key"), stage, F.col("row_id")))
-    return token.withColumns({f"__u{i}": draws.uniform(F.col("__token"), i) for i in range(4)}).drop("__token")
+def _with_draws(df: DataFrame, draws: Draws, stage: str) -> DataFrame:
+    key = "key" if draws.kind == "sha256" else "key_number"
+    return draws.add(df, F.col(f"cfg.{key}"), stage, F.col("row_id"))
 
 
 def _without_draws(df: DataFrame) -> DataFrame:

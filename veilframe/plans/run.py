@@ -64,8 +64,12 @@ def run(
     configs: list[MaskingConfig] | None = None,
     trials: int = RUN_TRIALS,
     masked_format: str = "parquet",
+    draws: Draws | None = None,
 ) -> RunResult:
-    """Run everything on a clean table and write all outputs under ``out``."""
+    """Run everything on a clean table and write all outputs under ``out``.
+
+    ``draws`` mask the released table; give them a secret seed when it is published.
+    """
     spec = spec or MaskSpec()
     sweep_options = sweep_options or SweepOptions(privacy_weight=RUN_PRIVACY_WEIGHT)
     models = model_options or ModelOptions()
@@ -79,7 +83,7 @@ def run(
     write_report(results.orderBy(F.desc("objective_score"), "config_id"), f"{out}/optimization_results")
 
     config = best_config(results)
-    frame = evaluate_masks(people, spec, [config], sweep_options.draws)
+    frame = evaluate_masks(people, spec, [config], draws)
     write_rows(released(frame, spec, config), f"{out}/best_masked_dataset", masked_format)
     masked = (
         people.sparkSession.read.option("header", True).csv(f"{out}/best_masked_dataset")
@@ -116,8 +120,7 @@ def main() -> None:
     options = parser.parse_args()
     spark = SparkSession.builder.appName("veilframe").getOrCreate()
     people = load(spark, options.input, options.row_id, options.limit)
-    sweep_options = SweepOptions(privacy_weight=RUN_PRIVACY_WEIGHT, draws=Draws(options.seed))
-    result = run(people, options.output, sweep_options=sweep_options)
+    result = run(people, options.output, draws=Draws(options.seed))
     result.summary.show(truncate=False, vertical=True)
 
 

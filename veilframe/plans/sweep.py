@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import inheritable_thread_target
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.functions.draws import Draws
+from veilframe.functions.draws import TRIAL, Draws
 from veilframe.operators.drift import DEFAULT_BUCKETS, drift_table, mean_drift, spec_edges
 from veilframe.operators.masks import TableFacts, evaluate_masks, release, table_facts, wide
 from veilframe.operators.models import FAST, ModelOptions, evaluate_models, unmasked
@@ -54,14 +54,15 @@ class SweepOptions:
     """How a sweep runs.
 
     ``models`` set to None screens settings without training: the model terms of the utility
-    then count as fully retained, the same for every setting.
+    then count as fully retained, the same for every setting. Trials use the cheap draws;
+    the winner is masked again with the draws of the release.
     """
 
     privacy_weight: float = DEFAULT_PRIVACY_WEIGHT
     configs_per_job: int = 16
     models: ModelOptions | None = FAST
     model_threads: int = 2
-    draws: Draws = field(default_factory=Draws)
+    draws: Draws = TRIAL
     identifiers: tuple[str, ...] | None = None
 
 
@@ -226,8 +227,8 @@ def _config(row: T.Row) -> MaskingConfig:
 
 
 def best_release(
-    df: DataFrame, spec: MaskSpec, results: DataFrame, options: SweepOptions | None = None
+    df: DataFrame, spec: MaskSpec, results: DataFrame, draws: Draws | None = None
 ) -> tuple[DataFrame, MaskingConfig]:
     """The winner's masked table; no other setting is ever materialised."""
     config = best_config(results)
-    return release(df, spec, config, (options or SweepOptions()).draws), config
+    return release(df, spec, config, draws), config
