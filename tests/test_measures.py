@@ -102,6 +102,20 @@ def test_moments_equal_pandas(crowd):
         assert row["correlation"] == pytest.approx(correlation.loc[row["feature_a"], row["feature_b"]], abs=1e-12)
 
 
+def test_large_cubes_get_the_same_codes(crowd, monkeypatch):
+    frame = evaluate_masks(crowd, SPEC, [NOISE, GENERAL])
+
+    def results():
+        cube = moments.masked_cube(frame, SPEC)
+        cells = moments.matrices(cube, SPEC).orderBy("config_id", "feature_a", "feature_b").toPandas()
+        return cells["covariance"], utility.information_loss(cube, SPEC).orderBy("config_id").toPandas()["information_loss"]
+
+    small = results()
+    monkeypatch.setattr(moments, "SMALL_CUBE", 0)
+    for a, b in zip(small, results(), strict=True):
+        assert a.to_numpy() == pytest.approx(b.to_numpy(), abs=1e-9)
+
+
 def test_constant_column_has_zero_correlation(spark):
     df = people_rows(spark, [(40, "Male", i % 2) for i in range(10)])
     _, cells = moments.profile(df, SPEC)

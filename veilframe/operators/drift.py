@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.numeric import clip01, normal_p_value, safe_ratio
-from veilframe.operators.moments import masked_cube, moments, original_cube, with_codes
+from veilframe.operators.moments import masked_cube, moments, original_cube
 from veilframe.session import settle
 from veilframe.spec import MaskSpec
 
@@ -119,7 +119,7 @@ def code_points(cube: DataFrame, spec: MaskSpec) -> DataFrame:
         point(spec.category, f"{spec.category}_code", None, "n"),
         *[point(c, f"{c}_code", "n", "n") for c in spec.carried],
     ]
-    return with_codes(cube, spec).select("config_id", F.explode(F.array(*points)).alias("p")).select("config_id", "p.*")
+    return cube.select("config_id", F.explode(F.array(*points)).alias("p")).select("config_id", "p.*")
 
 
 def kl_bin(value: Column, low: Column, high: Column, bins: int = KL_BINS) -> Column:
@@ -313,7 +313,7 @@ def drift_table(
 
     ``original`` is the wide frame without settings, ``frame`` the one with masked columns.
     """
-    old_cube, new_cube = cubes or (settle(original_cube(original, spec)), settle(masked_cube(frame, spec)))
+    old_cube, new_cube = cubes or (original_cube(original, spec), masked_cube(frame, spec))
     before, after = settle(moments(old_cube, spec).drop("config_id")), settle(moments(new_cube, spec))
     edges = edges or spec_edges(original, spec)
     bounds = pooled_bounds(before, after)

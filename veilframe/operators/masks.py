@@ -34,7 +34,10 @@ NUMBER, FLAG, CATEGORY = "__number", "__flag", "__category"
 
 @dataclass(frozen=True)
 class TableFacts:
-    """What the masks must know about a table; one small row, computed once per table."""
+    """What the masks must know about a table; one small row, computed once per table.
+
+    ``categories`` is the number of distinct categories, 3 standing for any larger number.
+    """
 
     rows: int
     numeric_std: float
@@ -52,47 +55,35 @@ class TableFacts:
 
 
 def table_facts(df: DataFrame, spec: MaskSpec) -> TableFacts:
-    """Row count, spread and categories in one pass; medians and mode only if cells are missing."""
-    number, flag = F.col(spec.numeric).cast("double"), F.col(spec.flag).cast("double")
-    per_category = df.groupBy(F.col(spec.category).alias("category")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count(number).alias("n_number"),
-        F.count(flag).alias("n_flag"),
-        F.avg(number).alias("mean"),
-        F.var_pop(number).alias("var"),
-    )
-    # One row per category value: the windows below run over a dictionary, not over the table.
-    everything = Window.partitionBy(F.lit(0))
-    centre = F.sum(F.col("n_number") * F.col("mean")).over(everything) / F.nullif(
-        F.sum("n_number").over(everything), F.lit(0)
-    )
-    gap = F.col("mean") - centre
-    groups = (
-        per_category.withColumn("squares", F.col("n_number") * (F.col("var") + gap * gap))
-        .agg(
-            F.sum("n").alias("rows"),
-            F.sum("n_number").alias("numbers"),
-            F.sum("n_flag").alias("flags"),
-            F.sum("squares").alias("squares"),
-            F.count("category").alias("categories"),
-            F.min("category").alias("first"),
-            F.max("category").alias("last"),
-        )
-        .first()
-    )
-    rows, numbers = groups["rows"] or 0, groups["numbers"] or 0
-    spread = (groups["squares"] / (numbers - 1)) ** 0.5 if numbers > 1 else 0.0
+    """Row count, spread and categories without a shuffle; medians and mode only if cells are missing.
+
+    A third category lies strictly between the smallest and the largest one, so one existence
+    check, which stops at the first hit, tells two categories from more.
+    """
+    number, flag, category = F.col(spec.numeric).cast("double"), F.col(spec.flag).cast("double"), F.col(spec.category)
+    found = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count(number).alias("numbers"),
+        F.count(flag).alias("flags"),
+        F.stddev_samp(number).alias("spread"),
+        F.min(category).alias("first"),
+        F.max(category).alias("last"),
+    ).first()
+    rows, first, last = found["rows"], found["first"], found["last"]
+    categories = 0 if first is None else 1 if first == last else 2
+    if categories == 2 and df.where((category > first) & (category < last)).limit(1).count():
+        categories = 3
     fills: dict[str, float | None] = {}
-    if rows > numbers or rows > (groups["flags"] or 0):
+    if rows > found["numbers"] or rows > found["flags"]:
         median = F.median if rows <= 10_000_000 else lambda c: F.percentile_approx(c, 0.5, 100_000)
-        found = df.agg(median(number).alias("a"), F.mode(number, True).alias("b"), median(flag).alias("c")).first()
+        middle = df.agg(median(number).alias("number"), F.mode(number, True).alias("mode"), median(flag).alias("flag")).first()
         default = spec.numeric_default
         fills = {
-            "numeric_fill": default if found["a"] is None else found["a"],
-            "numeric_mode": default if found["b"] is None else found["b"],
-            "flag_fill": 0.0 if found["c"] is None else found["c"],
+            "numeric_fill": default if middle["number"] is None else middle["number"],
+            "numeric_mode": default if middle["mode"] is None else middle["mode"],
+            "flag_fill": 0.0 if middle["flag"] is None else middle["flag"],
         }
-    return TableFacts(rows, spread, groups["categories"], groups["first"], groups["last"], **fills)
+    return TableFacts(rows, found["spread"] or 0.0, categories, first, last, **fills)
 
 
 # --- settings as columns ---------------------------------------------------------------

@@ -1,6 +1,6 @@
 """Moments, covariance and correlation from one map-side-combined pass.
 
-The rows are grouped by their category values only. Each group keeps its size and the
+The rows are grouped by their category values only (the "cube"). Each group keeps its size and the
 mean, variance and covariance of the two numbers, which is all that the table-wide
 moments of every feature need: category codes are constant inside a group. So codes need
 no dictionary pass and no join against the rows, and what is shuffled grows with the
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.operators.project import as_text
+from veilframe.operators.ranking import number_rows
+from veilframe.session import settle_counted
 from veilframe.spec import MaskSpec
 
 ALL_ROWS = "config_id"
@@ -43,14 +45,14 @@ def original_cube(frame: DataFrame, spec: MaskSpec) -> DataFrame:
     """Category groups of the original side; ``frame`` is a wide frame without settings."""
     keys = [as_text(F.col(f"o_{spec.category}")).alias(spec.category), *[as_text(F.col(c)).alias(c) for c in spec.carried]]
     number, flag = _number(f"o_{spec.numeric}"), _number(f"o_{spec.flag}")
-    return frame.groupBy(F.lit(-1).alias(ALL_ROWS), *keys).agg(*_group_values(number, flag))
+    return _settled(frame.groupBy(F.lit(-1).alias(ALL_ROWS), *keys).agg(*_group_values(number, flag)), spec)
 
 
 def masked_cube(frame: DataFrame, spec: MaskSpec) -> DataFrame:
     """Category groups of the masked side per setting, with the distance to the original."""
     number, flag = _number(f"m_{spec.numeric}"), _number(f"m_{spec.flag}")
     old_number, old_flag = _number(f"o_{spec.numeric}"), _number(f"o_{spec.flag}")
-    return frame.groupBy(
+    cube = frame.groupBy(
         ALL_ROWS,
         as_text(F.col(f"o_{spec.category}")).alias("old_category"),
         as_text(F.col(f"m_{spec.category}")).alias(spec.category),
@@ -64,6 +66,7 @@ def masked_cube(frame: DataFrame, spec: MaskSpec) -> DataFrame:
         F.min(old_flag).alias("old_flag_min"),
         F.max(old_flag).alias("old_flag_max"),
     )
+    return _settled(cube, spec)
 
 
 def table_cube(df: DataFrame, spec: MaskSpec) -> DataFrame:
@@ -77,19 +80,32 @@ def table_cube(df: DataFrame, spec: MaskSpec) -> DataFrame:
     return original_cube(renamed, spec)
 
 
-def with_codes(cube: DataFrame, spec: MaskSpec) -> DataFrame:
-    """Position of each text among the sorted distinct texts of its own table and setting.
+SMALL_CUBE = 200_000
 
-    The window runs over category combinations (a few hundred rows per setting).
-    """
-    def position(column: str) -> Column:
-        order = Window.partitionBy(ALL_ROWS).orderBy(column)
-        return (F.dense_rank().over(order) - 1).cast("double")
 
-    codes = {f"{c}_code": position(c) for c in spec.texts}
+def _settled(cube: DataFrame, spec: MaskSpec) -> DataFrame:
+    """The cube, kept once, with the code of every text.
+
+    A code is the position among the sorted distinct texts of the same table and setting. A
+    small cube (the usual few hundred rows per setting) ranks them in a window. A larger one,
+    with category columns of many values, numbers its distinct texts across partitions.
+    """
+    columns = {f"{c}_code": c for c in spec.texts}
     if "old_category" in cube.columns:
-        codes["old_code"] = position("old_category")
-    return cube.withColumns(codes)
+        columns["old_code"] = "old_category"
+    kept, rows = settle_counted(cube)
+    if rows <= SMALL_CUBE:
+        order = {code: Window.partitionBy(ALL_ROWS).orderBy(c) for code, c in columns.items()}
+        return kept.withColumns({code: (F.dense_rank().over(w) - 1).cast("double") for code, w in order.items()})
+    for code, column in columns.items():
+        values = kept.select(ALL_ROWS, column).distinct()
+        numbered = number_rows(values.orderBy(ALL_ROWS, column), "__place")
+        first = numbered.groupBy(ALL_ROWS).agg(F.min("__place").alias("__first"))  # one row per setting
+        codes = numbered.join(F.broadcast(first), ALL_ROWS).select(
+            ALL_ROWS, column, (F.col("__place") - F.col("__first")).cast("double").alias(code)
+        )
+        kept = kept.join(codes, [ALL_ROWS, column])
+    return kept
 
 
 def _group_mean(spec: MaskSpec, feature: str) -> str:
@@ -119,14 +135,10 @@ def moments_wide(cube: DataFrame, spec: MaskSpec) -> DataFrame:
     when a feature is constant.
     """
     features = list(enumerate(spec.features))
-    centred = with_codes(cube, spec).selectExpr(
-        "*",
-        *[
-            f"sum(n * {_group_mean(spec, f)}) OVER (PARTITION BY {ALL_ROWS}) / sum(n) OVER (PARTITION BY {ALL_ROWS})"
-            f" AS mean_{i}"
-            for i, f in features
-        ],
+    means = cube.groupBy(ALL_ROWS).agg(
+        *[F.expr(f"sum(n * {_group_mean(spec, f)}) / sum(n)").alias(f"mean_{i}") for i, f in features]
     )
+    centred = cube.join(F.broadcast(means), ALL_ROWS)  # one row per setting
     pairs = [(i, j, a, b) for (i, a), (j, b) in combinations_with_replacement(features, 2)]
     sums = centred.groupBy(ALL_ROWS).agg(
         F.expr("sum(n)").alias("n"),

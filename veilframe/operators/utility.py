@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.numeric import clip01, safe_ratio
-from veilframe.operators.moments import matrices_long, moments_long, moments_wide, with_codes
+from veilframe.operators.moments import matrices_long, moments_long, moments_wide
 from veilframe.session import settle
 from veilframe.spec import MaskSpec
 
@@ -76,7 +76,6 @@ def information_loss(cube: DataFrame, spec: MaskSpec) -> DataFrame:
     Text columns count twice: by the distance of their codes and by changed cells. Carried
     texts never change, so both of their terms are 0, but they still count in the mean.
     """
-    coded = with_codes(cube, spec)
     rows = F.sum("n")
 
     def distance(gap: Column, low: Column, high: Column) -> Column:
@@ -90,7 +89,7 @@ def information_loss(cube: DataFrame, spec: MaskSpec) -> DataFrame:
         F.sum(F.when(F.col("old_category") != F.col(spec.category), F.col("n")).otherwise(F.lit(0))) / rows,
     ]
     count = len(spec.features) + len(spec.texts)
-    return coded.groupBy("config_id").agg(
+    return cube.groupBy("config_id").agg(
         clip01(_sum(terms) / F.lit(float(count))).alias("information_loss")
     )
 

@@ -81,7 +81,7 @@ def prepare(df: DataFrame, spec: MaskSpec) -> Prepared:
     facts = table_facts(df, spec)
     original = wide(df, spec)
     buckets = max(DEFAULT_BUCKETS, min(MOST_BUCKETS, facts.rows // ROWS_PER_BUCKET))
-    return Prepared(df, original, settle(original_cube(original, spec)), facts, spec_edges(original, spec, buckets))
+    return Prepared(df, original, original_cube(original, spec), facts, spec_edges(original, spec, buckets))
 
 
 def measure(
@@ -89,7 +89,7 @@ def measure(
 ) -> DataFrame:
     """Privacy, preservation and mean drift of every setting, one row each."""
     frame = evaluate_masks(prepared.table, spec, configs, options.draws, prepared.facts, first_id)
-    cube = settle(masked_cube(frame, spec))
+    cube = masked_cube(frame, spec)
     drift = drift_table(prepared.original, frame, spec, prepared.edges, (prepared.cube, cube))
     return (
         privacy_metrics(frame, spec, options.identifiers, cube)

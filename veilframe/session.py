@@ -49,8 +49,8 @@ def shared_table_path(spark: SparkSession, name: str) -> str:
 SMALL_RESULT = 200_000
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Checkpoint a summary that several later steps read.
+def settle_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Checkpoint a summary that several later steps read, and count it.
 
     The pass over the rows then runs once, and a lost executor cannot make it run again.
     When the summary turns out small, it is kept in one partition, so the windows and joins
@@ -58,4 +58,9 @@ def settle(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     kept = df.checkpoint()
-    return kept.coalesce(1) if kept.count() <= SMALL_RESULT else kept
+    rows = kept.count()
+    return (kept.coalesce(1) if rows <= SMALL_RESULT else kept), rows
+
+
+def settle(df: DataFrame) -> DataFrame:
+    return settle_counted(df)[0]
