@@ -137,6 +137,16 @@ def test_csv_reading(spark, tmp_path):
         first_existing(spark, [str(tmp_path / "nothing.csv")])
 
 
+def test_repeated_keys_are_refused(spark, crowd, tmp_path):
+    once, twice = str(tmp_path / "once.parquet"), str(tmp_path / "twice.parquet")
+    keyed = crowd.select(F.col("row_id").alias("id"), *[F.col(c).alias(c.title()) for c in crowd.columns[1:]])
+    keyed.write.parquet(once)
+    keyed.unionByName(keyed.limit(1)).write.parquet(twice)
+    assert load(spark, once, "id").count() == crowd.count()
+    with pytest.raises(ValueError, match="id is not unique"):
+        load(spark, twice, "id")
+
+
 @pytest.mark.parametrize("masked_format", ["parquet", "csv"])
 def test_whole_run(spark, crowd, tmp_path, masked_format):
     source = str(tmp_path / "people.csv")

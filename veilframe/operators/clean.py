@@ -94,6 +94,11 @@ def binary_target(column: Column) -> Column:
     return (F.coalesce(to_number(column), F.lit(0.0)) >= F.lit(INCOME_CUT)).cast("int")
 
 
+def repeated_ids(df: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """Row ids that occur more than once; rows that share an id would share their noise."""
+    return df.groupBy(row_id).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+
+
 def cap_rows(df: DataFrame, limit: int, spec: MaskSpec, draws: Draws, rows: int | None = None) -> DataFrame:
     """Exactly ``limit`` rows without replacement (all rows when there are fewer).
 

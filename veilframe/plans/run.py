@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions.draws import Draws
-from veilframe.operators.clean import cap_rows, clean_people
+from veilframe.operators.clean import cap_rows, clean_people, repeated_ids
 from veilframe.operators.drift import drift_table
 from veilframe.operators.masks import evaluate_masks, released, wide
 from veilframe.operators.models import ModelOptions, evaluate_models, unmasked
@@ -35,11 +35,16 @@ class RunResult:
 
 
 def load(spark: SparkSession, path: str, row_id: str | None = None, limit: int | None = None) -> DataFrame:
-    """Clean person table from a file, or from the first known file of a folder."""
+    """Clean person table from a file, or from the first known file of a folder.
+
+    A key that is not unique is refused; without a key the rows are numbered.
+    """
     raw = read_table(spark, path) if path.rstrip("/").lower().endswith((".csv", ".parquet")) else read_people(spark, path)
     keyed = raw.withColumnRenamed(row_id, "row_id") if row_id else raw
     if "row_id" not in keyed.columns:
         keyed = number_rows(keyed)
+    elif repeated_ids(keyed).limit(1).count():
+        raise ValueError(f"{row_id or 'row_id'} is not unique")
     people = clean_people(keyed)
     return people if limit is None else cap_rows(people, limit, MaskSpec(), Draws())
 
