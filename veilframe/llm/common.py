@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int
     n = len(column)
     if not n:
         return
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    lengths = np.asarray(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
     group = np.cumsum(lengths, dtype=np.int64) // size
     cuts = np.flatnonzero(np.diff(group)) + 1
     edges = [0, *cuts.tolist(), n]
@@ -120,7 +121,7 @@ class Words:
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a text column (null as empty) and where each row begins."""
-    column = pa.compute.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column.cast(pa.large_string()), "")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
