@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import sentencepiece_codec
-from veilframe.llm.common import read
+from veilframe.llm import decontam, language_id, licenses, near_dedup, pii, quality, sentencepiece_codec, sharding, toxicity, url_filter
+from veilframe.llm.common import crc32_mod, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,7 +19,67 @@ def query(function):
     return function
 
 
+PIECE_MODEL = "piece_bpe_32k.model"
+URL_RULES = (
+    url_filter.Rule("org/", True),
+    url_filter.Rule("example.org/es/", False),
+    url_filter.Rule("example.org/en/1", False),
+    url_filter.Rule("com/fr/", True),
+    url_filter.Rule("com/de/", False),
+)
+
+
 @query
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    return sentencepiece_codec.round_trip_digests(read(spark, sf_dir, "documents"), model)
+    return sentencepiece_codec.round_trip_digests(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
+
+
+@query
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_personal_data(read(spark, sf_dir, "documents")))
+
+
+@query
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_groups(read(spark, sf_dir, "documents"), percent=85)
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(read(spark, sf_dir, "documents"))
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = crc32_mod("doc_id", 4) == 2
+    model = language_id.fit(docs, ~held_out)
+    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = crc32_mod("doc_id", 3) == 1
+    model = toxicity.fit(*toxicity.fit_sample(docs, read(spark, sf_dir, "labels"), ~held_out))
+    return toxicity.toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(licenses.scan_licenses(read(spark, sf_dir, "documents")))
+
+
+@query
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read(spark, sf_dir, "documents"))
