@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,25 +24,21 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make a local one only in local mode."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that ``spark.checkpoint.dir`` names; a folder in the warehouse where it is unset.
+
+    Driver and executors share both, so a lost executor costs no checkpoint.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="veilframe-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not context.getCheckpointDir():
+        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+    return context.getCheckpointDir().rstrip("/")
 
 
 def shared_table_path(spark: SparkSession, name: str) -> str:
     """Folder for a table this application writes to cut lineage, beside its checkpoints."""
-    ensure_checkpoint_dir(spark)
-    context = spark.sparkContext
-    return f"{context.getCheckpointDir().rstrip('/')}/{context.applicationId}-{name}"
+    return f"{ensure_checkpoint_dir(spark)}/{spark.sparkContext.applicationId}-{name}"
 
 
 SMALL_RESULT = 200_000
