@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import decontam, near_dedup, pii, sentencepiece_codec, toxicity
-from veilframe.llm.common import read, shared_folder
+from veilframe.llm.common import read
 from veilframe.llm.queries import PIECE_MODEL
+from veilframe.session import ensure_checkpoint_dir
 
 PERCENT = 85  # similarity at which documents count as near copies
 
@@ -60,7 +61,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")

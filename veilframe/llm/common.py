@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.session import ensure_checkpoint_dir
+
 SLICE_BYTES = 1 << 20  # texts are worked on in slices of about this size, so a task's memory stays flat
 
 
@@ -18,20 +20,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; driver and executors share it."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir().rstrip("/")
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder."""
-    shared_folder(df.sparkSession)
+    """Cut lineage in the folder that driver and executors share."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 

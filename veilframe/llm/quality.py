@@ -22,11 +22,11 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
 # Transformed statistics, and the deviation below which a difference is of no account.
-FLOORS = {"length": 0.25, "symbols": 0.5, "lines": 0.5, "repeats": 0.5}
+FLOORS = {"length": 0.25, "symbols": 0.5, "lines": 0.5, "repeats": 1.0}
 SUBSET_PERCENT = 75  # of a group's texts that an estimate rests on
 STEPS = 3
 MIN_GROUP = 50  # texts; smaller groups are estimated together, per language and then over all
-MAX_DISTANCE = 60.0  # squared
+MAX_DISTANCE = 20.0  # squared; the chi-square distribution of four sound statistics passes it once in 2,000
 
 
 def _repeat_words(words: str, hashes: str, ordered: str) -> Column:
@@ -45,11 +45,14 @@ def _repeat_words(words: str, hashes: str, ordered: str) -> Column:
 
 
 def text_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", group: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """_key, _g1, _g2, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of every row; a null text counts as empty."""
+    """_key, _g1 and _g2 (never null), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of every row.
+
+    A null text counts as empty.
+    """
     words = F.filter(F.split("_text", SPACE), lambda w: w != "")
     rows = docs.select(
         docs[key].alias("_key"),
-        *[docs[g].cast("string").alias(f"_g{k + 1}") for k, g in enumerate(group)],
+        *[F.coalesce(F.concat(F.lit("="), docs[g].cast("string")), F.lit("null")).alias(f"_g{k + 1}") for k, g in enumerate(group)],
         F.coalesce(docs[text], F.lit("")).alias("_text"),
     )
     keep = ["_key", *[f"_g{k + 1}" for k in range(len(group))]]
@@ -97,13 +100,6 @@ PAIRS = tuple(combinations_with_replacement(range(len(NAMES)), 2))
 GROUP = ["_a", "_b"]
 
 
-def _same_group(left: DataFrame, right: DataFrame, *more: str) -> Column:
-    condition = F.lit(True)
-    for c in (*GROUP, *more):
-        condition = condition & left[c].eqNullSafe(right[c])
-    return condition
-
-
 def _factor(moments: DataFrame, extra: list[str]) -> DataFrame:
     """Lower triangle l_jk of the covariance's root, and the logarithm of the determinant."""
     covariance = {}
@@ -122,15 +118,13 @@ def _factor(moments: DataFrame, extra: list[str]) -> DataFrame:
 
 
 def _with_distance(rows: DataFrame, estimates: DataFrame, *more: str) -> DataFrame:
-    """Rows with the squared Mahalanobis distance from their group's estimate."""
-    joined = rows.join(estimates, _same_group(rows, estimates, *more), "left").select(
-        *[rows[c] for c in rows.columns], *[estimates[c] for c in estimates.columns if c not in (*GROUP, *more)]
-    )
+    """Rows with the squared Mahalanobis distance from their group's estimate, and its other columns."""
+    joined = rows.join(estimates, [*GROUP, *more], "left")
     for j in range(len(NAMES)):
         inner = sum((F.col(f"l_{j}{i}") * F.col(f"y_{i}") for i in range(j)), F.lit(0.0))
         joined = joined.withColumn(f"y_{j}", (F.col(f"x_{j}") - F.col(f"m_{j}") - inner) / F.col(f"l_{j}{j}"))
     distance = sum((F.col(f"y_{j}") * F.col(f"y_{j}") for j in range(len(NAMES))), F.lit(0.0))
-    return joined.select(*[joined[c] for c in rows.columns], distance.alias("distance"))
+    return joined.withColumn("distance", distance)
 
 
 def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -156,23 +150,16 @@ def robust_estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     estimates = checkpointed(_factor(first, by))
     starts = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     for _ in range(steps):
-        placed = _with_distance(starts, estimates, "start")
-        limits = placed.groupBy(*by).agg(F.percentile_approx("distance", SUBSET_PERCENT / 100, 1000).alias("limit"))
-        limits = checkpointed(limits.join(estimates, [limits[c].eqNullSafe(estimates[c]) for c in by]).select(*[limits[c] for c in by], "limit", *[
-            estimates[c] for c in estimates.columns if c not in by
-        ]))
-        near = _within(starts, limits, by)
+        limits = (
+            _with_distance(starts, estimates, "start")
+            .groupBy(*by)
+            .agg(F.percentile_approx("distance", SUBSET_PERCENT / 100, 1000).alias("limit"))
+        )
+        bounded = checkpointed(estimates.join(limits, by))
+        near = _with_distance(starts, bounded, "start").where("distance <= limit")
         estimates = checkpointed(_factor(_moments(near, by), by))
-    best = estimates.groupBy(*GROUP).agg(F.min(F.struct("log_det", "start")).alias("best"))
-    chosen = estimates.join(best, _same_group(estimates, best) & (estimates["start"] == F.col("best.start")))
-    return chosen.select(*[estimates[c] for c in estimates.columns if c not in ("start", "log_det")])
-
-
-def _within(rows: DataFrame, limits: DataFrame, by: list[str]) -> DataFrame:
-    """Rows no farther from the estimate than the group's limit."""
-    bounds = limits.select(*by, "limit")
-    placed = _with_distance(rows, limits.drop("limit"), "start")
-    return placed.join(bounds, [placed[c].eqNullSafe(bounds[c]) for c in by]).where("distance <= limit").select(*[placed[c] for c in rows.columns])
+    best = estimates.groupBy(*GROUP).agg(F.min_by("start", F.struct("log_det", "start")).alias("start"))
+    return estimates.join(best, by).drop("start", "log_det")
 
 
 def judge_quality(
@@ -197,18 +184,14 @@ def judge_quality(
     sound = rows.where("not base_failed")
     sizes = sound.groupBy("_g1", "_g2").agg(F.count(F.lit(1)).alias("size"))
     pooled = sizes.where(F.col("size") < min_group).groupBy("_g1").agg(F.sum("size").alias("pool"))
-    level = sizes.join(pooled, sizes["_g1"].eqNullSafe(pooled["_g1"]), "left").select(
-        sizes["_g1"],
-        sizes["_g2"],
-        F.when(F.col("size") >= min_group, 0).when(F.col("pool") >= min_group, 1).otherwise(2).alias("level"),
-    )
-    level = checkpointed(level)
-    grouped = rows.join(level, rows["_g1"].eqNullSafe(level["_g1"]) & rows["_g2"].eqNullSafe(level["_g2"]), "left").select(
-        *[rows[c] for c in rows.columns],
-        F.coalesce(level["level"], F.lit(2)).alias("level"),
+    level = F.when(F.col("size") >= min_group, 0).when(F.col("pool") >= min_group, 1).otherwise(2)
+    levels = checkpointed(sizes.join(pooled, "_g1", "left").select("_g1", "_g2", level.alias("level")))
+    grouped = checkpointed(
+        rows.join(levels, ["_g1", "_g2"], "left")
+        .withColumn("_a", F.when(F.col("level") <= 1, F.col("_g1")).otherwise(F.lit("*")))
+        .withColumn("_b", F.when(F.col("level") == 0, F.col("_g2")).otherwise(F.lit("*")))
+        .drop("_g1", "_g2", "level")
     )
-    name = lambda c, to: F.when(F.col("level") <= to, F.concat(F.lit("="), F.coalesce(F.col(c), F.lit("\0")))).otherwise(F.lit("*"))
-    grouped = checkpointed(grouped.withColumns({"_a": name("_g1", 1), "_b": name("_g2", 0)}).drop("_g1", "_g2", "level"))
     vectors = grouped.where("not base_failed").select(*GROUP, *[f"x_{j}" for j in range(len(NAMES))])
     enough = vectors.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_group).select(*GROUP)
     estimates = robust_estimates(vectors.join(enough, GROUP))

@@ -197,7 +197,7 @@ def judge_urls(
     """key, host, path, rule (text or null), verdict (allow or block), difference (per character).
 
     Examples to learn from: URLs whose host has one of ``rejected_words`` or that a block rule
-    fits are rejected ones, other URLs with an allow rule are accepted ones. A URL without host
+    fits are rejected ones, all others are accepted ones. A URL without host
     and path (null, empty, no ``://``) has difference 0 and is judged like any other. Rows are judged
     each by itself; a null key stays null. Other columns are not looked at.
     """
@@ -210,8 +210,8 @@ def judge_urls(
     spam = F.lit(False)
     for word in rejected_words:
         spam = spam | F.col("host").contains(word)
-    label = F.when(spam, False).otherwise(F.col("chosen.allow"))
-    model = fit(ruled.where("_url <> ''").select("_url", label.alias("_accept")).where("_accept is not null"))
+    label = ~spam & F.coalesce(F.col("chosen.allow"), F.lit(True))
+    model = fit(ruled.where("_url <> ''").select("_url", label.alias("_accept")))
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
