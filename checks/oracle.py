@@ -154,9 +154,10 @@ def shifted(value: str, by: int) -> str:
 class Masks:
     """CTEs that mask ``people`` under the columns x (number), f (flag) and c (category)."""
 
-    def __init__(self, spec: MaskSpec, source: str, kind: str = "sha256") -> None:
+    def __init__(self, spec: MaskSpec, source: str, kind: str = "sha256", missing: bool = False) -> None:
         self.spec = spec
         self.kind = kind
+        self.missing = missing
         s = spec
         carried = "".join(f", {c}" for c in s.carried)
         self.parts = [
@@ -209,9 +210,10 @@ class Masks:
         radius = "sqrt(-2::DOUBLE * ln(u0))"
         angle = "(2::DOUBLE * pi() * u1)"
         c = f"CASE WHEN u2 < {d(config.gender_mask_probability)} THEN 'Suppressed' ELSE c END" if category else "c"
+        x = self.clip(f"x + {std} * ({radius} * cos{angle})")
         return self.replace(
             self.draws(source, config, "noise"),
-            self.clip(f"x + {std} * ({radius} * cos{angle})"),
+            f"CASE WHEN x IS NULL THEN NULL ELSE {x} END" if self.missing else x,
             f"greatest(least(f + {std} / 10::DOUBLE * ({radius} * sin{angle}), 1::DOUBLE), 0::DOUBLE)",
             c,
         )
@@ -244,6 +246,8 @@ class Masks:
         s = config.perturbation_strength
         if s <= 0:
             return source
+        if self.missing:
+            source = self.add(f"SELECT * REPLACE (coalesce(x, (SELECT median(x) FROM {source})) AS x) FROM {source}")
         sd = f"(SELECT greatest(stddev_samp(x), 1::DOUBLE) * {d(s)} FROM {source})"
         return self.replace(
             self.draws(source, config, "feature_perturbation"),
@@ -339,8 +343,11 @@ def trial(configs: Sequence[MaskingConfig], spec: MaskSpec = PEOPLE) -> Masks:
 
 
 def masked_rows(config: MaskingConfig, spec: MaskSpec = PEOPLE, buckets: int | None = None) -> str:
-    s = spec
-    return masked([config], spec, buckets).query(
+    return masked([config], spec, buckets).query(masked_select(spec))
+
+
+def masked_select(s: MaskSpec) -> str:
+    return (
         f"SELECT row_id, {r('m_x')} AS m_{s.numeric}, m_x_label AS m_{s.numeric}_label, m_c AS m_{s.category},"
         f" {r('m_f')} AS m_{s.flag}, m_f_label AS m_{s.flag}_label FROM masked"
     )
@@ -452,6 +459,19 @@ for _name, _config in (("mask_suppress", NOISE), ("mask_randomized_response", LA
     ORACLE[_name] = masked([_config]).query(
         "SELECT o_c AS o_gender, m_c AS m_gender, count(*)::BIGINT AS n FROM masked GROUP BY o_c, m_c"
     )
+MISSING_CTE = PEOPLE_CTE.replace(
+    "people AS (SELECT row_id, age,", "people AS (SELECT row_id, CASE WHEN row_id % 3 <> 0 THEN age END AS age,"
+)
+
+
+def masked_missing(config: MaskingConfig) -> str:
+    made = Masks(PEOPLE, MISSING_CTE, missing=True)
+    made.mask(config, 0)
+    return made.query(masked_select(PEOPLE))
+
+
+ORACLE["mask_perturb_missing"] = masked_missing(PERTURB)
+ORACLE["mask_hybrid_missing"] = masked_missing(HYBRID)
 ORACLE["mask_many_settings"] = trial(SIX).query(
     f"""SELECT config_id, count(*)::BIGINT AS n, {r("avg(m_x)")} AS mean_age, {r("avg(m_f)")} AS mean_income,
        count(*) FILTER (WHERE m_c = o_c)::BIGINT AS same_gender, count(m_x_label)::BIGINT AS binned FROM masked GROUP BY config_id"""
@@ -639,6 +659,10 @@ PRIVACY = """priv AS (
 scored AS (
   SELECT *, greatest(least(0.30::DOUBLE * least(k / 10, 1) + 0.20::DOUBLE * least(avg_size / 25, 1) + 0.20::DOUBLE * (1 - risk)
     + 0.15::DOUBLE * (1 - dis) + 0.15::DOUBLE * (1 - leak), 1), 0) AS score FROM priv)"""
+# Of age and education only age is both masked and an identifier.
+DISCLOSURE_AGE = """disclosure AS (
+  SELECT config_id, greatest(least(1 - avg(abs(o_x - m_x)) / greatest(max(o_x) - min(o_x), 1e-9), 1), 0) AS dis
+  FROM masked GROUP BY config_id)"""
 PRIVACY_SELECT = f"""SELECT config_id, k AS k_anonymity, {r("avg_size")} AS average_equivalence_class_size,
   {r("risk")} AS reidentification_risk, {r("dis")} AS attribute_disclosure_risk, {r("member")} AS membership_inference_risk,
   {r("leak")} AS information_leakage, {r("score")} AS privacy_score, {r("1 - score")} AS privacy_loss FROM scored"""
@@ -650,6 +674,7 @@ def privacy_parts() -> list[str]:
 
 ORACLE["disclosure_risk"] = trial(SIX).query(f"SELECT config_id, {r('dis')} AS attribute_disclosure_risk FROM disclosure", DISCLOSURE)
 ORACLE["privacy_score"] = trial(SIX).query(PRIVACY_SELECT, *privacy_parts())
+ORACLE["privacy_score_by_education"] = trial(SIX).query(PRIVACY_SELECT, *class_parts("m_x, education"), DISCLOSURE_AGE, PRIVACY)
 ORACLE["privacy_without_identifiers"] = trial([NOISE, GENERAL]).query(
     """SELECT DISTINCT config_id, 0::DOUBLE AS k_anonymity, 0::DOUBLE AS average_equivalence_class_size, 1::DOUBLE AS reidentification_risk,
        1::DOUBLE AS attribute_disclosure_risk, 1::DOUBLE AS membership_inference_risk, 1::DOUBLE AS information_leakage,

@@ -160,6 +160,10 @@ def masked_rows(df: DataFrame, spec: MaskSpec, config: MaskingConfig) -> DataFra
     return masked_columns(masks.evaluate_masks(df, spec, [config]), spec)
 
 
+def people_missing_ages(spark: SparkSession, sf: str) -> DataFrame:
+    return people(spark, sf).withColumn("age", F.when(F.col("row_id") % 3 != 0, F.col("age")))
+
+
 def masked_columns(frame: DataFrame, spec: MaskSpec) -> DataFrame:
     m = [f"m_{spec.numeric}", f"m_{spec.numeric}_label", f"m_{spec.category}", f"m_{spec.flag}", f"m_{spec.flag}_label"]
     return tidy(frame.select("row_id", *m))
@@ -191,6 +195,16 @@ def mask_perturb(spark, sf):
     return masked_rows(people(spark, sf), PEOPLE, PERTURB)
 
 
+@query
+def mask_perturb_missing(spark, sf):
+    return masked_rows(people_missing_ages(spark, sf), PEOPLE, PERTURB)
+
+
+@query
+def mask_hybrid_missing(spark, sf):
+    return masked_rows(people_missing_ages(spark, sf), PEOPLE, HYBRID)
+
+
 @query
 def mask_generalize(spark, sf):
     return masked_rows(people(spark, sf), PEOPLE, GENERAL)
@@ -354,6 +368,13 @@ def privacy_score(spark, sf):
     return tidy(privacy.privacy_metrics(masks.evaluate_masks(people(spark, sf), PEOPLE, SIX, TRIAL), PEOPLE))
 
 
+@query
+def privacy_score_by_education(spark, sf):
+    """Education is an identifier but not masked, so age alone tells about disclosure."""
+    frame = masks.evaluate_masks(people(spark, sf), PEOPLE, SIX, TRIAL)
+    return tidy(privacy.privacy_metrics(frame, PEOPLE, ["age", "education"]))
+
+
 @query
 def privacy_without_identifiers(spark, sf):
     return tidy(privacy.privacy_metrics(masks.evaluate_masks(people(spark, sf), PEOPLE, [NOISE, GENERAL], TRIAL), PEOPLE, []))

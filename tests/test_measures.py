@@ -10,7 +10,7 @@ from veilframe.operators import drift, features, moments, privacy, scoring, util
 from veilframe.operators.clean import cap_rows, clean_people, resolve_headers
 from veilframe.operators.masks import evaluate_masks, wide
 from veilframe.operators.models import unmasked
-from veilframe.operators.project import add_category_code, project_numbers
+from veilframe.operators.project import add_category_code, project_numbers, text_codes
 from veilframe.operators.ranking import cut_points, number_rows
 
 SPEC = MaskSpec()
@@ -102,18 +102,11 @@ def test_moments_equal_pandas(crowd):
         assert row["correlation"] == pytest.approx(correlation.loc[row["feature_a"], row["feature_b"]], abs=1e-12)
 
 
-def test_large_cubes_get_the_same_codes(crowd, monkeypatch):
-    frame = evaluate_masks(crowd, SPEC, [NOISE, GENERAL])
-
-    def results():
-        cube = moments.masked_cube(frame, SPEC)
-        cells = moments.matrices(cube, SPEC).orderBy("config_id", "feature_a", "feature_b").toPandas()
-        return cells["covariance"], utility.information_loss(cube, SPEC).orderBy("config_id").toPandas()["information_loss"]
-
-    small = results()
-    monkeypatch.setattr(moments, "SMALL_CUBE", 0)
-    for a, b in zip(small, results(), strict=True):
-        assert a.to_numpy() == pytest.approx(b.to_numpy(), abs=1e-9)
+def test_codes_are_sorted_positions_across_prefix_buckets(spark):
+    texts = sorted({f"{a}{b}" for a in ("", "a", "ab", "abc", "é", "éa", "zz") for b in ("", "x", "xy", "abcd", "0")})
+    rows = spark.createDataFrame([(k, t) for k in (1, 2) for t in texts[k:]], "config_id int, text string").repartition(5)
+    found = {(r["config_id"], r["text"]): r["code"] for r in text_codes(rows, ["config_id"], "text", "code").collect()}
+    assert found == {(k, t): i for k in (1, 2) for i, t in enumerate(sorted(texts[k:], key=lambda t: t.encode()))}
 
 
 def test_constant_column_has_zero_correlation(spark):

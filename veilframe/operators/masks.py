@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.draws import Draws, gaussian_pair, key_number, laplace
-from veilframe.operators.ranking import BUCKET_ROWS, bucket_count, cut_points, draw_bucket, up_to
+from veilframe.operators.ranking import BUCKET_ROWS, bucket_count, cut_points, draw_bucket, exact_median, smallest_mode, up_to
 from veilframe.session import settle
 from veilframe.spec import GENERALIZED, METHODS, PERTURBED, SUPPRESSED, MaskingConfig, MaskSpec
 
@@ -36,6 +36,7 @@ NUMBER, FLAG, CATEGORY = "__number", "__flag", "__category"
 class TableFacts:
     """What the masks must know about a table; one small row, computed once per table.
 
+    ``numeric_std`` is the deviation once missing numbers are filled.
     ``categories`` is the number of distinct categories, 3 standing for any larger number.
     """
 
@@ -66,6 +67,7 @@ def table_facts(df: DataFrame, spec: MaskSpec) -> TableFacts:
         F.count(number).alias("numbers"),
         F.count(flag).alias("flags"),
         F.stddev_samp(number).alias("spread"),
+        F.avg(number).alias("mean"),
         F.min(category).alias("first"),
         F.max(category).alias("last"),
     ).first()
@@ -74,16 +76,30 @@ def table_facts(df: DataFrame, spec: MaskSpec) -> TableFacts:
     if categories == 2 and df.where((category > first) & (category < last)).limit(1).count():
         categories = 3
     fills: dict[str, float | None] = {}
+    spread = found["spread"] or 0.0
     if rows > found["numbers"] or rows > found["flags"]:
-        median = F.median if rows <= 10_000_000 else lambda c: F.percentile_approx(c, 0.5, 100_000)
-        middle = df.agg(median(number).alias("number"), F.mode(number, True).alias("mode"), median(flag).alias("flag")).first()
-        default = spec.numeric_default
-        fills = {
-            "numeric_fill": default if middle["number"] is None else middle["number"],
-            "numeric_mode": default if middle["mode"] is None else middle["mode"],
-            "flag_fill": 0.0 if middle["flag"] is None else middle["flag"],
-        }
-    return TableFacts(rows, found["spread"] or 0.0, categories, first, last, **fills)
+        fills = missing_fills(df, number, flag, spec)
+        spread = filled_spread(rows, found["numbers"], found["mean"], spread, fills["numeric_fill"])
+    return TableFacts(rows, spread, categories, first, last, **fills)
+
+
+def missing_fills(df: DataFrame, number: Column, flag: Column, spec: MaskSpec) -> dict[str, float]:
+    """What stands in for missing cells: the median, in bins the mode, else the defaults."""
+    middle, mode, level = exact_median(df, number), smallest_mode(df, number), exact_median(df, flag)
+    return {
+        "numeric_fill": spec.numeric_default if middle is None else middle,
+        "numeric_mode": spec.numeric_default if mode is None else mode,
+        "flag_fill": 0.0 if level is None else level,
+    }
+
+
+def filled_spread(rows: int, known: int, mean: float | None, spread: float, fill: float) -> float:
+    """Sample deviation of ``known`` numbers and ``rows - known`` copies of the fill."""
+    if rows < 2 or not known:
+        return 0.0
+    middle = (known * mean + (rows - known) * fill) / rows
+    squares = (known - 1) * spread**2 + known * (mean - middle) ** 2 + (rows - known) * (fill - middle) ** 2
+    return (squares / (rows - 1)) ** 0.5
 
 
 # --- settings as columns ---------------------------------------------------------------
@@ -128,6 +144,9 @@ def setting_values(config_id: int, config: MaskingConfig, spec: MaskSpec, facts:
         "swap_id": None,
         "left": left,
         "right": right,
+        "number_fill": facts.numeric_fill,
+        "number_mode": facts.numeric_mode,
+        "flag_fill": facts.flag_fill,
     }
 
 
@@ -135,7 +154,7 @@ SETTING_TYPE = (
     "config_id int, key string, key_number bigint, method string, noise_std double, suppress_p double, width bigint, "
     "generalize_p double, number_scale double, flag_scale double, epsilon double, strength double, "
     "number_sd double, flip_p double, perturb_p double, swap_n bigint, swap_p double, swap_u double, "
-    "left string, right string, swap_id "
+    "left string, right string, number_fill double, number_mode double, flag_fill double, swap_id "
 )
 
 
@@ -212,9 +231,9 @@ def noise_columns(spec: MaskSpec, category_too: bool = True) -> tuple[Column, Co
     return number, flag, category
 
 
-def perturb_columns(spec: MaskSpec, facts: TableFacts) -> tuple[Column, Column, Column]:
+def perturb_columns(spec: MaskSpec) -> tuple[Column, Column, Column]:
     z, _ = gaussian_pair(_u(0), _u(1))
-    old_number, old_flag = _filled(F.col(NUMBER), facts.numeric_fill), _filled(F.col(FLAG), facts.flag_fill)
+    old_number, old_flag = _filled(NUMBER, "number_fill"), _filled(FLAG, "flag_fill")
     active = _cfg("strength") > 0
     number = _bounded(old_number, _cfg("number_sd") * z, spec.lower, spec.upper)
     flag = F.when(_u(3) < _cfg("flip_p"), F.lit(1.0) - (old_flag >= 0.5).cast("double")).otherwise(old_flag)
@@ -234,11 +253,12 @@ def bin_midpoint(start: Column, width: Column) -> Column:
 
 
 def bin_label(start: Column, width: Column) -> Column:
-    return F.concat_ws("-", start.cast("string"), (start + width - 1).cast("string"))
+    """Text of a bin; null without a start."""
+    return F.concat(start.cast("string"), F.lit("-"), (start + width - 1).cast("string"))
 
 
-def generalize_columns(facts: TableFacts, category_too: bool = True) -> tuple[Column, Column, Column]:
-    start = bin_start(_filled(F.col(NUMBER), facts.numeric_mode), _cfg("width"))
+def generalize_columns(category_too: bool = True) -> tuple[Column, Column, Column]:
+    start = bin_start(_filled(NUMBER, "number_mode"), _cfg("width"))
     flag = (F.coalesce(F.col(FLAG), F.lit(0.0)) >= 0.5).cast("double")
     category = F.col(CATEGORY)
     if category_too:
@@ -258,8 +278,8 @@ def randomized_response(category: Column, left: Column, right: Column, epsilon:
     )
 
 
-def laplace_columns(spec: MaskSpec, facts: TableFacts) -> tuple[Column, Column, Column]:
-    old_number, old_flag = _filled(F.col(NUMBER), facts.numeric_fill), _filled(F.col(FLAG), facts.flag_fill)
+def laplace_columns(spec: MaskSpec) -> tuple[Column, Column, Column]:
+    old_number, old_flag = _filled(NUMBER, "number_fill"), _filled(FLAG, "flag_fill")
     number = _bounded(old_number, laplace(_u(0), _cfg("number_scale")), spec.lower, spec.upper)
     flag = _bounded(old_flag, laplace(_u(1), _cfg("flag_scale")), 0.0, 1.0)
     return number, flag, randomized_response(F.col(CATEGORY), _cfg("left"), _cfg("right"), _cfg("epsilon"))
@@ -270,8 +290,9 @@ def _bounded(old: Column, noise: Column, low: float, high: float) -> Column:
     return F.when(old.isNotNull(), F.greatest(F.least(old + noise, F.lit(high)), F.lit(low)))
 
 
-def _filled(column: Column, fill: float | None) -> Column:
-    return column if fill is None else F.coalesce(column, F.lit(fill))
+def _filled(column: str, fill: str) -> Column:
+    """A working column with the setting's fill for missing cells; the fill is null where none are missing."""
+    return F.coalesce(F.col(column), _cfg(fill))
 
 
 # --- swapping --------------------------------------------------------------------------
@@ -309,7 +330,7 @@ def _take_next(df: DataFrame, values: Sequence[str], buckets: int, across: bool)
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     moved = F.struct(*values)
     following = F.lead(moved).over(order)
-    if not across or buckets == 1:
+    if not across:
         taken = bucketed.withColumn("__in", F.coalesce(following, F.first(moved).over(whole)))
     else:
         heads = settle(
@@ -320,9 +341,9 @@ def _take_next(df: DataFrame, values: Sequence[str], buckets: int, across: bool)
         ring = Window.partitionBy("config_id").orderBy("__bucket")
         all_heads = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         next_head = F.coalesce(F.lead("__head").over(ring), F.first("__head").over(all_heads))
-        # heads: at most MAX_BUCKETS rows per setting.
+        # heads: one row per setting and bucket.
         heads = heads.select("config_id", "__bucket", next_head.alias("__next_head"))
-        taken = bucketed.withColumn("__following", following).join(F.broadcast(heads), ["config_id", "__bucket"])
+        taken = bucketed.withColumn("__following", following).join(heads, ["config_id", "__bucket"])
         taken = taken.withColumn("__in", F.coalesce(F.col("__following"), F.col("__next_head")))
     return taken.withColumns({v: F.col(f"__in.{v}") for v in values})
 
@@ -395,15 +416,15 @@ def _finish(df: DataFrame, spec: MaskSpec, method: str) -> DataFrame:
 
 
 def _row_local(
-    df: DataFrame, spec: MaskSpec, settings: list, draws: Draws, facts: TableFacts, method: str
+    df: DataFrame, spec: MaskSpec, settings: list, draws: Draws, method: str
 ) -> DataFrame:
     """Settings of one method that looks at one row at a time."""
     drawn = _with_draws(_start(df, spec, settings), draws, method)
     steps = {
         "noise": lambda: noise_columns(spec),
-        "generalization": lambda: generalize_columns(facts),
-        "differential_privacy": lambda: laplace_columns(spec, facts),
-        "feature_perturbation": lambda: perturb_columns(spec, facts),
+        "generalization": lambda: generalize_columns(),
+        "differential_privacy": lambda: laplace_columns(spec),
+        "feature_perturbation": lambda: perturb_columns(spec),
     }
     return _finish(_set(drawn, spec, *steps[method]()), spec, method)
 
@@ -420,9 +441,9 @@ def _hybrid(
 ) -> DataFrame:
     """Noise, swap, perturbation, generalisation without the category, then a Laplace release.
 
-    Two stage statistics are taken first, one small row per setting each, and then enter the
-    expressions as constants: the spread of the noised number (swapping does not change it)
-    and the categories that are present after perturbation.
+    Stage statistics are taken first, one small row per setting each, and then enter the
+    expressions as constants: the spread of the noised number, with its fills if cells are
+    missing (swapping changes neither), and the categories that are present after perturbation.
     """
 
     def noised(some: list) -> DataFrame:
@@ -432,11 +453,20 @@ def _hybrid(
     def perturbed(some: list) -> DataFrame:
         swapped = swap_rows(noised(some), spec, draws, some, bucket_rows)
         drawn = _with_draws(swapped, draws, "feature_perturbation")
-        return _without_draws(_set(drawn, spec, *perturb_columns(spec, facts)))
+        return _without_draws(_set(drawn, spec, *perturb_columns(spec)))
 
     settings = settle_swap_cuts(df, spec, settings, draws, facts.rows, bucket_rows)
+    if facts.numeric_fill is not None:
+        refilled = []
+        for s in settings:
+            fills = missing_fills(noised([s]), F.col(NUMBER), F.col(FLAG), spec)
+            refilled.append(
+                {**s, "number_fill": fills["numeric_fill"], "number_mode": fills["numeric_mode"], "flag_fill": fills["flag_fill"]}
+            )
+        settings = refilled
     if spec.is_sensitive(spec.numeric) and any(s["strength"] > 0 for s in settings):
-        spread = noised(settings).groupBy("config_id").agg(F.stddev_samp(NUMBER).alias("sd")).collect()
+        number = _filled(NUMBER, "number_fill")
+        spread = noised(settings).groupBy("config_id").agg(F.stddev_samp(number).alias("sd")).collect()
         by_id = {r["config_id"]: r["sd"] or 0.0 for r in spread}
         settings = [{**s, "number_sd": max(by_id.get(s["config_id"], 0.0), 1.0) * s["strength"]} for s in settings]
     active = [s for s in settings if s["strength"] > 0]
@@ -457,9 +487,9 @@ def _hybrid(
             else s
             for s in settings
         ]
-    binned = _set(perturbed(settings), spec, *generalize_columns(facts, category_too=False))
+    binned = _set(perturbed(settings), spec, *generalize_columns(category_too=False))
     final = _with_draws(binned, draws, "differential_privacy")
-    return _finish(_set(final, spec, *laplace_columns(spec, facts)), spec, "hybrid")
+    return _finish(_set(final, spec, *laplace_columns(spec)), spec, "hybrid")
 
 
 def evaluate_masks(
@@ -488,7 +518,7 @@ def evaluate_masks(
         elif method == "hybrid":
             parts.append(_hybrid(original, spec, some, draws, facts, bucket_rows))
         else:
-            parts.append(_row_local(original, spec, some, draws, facts, method))
+            parts.append(_row_local(original, spec, some, draws, method))
     frame = parts[0]
     for part in parts[1:]:
         frame = frame.unionByName(part)

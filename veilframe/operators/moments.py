@@ -11,12 +11,11 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.operators.project import as_text
-from veilframe.operators.ranking import number_rows
-from veilframe.session import settle_counted
+from veilframe.operators.project import as_text, text_codes
+from veilframe.session import settle
 from veilframe.spec import MaskSpec
 
 ALL_ROWS = "config_id"
@@ -80,32 +79,19 @@ def table_cube(df: DataFrame, spec: MaskSpec) -> DataFrame:
     return original_cube(renamed, spec)
 
 
-SMALL_CUBE = 200_000
-
-
 def _settled(cube: DataFrame, spec: MaskSpec) -> DataFrame:
     """The cube, kept once, with the code of every text.
 
-    A code is the position among the sorted distinct texts of the same table and setting. A
-    small cube (the usual few hundred rows per setting) ranks them in a window. A larger one,
-    with category columns of many values, numbers its distinct texts across partitions.
+    A code is the position among the sorted distinct texts of the same table and setting.
     """
     columns = {f"{c}_code": c for c in spec.texts}
     if "old_category" in cube.columns:
         columns["old_code"] = "old_category"
-    kept, rows = settle_counted(cube)
-    if rows <= SMALL_CUBE:
-        order = {code: Window.partitionBy(ALL_ROWS).orderBy(c) for code, c in columns.items()}
-        return kept.withColumns({code: (F.dense_rank().over(w) - 1).cast("double") for code, w in order.items()})
+    kept = coded = settle(cube)
     for code, column in columns.items():
-        values = kept.select(ALL_ROWS, column).distinct()
-        numbered = number_rows(values.orderBy(ALL_ROWS, column), "__place")
-        first = numbered.groupBy(ALL_ROWS).agg(F.min("__place").alias("__first"))  # one row per setting
-        codes = numbered.join(F.broadcast(first), ALL_ROWS).select(
-            ALL_ROWS, column, (F.col("__place") - F.col("__first")).cast("double").alias(code)
-        )
-        kept = kept.join(codes, [ALL_ROWS, column])
-    return kept
+        codes = text_codes(kept.select(ALL_ROWS, column).distinct(), [ALL_ROWS], column, code)
+        coded = coded.join(codes.withColumn(code, F.col(code).cast("double")), [ALL_ROWS, column])
+    return coded
 
 
 def _group_mean(spec: MaskSpec, feature: str) -> str:

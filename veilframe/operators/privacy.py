@@ -71,8 +71,12 @@ def class_summary(classes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def disclosure_risk(cube: DataFrame, spec: MaskSpec) -> DataFrame:
-    """How much the masked sensitive values still tell about the original ones."""
+def disclosure_risk(cube: DataFrame, spec: MaskSpec, identifiers: Sequence[str] | None = None) -> DataFrame:
+    """How much the masked sensitive values still tell about the original ones.
+
+    Only sensitive columns among the identifiers count; without one the risk is 1.
+    """
+    chosen = spec.quasi_identifiers if identifiers is None else identifiers
     rows = F.sum("n")
 
     def closeness(role: str) -> Column:
@@ -82,11 +86,11 @@ def disclosure_risk(cube: DataFrame, spec: MaskSpec) -> DataFrame:
 
     same = F.sum(F.when(F.col("old_category") == F.col(spec.category), F.col("n")).otherwise(F.lit(0))) / rows
     terms = []
-    if spec.is_sensitive(spec.numeric):
+    if spec.is_sensitive(spec.numeric) and spec.numeric in chosen:
         terms.append(closeness("number"))
-    if spec.is_sensitive(spec.flag):
+    if spec.is_sensitive(spec.flag) and spec.flag in chosen:
         terms.append(closeness("flag"))
-    if spec.is_sensitive(spec.category):
+    if spec.is_sensitive(spec.category) and spec.category in chosen:
         terms.append(same)
     total = F.lit(0.0)
     for term in terms:
@@ -146,5 +150,5 @@ def privacy_metrics(
     if not columns:
         return worst_case(frame)
     summary = class_summary(equivalence_classes(frame, columns, ["config_id"]), ["config_id"])
-    risk = disclosure_risk(masked_cube(frame, spec) if cube is None else cube, spec)
+    risk = disclosure_risk(masked_cube(frame, spec) if cube is None else cube, spec, identifiers)
     return privacy_score(summary.join(risk, "config_id")).select("config_id", *PRIVACY_COLUMNS)

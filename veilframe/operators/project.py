@@ -8,38 +8,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.numeric import level_to_number, range_midpoint, to_number
-from veilframe.operators.ranking import number_rows
+from veilframe.operators.ranking import bucket_starts, exact_median
 from veilframe.spec import MaskSpec
 
-SMALL_DICTIONARY = 100_000
+PREFIX = 3  # first characters of a text that choose its bucket
 NULL_TEXT = "nan"
+NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
 def as_text(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(NULL_TEXT))
 
 
-def number_or_midpoint(column: Column) -> Column:
+def is_numeric(df: DataFrame, column: str) -> bool:
+    return dict(df.dtypes)[column].startswith(NUMERIC_TYPES)
+
+
+def number_of(df: DataFrame, column: str) -> Column:
+    """A column's numbers; only texts are parsed. Unreadable text and NaN become null."""
+    if is_numeric(df, column):
+        value = F.col(column).cast("double")
+        return F.when(~F.isnan(value), value)
+    return to_number(F.col(column))
+
+
+def number_or_midpoint(df: DataFrame, column: str) -> Column:
     """A range text gives its midpoint, anything else its number, else null."""
-    return F.coalesce(range_midpoint(column), to_number(column))
+    number = number_of(df, column)
+    return number if is_numeric(df, column) else F.coalesce(range_midpoint(F.col(column)), number)
 
 
-def category_dictionary(df: DataFrame, column: str, small: int = SMALL_DICTIONARY) -> DataFrame:
-    """Distinct texts of a column with their sorted position from 0.
+def text_codes(values: DataFrame, keys: Sequence[str], column: str, code: str) -> DataFrame:
+    """Distinct ``keys`` and texts with the text's sorted position, from 0, among those of the same keys.
 
-    A small dictionary is ranked by one window over its own rows. Beyond ``small`` values
-    the distinct texts are range-sorted and numbered across partitions instead.
+    Texts are ranked within the bucket of their first characters, and the texts of earlier
+    buckets are counted: the same at any number of texts, and no window holds them all.
     """
-    values = df.select(as_text(F.col(column)).alias("value")).distinct()
-    if values.limit(small + 1).count() <= small:
-        order = Window.partitionBy(F.lit(0)).orderBy("value")
-        return values.select("value", (F.row_number().over(order) - 1).cast("bigint").alias("code"))
-    return number_rows(values.orderBy("value"), "code").select("value", "code")
+    placed = values.withColumn("__prefix", F.substring(column, 1, PREFIX))
+    starts = bucket_starts(placed, keys, "__prefix").select(*keys, "__prefix", "__start")
+    order = Window.partitionBy(*keys, "__prefix").orderBy(column)
+    ranked = placed.withColumn("__place", F.row_number().over(order) - 1).join(starts, [*keys, "__prefix"])
+    return ranked.select(*keys, column, (F.col("__start") + F.col("__place")).cast("bigint").alias(code))
+
+
+def category_dictionary(df: DataFrame, column: str) -> DataFrame:
+    """Distinct texts of a column with their sorted position from 0."""
+    return text_codes(df.select(as_text(F.col(column)).alias("value")).distinct(), [], "value", "code")
 
 
-def add_category_code(df: DataFrame, column: str, name: str, small: int = SMALL_DICTIONARY) -> DataFrame:
+def add_category_code(df: DataFrame, column: str, name: str) -> DataFrame:
     """Code of each text in the table's own dictionary; Spark picks the join by its size."""
-    codes = category_dictionary(df, column, small).select(
+    codes = category_dictionary(df, column).select(
         F.col("value").alias("__value"), F.col("code").cast("double").alias(name)
     )
     return df.join(codes, as_text(F.col(column)) == F.col("__value"), "left").drop("__value")
@@ -51,16 +70,15 @@ def project_numbers(df: DataFrame, spec: MaskSpec, keep: Sequence[str] = ()) ->
     When any flag cell is not a number, the whole flag column is read as low/high levels
     and its remaining numbers become 0.
     """
-    unreadable = df.agg(F.bool_or(to_number(F.col(spec.flag)).isNull()).alias("any_text")).scalar()
-    flag = F.when(F.coalesce(unreadable, F.lit(False)), level_to_number(F.col(spec.flag))).otherwise(
-        to_number(F.col(spec.flag))
-    )
+    flag = number_of(df, spec.flag)
+    unreadable = df.agg(F.bool_or(flag.isNull()).alias("any_text")).scalar()
+    flag = F.when(F.coalesce(unreadable, F.lit(False)), level_to_number(F.col(spec.flag))).otherwise(flag)
     coded = df
     for column in spec.texts:
         coded = add_category_code(coded, column, f"{column}_code")
     return coded.select(
         *keep,
-        F.coalesce(number_or_midpoint(F.col(spec.numeric)), F.lit(0.0)).alias(spec.numeric),
+        F.coalesce(number_or_midpoint(df, spec.numeric), F.lit(0.0)).alias(spec.numeric),
         F.coalesce(flag, F.lit(0.0)).alias(spec.flag),
         *[F.coalesce(F.col(f"{c}_code"), F.lit(0.0)).alias(f"{c}_code") for c in spec.texts],
     )
@@ -68,28 +86,29 @@ def project_numbers(df: DataFrame, spec: MaskSpec, keep: Sequence[str] = ()) ->
 
 def fill_numbers(df: DataFrame, spec: MaskSpec) -> DataFrame:
     """Numbers for masking: number, else range or level, else median, else the default."""
-    number = F.col(spec.numeric)
-    read = df.withColumn(spec.numeric, F.coalesce(to_number(number), range_midpoint(number))).withColumn(
-        spec.flag, F.coalesce(to_number(F.col(spec.flag)), level_to_number(F.col(spec.flag)))
-    )
     medians = median_values(df, spec)
-    return read.withColumn(
-        spec.numeric, F.coalesce(F.col(spec.numeric), F.lit(medians[spec.numeric]), F.lit(spec.numeric_default))
-    ).withColumn(spec.flag, F.coalesce(F.col(spec.flag), F.lit(medians[spec.flag]), F.lit(0.0)))
+    number, flag = _readable(df, spec)
+    return df.withColumns(
+        {
+            spec.numeric: F.coalesce(number, F.lit(medians[spec.numeric]), F.lit(spec.numeric_default)),
+            spec.flag: F.coalesce(flag, F.lit(medians[spec.flag]), F.lit(0.0)),
+        }
+    )
+
+
+def _readable(df: DataFrame, spec: MaskSpec) -> tuple[Column, Column]:
+    number, flag = number_of(df, spec.numeric), number_of(df, spec.flag)
+    if not is_numeric(df, spec.numeric):
+        number = F.coalesce(number, range_midpoint(F.col(spec.numeric)))
+    if not is_numeric(df, spec.flag):
+        flag = F.coalesce(flag, level_to_number(F.col(spec.flag)))
+    return number, flag
 
 
-def median_values(df: DataFrame, spec: MaskSpec, exact_rows: int = 10_000_000) -> dict[str, float | None]:
+def median_values(df: DataFrame, spec: MaskSpec) -> dict[str, float | None]:
     """Medians of the readable numbers after ranges and levels are read; skipped when no cell is missing."""
-    number = F.coalesce(to_number(F.col(spec.numeric)), range_midpoint(F.col(spec.numeric)))
-    flag = F.coalesce(to_number(F.col(spec.flag)), level_to_number(F.col(spec.flag)))
-    cells = df.select(number.alias("number"), flag.alias("flag"))
-    counts = cells.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(F.col("number").isNull()).alias("number"),
-        F.count_if(F.col("flag").isNull()).alias("flag"),
-    ).first()
-    if counts["number"] + counts["flag"] == 0:
+    number, flag = _readable(df, spec)
+    missing = df.agg(F.count_if(number.isNull() | flag.isNull())).first()[0]
+    if not missing:
         return {spec.numeric: None, spec.flag: None}
-    median = F.median if counts["rows"] <= exact_rows else lambda c: F.percentile_approx(c, 0.5, 100_000)
-    found = cells.agg(median(F.col("number")).alias("number"), median(F.col("flag")).alias("flag")).first()
-    return {spec.numeric: found["number"], spec.flag: found["flag"]}
+    return {spec.numeric: exact_median(df, number), spec.flag: exact_median(df, flag)}

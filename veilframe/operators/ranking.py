@@ -9,6 +9,7 @@ rows becomes a plain filter.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,12 +17,55 @@ from pyspark.sql import functions as F
 from veilframe.session import ensure_checkpoint_dir
 
 BUCKET_ROWS = 100_000
-MAX_BUCKETS = 65_536
+NARROWING = 1024  # parts that a pass of ``order_statistic`` cuts its interval into
 ROW_BITS = 33  # monotonically_increasing_id keeps the partition above the low 33 bits
 
 
 def bucket_count(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
-    return max(1, min(MAX_BUCKETS, rows // max(bucket_rows, 1)))
+    """Buckets of about ``bucket_rows`` rows, however many that makes."""
+    return max(1, ceil(rows / max(bucket_rows, 1)))
+
+
+def order_statistic(df: DataFrame, value: Column, rank: int) -> float | None:
+    """The value with ``rank`` smaller or equal ones before it (from 0), nulls left out; None beyond the last.
+
+    Each pass counts the values of an interval in equal parts, map-side, and goes on with the part
+    that holds the rank, until that part holds one value. Nothing is sorted or shuffled but the
+    counts, at any table size.
+    """
+    values = df.select(value.cast("double").alias("v")).where("v is not null and not isnan(v)")
+    found = values.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("n")).first()
+    low, high, before = found["low"], found["high"], 0
+    if not 0 <= rank < found["n"]:
+        return None
+    while low < high:
+        inside = values.where((F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high)))
+        share = (F.col("v") - F.lit(low)) / F.lit(high - low)
+        part = F.greatest(F.least(F.floor(share * NARROWING), F.lit(NARROWING - 1)), F.lit(0))
+        # The ends make parts of their own, so a pass always narrows the interval.
+        part = F.when(F.col("v") == F.lit(low), -1).when(F.col("v") == F.lit(high), NARROWING).otherwise(part)
+        parts = inside.groupBy(part.alias("part")).agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        for row in sorted(parts.collect(), key=lambda row: row["part"]):
+            if rank < before + row["n"]:
+                low, high = row["low"], row["high"]
+                break
+            before += row["n"]
+    return low
+
+
+def exact_median(df: DataFrame, value: Column) -> float | None:
+    """Middle value, or the mean of the two middle ones; None without values."""
+    n = df.agg(F.count(value)).first()[0]
+    if not n:
+        return None
+    low = order_statistic(df, value, (n - 1) // 2)
+    return low if n % 2 else (low + order_statistic(df, value, n // 2)) / 2
+
+
+def smallest_mode(df: DataFrame, value: Column) -> float | None:
+    """Most frequent value, of several the smallest; values are counted before they meet."""
+    counts = df.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count("v").alias("n"))
+    return counts.agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("mode")).first()["mode"]
 
 
 def draw_bucket(draw: Column, buckets: int) -> Column:
@@ -30,7 +74,7 @@ def draw_bucket(draw: Column, buckets: int) -> Column:
 
 
 def bucket_starts(df: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
-    """Size of each bucket and the rows before it: at most groups x MAX_BUCKETS rows come back."""
+    """Size of each bucket and the rows before it: one row for each group and bucket."""
     sizes = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("__size"))
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     return sizes.withColumn("__start", F.coalesce(F.sum("__size").over(before), F.lit(0)))
@@ -56,13 +100,10 @@ def cut_points(
     schema = f"`{key}` {dict(df.dtypes)[key]}, __limit bigint"
     wanted = df.sparkSession.createDataFrame(asked, schema)
     placed = df.select(key, draw, tie, draw_bucket(F.col(draw), buckets).alias("__bucket"))
-    if buckets == 1:
-        hits = wanted.select(key, F.lit(0).alias("__bucket"), "__limit", F.col("__limit").alias("__offset"))
-    else:
-        starts = bucket_starts(placed, [key], "__bucket")
-        inside = (F.col("__limit") > F.col("__start")) & (F.col("__limit") <= F.col("__start") + F.col("__size"))
-        hits = starts.join(F.broadcast(wanted), key).where(inside)
-        hits = hits.select(key, "__bucket", "__limit", (F.col("__limit") - F.col("__start")).alias("__offset"))
+    starts = bucket_starts(placed, [key], "__bucket")
+    inside = (F.col("__limit") > F.col("__start")) & (F.col("__limit") <= F.col("__start") + F.col("__size"))
+    hits = starts.join(F.broadcast(wanted), key).where(inside)
+    hits = hits.select(key, "__bucket", "__limit", (F.col("__limit") - F.col("__start")).alias("__offset"))
     # hits: one row per asked limit, so both broadcasts are bounded by the number of cuts.
     near = placed.join(F.broadcast(hits.select(key, "__bucket").distinct()), [key, "__bucket"], "left_semi")
     order = Window.partitionBy(key, "__bucket").orderBy(draw, tie)
