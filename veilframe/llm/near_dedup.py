@@ -1,10 +1,11 @@
 """Near-duplicate groups by SuperMinHash signatures, banding, exact verification and union-find.
 
 Equal shingle sets are folded into one class first, so copies cost one row each. Signatures of
-the classes are cut into bands; classes that share a band's key are candidates. A bucket of
-candidates is compared with its most typical member instead of pair by pair; members that this
-leaves in different components are compared among each other, so no link that shares a bucket
-is lost. Every link is confirmed on the full shingle sets.
+the classes are cut into bands; classes that share a band's key are candidates. They are not
+compared pair by pair but with the most typical document around. Pairs that this leaves in
+different components are compared only if they differ from that document in the same way, which
+links require (see ``_cross_pairs``); so no link that shares a band is lost. Every link is
+confirmed on the full shingle sets.
 
 Miss chance: with 24 bands of 4 slots, two sets of similarity 0.85 share no bucket with
 probability (1 - 0.85^4)^24 = 2e-8.
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import Words, batch_of, checkpointed, column_of, map_slices, mix, window_hashes, words_of
@@ -158,31 +159,58 @@ def _pairs(one: str, other: str) -> list:
     return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
 
-def _hub_pairs(members: DataFrame) -> DataFrame:
-    """Each bucket's members with its hub: the member that shares most buckets with most others."""
-    hubs = members.groupBy("band").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
-    return members.join(hubs, "band").where("node <> hub").select(*_pairs("node", "hub")).distinct()
+def _references(members: DataFrame) -> DataFrame:
+    """node, band and ``ref``: the most typical document within two steps of the band.
 
-
-def _open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members, with their component, of the buckets that hold several components."""
-    named = members.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
-    still_open = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return named.join(still_open.select("band"), "band")
-
-
-def _second_hub_pairs(buckets: DataFrame) -> DataFrame:
-    """Each open bucket's members with the hub of those outside the first hub's component."""
-    first = buckets.groupBy("band").agg(F.max_by("component", F.struct("weight", "node")).alias("served"))
-    rest = buckets.join(first, "band").where("component <> served")
-    second = rest.groupBy("band").agg(F.max_by(F.struct("node", "component"), F.struct("weight", "node")).alias("hub"))
-    return buckets.join(second, "band").where("component <> hub.component").select(*_pairs("node", "hub.node")).distinct()
-
-
-def _cross_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs of members of a bucket that are in different components: what the hubs left open."""
-    other = buckets.select("band", F.col("node").alias("other"), F.col("component").alias("other_component"))
-    return buckets.join(other, "band").where("component < other_component").select(*_pairs("node", "other")).distinct()
+    A band's hub is its member that shares most bands with most others. The members' hubs in
+    their other bands are looked at too, so all bands of a family get the same reference.
+    """
+    hubs = members.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("hub"))
+    best = members.join(hubs, "band").groupBy("node").agg(F.max("hub").alias("hub"))
+    known = members.join(best, "node")
+    refs = known.groupBy("band").agg(F.max("hub").alias("ref")).select("band", F.col("ref.node").alias("ref"))
+    return members.select("band", "node").join(refs, "band")
+
+
+def _cross_pairs(referred: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs in a band that may still be linked although their components differ.
+
+    Take A and B of a band with reference H. If both are linked to H they are in one component
+    already, so let B not be. With a and b the shingles in which A and B differ from H, and
+    c = (100 - percent) / (100 + percent), a link of A and B needs |a| + |b| - 2 |a & b| <= c (|A| + |B|),
+    while |b| > c (|B| + |H|). So 2 |a & b| > |a| - c (|A| - |H|): A shares about half of its
+    differences with B. Then one of A's rarest differences, as many as leave fewer than that half,
+    is shared with B. Copies of one text differ from it in ways of their own, so few pairs come up.
+    """
+    named = referred.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
+    others = named.where("node <> ref").groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    still_open = others.where("low < high").select("band")
+    linked = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("ref")), F.struct(F.col("b").alias("node"), F.col("a").alias("ref")))).alias("e"))
+    linked = linked.select("e.*").distinct().withColumn("linked", F.lit(True))
+    asked = named.join(still_open, "band").where("node <> ref").select("node", "ref", "component").distinct().join(linked, ["node", "ref"], "left")
+    differing = (
+        asked.join(sets.toDF("node", "own"), "node")
+        .join(sets.toDF("ref", "its"), "ref")
+        .select("node", "ref", "component", "linked", F.array_except("own", "its").alias("more"), F.array_except("its", "own").alias("less"))
+    )
+    sizes = [F.size("more").alias("n_more"), F.size("less").alias("n_less")]
+    both = F.concat(
+        F.transform("more", lambda x: F.struct(x.alias("shingle"), F.lit(True).alias("has"))),
+        F.transform("less", lambda x: F.struct(x.alias("shingle"), F.lit(False).alias("has"))),
+    )
+    tokens = checkpointed(differing.select("node", "ref", "component", "linked", *sizes, F.explode(both).alias("t")).select("*", "t.*").drop("t"))
+    at = ["ref", "shingle", "has"]
+    counted = tokens.join(tokens.groupBy(*at).agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), at)
+    # Differences that nobody shares come first in the order and match nothing, so only their number matters.
+    alone = F.col("n_more") + F.col("n_less") - F.count(F.lit(1)).over(Window.partitionBy("node", "ref"))
+    rarest = Window.partitionBy("node", "ref").orderBy("holders", F.desc("has"), "shingle")
+    all_of = F.col("n_more") + F.col("n_less")
+    slope = F.lit((100 - percent) / (100 + percent))
+    needed = F.floor((all_of - slope * (F.col("n_more") - F.col("n_less"))) / 2) + 1
+    first = counted.withColumns({"place": F.row_number().over(rarest) + alone, "prefix": all_of - needed + 1}).where("place <= prefix")
+    first = first.select(*at, F.col("node").alias("one"), F.col("component").alias("one_component"))
+    second = counted.where("linked is null").select(*at, "node", "component")
+    return first.join(second, at).where("component <> one_component").select(F.least("one", "node").alias("a"), F.greatest("one", "node").alias("b")).distinct()
 
 
 def near_duplicate_groups(
@@ -226,14 +254,13 @@ def near_duplicate_groups(
     if sets.agg((F.count("node") > F.countDistinct("node")).alias("repeated")).first()["repeated"]:
         sets = sets.dropDuplicates(["node"])
 
-    pairs = checkpointed(_hub_pairs(members))
+    referred = checkpointed(_references(members))
+    pairs = referred.where("node <> ref").select(F.least("node", "ref").alias("a"), F.greatest("node", "ref").alias("b")).distinct()
     links = checkpointed(_confirmed(pairs, sets, percent))
     roots = components(links)
-    for candidates in (_second_hub_pairs, _cross_pairs):
-        more = checkpointed(candidates(_open_buckets(members, roots)).join(pairs, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            pairs, links = pairs.union(more), links.union(checkpointed(_confirmed(more, sets, percent)))
-            roots = components(links)
+    more = checkpointed(_cross_pairs(referred, links, roots, sets, percent))
+    if not more.isEmpty():
+        roots = components(links.union(_confirmed(more, sets, percent)))
 
     grouped = classes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "_k1", "_k2", "first_id", "copies")
     whole = grouped.groupBy("root").agg(F.min("first_id").alias("component"), F.sum("copies").alias("size")).where("size > 1")
