@@ -33,8 +33,9 @@ def propagate(units: DataFrame, quota: int, rounds: int = ROUNDS) -> DataFrame:
     ``units`` has the group's columns, ``first`` (shard drawn), ``docs`` and ``shard``; a group has at
     most one unit for each shard, so windows over a group are bounded by the number of shards. A
     group needs ceil(docs / quota) shards; its fullest ones are its main shards, and units in others
-    ask to move to one of them. A shard admits requests up to its free places: those of the largest
-    pull first, the last class by hash. Requests are counted by class, not ranked one by one.
+    ask to move to one of them. A shard admits requests up to the places that its staying units
+    leave: those of the largest pull first, the last class by hash. Requests are counted by class,
+    not ranked one by one. Units that are not admitted stay over quota until a later round.
     """
     for _ in range(rounds):
         placed = checkpointed(_placed(units))
@@ -47,7 +48,9 @@ def propagate(units: DataFrame, quota: int, rounds: int = ROUNDS) -> DataFrame:
         )
         asking = asking.join(main, [*GROUP, "turn"]).withColumn("class", F.floor(F.log2("pull") * 2).cast("int"))
         requests = checkpointed(asking.select(*GROUP, "first", "docs", "target", "class"))
-        load = units.groupBy("shard").agg(F.sum("docs").alias("load"))
+        leaving = requests.select(*GROUP, "first", F.lit(True).alias("leaving"))
+        staying = units.join(leaving, [*GROUP, "first"], "left").where("leaving is null")
+        load = staying.groupBy("shard").agg(F.sum("docs").alias("load"))
         upward = Window.partitionBy("target").orderBy(F.desc("class"))
         asked = requests.groupBy("target", "class").agg(F.sum("docs").alias("asked")).withColumn("until", F.sum("asked").over(upward))
         free = F.greatest(F.lit(quota) - F.coalesce("load", F.lit(0)), F.lit(0))
