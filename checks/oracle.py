@@ -470,6 +470,9 @@ def masked_missing(config: MaskingConfig) -> str:
     return made.query(masked_select(PEOPLE))
 
 
+ORACLE["mask_without_gender"] = masked([NOISE]).query(
+    f"SELECT row_id, {r('m_x')} AS age, {r('m_f')} AS income, education, occupation FROM masked"
+)
 ORACLE["mask_perturb_missing"] = masked_missing(PERTURB)
 ORACLE["mask_hybrid_missing"] = masked_missing(HYBRID)
 ORACLE["mask_many_settings"] = trial(SIX).query(
@@ -945,13 +948,12 @@ ORACLE["report_mean_scores"] = people_query(
     f"SELECT metric, dataset, {r('avg(score)')} AS score FROM compared GROUP BY metric, dataset",
     SPLIT, SCORED, comparison(MODEL_METRICS),
 )
-_ROW_LOCAL = [c for c in default_grid() if c.method != "hybrid"]
-ORACLE["report_loss_by_method"] = trial(_ROW_LOCAL).query(
+ORACLE["report_loss_by_method"] = trial(default_grid()).query(
     f"""SELECT method, count(*)::BIGINT AS settings, {r("min(information_loss)")} AS lowest,
         {r("quantile_cont(information_loss, 0.25)")} AS lower_quartile, {r("quantile_cont(information_loss, 0.5)")} AS median,
         {r("quantile_cont(information_loss, 0.75)")} AS upper_quartile, {r("max(information_loss)")} AS highest
         FROM loss JOIN settings USING (config_id) GROUP BY method""",
-    projected(PEOPLE), LOSS, label_cte(_ROW_LOCAL),
+    projected(PEOPLE), LOSS, label_cte(default_grid()),
 )
 ORACLE["report_drift_metrics"] = trial([GENERAL]).query(
     " UNION ALL ".join(

@@ -97,19 +97,19 @@ def share_sample(spark, sf):
 
 @query
 def range_midpoints(spark, sf):
-    table = masks.release(people(spark, sf), PEOPLE, GENERAL)
+    table = masks.release(people(spark, sf), PEOPLE, GENERAL, Draws())
     return tidy(table.select("row_id", "age", range_midpoint(F.col("age")).alias("midpoint")))
 
 
 @query
 def category_codes(spark, sf):
-    table = masks.release(people(spark, sf), PEOPLE, GENERAL)
+    table = masks.release(people(spark, sf), PEOPLE, GENERAL, Draws())
     return add_category_code(table, "gender", "code").select("row_id", "gender", F.col("code").cast("bigint").alias("code"))
 
 
 @query
 def numeric_projection(spark, sf):
-    return tidy(project_numbers(masks.release(people(spark, sf), PEOPLE, GENERAL), PEOPLE, ["row_id"]))
+    return tidy(project_numbers(masks.release(people(spark, sf), PEOPLE, GENERAL, Draws()), PEOPLE, ["row_id"]))
 
 
 @query
@@ -134,7 +134,7 @@ def fill_missing_numbers(spark, sf):
 
 @query
 def binary_targets(spark, sf):
-    table = masks.release(people(spark, sf), PEOPLE, NOISE)
+    table = masks.release(people(spark, sf), PEOPLE, NOISE, Draws())
     return table.select("row_id", binary_target(F.col("income")).alias("target"))
 
 
@@ -142,7 +142,7 @@ def binary_targets(spark, sf):
 def one_hot_counts(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
-    table = masks.release(people(spark, sf), PEOPLE, GENERAL)
+    table = masks.release(people(spark, sf), PEOPLE, GENERAL, Draws())
     texts = ["age", "gender", "education", "occupation"]
     model = features.design_model(table, [], texts)
     names = features.feature_names(model, [], texts)
@@ -195,6 +195,12 @@ def mask_perturb(spark, sf):
     return masked_rows(people(spark, sf), PEOPLE, PERTURB)
 
 
+@query
+def mask_without_gender(spark, sf):
+    """Columns that a table lacks are skipped."""
+    return tidy(masks.release(people(spark, sf).drop("gender"), PEOPLE, NOISE, Draws()))
+
+
 @query
 def mask_perturb_missing(spark, sf):
     return masked_rows(people_missing_ages(spark, sf), PEOPLE, PERTURB)
@@ -258,7 +264,7 @@ def mask_many_settings(spark, sf):
 
 @query
 def release_generalized(spark, sf):
-    return masks.release(people(spark, sf), PEOPLE, GENERAL)
+    return masks.release(people(spark, sf), PEOPLE, GENERAL, Draws())
 
 
 # --- profile and drift -----------------------------------------------------------------------
@@ -650,7 +656,7 @@ def report_mean_scores(spark, sf):
 @query
 def report_loss_by_method(spark, sf):
     prepared = prepare(people(spark, sf), PEOPLE)
-    configs = [c for c in default_grid() if c.method != "hybrid"]
+    configs = default_grid()
     losses = utility.information_loss(moments.masked_cube(masks.evaluate_masks(prepared.table, PEOPLE, configs, TRIAL), PEOPLE), PEOPLE)
     methods = F.create_map(*[F.lit(v) for i, c in enumerate(configs) for v in (i, c.method)])
     return tidy(report.loss_by_method(losses.withColumn("method", methods[F.col("config_id")])))

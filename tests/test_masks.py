@@ -88,7 +88,7 @@ def test_labels_only_for_generalisation(crowd):
 
 
 def test_release_has_the_original_columns(crowd):
-    table = release(crowd, SPEC, GENERAL)
+    table = release(crowd, SPEC, GENERAL, Draws())
     assert table.columns == ["row_id", "age", "gender", "income", "education", "occupation"]
     assert {r[0] for r in table.select("income").distinct().collect()} == {"High", "Low"}
     for row in table.join(crowd.select("row_id", F.col("age").alias("true")), "row_id").collect():
@@ -209,10 +209,24 @@ def test_stream_is_masked_like_a_table(spark, crowd, tmp_path):
     crowd.repartition(3).write.parquet(source)
     stream = spark.readStream.schema(crowd.schema).parquet(source)
     run = (
-        mask_stream(stream, SPEC, NOISE).writeStream.format("memory").queryName("masked_stream")
+        mask_stream(stream, SPEC, NOISE, Draws()).writeStream.format("memory").queryName("masked_stream")
         .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     )
     run.awaitTermination()
-    assert rows(spark.table("masked_stream")) == rows(release(crowd, SPEC, NOISE))
+    assert rows(spark.table("masked_stream")) == rows(release(crowd, SPEC, NOISE, Draws()))
     with pytest.raises(ValueError, match="whole table"):
-        mask_stream(stream, SPEC, SWAP)
+        mask_stream(stream, SPEC, SWAP, Draws())
+
+
+def test_stream_keeps_missing_numbers_missing(spark, tmp_path):
+    rows = people_rows(spark, [(40, "Male", 1), (None, "Female", 0)])
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    query = mask_stream(stream, SPEC, GENERAL, Draws()).writeStream.format("memory").queryName("binned_stream").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {r["row_id"]: r["age"] for r in spark.table("binned_stream").collect()} == {0: "40-59", 1: None}
+
+
+def test_absent_columns_are_skipped(crowd):
+    table = release(crowd.drop("gender", "education"), SPEC, NOISE, Draws())
+    assert table.columns == ["row_id", "age", "income", "occupation"] and table.count() == crowd.count()

@@ -11,7 +11,7 @@ from veilframe.operators.clean import cap_rows, clean_people, resolve_headers
 from veilframe.operators.masks import evaluate_masks, wide
 from veilframe.operators.models import unmasked
 from veilframe.operators.project import add_category_code, project_numbers, text_codes
-from veilframe.operators.ranking import cut_points, number_rows
+from veilframe.operators.ranking import cut_points, exact_median, number_rows, order_statistic, smallest_mode
 
 SPEC = MaskSpec()
 NOISE = MaskingConfig("noise", noise_std=3.0, gender_mask_probability=0.15)
@@ -301,3 +301,15 @@ def test_cleaning_rules(spark):
     assert found[1]["gender"] == "Male" and found[6]["occupation"] == "?"
     strict = {r["row_id"] for r in clean_people(df, strict=True).collect()}
     assert strict == {2, 3, 6}
+
+
+def test_order_statistics_as_sorted(spark):
+    rng = np.random.default_rng(4)
+    for values in ([5.0], [2.0, 1.0], [1.0] * 50 + [3.0], rng.standard_normal(3001).tolist(), (10.0 ** rng.uniform(-12, 12, 400)).tolist()):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(3)
+        assert exact_median(df, F.col("v")) == np.median(values)
+        for rank in (0, len(values) // 3, len(values) - 1):
+            assert order_statistic(df, F.col("v"), rank) == sorted(values)[rank]
+    assert order_statistic(df, F.col("v"), len(values)) is None and exact_median(df.limit(0), F.col("v")) is None
+    tied = spark.createDataFrame([(v,) for v in (3.0, 1.0, 3.0, 1.0, 2.0, None)], "v double")
+    assert smallest_mode(tied, F.col("v")) == 1.0

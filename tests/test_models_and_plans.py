@@ -75,6 +75,18 @@ def test_crossover_stays_inside_its_bounds():
                 assert low <= getattr(child, name) <= high
 
 
+def test_adaptive_settings_are_new_and_in_range():
+    parents = candidates.default_grid()[:5]
+    known = {c.label() for c in candidates.default_grid()}
+    found = candidates.adaptive_settings(parents, 40, known, seed=5)
+    labels = {c.label() for c in found}
+    assert len(labels) == 40 and not labels & known
+    assert {c.method for c in found} > {c.method for c in parents}
+    assert found == candidates.adaptive_settings(parents, 40, known, seed=5)
+    for c in found:
+        assert c.noise_std <= 12 and 0.2 <= c.epsilon <= 6 and c.swap_fraction <= 0.45 and c.perturbation_strength <= 0.45
+
+
 def test_distinct_keeps_the_first():
     a, b = MaskingConfig("noise", noise_std=1.0), MaskingConfig("noise", noise_std=2.0)
     assert candidates.distinct([a, b, a]) == [a, b]
@@ -105,7 +117,7 @@ def test_trained_sweep_and_release(crowd):
     results = sweep(crowd, SPEC, [NOISE, GENERAL], SweepOptions(models=models))
     rows = results.collect()
     assert all(0.5 < r["masked_accuracy"] < 1 and r["baseline_accuracy"] == rows[0]["baseline_accuracy"] for r in rows)
-    table, config = best_release(crowd, SPEC, results)
+    table, config = best_release(crowd, SPEC, results, Draws())
     assert config == best_config(results) == GENERAL
     assert table.count() == 1500
 
@@ -156,7 +168,7 @@ def test_whole_run(spark, crowd, tmp_path, masked_format):
     quick = ModelOptions(models=("Logistic Regression",), tune=False, cross_validate=False, **TINY)
     out = str(tmp_path / "out")
     options = SweepOptions(privacy_weight=0.55, models=quick)
-    done = run(table, out, SPEC, options, quick, [NOISE, GENERAL], trials=2, masked_format=masked_format, draws=Draws("secret"))
+    done = run(table, out, Draws("secret"), SPEC, options, quick, [NOISE, GENERAL], trials=2, masked_format=masked_format)
     assert done.masked.count() == 1000
     written = {p.name for p in (tmp_path / "out").iterdir()}
     assert {

@@ -542,15 +542,26 @@ def released(frame: DataFrame, spec: MaskSpec, config: MaskingConfig) -> DataFra
     )
 
 
+def with_all_roles(df: DataFrame, spec: MaskSpec) -> DataFrame:
+    """The table with empty columns for the roles that it lacks."""
+    kinds = {spec.numeric: "double", spec.flag: "double", spec.category: "string"}
+    return df.withColumns({c: F.lit(None).cast(kind) for c, kind in kinds.items() if c not in df.columns})
+
+
 def release(
     df: DataFrame,
     spec: MaskSpec,
     config: MaskingConfig,
-    draws: Draws | None = None,
+    draws: Draws,
     facts: TableFacts | None = None,
 ) -> DataFrame:
-    """The masked table under the original column names."""
-    return released(evaluate_masks(df, spec, [config], draws, facts), spec, config)
+    """The masked table under the original column names; columns that it lacks are skipped.
+
+    Who knows the seed of ``draws`` can undo the noise, so there is no default one.
+    """
+    present = spec.present_in(df.columns)
+    frame = evaluate_masks(with_all_roles(df, spec), present, [config], draws, facts)
+    return released(frame, present, config).drop(*[c for c in spec.maskable if c not in df.columns])
 
 
 def bucketed_swap(

@@ -226,7 +226,7 @@ def _search(data: TrainingData, pipeline: Pipeline, grid: list[dict], options: M
     search = CrossValidator(
         estimator=pipeline,
         estimatorParamMaps=grid,
-        evaluator=BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC"),
+        evaluator=BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC", numBins=0),
         numFolds=options.folds,
         foldCol="fold",
         parallelism=options.parallelism,

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from itertools import product
+from math import exp, log
 from random import Random
 
 from veilframe.spec import METHODS, MaskingConfig
@@ -48,6 +49,7 @@ CROSSOVER_BOUNDS = {
 }
 CROSSOVER_BINS = (5, 10, 15, 20, 25)
 ADAPTIVE_BUDGET = (0.5, 0.85)
+ADAPTIVE_BINS = (5, 30)
 
 
 def suppression_for(noise: float) -> float:
@@ -136,6 +138,41 @@ def crossover_search(
     return distinct(found)
 
 
+def ranged_config(method: str, rng: Random) -> MaskingConfig:
+    """Setting drawn from the whole ranges of the fields that its method uses; the privacy budget on a log scale."""
+
+    def within(name: str) -> float:
+        return rng.uniform(*CROSSOVER_BOUNDS[name])
+
+    low, high = CROSSOVER_BOUNDS["epsilon"]
+    return canonical(
+        MaskingConfig(
+            method,
+            noise_std=within("noise_std"),
+            generalization_bin=rng.randint(*ADAPTIVE_BINS),
+            epsilon=exp(rng.uniform(log(low), log(high))),
+            gender_mask_probability=within("gender_mask_probability"),
+            hybrid_dp_budget_fraction=rng.uniform(*ADAPTIVE_BUDGET),
+            swap_fraction=within("swap_fraction"),
+            perturbation_strength=within("perturbation_strength"),
+        )
+    )
+
+
+def adaptive_settings(parents: Sequence[MaskingConfig], count: int, known: Iterable[str], seed: int) -> list[MaskingConfig]:
+    """``count`` settings whose labels are not known yet, by turns children of the parents and drawn from the ranges."""
+    rng, seen, found = Random(seed), set(known), []
+    while len(found) < count:
+        crossed = len(found) % 2 == 0
+        config = cross(rng.choice(parents), rng.choice(parents), rng) if crossed else ranged_config(rng.choice(METHODS), rng)
+        if config.label() in seen:
+            config = ranged_config(rng.choice(METHODS), rng)
+        if config.label() not in seen:
+            seen.add(config.label())
+            found.append(config)
+    return found
+
+
 def distinct(configs: Iterable[MaskingConfig]) -> list[MaskingConfig]:
     """First setting of each label."""
     by_label: dict[str, MaskingConfig] = {}

@@ -34,7 +34,9 @@ class RunResult:
     summary: DataFrame
 
 
-def load(spark: SparkSession, path: str, row_id: str | None = None, limit: int | None = None) -> DataFrame:
+def load(
+    spark: SparkSession, path: str, row_id: str | None = None, limit: int | None = None, draws: Draws | None = None
+) -> DataFrame:
     """Clean person table from a file, or from the first known file of a folder.
 
     A key that is not unique is refused; without a key the rows are numbered.
@@ -46,7 +48,7 @@ def load(spark: SparkSession, path: str, row_id: str | None = None, limit: int |
     elif repeated_ids(keyed).limit(1).count():
         raise ValueError(f"{row_id or 'row_id'} is not unique")
     people = clean_people(keyed)
-    return people if limit is None else cap_rows(people, limit, MaskSpec(), Draws())
+    return people if limit is None else cap_rows(people, limit, MaskSpec(), draws or Draws())
 
 
 def write_profile(df: DataFrame, spec: MaskSpec, out: str, name: str) -> None:
@@ -63,27 +65,30 @@ def write_profile(df: DataFrame, spec: MaskSpec, out: str, name: str) -> None:
 def run(
     people: DataFrame,
     out: str,
+    draws: Draws,
     spec: MaskSpec | None = None,
     sweep_options: SweepOptions | None = None,
     model_options: ModelOptions | None = None,
     configs: list[MaskingConfig] | None = None,
     trials: int = RUN_TRIALS,
     masked_format: str = "parquet",
-    draws: Draws | None = None,
 ) -> RunResult:
     """Run everything on a clean table and write all outputs under ``out``.
 
-    ``draws`` mask the released table; give them a secret seed when it is published.
+    ``draws`` mask the released table; keep their seed secret when it is published. The clean
+    table is written first and read back, so the passes over it do not clean it again.
     """
     spec = spec or MaskSpec()
     sweep_options = sweep_options or SweepOptions(privacy_weight=RUN_PRIVACY_WEIGHT)
     models = model_options or ModelOptions()
 
+    write_rows(people, f"{out}/cleaned_working_dataset")
+    people = people.sparkSession.read.parquet(f"{out}/cleaned_working_dataset")
     write_profile(people, spec, out, "original")
     baseline = settle(evaluate_models(unmasked(people, spec), spec, models))
     write_report(baseline, f"{out}/original_ml_metrics")
 
-    results = settle(adaptive_sweep(people, spec, configs, sweep_options, trials=trials))
+    results = settle(adaptive_sweep(people, spec, configs, sweep_options, baseline, trials=trials))
     write_report(report.tradeoff(results), f"{out}/privacy_utility_tradeoff")
     write_report(results.orderBy(F.desc("objective_score"), "config_id"), f"{out}/optimization_results")
 
@@ -121,11 +126,11 @@ def main() -> None:
     parser.add_argument("output", help="folder for the masked table and the reports")
     parser.add_argument("--row-id", help="unique key column; numbered when absent")
     parser.add_argument("--limit", type=int, help="use only this many rows, drawn without replacement")
-    parser.add_argument("--seed", default="42", help="seed of the draws; keep it secret when you publish")
+    parser.add_argument("--seed", required=True, help="seed of the draws; keep it secret when you publish")
     options = parser.parse_args()
     spark = SparkSession.builder.appName("veilframe").getOrCreate()
-    people = load(spark, options.input, options.row_id, options.limit)
-    result = run(people, options.output, draws=Draws(options.seed))
+    people = load(spark, options.input, options.row_id, options.limit, Draws(options.seed))
+    result = run(people, options.output, Draws(options.seed))
     result.summary.show(truncate=False, vertical=True)
 
 

@@ -32,7 +32,7 @@ from veilframe.operators.utility import (
     objective,
     utility_metrics,
 )
-from veilframe.plans.candidates import crossover_search, default_candidates
+from veilframe.plans.candidates import adaptive_settings, default_candidates
 from veilframe.session import settle
 from veilframe.spec import CONFIG_SCHEMA, MaskingConfig, MaskSpec, config_frame
 
@@ -194,7 +194,10 @@ def adaptive_sweep(
     parents: int = 5,
     seed: int = 42,
 ) -> DataFrame:
-    """A sweep, then rounds of new settings around the best ones found so far."""
+    """A sweep, then rounds of new settings: crossed from the best ones so far, and drawn from the whole ranges.
+
+    Settings that were measured before are drawn again, so ``trials`` new ones are measured.
+    """
     options = options or SweepOptions()
     configs = default_candidates() if configs is None else list(configs)
     prepared = prepare(df, spec)
@@ -203,16 +206,12 @@ def adaptive_sweep(
     results = sweep(df, spec, configs, options, baseline, prepared=prepared)
     known = {config.label() for config in configs}
     next_id = len(configs)
-    share = -(-trials // max(rounds, 1))
     for number in range(rounds):
         top = [_config(row) for row in ranked(results).limit(parents).collect()]
-        fresh = [
-            child
-            for child in crossover_search(1, min(share, trials - number * share), seed + number, top)
-            if child.label() not in known
-        ]
+        share = trials * (number + 1) // rounds - trials * number // rounds
+        fresh = adaptive_settings(top, share, known, seed + number)
         if not fresh:
-            break
+            continue
         known |= {child.label() for child in fresh}
         found = sweep(df, spec, fresh, options, baseline, "adaptive", prepared, next_id)
         results = ranked(results.unionByName(found))
@@ -227,7 +226,7 @@ def _config(row: T.Row) -> MaskingConfig:
 
 
 def best_release(
-    df: DataFrame, spec: MaskSpec, results: DataFrame, draws: Draws | None = None
+    df: DataFrame, spec: MaskSpec, results: DataFrame, draws: Draws
 ) -> tuple[DataFrame, MaskingConfig]:
     """The winner's masked table; no other setting is ever materialised."""
     config = best_config(results)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Sequence
-from dataclasses import asdict, dataclass, fields
+from dataclasses import asdict, dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -78,6 +78,11 @@ class MaskSpec:
         """Projected features, in report order."""
         return (*self.numbers, *(f"{c}_code" for c in self.texts))
 
+    def present_in(self, columns: Iterable[str]) -> MaskSpec:
+        """The same roles for a table that lacks some columns: absent ones are neither masked nor carried."""
+        present = set(columns)
+        return replace(self, sensitive=tuple(self.identify(present)), carried=tuple(c for c in self.carried if c in present))
+
     def identify(self, columns: Iterable[str]) -> list[str]:
         """Sensitive columns that are present, in role order."""
         present = set(columns)

@@ -17,7 +17,7 @@ STREAMABLE = ("noise", "generalization", "differential_privacy")
 
 
 def mask_stream(
-    stream: DataFrame, spec: MaskSpec, config: MaskingConfig, draws: Draws | None = None
+    stream: DataFrame, spec: MaskSpec, config: MaskingConfig, draws: Draws
 ) -> DataFrame:
     """Released columns of every arriving row; the category pair comes from the spec."""
     if config.method not in STREAMABLE:
