@@ -1,7 +1,7 @@
 import re
 
 from tests.llm.conftest import ODD_PAIRS, lowered
-from veilframe.llm.licenses import NOTICES, PHRASES, fuzzy_notices, license_labels, scan_licenses
+from veilframe.llm.licenses import LETTERS_PER_EDIT, NOTICES, PHRASES, fuzzy_notices, license_labels, scan_licenses
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 TABLE = tuple(sorted(NOTICES.items()))
@@ -53,7 +53,7 @@ def test_base_texts(table):
 def test_every_edit_within_the_bound_is_found():
     """Each notice with its bound of edits, spread in every way of a few, is found with its span."""
     for label, notice in NOTICES.items():
-        bound = max(1, len(notice) // 10)
+        bound = max(1, len(notice) // LETTERS_PER_EDIT)
         for step in range(3):
             letters = list(notice)
             for e in range(bound):

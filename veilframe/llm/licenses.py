@@ -51,6 +51,12 @@ class Notice:
     text: str
     edits: int
     pattern: regex.Pattern
+    trigrams: frozenset[str]
+
+    def may_be_in(self, area: str) -> bool:
+        """Whether enough of the area's trigrams are the notice's: an edit spoils three of them at most."""
+        own = self.trigrams
+        return sum(area[k : k + 3] in own for k in range(len(area) - 2)) >= len(self.text) - 2 - 3 * self.edits
 
     def pieces(self) -> list[tuple[int, str]]:
         """Starts and texts of the edits + 1 pieces."""
@@ -58,12 +64,44 @@ class Notice:
         return [(a, self.text[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+@dataclass
+class Starts:
+    """The first bytes of all pieces, as a table that most places of a text fail at once."""
+
+    size: int
+    table: np.ndarray
+
+    @classmethod
+    def of(cls, pieces: list[str]) -> Starts:
+        encoded = [p.encode() for p in pieces]
+        size = min([8, *map(len, encoded)])
+        table = np.zeros(1 << 20, bool)
+        for p in encoded:
+            table[cls.slots(np.frombuffer(p[:size], np.uint8), size)] = True
+        return cls(size, table)
+
+    @staticmethod
+    def slots(data: np.ndarray, size: int) -> np.ndarray:
+        """A 20-bit number of the ``size`` bytes from each place."""
+        n = max(len(data) - size + 1, 0)
+        key = np.zeros(n, np.uint64)
+        for k in range(size):
+            key = key << np.uint64(8) | data[k : k + n]
+        return (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+
+    def rows(self, data: np.ndarray, at: np.ndarray) -> list[int]:
+        """Rows of ``data`` that may hold a piece."""
+        hits = np.flatnonzero(self.table[self.slots(data, self.size)])
+        return np.unique(np.searchsorted(at, hits, side="right") - 1).tolist()
+
+
 @cache
-def _searcher(notices: tuple[tuple[str, str], ...]) -> tuple[list[Notice], ahocorasick.Automaton]:
+def _searcher(notices: tuple[tuple[str, str], ...]) -> tuple[list[Notice], ahocorasick.Automaton, Starts]:
     found, places = [], {}
     for label, text in notices:
         edits = max(1, len(text) // LETTERS_PER_EDIT)
-        notice = Notice(label, text, edits, regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={edits}}}"))
+        trigrams = frozenset(text[k : k + 3] for k in range(len(text) - 2))
+        notice = Notice(label, text, edits, regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={edits}}}"), trigrams)
         for start, piece in notice.pieces():
             places.setdefault(piece, []).append((len(found), start, len(piece)))
         found.append(notice)
@@ -71,7 +109,7 @@ def _searcher(notices: tuple[tuple[str, str], ...]) -> tuple[list[Notice], ahoco
     for piece, where in places.items():
         automaton.add_word(piece, where)
     automaton.make_automaton()
-    return found, automaton
+    return found, automaton, Starts.of(list(places))
 
 
 def fuzzy_notices(text: str, notices: tuple[tuple[str, str], ...]) -> list[tuple[str, int, int, int]]:
@@ -79,7 +117,7 @@ def fuzzy_notices(text: str, notices: tuple[tuple[str, str], ...]) -> list[tuple
 
     Of overlapping matches of one notice the first one is given.
     """
-    known, automaton = _searcher(notices)
+    known, automaton, _ = _searcher(notices)
     at: dict[int, list[tuple[int, int]]] = {}
     for end, where in automaton.iter(text):
         for number, start, size in where:
@@ -97,14 +135,16 @@ def fuzzy_notices(text: str, notices: tuple[tuple[str, str], ...]) -> list[tuple
             else:
                 merged.append((low, high))
         for low, high in merged:
+            if not n.may_be_in(text[low:high]):
+                continue
             while low < high and (m := n.pattern.search(text, low, high)):
                 found.append((n.label, m.start(), m.end(), sum(m.fuzzy_counts)))
                 low = m.end()
     return sorted(found, key=lambda f: (f[1], f[0]))
 
 
-def spaced(words: Words) -> list[str]:
-    """Each row's words joined by single spaces."""
+def spaced(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of each row's words joined by single spaces, and where each row begins."""
     inside = ~NOT_ALNUM[words.data]
     follows = np.zeros(len(inside), bool)  # the first separator after a word
     ends = words.ends[~np.isin(words.ends, words.bytes_at)]  # not at the end of a row
@@ -112,9 +152,7 @@ def spaced(words: Words) -> list[str]:
     kept = inside | follows
     data = np.where(inside, words.data, 0x20).astype(np.uint8)
     total = np.concatenate([[0], np.cumsum(kept)])
-    out = data[kept].tobytes()
-    at = total[words.bytes_at].tolist()
-    return [out[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
+    return data[kept], total[words.bytes_at]
 
 
 def _phrase_places(words: Words, phrases: dict[str, str]) -> list[tuple[np.ndarray, str]]:
@@ -164,17 +202,15 @@ def scan_licenses(
             np.maximum.at(last, row, at - words.rows[row])
             for r in set(row.tolist()):
                 labels[r].add(label)
-        found, scores = [], []
-        for k, plain in enumerate(spaced(words)):
-            matches = fuzzy_notices(plain, table)
-            found.append(
-                [
-                    {"label": label, "start_word": plain.count(" ", 0, a), "end_word": plain.count(" ", 0, b - 1) + 1, "edits": e}
-                    for label, a, b, e in matches
-                ]
-            )
-            best = max((1 - e / length[label] for label, _, _, e in matches), default=0.0)
-            scores.append(1.0 if counts[k] else best)
+        found: list[list[dict]] = [[] for _ in range(n)]
+        scores = np.where(counts > 0, 1.0, 0.0)
+        plain, at = spaced(words)
+        for k in _searcher(table)[2].rows(plain, at) if table else ():
+            row_text = plain[at[k] : at[k + 1]].tobytes().decode("utf-8", "replace")
+            for label, a, b, e in fuzzy_notices(row_text, table):
+                first_word, end_word = row_text.count(" ", 0, a), row_text.count(" ", 0, b - 1) + 1
+                found[k].append({"label": label, "start_word": first_word, "end_word": end_word, "edits": e})
+                scores[k] = max(scores[k], 1 - e / length[label])
         none = counts == 0
         notice_type = pa.list_(
             pa.struct([("label", pa.string()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("edits", pa.int32())])
