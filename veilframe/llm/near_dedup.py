@@ -260,7 +260,7 @@ def near_duplicate_groups(
     roots = components(links)
     more = checkpointed(_cross_pairs(referred, links, roots, sets, percent))
     if not more.isEmpty():
-        roots = components(links.union(_confirmed(more, sets, percent)))
+        roots = components(roots.union(_confirmed(more, sets, percent)))  # each root's star stands for its links
 
     grouped = classes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "_k1", "_k2", "first_id", "copies")
     whole = grouped.groupBy("root").agg(F.min("first_id").alias("component"), F.sum("copies").alias("size")).where("size > 1")
