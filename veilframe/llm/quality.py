@@ -29,7 +29,7 @@ MIN_GROUP = 50  # texts; smaller groups are estimated together, per language and
 MAX_DISTANCE = 20.0  # squared; the chi-square distribution of four sound statistics passes it once in 2,000
 
 
-def _repeat_words(words: str, hashes: str, ordered: str) -> Column:
+def _repeat_words(ordered: str) -> Column:
     """Words in windows that occur twice or more: each such window adds the words up to the next one."""
     same = lambda e, i, by: F.coalesce(F.get(F.col(ordered), i + by)["h"] == e["h"], F.lit(False))
     places = F.array_sort(F.transform(F.filter(ordered, lambda e, i: same(e, i, -1) | same(e, i, 1)), lambda e: e["i"]))
@@ -81,7 +81,7 @@ def text_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", gr
     sorted_windows = F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     repeated = windowed.select("*", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), sorted_windows).alias("ordered"))
     return repeated.select(
-        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", _repeat_words("words", "hashes", "ordered").alias("n_repeat_words")
+        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", _repeat_words("ordered").alias("n_repeat_words")
     )
 
 

@@ -67,7 +67,7 @@ def propagate(units: DataFrame, quota: int, rounds: int = ROUNDS) -> DataFrame:
     return units
 
 
-def _ranked(rows: DataFrame, shards: int) -> DataFrame:
+def _ranked(rows: DataFrame) -> DataFrame:
     """Rows with ``rank``, 0, 1, ... within each wanted shard, in the order of the group and key.
 
     The rows are sorted across all partitions by range; ranks follow from each partition's count,
@@ -128,7 +128,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id",
 
     wanted = F.coalesce("shard", F.lit(shards))  # one past the last: no wish
     placed = thin.join(units.select(*GROUP, "first", "shard"), [*GROUP, "first"], "left").withColumn("wanted", wanted).drop("first", "shard")
-    ranked = _ranked(placed, shards)
+    ranked = _ranked(placed)
     counted = {r["wanted"]: r["many"] for r in units.groupBy(F.col("shard").alias("wanted")).agg(F.sum("docs").alias("many")).collect()}
     room = [quota + (s < more) for s in range(shards)] + [0]
     load = [counted.get(s, 0) for s in range(shards)]
