@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from veilframe.llm.common import batch_of, column_of, map_slices, mix, texts_of
 
 MARK = "▁"
-REMEMBERED = 250_000  # parts whose ids a task keeps, twice over: the newer and the older half
+REMEMBERED = 100_000  # parts whose ids a task keeps, twice over: the newer and the older half
 REMEMBERED_LENGTH = 40
 ID_BITS = 21
 ALPHABET = 160  # characters with a row in the automaton table; parts with others take a slower way
