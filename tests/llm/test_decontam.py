@@ -83,3 +83,48 @@ def test_odd_rows(odd, nothing, benchmark, spark):
     assert contaminated(nothing, items).count() == 0 and contaminated(odd, items.limit(0)).count() == 0
     assert without_contaminated(odd, items.limit(0)).count() == odd.count()
     assert without_contaminated(nothing, items).count() == 0
+
+
+def leaks_by_plain_rule(text, item):
+    """All stretches of all diagonals, without seeds and without the operator's rule."""
+    ours, theirs = text.lower().split(), item.lower().split()
+    n = len(theirs)
+    need = n if n < 6 else min(12, (3 * n + 3) // 4)
+    for shift in range(-n + 1, len(ours)):
+        equal = [0 <= q + shift < len(ours) and ours[q + shift] == w for q, w in enumerate(theirs)]
+        for a in range(n):
+            same = 0
+            for b in range(a, n):
+                same += equal[b]
+                if same >= need and 2 * same >= b + 1 - a:
+                    return True
+    return False
+
+
+def test_regular_substitutions_and_short_items(table, spark):
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    items, texts = [], []
+
+    def plant(item, equal):
+        changed = [w if e else f"s{rng.randrange(10**7)}" for w, e in zip(item, equal, strict=True)]
+        items.append((len(items), " ".join(item)))
+        texts.append((len(texts), " ".join(words(20) + changed + words(20))))
+
+    for n in (24, 40, 60):
+        for pattern in ("EES", "ES", "SE", "EEESS", "EESS", "EEES", "ESS", "EESSSS"):
+            plant(words(n), [pattern[k % len(pattern)] == "E" for k in range(n)])
+    for n in range(1, 20):
+        for substituted in range(5):
+            for _ in range(3):
+                out = set(rng.sample(range(n), min(substituted, n)))
+                plant(words(n), [k not in out for k in range(n)])
+    expected = {(k, k) for k, text in texts if leaks_by_plain_rule(text, items[k][1])}
+    # Every third, alternate, EEESS, EESS and EEES leak in all sizes; ESS and EESSSS in none.
+    assert {k for k, _ in expected if k < 24} == {k for k in range(24) if k % 8 < 6}
+    # 11 of 12 words leak; four of five do not.
+    found = result(contaminated(table(texts), spark.createDataFrame(items, "item_id bigint, text string")))
+    assert set(found) == expected
+    eleven = [k for k, (_, item) in enumerate(items) if len(item.split()) == 12 and found.get((k, k), (0, 0))[1] == 11]
+    assert len(eleven) == 3
+    assert {k for k, _ in found if len(items[k][1].split()) < 6} == {k for k in range(24, 24 + 5 * 15) if items[k][1] in texts[k][1]}
