@@ -111,3 +111,18 @@ def test_empty_and_repeated(spark):
     assert len({(r["host"], r["verdict"]) for r in same}) == 2 and len(same) == 6
     long = uf.judge_urls(pages(spark, ["http://a.net/" + "x" * 100_000, "http://casino.net/"]), URL_RULES).collect()
     assert len(long) == 2
+
+
+def test_rare_label_keeps_its_grams(spark):
+    """Many accepted URLs with grams of their own take none from a few rejected ones."""
+    import random
+
+    rng = random.Random(4)
+    accepted = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=12)) for _ in range(20_000)]
+    rejected = [f"pills{k}.biz/win-{k}-now" for k in range(5)]
+    rows = [(u, True) for u in accepted for _ in range(3)] + [(u, False) for u in rejected] * 2
+    model = uf.fit(spark.createDataFrame(rows, "_url string, _accept boolean").repartition(4))
+    codes, place, _ = uf._code_points(rejected)
+    held = set(model.hashes.tolist())
+    for order in range(2, uf.ORDER + 1):
+        assert {int(h) for h in uf._gram_hashes(codes, order)[place >= max(order - 1, 1)]} <= held, order

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from veilframe.llm.common import batch_of, checkpointed, column_of, map_slices, mix
 
 ORDER = 6  # longest gram: five characters of context
-MAX_GRAMS = 300_000  # grams in the two models; the rarest go first, which shortens contexts
+KEEP = 4096  # longer grams stay that occur at least sqrt(characters) / KEEP times in the URLs of either label
 MIN_COUNT = 2  # of grams longer than two characters
 CALIBRATION_ROWS = 5000
 BEGIN, END = "\x02", "\x03"
@@ -162,16 +162,27 @@ def _assemble(table: pa.Table) -> RatioModel:
     return RatioModel(grams, share, back)
 
 
-def fit(labelled: DataFrame, max_grams: int = MAX_GRAMS, calibration_rows: int = CALIBRATION_ROWS) -> RatioModel:
+def kept_grams(grams: DataFrame) -> DataFrame:
+    """The grams that the models hold: all up to two characters, and longer ones common enough for either label.
+
+    Each label has a limit of its own, which grows with the root of its characters, so a rare label
+    keeps its grams and a larger input keeps more. A gram occurs no more often than its context, so
+    contexts stay with their grams.
+    """
+    sums = grams.where("size = 1").agg(*[F.sum(c).alias(c) for c in ("accepted", "rejected")]).first()
+    enough = F.lit(False)
+    for label in ("accepted", "rejected"):
+        enough = enough | (F.col(label) >= max(1, int((sums[label] or 0) ** 0.5 / KEEP)))
+    return grams.where((F.col("size") <= 2) | (enough & (F.col("accepted") + F.col("rejected") >= MIN_COUNT)))
+
+
+def fit(labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> RatioModel:
     """Fit on all rows of ``labelled`` (_url: host and path, _accept). Without both labels all URLs are accepted.
 
     The threshold is the midpoint of the score gap that misjudges the smallest share of either
     label, on the ``calibration_rows`` rows with the smallest hashed URLs.
     """
-    grams = checkpointed(gram_counts(labelled))
-    common = (F.col("size") <= 2) | (F.col("accepted") + F.col("rejected") >= MIN_COUNT)
-    kept = grams.where(common).orderBy(F.col("size") > 2, F.desc(F.col("accepted") + F.col("rejected")), "gram").limit(max_grams)
-    model = _assemble(kept.toArrow())
+    model = _assemble(kept_grams(checkpointed(gram_counts(labelled))).toArrow())
     sample = labelled.orderBy(F.xxhash64("_url"), "_url").limit(calibration_rows).collect()
     accept = np.array([r["_accept"] for r in sample], bool)
     if not accept.any() or accept.all():
