@@ -126,3 +126,36 @@ def test_rare_label_keeps_its_grams(spark):
     held = set(model.hashes.tolist())
     for order in range(2, uf.ORDER + 1):
         assert {int(h) for h in uf._gram_hashes(codes, order)[place >= max(order - 1, 1)]} <= held, order
+
+
+def test_hot_url_leaves_the_threshold_alone(spark):
+    """One URL that repeats often, or one rejected row in thousands, does not decide the threshold for all."""
+    from pyspark.sql import functions as F
+
+    hosts = [(f"news{k}.net/story/{k % 7}", True) for k in range(40)] + [(f"casino{k}.biz/win/{k % 5}", False) for k in range(4)]
+    rare = spark.createDataFrame(hosts, "_url string, _accept boolean")
+    for name, accept in (("news%d.net/story/1", True), ("casino%d.biz/win/1", False)):
+        # Of many URLs the one with the smallest hash, so that it comes before all others.
+        url = spark.range(5000).select(F.format_string(name, "id").alias("u")).orderBy(F.xxhash64("u")).first()["u"]
+        hot = spark.range(6000).select(F.lit(url).alias("_url"), F.lit(accept).alias("_accept"))
+        model = uf.fit(rare.union(hot))
+        low, high = model.differences(["casino9.biz/win/3", "news9.net/story/2"])
+        assert math.isfinite(model.threshold) and low < model.threshold <= high
+
+
+def test_threshold_as_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(rng.gauss(1 if a else -1, 1), a) for a in [True] * 400 + [False] * 30]
+    cut = uf.threshold(spark.createDataFrame(rows, "_score double, _accept boolean").repartition(3))
+
+    def wrong(t):
+        below = sum(a and s < t for s, a in rows) / 400
+        return below + sum((not a) and s >= t for s, a in rows) / 30
+
+    best = min(wrong(t) for t in [s for s, _ in rows] + [99])
+    assert wrong(cut) <= best + 1e-9
+    for label, expected in ((True, -math.inf), (False, math.inf)):
+        assert uf.threshold(spark.createDataFrame([(0.5, label)], "_score double, _accept boolean")) == expected
+    assert uf.threshold(spark.createDataFrame([], "_score double, _accept boolean")) == -math.inf

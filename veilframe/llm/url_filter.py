@@ -22,7 +22,7 @@ from veilframe.llm.common import batch_of, checkpointed, column_of, map_slices,
 ORDER = 6  # longest gram: five characters of context
 KEEP = 4096  # longer grams stay that occur at least sqrt(characters) / KEEP times in the URLs of either label
 MIN_COUNT = 2  # of grams longer than two characters
-CALIBRATION_ROWS = 5000
+SCORE_STEPS = 1 << 16  # of a score, in the counts that the threshold is picked from
 BEGIN, END = "\x02", "\x03"
 _PLACE = mix(np.arange(201, 201 + ORDER, dtype=np.uint64)) | np.uint64(1)
 
@@ -176,25 +176,44 @@ def kept_grams(grams: DataFrame) -> DataFrame:
     return grams.where((F.col("size") <= 2) | (enough & (F.col("accepted") + F.col("rejected") >= MIN_COUNT)))
 
 
-def fit(labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> RatioModel:
-    """Fit on all rows of ``labelled`` (_url: host and path, _accept). Without both labels all URLs are accepted.
+def threshold(scored: DataFrame) -> float:
+    """The cut that misjudges the smallest share of either label, of all rows of ``scored`` (_score, _accept).
 
-    The threshold is the midpoint of the score gap that misjudges the smallest share of either
-    label, on the ``calibration_rows`` rows with the smallest hashed URLs.
+    Rows are counted by label and score, rounded to steps of the range of all scores, and the cut
+    lies midway between two of the steps that rows have. Without both labels all rows are on one side.
     """
-    model = _assemble(kept_grams(checkpointed(gram_counts(labelled))).toArrow())
-    sample = labelled.orderBy(F.xxhash64("_url"), "_url").limit(calibration_rows).collect()
-    accept = np.array([r["_accept"] for r in sample], bool)
-    if not accept.any() or accept.all():
-        model.threshold = -np.inf if accept.any() or not len(accept) else np.inf
-        return model
-    scores = model.differences([r["_url"] for r in sample])
-    order = np.argsort(scores, kind="stable")
-    wrong_low = np.concatenate([[0], np.cumsum(accept[order])]) / accept.sum()  # accepted ones below the cut
-    wrong_high = 1 - np.concatenate([[0], np.cumsum(~accept[order])]) / (~accept).sum()
+    edges = scored.agg(F.min("_score").alias("low"), F.max("_score").alias("high"), F.count_if("_accept").alias("accepted"), F.count_if(~F.col("_accept")).alias("rejected")).first()
+    if not edges["accepted"] or not edges["rejected"]:
+        return -np.inf if edges["accepted"] or not edges["rejected"] else np.inf
+    step = max((edges["high"] - edges["low"]) / SCORE_STEPS, 1e-12)
+    counts = scored.groupBy(F.round((F.col("_score") - edges["low"]) / step).cast("long").alias("place")).agg(
+        F.count_if("_accept").alias("accepted"), F.count_if(~F.col("_accept")).alias("rejected")
+    )
+    rows = sorted(counts.collect())
+    place, accepted, rejected = np.array([list(r) for r in rows], np.int64).T
+    wrong_low = np.concatenate([[0], np.cumsum(accepted)]) / accepted.sum()  # accepted ones below the cut
+    wrong_high = 1 - np.concatenate([[0], np.cumsum(rejected)]) / rejected.sum()
     cut = int(np.argmin(wrong_low + wrong_high))
-    ends = np.concatenate([[scores[order[0]] - 1], scores[order], [scores[order[-1]] + 1]])
-    model.threshold = float((ends[cut] + ends[cut + 1]) / 2)
+    scores = edges["low"] + place * step
+    ends = np.concatenate([[scores[0] - 1], scores, [scores[-1] + 1]])
+    return float((ends[cut] + ends[cut + 1]) / 2)
+
+
+def fit(labelled: DataFrame) -> RatioModel:
+    """Fit on all rows of ``labelled`` (_url: host and path, _accept), the threshold on all of them too.
+
+    Without both labels all URLs are accepted or all rejected.
+    """
+    model = _assemble(kept_grams(checkpointed(gram_counts(labelled))).toArrow())
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        scores = shared.value.differences(column_of(batch, "_url").to_pylist())
+        return batch_of(_score=pa.array(scores, pa.float64()), _accept=column_of(batch, "_accept"))
+
+    scored = checkpointed(map_slices(labelled.select("_url", "_accept"), "_url", run, "_score double, _accept boolean"))
+    model.threshold = threshold(scored)
+    shared.unpersist()
     return model
 
 
