@@ -80,3 +80,48 @@ def test_odd_rows(odd, nothing, table):
 def test_long_runs_take_linear_time():
     for t in ("1" * 300_000 + ".2.3", "a" * 300_000 + "@", "a" * 300_000 + " b@c.de", "+" + "1 " * 150_000):
         assert base_spans(t) == [s for s in base_spans(t) if s[2] - s[0] < 100]
+
+
+def spans_in(found, texts):
+    return {k: [(KINDS[s["kind"]], t[s["start"] : s["end"]]) for s in found[k]] for k, t in texts}
+
+
+def test_digits_joined_by_blanks_and_parentheses(table):
+    rng = random.Random(8)
+    phone = lambda: f"+1 ({rng.randrange(100, 999)}) 555-{rng.randrange(1000, 9999)}"
+    texts = [(k, f"some text call me under {phone()} today or write") for k in range(14)]
+    others = ["030 123 4567", "(743) 555-3824", "0711/445 566", "(030) 123.45.67"]
+    texts += [(100 + k, f"other text call me under {value} today then") for k, value in enumerate(others)]
+    texts += [(200, "chapter 030 123 4567 of the list"), (201, "call me under (555 0199 123) today")]
+    rows = {r["doc_id"]: r["spans"] for r in find_personal_data(table(texts)).collect()}
+    spans = spans_in(rows, texts)
+    for k, value in enumerate(others):
+        assert spans[100 + k] == [("phone", value)], value
+    assert spans[201] == [("phone", "555 0199 123")]
+    # The same value in a context that says nothing: values are vouched for, wherever they stand.
+    assert spans[200] == [("phone", "030 123 4567")]
+    masked = {r["doc_id"]: r["text"] for r in redacted(table(texts)).collect()}
+    assert masked[101] == "other text call me under [phone] today then"
+
+
+def test_discovered_instances_induce_patterns(table):
+    """Identifiers found in one context admit a second one, which holds no exact shape at all."""
+    rng = random.Random(9)
+    phone = lambda: f"+1 ({rng.randrange(100, 999)}) 555-{rng.randrange(1000, 9999)}"
+    texts = [(k, f"some text call me under {phone()} today or write") for k in range(30)]
+    known = [f"0{rng.randrange(100, 999)}-{rng.randrange(10**6, 10**7)}" for _ in range(5)]
+    texts += [(100 + k, f"other text call me under {v} today then") for k, v in enumerate(known)]
+    texts += [(200 + k, f"the hotline reaches {v} always") for k, v in enumerate(known)]
+    texts += [(300, "the hotline reaches 0999-7654321 always"), (301, "the invoice lists 0999-1234567 only")]
+    rows = {r["doc_id"]: r["spans"] for r in find_personal_data(table(texts)).collect()}
+    spans = spans_in(rows, texts)
+    assert all(spans[200 + k] == [("phone", v)] for k, v in enumerate(known))
+    assert spans[300] == [("phone", "0999-7654321")]
+    assert not spans[301]
+
+
+def test_grouped_digits_take_linear_time():
+    from veilframe.llm.pii import _grouped
+
+    for t in ("1 " * 150_000, "1" * 300_000 + "x", "(" * 300_000, "1(" * 150_000 + "x", "(1 2)" * 60_000):
+        assert _grouped(t, []) == []

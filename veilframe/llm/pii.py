@@ -3,8 +3,9 @@
 The exact shapes (e-mail, IP address, payment card, phone) are the seeds. Their surroundings are
 lexical patterns: the words before and after. A graph joins patterns and the instances that they
 surround; a few rounds of scoring on Spark pass confidence from seeds to patterns and from
-patterns to instances that no exact shape covers. Instances with enough confidence become
-further spans of the kind of their patterns.
+patterns to instances that no exact shape covers. Instances with enough confidence count as
+seeds when patterns are admitted in the next round, so what one context reveals opens others, and
+they become further spans of the kind of their patterns.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import batch_of, checkpointed, column_of, map_slices, slices, texts_of
@@ -27,12 +28,15 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DOTTED = re.compile(r"[0-9]\.[0-9]")
 RUN = re.compile(r"""[^\x20\x09-\x0D"'<>()\[\]{},;:=]+""")
+# Digits joined by blanks, dots, hyphens, slashes and parentheses; no group of digits touches a letter.
+GROUPED = re.compile(r"[+(]{0,2}(?<!\w)[0-9]++(?!\w)(?:[\x20./()-]{1,3}+[0-9]++(?!\w))*+")
+BREAKS = re.compile(r"[\x20()]")
 MARKER = re.compile(r"[0-9@]")
 WORD = re.compile(r"[^\W\d_]+")
 CONTEXT_REACH = 48  # code points on either side in which context words are looked for
 
 ROUNDS = 3
-MIN_SEEDS = 3  # distinct seeds that a trusted pattern surrounds
+MIN_SEEDS = 3  # distinct seeds or instances with enough confidence that a trusted pattern surrounds
 MIN_CONFIDENCE = 0.8
 
 
@@ -107,16 +111,35 @@ def _context(text: str, start: int, end: int) -> tuple[str, str]:
     return " ".join(before), after.group() if after else ""
 
 
-MENTION = "array<struct<start:bigint,end:bigint,kind:string,value:string,before:string,after:string,kinds:array<string>>>"
+def _grouped(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, list[str]]]:
+    """(start, end, kinds) of the joined digits between the exact shapes that a single run does not hold whole."""
+    found, low = [], 0
+    for start, end in [*((a, b) for a, _, b in base), (len(text), len(text))]:
+        for m in GROUPED.finditer(text, low, start) if start > low else ():
+            a, b = m.span()
+            if ")" not in m.group():
+                a += m.group().startswith("(")
+            if BREAKS.search(text, a, b):
+                kinds = shape_fits(text[a:b])
+                if kinds:
+                    found.append((a, b, kinds))
+        low = max(low, end)
+    return found
+
+
+MENTION = "array<struct<start:bigint,end:bigint,kind:string,value:string,before:string,after:string,kinds:array<string>,part:boolean>>"
 
 
 def mentions(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """_key, _print (hash of the text), _spans (exact shapes) and _mentions: spans and other identifiers in context."""
+    """_key, _print (hash of the text), _spans (exact shapes) and _mentions: spans and other identifiers in context.
+
+    A run of characters inside a longer group of joined digits is a mention too, marked as its part.
+    """
     kind = docs.select(key).schema[0].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
     text_type, number = pa.string(), pa.int64()
-    names = ("start", "end", "kind", "value", "before", "after", "kinds")
-    mention = pa.list_(pa.struct(list(zip(names, (number, number, *[text_type] * 4, pa.list_(text_type)), strict=True))))
+    names = ("start", "end", "kind", "value", "before", "after", "kinds", "part")
+    mention = pa.list_(pa.struct(list(zip(names, (number, number, *[text_type] * 4, pa.list_(text_type), pa.bool_()), strict=True))))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         spans, found = [], []
@@ -126,8 +149,11 @@ def mentions(docs: DataFrame, key: str, text: str) -> DataFrame:
             row = []
             for a, k, b in base:
                 before, after = _context(t, a, b)
-                row.append((a, b, KINDS[k], t[a:b], before, after, [KINDS[k]]))
-            taken = 0
+                row.append((a, b, KINDS[k], t[a:b], before, after, [KINDS[k]], False))
+            groups = _grouped(t, base) if MARKER.search(t) else []
+            for a, b, kinds in groups:
+                row.append((a, b, None, t[a:b], *_context(t, a, b), kinds, False))
+            taken = passed = 0
             for m in RUN.finditer(t) if MARKER.search(t) else ():
                 a, b = m.span()
                 if not MARKER.search(t, a, b):
@@ -140,8 +166,11 @@ def mentions(docs: DataFrame, key: str, text: str) -> DataFrame:
                 kinds = shape_fits(value) if value else []
                 if kinds:
                     a += m.group().index(value)
-                    before, after = _context(t, a, a + len(value))
-                    row.append((a, a + len(value), None, value, before, after, kinds))
+                    b = a + len(value)
+                    while passed < len(groups) and groups[passed][1] <= a:
+                        passed += 1
+                    part = passed < len(groups) and groups[passed][0] < b
+                    row.append((a, b, None, value, *_context(t, a, b), kinds, part))
             found.append([dict(zip(names, r, strict=True)) for r in row])
         return batch_of(
             _key=column_of(batch, "_key"), _print=column_of(batch, "_print"), _spans=pa.array(spans, span), _mentions=pa.array(found, mention)
@@ -163,31 +192,36 @@ def _patterns() -> Column:
 def trusted_instances(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """kind, value of the identifiers that the scored graph of patterns and instances vouches for.
 
-    Edges are (pattern, kind, value) with a count, summed before they are shuffled. A pattern's
-    confidence in a kind is the mean confidence of its instances, weighed by the logarithm of
-    their counts; it needs ``min_seeds`` distinct seeds. An instance's confidence is one less
-    the chance that all its patterns err. Seeds keep confidence 1.
+    Edges are (pattern, kind, value) with a count, summed before they are shuffled. In each round
+    a pattern is admitted that surrounds ``min_seeds`` distinct values with ``min_confidence``, seeds
+    or instances found in earlier rounds. Its confidence in a kind is the mean confidence of its
+    instances, weighed by the logarithm of their counts. An instance's confidence is one less the
+    chance that all its patterns err. Seeds keep confidence 1. Parts of a longer candidate are
+    judged, but neither admit patterns nor weigh in them.
     """
+    whole = F.count_if(~F.col("part"))
     edges = checkpointed(
         found.select(F.explode("_mentions").alias("m"))
-        .select(_patterns().alias("pattern"), F.col("m.kind").isNotNull().alias("seed"), F.explode("m.kinds").alias("kind"), F.col("m.value").alias("value"))
-        .groupBy("pattern", "kind", "value", "seed")
-        .agg(F.log2(F.count(F.lit(1)) + F.lit(1.0)).alias("weight"))
+        .select(
+            _patterns().alias("pattern"), F.col("m.kind").isNotNull().alias("seed"), F.explode("m.kinds").alias("kind"), F.col("m.value").alias("value"), F.col("m.part").alias("part")
+        )
+        .groupBy("pattern", "kind", "value")
+        .agg(F.bool_or("seed").alias("seed"), F.bool_or(~F.col("seed")).alias("plain"), F.log2(whole + F.lit(1.0)).alias("weight"))
     )
-    # Only patterns with enough seeds can ever be trusted; the others leave the graph.
-    worthy = edges.where("seed").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= min_seeds)
-    graph = checkpointed(edges.join(worthy.select("pattern", "kind"), ["pattern", "kind"]).withColumn("confidence", F.col("seed").cast("double")))
+    # Patterns with fewer values can be admitted in no round; they leave the graph.
+    worthy = edges.where("weight > 0").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("values")).where(F.col("values") >= min_seeds)
+    graph = checkpointed(edges.join(worthy.select("pattern", "kind"), ["pattern", "kind"]).withColumn("found", F.lit(0.0)))
+    confidence = F.when(F.col("seed"), 1.0).otherwise(F.col("found"))
     for _ in range(rounds):
-        scores = graph.groupBy("pattern", "kind").agg((F.sum(F.col("weight") * F.col("confidence")) / F.sum("weight")).alias("score"))
-        scored = graph.join(scores, ["pattern", "kind"])
+        sure = F.count_if((F.col("weight") > 0) & (confidence >= min_confidence))
+        scores = graph.groupBy("pattern", "kind").agg((F.sum(F.col("weight") * confidence) / F.sum("weight")).alias("score"), sure.alias("sure"))
+        scored = graph.where("plain").join(scores.where(F.col("sure") >= min_seeds).drop("sure"), ["pattern", "kind"])
         doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))))
-        instances = scored.where("not seed").groupBy("kind", "value").agg((1 - doubt).alias("found"))
+        instances = scored.groupBy("kind", "value").agg((1 - doubt).alias("now"))
         graph = checkpointed(
-            graph.join(instances, ["kind", "value"], "left").select(
-                "pattern", "kind", "value", "seed", "weight", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("found", F.lit(0.0))).alias("confidence")
-            )
+            graph.join(instances, ["kind", "value"], "left").select("pattern", "kind", "value", "seed", "plain", "weight", F.coalesce("now", F.lit(0.0)).alias("found"))
         )
-    return graph.where((~F.col("seed")) & (F.col("confidence") >= min_confidence)).select("kind", "value").distinct()
+    return graph.where(F.col("plain") & (F.col("found") >= min_confidence)).select("kind", "value").distinct()
 
 
 def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -201,6 +235,7 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
     found = checkpointed(mentions(docs, key, text))
     trusted = trusted_instances(found)
     numbers = F.create_map(*[x for k, name in enumerate(KINDS) for x in (F.lit(name), F.lit(k))])
+    earlier = Window.partitionBy("_key", "_print").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     more = (
         found.select("_key", "_print", F.explode("_mentions").alias("m"))
         .where("m.kind is null")
@@ -209,6 +244,8 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
         .withColumn("number", numbers[F.col("kind")])
         .groupBy("_key", "_print", "start", "end")
         .agg(F.min("number").alias("kind"))
+        .withColumn("reached", F.max("end").over(earlier))
+        .where("reached is null or reached < end")  # a part inside a longer span says nothing new
         .groupBy("_key", "_print")
         .agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
         .withColumnsRenamed({"_key": "_other_key", "_print": "_other_print"})
