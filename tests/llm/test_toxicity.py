@@ -105,3 +105,22 @@ def test_same_model_for_any_partitioning(documents, spark, small):
     one = tox.fit_sample(documents, labels, F.lit(True))
     two = tox.fit_sample(documents.repartition(5), labels.repartition(3), F.lit(True))
     assert one[0] == two[0] and (one[1] == two[1]).all()
+
+
+def test_phrase_is_whole_in_some_window():
+    """A phrase of 12 words lies in a window at every offset of the text."""
+    words = words_of(pa.array([" ".join(["w"] * 100)]), NOT_ALNUM)
+    starts, _ = tox.windows(words)
+    for at in range(100 - 12 + 1):
+        assert ((starts <= at) & (at + 12 <= starts + tox.WINDOW)).any(), at
+
+
+def test_sample_of_repeated_and_long_documents(table, spark):
+    """A labelled document that repeats comes once, and a long one comes whole."""
+    long = " ".join(f"word{k}" for k in range(9000))
+    pairs = [(1, "hot text here")] * 3000 + [(2, f"version {k} of a hot key") for k in range(300)] + [(3, long), (4, "cold text"), (5, "not labelled")]
+    named = spark.createDataFrame([(k, k % 2) for k in range(1, 5)], "doc_id bigint, toxic int")
+    texts, labels = tox.fit_sample(table(pairs).repartition(7), named, F.lit(True))
+    assert len(texts) == len(labels) == 303 and len(set(texts)) == 303
+    assert long in texts and labels[texts.index(long)] == 1
+    assert len(tox.fit_sample(table(pairs).repartition(7), named, F.lit(True), fit_rows=50)[0]) == 50

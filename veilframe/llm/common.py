@@ -57,6 +57,33 @@ def map_slices(
     return df.mapInArrow(run, schema)
 
 
+def sampled(docs: DataFrame, ids: DataFrame, count: int, most_bytes: int) -> DataFrame:
+    """Whole texts of ``docs`` (_key, _text) for a bounded sample of ``ids``: distinct _key, _print (xxhash64 of the text), _bytes and other columns.
+
+    The sample is the ids with the smallest hashes, at most ``count`` of them and ``most_bytes`` of
+    text (a text that is too long by itself comes only when no other does). Each row of ``ids`` gives
+    one row, however often ``docs`` repeats it.
+    """
+    first = ids.orderBy(F.xxhash64("_key", "_print"), "_key", "_print").limit(count).collect()
+    kept, total = [], 0
+    for row in first:
+        if total + row["_bytes"] <= most_bytes:
+            kept.append(row)
+            total += row["_bytes"]
+    chosen = docs.sparkSession.createDataFrame(kept or first[:1], ids.schema).drop("_bytes")
+    joined = docs.withColumn("_print", F.xxhash64("_text")).join(F.broadcast(chosen), ["_key", "_print"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            pairs = list(zip(column_of(batch, "_key").to_pylist(), column_of(batch, "_print").to_pylist(), strict=True))
+            new = {pair: k for k, pair in reversed(list(enumerate(pairs))) if pair not in seen}
+            seen.update(new)
+            yield batch.take(pa.array(sorted(new.values()), pa.int64()))
+
+    return joined.mapInArrow(run, joined.schema).dropDuplicates(["_key", "_print"])
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """Python texts of a slice, null as the empty text."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]

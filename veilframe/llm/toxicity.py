@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import NOT_ALNUM, Words, batch_of, column_of, map_slices, mix, ranges, slices, window_hashes, words_of
+from veilframe.llm.common import NOT_ALNUM, Words, batch_of, column_of, map_slices, mix, ranges, sampled, slices, window_hashes, words_of
 
-WINDOW, STRIDE = 24, 18
+WINDOW, STRIDE = 24, 12  # a phrase of up to 13 words is whole in some window
 WORD_SIZE, CHAR_SIZE, HIDDEN = 8, 8, 8
 CHAR_ROWS = 1 << 13
 FIT_ROWS = 4000  # labelled documents in the fitting sample
-FIT_WORDS = 2048  # words of one document that fitting looks at: evenly spaced runs of a longer one
+FIT_BYTES = 16 << 20  # of their texts
 MAX_VOCABULARY = 60_000
 STEPS, BATCH, RATE = 700, 256, 0.01
 BATCH_WINDOWS = 2048
@@ -356,30 +356,14 @@ def fit_sample(
 ) -> tuple[list[str], np.ndarray]:
     """Texts and labels of at most ``fit_rows`` labelled documents that ``allowed`` (on the labels table) admits.
 
-    The sample is the documents with the smallest hashed keys, so it does not depend on the
-    partitioning. Of a document with more than FIT_WORDS words, evenly spaced runs are taken.
+    Rows that repeat key and text count once. The sample is the rows with the smallest hashes, so it
+    does not depend on the partitioning; their texts are whole, at most FIT_BYTES in all.
     """
-    chosen = (
-        labels.where(allowed & F.col(label).isin(0, 1))
-        .select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
-        .dropDuplicates(["_key"])
-        .orderBy(F.xxhash64("_key"), "_key")
-        .limit(fit_rows)
-    )
-    rows = docs.select(docs[key].alias("_key"), docs[text].alias("_text")).join(F.broadcast(chosen), "_key")
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = words_of(column_of(batch, "_text"), NOT_ALNUM)
-        texts = []
-        for a, b in zip(words.rows[:-1], words.rows[1:], strict=True):
-            step = max(1, -(-(b - a) // FIT_WORDS))
-            at = [w for s in range(a, b, step * WINDOW) for w in range(s, min(s + WINDOW, b))]
-            texts.append(b" ".join(words.data[words.starts[w] : words.ends[w]].tobytes() for w in at).decode("utf-8", "replace"))
-        return batch_of(_key=column_of(batch, "_key"), _label=column_of(batch, "_label"), _text=pa.array(texts, pa.string()))
-
-    kind = docs.select(key).schema[0].dataType.simpleString()
-    found = map_slices(rows, "_text", run, f"_key {kind}, _label int, _text string").collect()
-    found = sorted(found, key=lambda r: (r["_key"], r["_text"]))
+    labelled = labels.where(allowed & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.max(F.col(label).cast("int")).alias("_label"))
+    rows = docs.select(docs[key].alias("_key"), F.coalesce(docs[text], F.lit("")).alias("_text"))
+    ids = rows.select("_key", F.xxhash64("_text").alias("_print"), F.octet_length("_text").alias("_bytes"))
+    ids = ids.groupBy("_key", "_print").agg(F.max("_bytes").alias("_bytes")).join(labelled, "_key")
+    found = sorted(sampled(rows, ids, fit_rows, FIT_BYTES).collect(), key=lambda r: (r["_key"], r["_text"]))
     return [r["_text"] for r in found], np.array([r["_label"] for r in found], np.int64)
 
 
