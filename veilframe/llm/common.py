@@ -58,13 +58,15 @@ def map_slices(
 
 
 def sampled(docs: DataFrame, ids: DataFrame, count: int, most_bytes: int) -> DataFrame:
-    """Whole texts of ``docs`` (_key, _text) for a bounded sample of ``ids``: distinct _key, _print (xxhash64 of the text), _bytes and other columns.
+    """Whole texts of ``docs`` (_key, _text) for a bounded sample of ``ids``: _key, _print (xxhash64 of the text), _bytes and other columns.
 
     The sample is the ids with the smallest hashes, at most ``count`` of them and ``most_bytes`` of
     text (a text that is too long by itself comes only when no other does). Each row of ``ids`` gives
     one row, however often ``docs`` repeats it.
     """
-    first = ids.orderBy(F.xxhash64("_key", "_print"), "_key", "_print").limit(count).collect()
+    others = [c for c in ids.columns if c not in ("_key", "_print")]
+    first = ids.orderBy(F.xxhash64("_key", "_print"), "_key", "_print", *others).limit(count).collect()
+    first = list({(r["_key"], r["_print"]): r for r in reversed(first)}.values())[::-1]
     kept, total = [], 0
     for row in first:
         if total + row["_bytes"] <= most_bytes:
