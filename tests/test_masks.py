@@ -3,9 +3,9 @@
 import math
 
 import pytest
-from conftest import people_rows
 from pyspark.sql import functions as F
 
+from tests.rows import people_rows
 from veilframe import Draws, MaskingConfig, MaskSpec
 from veilframe.functions.draws import gaussian_pair, laplace
 from veilframe.operators.masks import bucketed_swap, evaluate_masks, release, table_facts, wide

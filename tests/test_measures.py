@@ -2,9 +2,9 @@
 
 import numpy as np
 import pytest
-from conftest import people_rows
 from pyspark.sql import functions as F
 
+from tests.rows import people_rows
 from veilframe import Draws, MaskingConfig, MaskSpec
 from veilframe.operators import drift, features, moments, privacy, scoring, utility
 from veilframe.operators.clean import cap_rows, clean_people, resolve_headers

@@ -3,9 +3,9 @@
 import json
 
 import pytest
-from conftest import people_rows
 from pyspark.sql import functions as F
 
+from tests.rows import people_rows
 from veilframe import Draws, MaskingConfig, MaskSpec
 from veilframe.operators.masks import evaluate_masks
 from veilframe.operators.models import MODEL_SCHEMA, ModelOptions, evaluate_models, unmasked
