@@ -158,10 +158,8 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def words_of(column: pa.Array, separators: np.ndarray = SPACES) -> Words:
-    """Words of lower-cased (A-Z) texts. Equal words have equal hashes; unequal ones differ but for 2^-64."""
-    raw, at = bytes_of(column)
-    data = LOWER[raw]
+def word_edges(data: np.ndarray, at: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which bytes belong to words, where words begin and where they end; no word crosses a row."""
     n = len(data)
     inside = ~separators[data]
     first = inside.copy()
@@ -172,8 +170,15 @@ def words_of(column: pa.Array, separators: np.ndarray = SPACES) -> Words:
         edges = at[(at > 0) & (at < n)]
         first[edges] = inside[edges]
         last[edges - 1] = inside[edges - 1]
-    starts = np.flatnonzero(first)
-    ends = np.flatnonzero(last) + 1
+    return inside, np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def words_of(column: pa.Array, separators: np.ndarray = SPACES) -> Words:
+    """Words of lower-cased (A-Z) texts. Equal words have equal hashes; unequal ones differ but for 2^-64."""
+    raw, at = bytes_of(column)
+    data = LOWER[raw]
+    n = len(data)
+    _, starts, ends = word_edges(data, at, separators)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE_VALUE[data] * _powers(_BASE, n)[:n], out=total[1:])
     hashes = (total[ends] - total[starts]) * _powers(_BASE_INVERSE, n)[starts] if n else np.zeros(0, np.uint64)

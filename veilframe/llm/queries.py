@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import decontam, language_id, licenses, near_dedup, pii, quality, sentencepiece_codec, sharding, toxicity, url_filter
+from veilframe.llm import decontam, divergence, language_id, licenses, near_dedup, pii, quality, sentencepiece_codec, sharding, toxicity, url_filter
 from veilframe.llm.common import crc32_mod, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
 
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(read(spark, sf_dir, "documents"))
+
+
 # All documents that share a shingle are compared; fine for small tables.
 ORACLE["op4_near_dedup"] = r"""
 WITH RECURSIVE
@@ -108,3 +113,36 @@ reached AS (
 SELECT doc_id, len(s)::BIGINT AS n_shingles, least_id AS component_id, doc_id = least_id AS kept
 FROM sets JOIN (SELECT node, min(other) AS least_id FROM reached GROUP BY node) ON doc_id = node
 """
+
+ORACLE["op11_source_divergence"] = r"""
+WITH
+docs AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+found AS (SELECT k, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM found GROUP BY ALL HAVING count(DISTINCT k) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM found SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+cells AS (
+  SELECT g.lang, g.source, t.term, coalesce(c.n, 0) AS n, t.n AS n_lang
+  FROM groups g JOIN kept t USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term),
+sized AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total FROM cells),
+shares AS (
+  SELECT s.lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 5) // (s.total::HUGEINT + 5 * v) AS p,
+         1 + 1000000000::HUGEINT * (n_lang + 5) // (l.total + 5 * v) AS q
+  FROM sized s JOIN langs l USING (lang)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN shares y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL),
+parts AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+WHERE part = 'pair' OR rank <= 50
+"""
