@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import decontam, divergence, language_id, licenses, near_dedup, pii, quality, sentencepiece_codec, sharding, toxicity, url_filter
+from veilframe.llm import collocations, decontam, divergence, language_id, licenses, mixing, near_dedup, pii, quality, sentencepiece_codec, sharding, toxicity, url_filter
 from veilframe.llm.common import crc32_mod, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,16 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(read(spark, sf_dir, "documents"))
 
 
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(read(spark, sf_dir, "documents"))
+
+
 # All documents that share a shingle are compared; fine for small tables.
 ORACLE["op4_near_dedup"] = r"""
 WITH RECURSIVE
@@ -146,3 +156,39 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
 WHERE part = 'pair' OR rank <= 50
 """
+
+ORACLE["op12_collocations"] = r"""
+WITH
+docs AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs),
+worded AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+f1 AS (SELECT lang, unnest(w) AS p, count(*) AS f FROM worded GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM f1 GROUP BY lang),
+twos AS (SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i:i + 1])) AS g FROM worded WHERE len(w) >= 2),
+threes AS (SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS g FROM worded WHERE len(w) >= 3),
+f2 AS (SELECT lang, g, count(*) AS a FROM twos GROUP BY ALL),
+f3 AS (SELECT lang, g, count(*) AS a FROM threes GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (
+  SELECT c.lang, c.g, c.a, 1 AS k, x.f AS l, y.f AS r
+  FROM f2 c JOIN f1 x ON x.lang = c.lang AND x.p = c.g[1] JOIN f1 y ON y.lang = c.lang AND y.p = c.g[2] WHERE c.a >= 10
+  UNION ALL
+  SELECT c.lang, c.g, c.a, 1, x.f, y.a
+  FROM f3 c JOIN f1 x ON x.lang = c.lang AND x.p = c.g[1] JOIN f2 y ON y.lang = c.lang AND y.g = c.g[2:3]
+  UNION ALL
+  SELECT c.lang, c.g, c.a, 2, x.a, y.f
+  FROM f3 c JOIN f2 x ON x.lang = c.lang AND x.g = c.g[1:2] JOIN f1 y ON y.lang = c.lang AND y.p = c.g[3]),
+scored AS (SELECT *, 1000000::HUGEINT * a * a // (l::HUGEINT * r) AS score FROM cuts),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+around AS (
+  SELECT lang, part, max(a) AS around
+  FROM (SELECT lang, g[1:2] AS part, a FROM f3 UNION ALL SELECT lang, g[2:3], a FROM f3) GROUP BY ALL),
+kept AS (
+  SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.part = b.g
+  WHERE o.around IS NULL OR 100 * o.around < 50 * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
