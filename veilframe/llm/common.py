@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage by a compressed table in the shared folder, for results that are read more than once by columns."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def crc32_mod(column: str, modulus: int) -> Column:
     """crc32 of a column's text, modulo a small number (null stays null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

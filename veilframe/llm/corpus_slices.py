@@ -17,7 +17,7 @@ from pyspark import TaskContext
 
 from veilframe.llm.common import LOWER, SPACES, bytes_of, column_of, slices, word_edges
 
-CORPUS_SLICE_BYTES = 8 << 20
+CORPUS_SLICE_BYTES = 16 << 20
 
 
 def corpus_slices(batches: Iterator[pa.RecordBatch], text: str, size: int = CORPUS_SLICE_BYTES) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -54,11 +54,24 @@ class CodedWords:
         return np.repeat(np.arange(len(self.rows) - 1), np.diff(self.rows))
 
 
-def coded_words(column: pa.Array, separators: np.ndarray = SPACES) -> CodedWords:
-    """Lower-cased (A-Z) words between ASCII separators, null texts as empty."""
+def coded_words(column: pa.Array, separators: np.ndarray = SPACES, inner: np.ndarray | None = None) -> CodedWords:
+    """Lower-cased (A-Z) words between ASCII separators, null texts as empty.
+
+    With ``inner``, bytes outside it are stripped from both ends of each word; words of nothing else go.
+    """
     raw, at = bytes_of(column)
     data = LOWER[raw]
     inside, starts, ends = word_edges(data, at, separators)
+    if inner is not None and len(starts):
+        solid = np.append(np.flatnonzero(inner[data]), len(data))
+        starts = solid[np.searchsorted(solid, starts)]
+        left = starts < ends
+        starts, ends = starts[left], ends[left]
+        ends = solid[np.searchsorted(solid, ends) - 1] + 1
+        change = np.zeros(len(data) + 1, np.int8)
+        change[starts] += 1
+        change[ends] -= 1
+        inside = np.cumsum(change[:-1], dtype=np.int8).astype(bool)
     offsets = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(ends - starts, out=offsets[1:])
     strings = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[inside]))

@@ -1,10 +1,12 @@
 """Source divergence audit by chunk factorization.
 
 How far do the sources of a language differ in their terms, and by which terms? Texts are
-factored into whitespace chunks: a document is a list of distinct chunks with counts, and a chunk
-that the whole corpus repeats billions of times is tokenized once. The terms found are joined back
-to the slices of the corpus that use the chunk, where distinct documents and occurrences are
-counted for each language, source and term.
+factored into whitespace chunks (without the signs at their ends): a document is a list of distinct
+chunks with counts, and a chunk that the whole corpus repeats billions of times is tokenized once.
+The documents of a term's chunks, summed, are at least the documents of the term, so most rare terms
+are known to be rare before any text is looked at again. The others are joined back to the slices of
+the corpus that use the chunk, where distinct documents and occurrences are counted for each
+language, source and term.
 
 A chunk is sent at most once for each slice, so no key of that join holds more than one row for
 each slice, however frequent the chunk is. All arithmetic is on whole numbers.
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import batch_of, checkpointed, column_of, ranges
+from veilframe.llm.common import batch_of, checkpointed, column_of, ranges, stored
 from veilframe.llm.corpus_slices import CORPUS_SLICE_BYTES, coded_words, corpus_slices, packed, unpacked
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -31,7 +33,14 @@ BLOCK_ROWS = 1 << 18  # counts that a task compares at a time
 BLOCK_CELLS = 1 << 22
 BROADCAST_GROUPS = 50_000  # (language, source) groups sent to all tasks; more are joined by shuffle
 
-FACTORED = "slice long, langs array<string>, sources array<string>, group_of binary, chunks array<string>, per_row binary, codes binary, counts binary"
+TERM_BYTES = np.ones(256, bool)  # bytes that TERM admits, in lower-cased UTF-8
+TERM_BYTES[:0x80] = False
+TERM_BYTES[0x61:0x7B] = True
+
+FACTORED = (
+    "slice long, langs array<string>, sources array<string>, group_of binary, per_row binary, codes binary, counts binary, kinds long, "
+    "chunks array<struct<chunk: string, docs: int>>"
+)
 COUNTED = "lang string, source string, term string, docs long, n long"
 
 
@@ -40,22 +49,25 @@ def factored(docs: DataFrame, text: str, lang: str, source: str, size: int = COR
 
     def run(batches):
         for number, batch in corpus_slices(batches, "_text", size):
-            words = coded_words(column_of(batch, "_text"))
+            words = coded_words(column_of(batch, "_text"), inner=TERM_BYTES)
             kinds = max(len(words.vocabulary), 1)
             pairs, counts = np.unique(words.row_of_word() * kinds + words.codes, return_counts=True)
             per_row = np.bincount(pairs // kinds, minlength=batch.num_rows)
             groups = pa.StructArray.from_arrays([column_of(batch, "_lang"), column_of(batch, "_source")], ["lang", "source"])
             known: dict[tuple, int] = {}
             group_of = [known.setdefault((g["lang"], g["source"]), len(known)) for g in groups.to_pylist()]
+            in_docs = np.bincount(pairs % kinds, minlength=len(words.vocabulary))
+            chunks = pa.StructArray.from_arrays([words.vocabulary.cast(pa.string()), pa.array(in_docs, pa.int32())], ["chunk", "docs"])
             yield batch_of(
                 slice=pa.array([number], pa.int64()),
                 langs=pa.array([[g[0] for g in known]], pa.list_(pa.string())),
                 sources=pa.array([[g[1] for g in known]], pa.list_(pa.string())),
                 group_of=pa.array([packed(np.array(group_of, np.int64))], pa.binary()),
-                chunks=pa.array([words.vocabulary.to_pylist()], pa.list_(pa.string())),
                 per_row=pa.array([packed(per_row)], pa.binary()),
                 codes=pa.array([packed(pairs % kinds)], pa.binary()),
                 counts=pa.array([packed(counts)], pa.binary()),
+                kinds=pa.array([len(chunks)], pa.int64()),
+                chunks=pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks),
             )
 
     rows = docs.select(*[F.coalesce(docs[c], F.lit("")).alias(n) for c, n in ((text, "_text"), (lang, "_lang"), (source, "_source"))])
@@ -65,15 +77,13 @@ def factored(docs: DataFrame, text: str, lang: str, source: str, size: int = COR
 def _terms_counted(slice_rows: pa.Table, found: pa.Table) -> pa.Table:
     """Documents and occurrences of each group and term of one slice."""
     row = slice_rows.slice(0, 1).to_pylist()[0]
-    lists = found.column("terms").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    coded = lists.flatten().dictionary_encode()
+    chunk_kinds = int(row["kinds"])
+    order = np.argsort(found.column("pos").to_numpy(), kind="stable")
+    at = found.column("pos").to_numpy()[order]
+    coded = found.column("term").combine_chunks().take(pa.array(order)).dictionary_encode()
     term_codes, terms = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-    lengths = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
-    starts = np.zeros(len(row["chunks"]), np.int64)
-    many = np.zeros(len(row["chunks"]), np.int64)
-    at = found.column("pos").to_numpy()
-    starts[at], many[at] = np.cumsum(lengths) - lengths, lengths
+    many = np.bincount(at, minlength=chunk_kinds)
+    starts = np.cumsum(many) - many
 
     codes, counts, per_row = (unpacked(row[c]) for c in ("codes", "counts", "per_row"))
     group_of, doc = unpacked(row["group_of"]), np.repeat(np.arange(len(per_row)), per_row)
@@ -98,17 +108,25 @@ def _terms_counted(slice_rows: pa.Table, found: pa.Table) -> pa.Table:
     )
 
 
-def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", size: int = CORPUS_SLICE_BYTES) -> DataFrame:
-    """lang, source, term, docs (distinct documents) and n (occurrences) of all documents; nulls count as ''."""
-    slices = checkpointed(factored(docs, text, lang, source, size))
-    used = slices.select("slice", F.posexplode("chunks").alias("pos", "chunk"))
-    tokenized = used.select("chunk").distinct().withColumn("terms", F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0)))
-    found = used.join(tokenized.where(F.size("terms") > 0), "chunk").select(F.col("slice").alias("to_slice"), "pos", "terms")
+def term_counts(
+    docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_docs: int = 1, size: int = CORPUS_SLICE_BYTES
+) -> DataFrame:
+    """lang, source, term, docs (distinct documents) and n (occurrences) of all documents; nulls count as ''.
+
+    Terms in fewer than ``least_docs`` documents of all languages may be left out.
+    """
+    slices = stored(factored(docs, text, lang, source, size))
+    used = slices.select(F.col("slice").alias("to_slice"), F.posexplode("chunks").alias("pos", "c")).select("to_slice", "pos", "c.chunk", "c.docs")
+    tokenized = used.groupBy("chunk").agg(F.sum("docs").alias("docs"))
+    tokenized = checkpointed(tokenized.select("chunk", "docs", F.posexplode(F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))).alias("nth", "term")))
+    common = tokenized.groupBy("term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("term")
+    found = used.join(tokenized.join(common, "term").select("chunk", "term"), "chunk").select("to_slice", "pos", "term")
+    coded = slices.drop("chunks")
 
     def counted(slice_rows: pa.Table, found: pa.Table) -> pa.Table:
         return _terms_counted(slice_rows, found)
 
-    by_slice = slices.groupBy("slice").cogroup(found.groupBy("to_slice")).applyInArrow(counted, COUNTED)
+    by_slice = coded.groupBy("slice").cogroup(found.groupBy("to_slice")).applyInArrow(counted, COUNTED)
     return by_slice.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
 
 
@@ -156,7 +174,7 @@ def audit_sources(
     pairs only, a language with one source has no pairs, an empty table no rows. Other columns are
     not looked at.
     """
-    counts = checkpointed(term_counts(docs, text, lang, source))
+    counts = checkpointed(term_counts(docs, text, lang, source, least_docs))
     kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n_lang"))
     kept = checkpointed(kept.where(F.col("docs") >= least_docs).drop("docs"))
     cells = checkpointed(counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "n_lang"))

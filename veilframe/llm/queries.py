@@ -165,7 +165,8 @@ docs AS (
   FROM documents),
 pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs),
 worded AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
-f1 AS (SELECT lang, unnest(w) AS p, count(*) AS f FROM worded GROUP BY ALL),
+ones AS (SELECT lang, unnest(w) AS p FROM worded),
+f1 AS (SELECT lang, p, count(*) AS f FROM ones GROUP BY ALL),
 totals AS (SELECT lang, sum(f) AS n FROM f1 GROUP BY lang),
 twos AS (SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i:i + 1])) AS g FROM worded WHERE len(w) >= 2),
 threes AS (SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS g FROM worded WHERE len(w) >= 3),
