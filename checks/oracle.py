@@ -14,6 +14,8 @@ from checks.settings import (
     NOISE,
     ORDERS_GENERAL,
     ORDERS_NOISE,
+    ORDERS_PERTURB,
+    ORDERS_SWAP,
     PERTURB,
     SHARE,
     SIX,
@@ -413,6 +415,9 @@ ORACLE["range_midpoints"] = masked([GENERAL]).query(
 ORACLE["category_codes"] = masked([GENERAL]).query(
     "SELECT row_id, m_c AS gender, (dense_rank() OVER (ORDER BY m_c) - 1)::BIGINT AS code FROM masked"
 )
+ORACLE["category_codes_of_names"] = "SELECT c_custkey, c_name, (dense_rank() OVER (ORDER BY c_name) - 1)::BIGINT AS code FROM customer"
+ORACLE["category_codes_of_dates"] = """WITH dated AS (SELECT o_orderkey, strftime(o_orderdate, '%d.%m.%Y') AS day FROM orders)
+SELECT o_orderkey, day, (dense_rank() OVER (ORDER BY day) - 1)::BIGINT AS code FROM dated"""
 ORACLE["numeric_projection"] = masked([GENERAL]).query(
     """SELECT row_id, (split_part(m_x_label, '-', 1)::DOUBLE + split_part(m_x_label, '-', 2)::DOUBLE) / 2 AS age,
        CASE lower(m_f_label) WHEN 'high' THEN 1::DOUBLE ELSE 0::DOUBLE END AS income,
@@ -626,6 +631,8 @@ ORACLE["drift_kl"] = drift_sql([GENERAL, PERTURB], ["kl_divergence"])
 ORACLE["drift_wasserstein"] = drift_sql([NOISE, HYBRID], ["wasserstein_distance"])
 ORACLE["drift_all_measures"] = drift_sql(SIX, DRIFT_COLUMNS)
 ORACLE["drift_orders"] = drift_sql([ORDERS_NOISE, ORDERS_GENERAL], DRIFT_COLUMNS, ORDERS_PEOPLE)
+ORACLE["drift_orders_swap"] = drift_sql([ORDERS_SWAP], DRIFT_COLUMNS, ORDERS_PEOPLE)
+ORACLE["drift_orders_perturb"] = drift_sql([ORDERS_PERTURB], DRIFT_COLUMNS, ORDERS_PEOPLE)
 
 # --- privacy ---------------------------------------------------------------------------------------
 
@@ -790,6 +797,42 @@ joint AS (SELECT feature, x, y, count(*) AS n FROM dummies GROUP BY feature, x,
 margins AS (
   SELECT *, sum(n) OVER (PARTITION BY feature, x) AS nx, sum(n) OVER (PARTITION BY feature, y) AS ny, sum(n) OVER (PARTITION BY feature) AS na FROM joint),
 mi AS (SELECT feature, sum(n::DOUBLE / na * ln(n::DOUBLE * na / (nx::DOUBLE * ny))) AS mutual_information FROM margins GROUP BY feature)"""
+def nearest(feature: str, label: str, value: str, source: str, k: int) -> str:
+    return f"SELECT '{feature}' AS feature, {k} AS k, ({label})::VARCHAR AS y, ({value})::DOUBLE AS v FROM {source}"
+
+
+# Row by row: neighbours in the order of the class, then all rows nearer than the k-th.
+ORACLE["nearest_information"] = people_query(
+    f"""SELECT feature, {r("greatest(any_value(p.psi) + avg(pk.psi) - avg(py.psi) - avg(pm.psi), 0)")} AS mutual_information
+    FROM counted c JOIN psi p ON p.x = c.n JOIN psi pk ON pk.x = c.near JOIN psi py ON py.x = c.ny JOIN psi pm ON pm.x = c.m GROUP BY feature""",
+    "base AS ("
+    + " UNION ALL ".join(
+        [
+            nearest("o_totalprice", "o_orderstatus", "o_totalprice", "orders", 3),
+            nearest("o_orderdate", "o_orderstatus", "date_diff('day', DATE '1990-01-01', o_orderdate::DATE)", "orders", 3),
+            nearest("o_custkey", "o_orderstatus", "o_custkey", "orders", 3),
+            nearest("age", "income", "age", "people", 5),
+        ]
+    )
+    + ")",
+    """sized AS (SELECT *, count(*) OVER (PARTITION BY feature, y) AS ny FROM base),
+    line AS (SELECT *, row_number() OVER (PARTITION BY feature, y ORDER BY v) AS i, count(*) OVER (PARTITION BY feature) AS n,
+                    least(k, ny - 1) AS near FROM sized WHERE ny > 1)""",
+    "around AS (SELECT *, unnest(generate_series(-5, 5)) AS o FROM line)",
+    """pairs AS (
+      SELECT a.feature, a.y, a.i, a.near, row_number() OVER (PARTITION BY a.feature, a.y, a.i ORDER BY abs(a.v - b.v)) AS nth, abs(a.v - b.v) AS d
+      FROM around a JOIN line b ON b.feature = a.feature AND b.y = a.y AND b.i = a.i + a.o WHERE a.o <> 0)""",
+    "reach AS (SELECT l.*, p.d FROM line l JOIN pairs p ON p.feature = l.feature AND p.y = l.y AND p.i = l.i AND p.nth = l.near)",
+    "here AS (SELECT feature, v, count(*) AS c FROM line GROUP BY ALL)",
+    "asked AS (SELECT feature, v, d, ny, n, near, count(*) AS times FROM reach GROUP BY ALL)",
+    """counted_values AS (
+      SELECT a.feature, a.v, a.d, a.ny, a.n, a.near, a.times, sum(h.c) AS m FROM asked a JOIN here h ON h.feature = a.feature
+        AND ((a.d > 0 AND h.v > a.v - a.d AND h.v < a.v + a.d) OR (a.d = 0 AND h.v = a.v)) GROUP BY ALL)""",
+    "counted AS (SELECT *, unnest(range(times)) FROM counted_values)",
+    """psi AS (
+      SELECT x, -0.5772156649015329::DOUBLE + coalesce(sum(1::DOUBLE / (x - 1)) FILTER (WHERE x > 1) OVER (ORDER BY x), 0) AS psi
+      FROM range(1, (SELECT max(n) + 1 FROM line)) AS t(x))""",
+)
 ORACLE["mutual_information"] = people_query(
     f"SELECT feature, {r('mutual_information')} AS mutual_information FROM mi", INFORMATION
 )

@@ -17,6 +17,8 @@ from checks.settings import (
     NOISE,
     ORDERS_GENERAL,
     ORDERS_NOISE,
+    ORDERS_PERTURB,
+    ORDERS_SWAP,
     PERTURB,
     SHARE,
     SIX,
@@ -26,7 +28,7 @@ from checks.settings import (
 )
 from veilframe.functions.draws import TRIAL, Draws
 from veilframe.functions.numeric import range_midpoint, rounded
-from veilframe.operators import drift, features, masks, moments, privacy, scoring, utility
+from veilframe.operators import drift, features, masks, moments, neighbours, privacy, scoring, utility
 from veilframe.operators.clean import binary_target, cap_rows, clean_people, income_flag, person_cells, share_rows
 from veilframe.operators.models import ModelOptions, evaluate_models, unmasked
 from veilframe.operators.project import add_category_code, fill_numbers, project_numbers
@@ -41,6 +43,7 @@ from veilframe.sources.fixtures import (
     people_aliased,
     people_dirty,
     people_scores,
+    table,
 )
 from veilframe.spec import MaskingConfig, MaskSpec
 
@@ -107,6 +110,19 @@ def category_codes(spark, sf):
     return add_category_code(table, "gender", "code").select("row_id", "gender", F.col("code").cast("bigint").alias("code"))
 
 
+@query
+def category_codes_of_names(spark, sf):
+    """A text that no two rows share, with a long common prefix."""
+    customer = table(spark, sf, "customer")
+    return add_category_code(customer, "c_name", "code").select("c_custkey", "c_name", F.col("code").cast("bigint").alias("code"))
+
+
+@query
+def category_codes_of_dates(spark, sf):
+    dated = table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "dd.MM.yyyy").alias("day"))
+    return add_category_code(dated, "day", "code").select("o_orderkey", "day", F.col("code").cast("bigint").alias("code"))
+
+
 @query
 def numeric_projection(spark, sf):
     return tidy(project_numbers(masks.release(people(spark, sf), PEOPLE, GENERAL, Draws()), PEOPLE, ["row_id"]))
@@ -331,6 +347,18 @@ def drift_orders(spark, sf):
     return tidy(drift_of(orders_people(spark, sf), ORDERS_PEOPLE, [ORDERS_NOISE, ORDERS_GENERAL]))
 
 
+@query
+def drift_orders_swap(spark, sf):
+    """A swap leaves the distribution of a continuous column as it was: no bucket is settled by its ends."""
+    return tidy(drift_of(orders_people(spark, sf), ORDERS_PEOPLE, [ORDERS_SWAP]))
+
+
+@query
+def drift_orders_perturb(spark, sf):
+    """Values that hardly move."""
+    return tidy(drift_of(orders_people(spark, sf), ORDERS_PEOPLE, [ORDERS_PERTURB]))
+
+
 # --- privacy -----------------------------------------------------------------------------------
 
 
@@ -488,6 +516,17 @@ def mutual_information(spark, sf):
     return tidy(information_scores(spark, sf))
 
 
+@query
+def nearest_information(spark, sf):
+    """Two continuous columns and one with few values against three and two classes."""
+    days = F.datediff("o_orderdate", F.lit("1990-01-01"))
+    orders = neighbours.nearest_information(
+        table(spark, sf, "orders"), {"o_totalprice": F.col("o_totalprice"), "o_orderdate": days, "o_custkey": F.col("o_custkey")}, "o_orderstatus"
+    )
+    ages = neighbours.nearest_information(people(spark, sf), {"age": F.col("age")}, "income", k=5)
+    return tidy(orders.union(ages))
+
+
 @query
 def top_k_features(spark, sf):
     return tidy(features.top_features(information_scores(spark, sf), KEPT))

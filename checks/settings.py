@@ -14,6 +14,8 @@ HYBRID = MaskingConfig(
 SIX = [NOISE, GENERAL, LAPLACE, SWAP, PERTURB, HYBRID]
 ORDERS_NOISE = MaskingConfig("noise", noise_std=25.0, gender_mask_probability=0.10)
 ORDERS_GENERAL = MaskingConfig("generalization", generalization_bin=50)
+ORDERS_SWAP = MaskingConfig("data_swapping", swap_fraction=0.2)
+ORDERS_PERTURB = MaskingConfig("feature_perturbation", perturbation_strength=0.01)
 SWAP_BUCKETS = 16
 CAP = 5000
 SHARE = 0.25

@@ -102,7 +102,7 @@ def test_moments_equal_pandas(crowd):
         assert row["correlation"] == pytest.approx(correlation.loc[row["feature_a"], row["feature_b"]], abs=1e-12)
 
 
-def test_codes_are_sorted_positions_across_prefix_buckets(spark):
+def test_codes_are_sorted_positions_of_each_setting(spark):
     texts = sorted({f"{a}{b}" for a in ("", "a", "ab", "abc", "é", "éa", "zz") for b in ("", "x", "xy", "abcd", "0")})
     rows = spark.createDataFrame([(k, t) for k in (1, 2) for t in texts[k:]], "config_id int, text string").repartition(5)
     found = {(r["config_id"], r["text"]): r["code"] for r in text_codes(rows, ["config_id"], "text", "code").collect()}
@@ -168,14 +168,14 @@ def test_objective(spark, p, u, w, expected):
 # --- scoring -----------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("buckets", [2, 256])
-def test_roc_auc_equals_pair_counting(spark, buckets):
+@pytest.mark.parametrize("part_rows", [7, 100_000])
+def test_roc_auc_equals_pair_counting(spark, part_rows):
     rng = np.random.default_rng(11)
     y, p = rng.integers(0, 2, 500), np.round(rng.uniform(0, 1, 500), 2)
     df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, p, strict=True)], "y int, p double")
     pos, neg = p[y == 1], p[y == 0]
     pairs = (pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()
-    assert scoring.roc_auc(df, buckets=buckets).first()["roc_auc"] == pytest.approx(pairs / (len(pos) * len(neg)))
+    assert scoring.roc_auc(df, part_rows=part_rows).first()["roc_auc"] == pytest.approx(pairs / (len(pos) * len(neg)))
 
 
 def test_scores_of_one_class_are_defined(spark):

@@ -9,8 +9,8 @@ done in two passes:
    only lie between their end values. So most buckets are settled: they cannot hold the
    maximum, and their functions do not cross, which makes the integral a plain difference
    of sums.
-2. Only rows of the few unsettled buckets are grouped by value and walked in order, one
-   bucket per window partition.
+2. Only rows of the unsettled buckets are grouped by value and walked in order, by ranges of
+   a bounded number of values.
 
 The result is exact for any bucket edges; edges only decide how much is left for pass 2.
 """
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.numeric import clip01, normal_p_value, safe_ratio
 from veilframe.operators.moments import masked_cube, moments, original_cube
+from veilframe.operators.ranking import BUCKET_ROWS, running_totals
 from veilframe.session import settle
 from veilframe.spec import MaskSpec
 
@@ -220,8 +221,12 @@ def bucket_ends(hist: DataFrame) -> DataFrame:
     )
 
 
-def walk_unsettled(points: DataFrame, ends: DataFrame) -> DataFrame:
-    """Largest gap and exact area inside the unsettled buckets."""
+def walk_unsettled(points: DataFrame, ends: DataFrame, part_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Largest gap and exact area inside the unsettled buckets.
+
+    A light mask leaves most buckets of a continuous column unsettled, and a bucket grows with the
+    table. So values are not ordered by bucket but by range, about ``part_rows`` to a task.
+    """
     wanted = ends.where("unsettled").select(
         *CELL, "bucket", "all_a", "all_b", "next_value",
         (F.col("upto_a") - F.col("n_a")).alias("start_a"), (F.col("upto_b") - F.col("n_b")).alias("start_b"),
@@ -229,28 +234,22 @@ def walk_unsettled(points: DataFrame, ends: DataFrame) -> DataFrame:
     # wanted: a subset of the bucket grid, so its size is bounded by settings x features x edges.
     rows = points.join(F.broadcast(wanted.select(*CELL, "bucket")), [*CELL, "bucket"], "left_semi")
     per_value = rows.groupBy(*CELL, "bucket", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    order = Window.partitionBy(*CELL, "bucket").orderBy("value")
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stepped = per_value.select(
-        "*",
-        F.sum("a").over(running).alias("run_a"),
-        F.sum("b").over(running).alias("run_b"),
-        F.lead("value").over(order).alias("following"),
-    ).join(F.broadcast(wanted), [*CELL, "bucket"])
+    stepped = running_totals(per_value, [*CELL, "bucket"], "value", ["a", "b"], part_rows)
+    stepped = stepped.join(F.broadcast(wanted), [*CELL, "bucket"])
     gap = F.abs(
-        (F.col("start_a") + F.col("run_a")) / F.col("all_a") - (F.col("start_b") + F.col("run_b")) / F.col("all_b")
+        (F.col("start_a") + F.col("a_upto")) / F.col("all_a") - (F.col("start_b") + F.col("b_upto")) / F.col("all_b")
     )
     step = F.coalesce(F.col("following"), F.col("next_value")) - F.col("value")
     return stepped.groupBy(*CELL).agg(F.max(gap).alias("inside_gap"), F.sum(gap * step).alias("inside_area"))
 
 
-def distances(points: DataFrame, hist: DataFrame) -> DataFrame:
+def distances(points: DataFrame, hist: DataFrame, part_rows: int = BUCKET_ROWS) -> DataFrame:
     """Kolmogorov-Smirnov statistic and Wasserstein-1 distance per setting and feature."""
     ends = settle(bucket_ends(hist))
     settled = ends.groupBy(*CELL).agg(
         F.max("gap").alias("end_gap"), F.sum(F.when(~F.col("unsettled"), F.col("area"))).alias("settled_area")
     )
-    inside = walk_unsettled(points, ends)
+    inside = walk_unsettled(points, ends, part_rows)
     return settled.join(inside, CELL, "left").select(
         *CELL,
         F.greatest(F.col("end_gap"), F.coalesce(F.col("inside_gap"), F.lit(0.0))).alias("ks_statistic"),

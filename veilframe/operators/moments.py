@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.operators.project import as_text, text_codes
@@ -19,6 +19,7 @@ from veilframe.session import settle
 from veilframe.spec import MaskSpec
 
 ALL_ROWS = "config_id"
+CUBE_ROWS = 100_000  # a cube of more groups is coded by distributed ranks
 
 
 def _number(column: str) -> Column:
@@ -87,7 +88,12 @@ def _settled(cube: DataFrame, spec: MaskSpec) -> DataFrame:
     columns = {f"{c}_code": c for c in spec.texts}
     if "old_category" in cube.columns:
         columns["old_code"] = "old_category"
-    kept = coded = settle(cube)
+    kept = settle(cube)
+    if kept.limit(CUBE_ROWS + 1).count() <= CUBE_ROWS:
+        # Few groups are ordered where they are; the codes of all columns share one exchange.
+        place = {c: F.dense_rank().over(Window.partitionBy(ALL_ROWS).orderBy(c)) - 1 for c in columns.values()}
+        return kept.withColumns({code: place[c].cast("double") for code, c in columns.items()})
+    coded = kept
     for code, column in columns.items():
         codes = text_codes(kept.select(ALL_ROWS, column).distinct(), [ALL_ROWS], column, code)
         coded = coded.join(codes.withColumn(code, F.col(code).cast("double")), [ALL_ROWS, column])

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.numeric import clip01
+from veilframe.operators.joins import join_summary
 from veilframe.operators.moments import masked_cube
 from veilframe.spec import MaskSpec
 
@@ -47,15 +48,12 @@ def equivalence_classes(df: DataFrame, identifiers: Sequence[str], keys: Sequenc
 def class_size_per_record(df: DataFrame, identifiers: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Each row with the size of its class.
 
-    The classes are counted with a map-side combine and joined back, so a class that holds
-    a third of all rows is one small row on the build side, where AQE can split the other
-    side. A window over the classes would sort that whole class in one task.
+    The classes are counted with a map-side combine and joined back as their number allows, so
+    a class that holds a third of all rows is never gathered. A window over the classes would
+    sort that whole class in one task.
     """
     columns = [*keys, *identifiers]
-    sizes = equivalence_classes(df, identifiers, keys)
-    renamed = sizes.select(*[F.col(c).alias(f"__{c}") for c in columns], "class_size")
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns]
-    return df.join(renamed, same, "left").drop(*[f"__{c}" for c in columns])
+    return join_summary(df, equivalence_classes(df, identifiers, keys), {c: F.col(c) for c in columns})
 
 
 def class_summary(classes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

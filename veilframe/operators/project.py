@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.numeric import level_to_number, range_midpoint, to_number
-from veilframe.operators.ranking import bucket_starts, exact_median
+from veilframe.operators.joins import join_summary
+from veilframe.operators.ranking import BUCKET_ROWS, exact_median, running_totals
 from veilframe.spec import MaskSpec
 
-PREFIX = 3  # first characters of a text that choose its bucket
 NULL_TEXT = "nan"
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
@@ -38,17 +38,13 @@ def number_or_midpoint(df: DataFrame, column: str) -> Column:
     return number if is_numeric(df, column) else F.coalesce(range_midpoint(F.col(column)), number)
 
 
-def text_codes(values: DataFrame, keys: Sequence[str], column: str, code: str) -> DataFrame:
+def text_codes(values: DataFrame, keys: Sequence[str], column: str, code: str, part_rows: int = BUCKET_ROWS) -> DataFrame:
     """Distinct ``keys`` and texts with the text's sorted position, from 0, among those of the same keys.
 
-    Texts are ranked within the bucket of their first characters, and the texts of earlier
-    buckets are counted: the same at any number of texts, and no window holds them all.
+    Positions are counted over ranges of about ``part_rows`` texts, whatever the texts have in common.
     """
-    placed = values.withColumn("__prefix", F.substring(column, 1, PREFIX))
-    starts = bucket_starts(placed, keys, "__prefix").select(*keys, "__prefix", "__start")
-    order = Window.partitionBy(*keys, "__prefix").orderBy(column)
-    ranked = placed.withColumn("__place", F.row_number().over(order) - 1).join(starts, [*keys, "__prefix"])
-    return ranked.select(*keys, column, (F.col("__start") + F.col("__place")).cast("bigint").alias(code))
+    counted = running_totals(values.withColumn("__one", F.lit(1).cast("bigint")), keys, column, ["__one"], part_rows)
+    return counted.select(*keys, column, (F.col("__one_upto") - 1).alias(code))
 
 
 def category_dictionary(df: DataFrame, column: str) -> DataFrame:
@@ -57,11 +53,9 @@ def category_dictionary(df: DataFrame, column: str) -> DataFrame:
 
 
 def add_category_code(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Code of each text in the table's own dictionary; Spark picks the join by its size."""
-    codes = category_dictionary(df, column).select(
-        F.col("value").alias("__value"), F.col("code").cast("double").alias(name)
-    )
-    return df.join(codes, as_text(F.col(column)) == F.col("__value"), "left").drop("__value")
+    """Code of each text in the table's own dictionary, joined as its size allows."""
+    codes = category_dictionary(df, column).select("value", F.col("code").cast("double").alias(name))
+    return join_summary(df, codes, {"value": as_text(F.col(column))})
 
 
 def project_numbers(df: DataFrame, spec: MaskSpec, keep: Sequence[str] = ()) -> DataFrame:

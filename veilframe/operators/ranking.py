@@ -3,7 +3,8 @@
 An ordered window without partitions runs in a single task. Here the order column is cut
 into buckets whose sizes are counted map-side; that settles all but one bucket per cut, and
 only that bucket is ordered. What remains is a pair of numbers per cut, so picking exactly n
-rows becomes a plain filter.
+rows becomes a plain filter. ``running_totals`` is for the cases that need every row's place:
+rows are dealt to tasks by range, and each range starts from the totals of the ranges before it.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.session import ensure_checkpoint_dir
+from veilframe.session import ensure_checkpoint_dir, settle
 
 BUCKET_ROWS = 100_000
 NARROWING = 1024  # parts that a pass of ``order_statistic`` cuts its interval into
@@ -80,6 +81,44 @@ def bucket_starts(df: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
     return sizes.withColumn("__start", F.coalesce(F.sum("__size").over(before), F.lit(0)))
 
 
+def running_totals(
+    df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], part_rows: int = BUCKET_ROWS
+) -> DataFrame:
+    """Rows with ``<name>_upto`` for each of ``sums``, the total up to and with the row, and ``following``.
+
+    Rows of the same ``keys`` are taken in the order of the column ``order``, which may not repeat in
+    them; ``following`` is the next row's value of it. A task orders about ``part_rows`` rows, however
+    many of them have the same keys: the rows are dealt by range, and one small row for each range
+    and key carries totals, and the first value of the next range, across the borders.
+    """
+    kept = settle(df)
+    parts = bucket_count(kept.count(), part_rows)
+    whole = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order)
+    if parts == 1:
+        upto = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return kept.select("*", *[F.sum(s).over(upto).alias(f"{s}_upto") for s in sums], F.lead(order).over(whole).alias("following"))
+    # The ranges are drawn from a sample, so they are written before anything depends on them.
+    dealt = settle(kept.repartitionByRange(parts, *keys, order).withColumn("__part", F.spark_partition_id()))
+    borders = dealt.groupBy(*keys, "__part").agg(*[F.sum(s).alias(f"__{s}") for s in sums], F.min(order).alias("__first"))
+    by_part = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__part")
+    earlier = by_part.rowsBetween(Window.unboundedPreceding, -1)
+    borders = borders.select(
+        *[F.col(k).alias(f"__of_{k}") for k in keys],
+        F.col("__part").alias("__of_part"),
+        *[F.coalesce(F.sum(f"__{s}").over(earlier), F.lit(0)).alias(f"__before_{s}") for s in sums],
+        F.lead("__first").over(by_part).alias("__next"),
+    )
+    inside = Window.partitionBy("__part", *keys).orderBy(order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = dealt.select("*", *[F.sum(s).over(upto).alias(f"__in_{s}") for s in sums], F.lead(order).over(inside).alias("__within"))
+    same = [F.col("__part") == F.col("__of_part"), *[F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys]]
+    return placed.join(borders, same).select(
+        *df.columns,
+        *[(F.col(f"__in_{s}") + F.col(f"__before_{s}")).alias(f"{s}_upto") for s in sums],
+        F.coalesce("__within", "__next").alias("following"),
+    )
+
+
 def cut_points(
     df: DataFrame,
     key: str,

@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.numeric import clip, safe_ratio
+from veilframe.operators.ranking import BUCKET_ROWS, running_totals
 
 # Limits of the generalisation checks.
 OVERFIT_GAP, OVERFIT_SHARE, UNDERFIT_ACCURACY, SIGNAL_LIMIT = 0.10, 0.92, 0.62, 0.65
 PROBABILITY_FLOOR = 1e-6
 CONSTANT_STD = 1e-9
-SCORE_BUCKETS = 256
 
 
 def log_loss_term(y: Column, p: Column) -> Column:
@@ -49,46 +48,21 @@ def classifier_metrics(df: DataFrame, keys: Sequence[str] = (), y="y", p="p", pr
     )
 
 
-def roc_auc(df: DataFrame, keys: Sequence[str] = (), y="y", p="p", buckets: int = SCORE_BUCKETS) -> DataFrame:
+def roc_auc(df: DataFrame, keys: Sequence[str] = (), y="y", p="p", part_rows: int = BUCKET_ROWS) -> DataFrame:
     """Exact ROC-AUC: for each negative, the positives scored above it and half of the tied ones.
 
-    Equal scores collapse map-side. Score buckets (quantiles, a few hundred) give the
-    positives above each bucket, so only scores inside one bucket are ordered together.
+    Equal scores collapse map-side. Distinct scores are walked in order by ranges of about
+    ``part_rows``, so no task orders all scores of a group. A missing score counts as the highest.
     """
-    score = F.col(p).cast("double")
-    shares = [i / buckets for i in range(1, buckets)]
-    quantiles = df.agg(F.percentile_approx(score, shares, 10_000).alias("q")).first()["q"] or []
-    edges = sorted({0.5, *(float(v) for v in quantiles)})
-    bucketizer = Bucketizer(
-        splits=[-float("inf"), *edges, float("inf")], inputCol="__p", outputCol="__bucket", handleInvalid="keep"
-    )
-    placed = bucketizer.transform(df.select(*keys, F.col(y).alias("__y"), score.alias("__p")))
-    per_score = placed.groupBy(*keys, "__bucket", "__p").agg(
-        F.count_if(F.col("__y") == 1).alias("pos"), F.count_if(F.col("__y") == 0).alias("neg")
-    )
-    group = Window.partitionBy(*(keys or [F.lit(0)]))
-    above = group.orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    # One row per group and bucket.
-    totals = (
-        per_score.groupBy(*keys, "__bucket")
-        .agg(F.sum("pos").alias("__pos"), F.sum("neg").alias("__neg"))
-        .select(
-            *keys,
-            "__bucket",
-            F.coalesce(F.sum("__pos").over(above), F.lit(0)).alias("pos_above"),
-            F.sum("__pos").over(group).alias("all_pos"),
-            F.sum("__neg").over(group).alias("all_neg"),
-        )
-    )
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per_score.withColumn("inside", F.coalesce(F.sum("pos").over(inside), F.lit(0)))
-    wins = F.col("neg") * (F.col("pos_above") + F.col("inside") + F.lit(0.5) * F.col("pos"))
-    pairs = F.first("all_pos").cast("double") * F.first("all_neg")
-    return (
-        ranked.join(F.broadcast(totals), [*keys, "__bucket"])
-        .groupBy(*keys)
-        .agg(safe_ratio(F.sum(wins), pairs).alias("roc_auc"))
+    score = F.coalesce(F.col(p).cast("double"), F.lit(float("nan")))
+    per_score = df.groupBy(*keys, score.alias("__p")).agg(
+        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
     )
+    ranked = running_totals(per_score, keys, "__p", ["pos"], part_rows)
+    # A negative at rank r meets (all positives - those up to r) above it and pos at its own score.
+    lost = F.sum(F.col("neg") * (F.col("pos_upto") - F.lit(0.5) * F.col("pos")))
+    positives, negatives = F.sum("pos").cast("double"), F.sum("neg").cast("double")
+    return ranked.groupBy(*keys).agg(safe_ratio(positives * negatives - lost, positives * negatives).alias("roc_auc"))
 
 
 def sensitive_signal(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), p="p") -> DataFrame:
