@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import batch_of, checkpointed, column_of, mix
+from veilframe.llm.common import batch_of, checkpointed, column_of, mix, stored
 from veilframe.llm.corpus_slices import CORPUS_SLICE_BYTES, coded_words, corpus_slices, packed, unpacked
 from veilframe.operators.ranking import number_rows
 
@@ -203,9 +203,9 @@ def mine_phrases(
     repeated ones too; a null text has no words, a null language is ``und``. A language without
     candidates has no rows. Other columns are not looked at.
     """
-    slices = checkpointed(coded(docs, text, lang))
+    slices = stored(coded(docs, text, lang))
     counted = slices.select(F.explode(F.arrays_zip("langs", "words", "counts")).alias("w"))
-    counted = checkpointed(counted.groupBy(F.col("w.langs").alias("lang"), F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f")))
+    counted = stored(counted.groupBy(F.col("w.langs").alias("lang"), F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f")))
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     dictionary = checkpointed(number_rows(counted.where(F.col("f") >= least), "id"))
     words = counted.agg(F.sum("f")).first()[0] or 0

@@ -118,7 +118,7 @@ def term_counts(
     slices = stored(factored(docs, text, lang, source, size))
     used = slices.select(F.col("slice").alias("to_slice"), F.posexplode("chunks").alias("pos", "c")).select("to_slice", "pos", "c.chunk", "c.docs")
     tokenized = used.groupBy("chunk").agg(F.sum("docs").alias("docs"))
-    tokenized = checkpointed(tokenized.select("chunk", "docs", F.posexplode(F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))).alias("nth", "term")))
+    tokenized = stored(tokenized.select("chunk", "docs", F.explode(F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))).alias("term")))
     common = tokenized.groupBy("term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("term")
     found = used.join(tokenized.join(common, "term").select("chunk", "term"), "chunk").select("to_slice", "pos", "term")
     coded = slices.drop("chunks")
@@ -174,10 +174,10 @@ def audit_sources(
     pairs only, a language with one source has no pairs, an empty table no rows. Other columns are
     not looked at.
     """
-    counts = checkpointed(term_counts(docs, text, lang, source, least_docs))
+    counts = stored(term_counts(docs, text, lang, source, least_docs))
     kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n_lang"))
     kept = checkpointed(kept.where(F.col("docs") >= least_docs).drop("docs"))
-    cells = checkpointed(counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "n_lang"))
+    cells = stored(counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "n_lang"))
     groups = docs.select(F.coalesce(docs[lang], F.lit("")).alias("lang"), F.coalesce(docs[source], F.lit("")).alias("source")).distinct()
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("n_lang").alias("lang_total"))
     totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
