@@ -124,7 +124,8 @@ def cell_copies(cells: DataFrame, solved: DataFrame, most: int, evenness: float)
     differ in size.
     """
     rate = F.when(F.col("multiplier").isNull(), F.lit(float(most))).otherwise(F.least(F.exp(F.col("multiplier") * _tilt(evenness)), F.lit(float(most))))
-    rated = cells.join(solved, SOURCE).withColumn("rate", rate)
+    # Sums of doubles differ in their last bits from run to run; nine places do not.
+    rated = cells.join(solved, SOURCE).withColumn("rate", F.round(rate, 9))
     rated = rated.select(*SOURCE, "size", "docs", "words", "target", "rate")
     schema = "_there boolean, _name string, size long, docs long, words long, target double, rate double, copies long"
 
