@@ -29,6 +29,7 @@ LEAST = 10  # occurrences of a candidate
 ABSORBED_PERCENT = 50  # a phrase goes if a longer one around it has this share of its occurrences
 TOP = 2000
 SCALE = 1_000_000
+PARTS = 64  # of a language's candidates, ranked apart before they are ranked together
 BUCKET_GRAMS = 1 << 21  # phrases of slices that a task sums at a time, at most about
 
 BREAKS = np.zeros(256, bool)  # ends of pieces: . , ; : ! ? and the line ends
@@ -228,10 +229,13 @@ def mine_phrases(
     best = best.join(around, "gram", "left")
     best = best.where(F.col("around").isNull() | (100 * F.col("around") < absorbed_percent * F.col("a")))
 
-    # Texts are fetched for those that can be among the first, ties included.
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
-    best = best.select("lang", "gram", "a", "cut.l", "cut.r", "cut.score").withColumn("place", F.rank().over(order)).where(F.col("place") <= top)
-    best = checkpointed(best)
+    # Texts are fetched for those that can be among the first, ties included: first of parts drawn
+    # by hash, so that no task orders all candidates of a language, then of the language.
+    best = best.select("lang", "gram", "a", "cut.l", "cut.r", "cut.score").withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(PARTS)))
+    for groups in (["lang", "part"], ["lang"]):
+        order = Window.partitionBy(*groups).orderBy(F.desc("score"), F.desc("a"))
+        best = best.withColumn("place", F.rank().over(order)).where(F.col("place") <= top).drop("place")
+    best = checkpointed(best.drop("part"))
     spelled = best.select("gram", F.posexplode("gram").alias("at", "id")).join(dictionary.select("id", "word"), "id")
     spelled = spelled.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("words"))
     spelled = spelled.select("gram", F.array_join("words.word", " ").alias("phrase"))
