@@ -125,3 +125,10 @@ def test_grouped_digits_take_linear_time():
 
     for t in ("1 " * 150_000, "1" * 300_000 + "x", "(" * 300_000, "1(" * 150_000 + "x", "(1 2)" * 60_000):
         assert _grouped(t, []) == []
+
+
+def test_redaction_beside_any_column_name(spark):
+    names = ["_other_key", "__other_key", "_other_print", "_spans", "__spans", "_key", "_print", "_text", "spans", "base", "kind", "value", "m"]
+    df = spark.createDataFrame([(1, "write to me@example.org", *names), (2, None, *names)], ["doc_id", "text", *names])
+    rows = sorted(redacted(df).collect())
+    assert [r["text"] for r in rows] == ["write to [email]", None] and [tuple(r[2:]) for r in rows] == [tuple(names)] * 2

@@ -34,6 +34,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def absent_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc32_mod(column: str, modulus: int) -> Column:
     """crc32 of a column's text, modulo a small number (null stays null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
@@ -150,6 +162,11 @@ class Words:
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.rows) - 1), np.diff(self.rows))
 
+    def some_rows(self, low: int, high: int) -> Words:
+        """The words of rows ``low`` to ``high``, the latter left out; ``data`` is shared."""
+        a, b = self.rows[low], self.rows[high]
+        return Words(self.data, self.starts[a:b], self.ends[a:b], self.hashes[a:b], self.rows[low : high + 1] - a, self.bytes_at[low : high + 1])
+
     def left_in_row(self) -> np.ndarray:
         """For each word, how many words its row has from there on."""
         return np.repeat(self.rows[1:], np.diff(self.rows)) - np.arange(len(self.starts))
@@ -193,6 +210,30 @@ def words_of(column: pa.Array, separators: np.ndarray = SPACES) -> Words:
     return Words(data, starts, ends, mix(hashes), np.searchsorted(starts, at), at)
 
 
+def words_by_slices(column: pa.Array, separators: np.ndarray = SPACES) -> Words:
+    """Like ``words_of`` for many texts held at once: read in slices, with the bytes of each distinct word only once.
+
+    Takes some tens of bytes for each word instead of for each byte of text. ``bytes_at`` is empty.
+    """
+    hashes, counts, known, sizes, data = [], [], [], [], []
+    for low, high in slices(column):
+        words = words_of(column[low:high], separators)
+        distinct, first = np.unique(words.hashes, return_index=True)
+        lengths = words.ends[first] - words.starts[first]
+        hashes.append(words.hashes)
+        counts.append(np.diff(words.rows))
+        known.append(distinct)
+        sizes.append(lengths)
+        data.append(words.data[ranges(words.starts[first], lengths)])
+    joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    hashes, sizes, data = joined(hashes, np.uint64), joined(sizes, np.int64), joined(data, np.uint8)
+    distinct, first = np.unique(joined(known, np.uint64), return_index=True)
+    ends = np.cumsum(sizes)[first]
+    place = np.searchsorted(distinct, hashes)
+    rows = np.append(0, np.cumsum(joined(counts, np.int64)))
+    return Words(data, (ends - sizes[first])[place], ends[place], hashes, rows, np.zeros(0, np.int64))
+
+
 _PLACE = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import batch_of, checkpointed, column_of, map_slices, slices, texts_of
+from veilframe.llm.common import absent_names, batch_of, checkpointed, column_of, map_slices, slices, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -272,19 +272,20 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     Overlapping spans are replaced as one, named after the first. Null texts stay null.
     """
+    its_key, its_print, its_spans = absent_names(docs, "_other_key", "_other_print", "_spans")
     found = find_personal_data(docs, key, text).where(F.size("spans") > 0).select(
-        F.col(key).alias("_other_key"), F.col("_print").alias("_other_print"), F.col("spans").alias("_spans")
+        F.col(key).alias(its_key), F.col("_print").alias(its_print), F.col("spans").alias(its_spans)
     )
-    found = found.dropDuplicates(["_other_key", "_other_print"])
-    same = docs[key].eqNullSafe(F.col("_other_key")) & (F.xxhash64(docs[text]) == F.col("_other_print"))
-    joined = docs.join(found, same, "left").select(*[docs[c] for c in docs.columns], F.col("_spans").alias("__spans"))
+    found = found.dropDuplicates([its_key, its_print])
+    same = docs[key].eqNullSafe(found[its_key]) & (F.xxhash64(docs[text]) == found[its_print])
+    joined = docs.join(found, same, "left").select(*[docs[c] for c in docs.columns], found[its_spans])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text)
             for low, high in slices(batch.column(at)):
                 part = batch.slice(low, high - low)
-                spans, texts = column_of(part, "__spans"), part.column(at)
+                spans, texts = part.column(part.num_columns - 1), part.column(at)
                 if spans.null_count < len(part):
                     texts = pa.array(
                         [_replace(t, s) if s else t for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], texts.type
