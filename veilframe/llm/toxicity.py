@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import NOT_ALNUM, Words, batch_of, column_of, map_slices, mix, ranges, sampled, slices, window_hashes, words_of
+from veilframe.llm.common import NOT_ALNUM, Words, batch_of, column_of, map_slices, mix, ranges, sampled, slices, window_hashes, words_by_slices, words_of
 
 WINDOW, STRIDE = 24, 12  # a phrase of up to 13 words is whole in some window
 WORD_SIZE, CHAR_SIZE, HIDDEN = 8, 8, 8
@@ -32,6 +32,8 @@ FIT_BYTES = 16 << 20  # of their texts
 MAX_VOCABULARY = 60_000
 STEPS, BATCH, RATE = 700, 256, 0.01
 BATCH_WINDOWS = 2048
+BATCH_ROWS_WORDS = 1 << 16  # words of the rows whose windows are scored at a time
+BATCH_WORDS = 1 << 15  # distinct words whose characters are read at a time
 SLICE = 2 << 20
 CUT = 0.7
 
@@ -50,19 +52,23 @@ class UniqueWords:
     def of(cls, words: Words, vocabulary: np.ndarray) -> UniqueWords:
         hashes, first, of_word = np.unique(words.hashes, return_index=True, return_inverse=True)
         starts, sizes = words.starts[first], words.ends[first] - words.starts[first]
-        at = ranges(starts, sizes)
         begins = np.cumsum(sizes) - sizes
-        here = words.data[at].astype(np.uint64)
-        before, after = np.zeros_like(here), np.zeros_like(here)
-        before[1:], after[:-1] = here[:-1], here[1:]
-        before[begins], after[begins + sizes - 1] = 0, 0
-        grams = mix(before << np.uint64(16) | here << np.uint64(8) | after) % np.uint64(CHAR_ROWS)
+        grams = np.zeros(int(sizes.sum()), np.uint16)
+        for low in range(0, len(hashes), BATCH_WORDS):
+            part = slice(low, low + BATCH_WORDS)
+            here = words.data[ranges(starts[part], sizes[part])].astype(np.uint64)
+            before, after = np.zeros_like(here), np.zeros_like(here)
+            before[1:], after[:-1] = here[:-1], here[1:]
+            first = begins[part] - begins[low]
+            before[first], after[first + sizes[part] - 1] = 0, 0
+            mixed = mix(before << np.uint64(16) | here << np.uint64(8) | after) % np.uint64(CHAR_ROWS)
+            grams[begins[low] : begins[low] + len(here)] = mixed
         if len(vocabulary):
             place = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
             rows = np.where(vocabulary[place] == hashes, place + 1, 0)
         else:
             rows = np.zeros(len(hashes), np.int64)
-        return cls(of_word, hashes, rows, grams.astype(np.int64), begins)
+        return cls(of_word, hashes, rows, grams, begins)
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -95,9 +101,15 @@ class Network:
         """Input vectors of distinct words."""
         if not len(rows):
             return np.zeros((0, WORD_SIZE + CHAR_SIZE), np.float32)
-        sizes = np.diff(np.append(begins, len(grams)))
-        char = np.add.reduceat(self.p["char"][grams], begins, axis=0) / sizes[:, None].astype(np.float32)
-        return np.concatenate([self.p["word"][rows], char], axis=1)
+        edges = np.append(begins, len(grams))
+        out = np.empty((len(rows), WORD_SIZE + CHAR_SIZE), np.float32)
+        for low in range(0, len(rows), BATCH_WORDS):
+            high = min(low + BATCH_WORDS, len(rows))
+            sizes = np.diff(edges[low : high + 1])[:, None].astype(np.float32)
+            char = self.p["char"][grams[edges[low] : edges[high]]]
+            out[low:high, WORD_SIZE:] = np.add.reduceat(char, begins[low:high] - begins[low], axis=0) / sizes
+            out[low:high, :WORD_SIZE] = self.p["word"][rows[low:high]]
+        return out
 
     def gates(self, vectors: np.ndarray) -> list[np.ndarray]:
         """Each word's share of the gates: update and reset, then candidate, of both directions."""
@@ -189,7 +201,15 @@ class ToxicityModel:
     shift: float
 
     def window_logits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Logit of every window of every row, and the rows they belong to."""
+        """Logit of every window of every row, and the rows they belong to; rows are read some at a time."""
+        group = words.rows[:-1] // BATCH_ROWS_WORDS
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+        found = [(self._row_logits(words.some_rows(a, b)), a) for a, b in zip(edges[:-1], edges[1:], strict=True) if a < b]
+        if not found:
+            return np.zeros(0, np.float32), np.zeros(0, np.int64)
+        return np.concatenate([logits for (logits, _), _ in found]), np.concatenate([row + a for (_, row), a in found])
+
+    def _row_logits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         unique = UniqueWords.of(words, self.vocabulary)
         vectors = self.network.vectors(unique.rows, unique.grams, unique.gram_begins)
         # The last row stands for places beyond the text.
@@ -253,9 +273,10 @@ def _distinct_rows(words: Words, slots: int = 12, shared: int = 3) -> np.ndarray
 def _presence(words: Words, labels: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct word hashes, with the numbers of positive and negative rows (of those marked) that hold them."""
     row = words.row_of_word()
-    pairs = np.unique(np.stack([words.hashes, row.astype(np.uint64)], axis=1)[rows[row]], axis=0)
-    hashes, of = np.unique(pairs[:, 0], return_inverse=True)
-    positive = labels[pairs[:, 1].astype(np.int64)] == 1
+    used = rows[row]
+    hashes, of = np.unique(words.hashes[used], return_inverse=True)
+    pairs = np.unique(row[used] * max(len(hashes), 1) + of)
+    of, positive = pairs % max(len(hashes), 1), labels[pairs // max(len(hashes), 1)] == 1
     return hashes, np.bincount(of, positive, len(hashes)), np.bincount(of, ~positive, len(hashes))
 
 
@@ -285,7 +306,7 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int = 7)
     if not len(labels) or labels.min() == labels.max():
         share = float(labels.mean()) if len(labels) else 0.0
         return ToxicityModel(np.zeros(0, np.uint64), Network(0), 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    words = words_of(pa.array(texts, pa.string()), NOT_ALNUM)
+    words = words_by_slices(pa.array(texts, pa.string()), NOT_ALNUM)
     distinct = _distinct_rows(words)
     hashes, in_positive, in_negative = _presence(words, labels, distinct)
     repeated = np.flatnonzero(in_positive + in_negative >= 2)
