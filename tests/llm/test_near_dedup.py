@@ -45,6 +45,26 @@ def test_documents_as_brute_force(documents, plain):
     assert result(near_duplicate_groups(documents)) == brute_force(plain)
 
 
+def test_many_copies_far_from_each_other(table):
+    """Most copies are too far from the text they come from; some pairs of them are linked nevertheless."""
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(150)]
+    texts = {}
+    for family in range(60):
+        words = list(base)
+        for _ in range(rng.integers(0, 10)):
+            at, kind = rng.integers(0, len(words)), rng.integers(0, 4)
+            words[at : at + 1] = [[f"n{rng.integers(0, 9)}"], [f"v{family}x{at}"], [], [words[at], "the"]][kind]
+        for child in range(rng.integers(1, 5)):
+            copy = list(words)
+            for _ in range(rng.integers(0, 4)):
+                copy[rng.integers(0, len(copy))] = f"c{family}y{child}z{rng.integers(0, 50)}"
+            texts[len(texts)] = " ".join(copy)
+    expected = brute_force(texts)
+    assert 5 < len({root for _, root in expected.values()}) < len(texts)
+    assert result(near_duplicate_groups(table(texts.items()).repartition(5))) == expected
+
+
 def test_chains_and_thresholds(table):
     """Copies with growing edits: each links to the next, far ones only through others."""
     rng = np.random.default_rng(5)
@@ -101,3 +121,11 @@ def test_components(spark):
     expected = {k: 0 for k in range(1, 301)} | {1001: 1000} | {3000 + k: 3000 for k in range(1, 50)}
     assert found == expected
     assert components(edges.limit(0)).count() == 0
+
+
+def test_one_of_each_group_beside_any_column_name(spark):
+    names = ["__kept", "__rows", "_rows", "kept", "component_id", "_id", "_n", "_k1", "_text", "node", "band", "root", "size", "n_shingles"]
+    same = "one two three four five six seven eight nine"
+    df = spark.createDataFrame([(1, same, *names), (2, same, *names), (3, None, *names), (4, same + " ten", *names)], ["doc_id", "text", *names])
+    rows = sorted(one_of_each_group(df).collect())
+    assert [r["doc_id"] for r in rows] == [1, 3, 4] and all(tuple(r[2:]) == tuple(names) for r in rows)

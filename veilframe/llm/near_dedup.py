@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import Words, batch_of, checkpointed, column_of, map_slices, mix, window_hashes, words_of
+from veilframe.llm.common import Words, absent_names, batch_of, checkpointed, column_of, map_slices, mix, window_hashes, words_of
 from veilframe.llm.components import components
 
 BANDS = 24
@@ -180,7 +180,10 @@ def _cross_pairs(referred: DataFrame, links: DataFrame, roots: DataFrame, sets:
     c = (100 - percent) / (100 + percent), a link of A and B needs |a| + |b| - 2 |a & b| <= c (|A| + |B|),
     while |b| > c (|B| + |H|). So 2 |a & b| > |a| - c (|A| - |H|): A shares about half of its
     differences with B. Then one of A's rarest differences, as many as leave fewer than that half,
-    is shared with B. Copies of one text differ from it in ways of their own, so few pairs come up.
+    is shared with B. If more are needed than A lacks of H's shingles, some of those that A has
+    beside H's must be shared, and only these are looked at. Differences that no other document has
+    in the same way count in full against a link: with u_A and u_B of them, a link needs
+    u_A + u_B <= c (|A| + |B|). Copies of one text differ from it in ways of their own, so few pairs come up.
     """
     named = referred.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
     others = named.where("node <> ref").groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
@@ -191,26 +194,35 @@ def _cross_pairs(referred: DataFrame, links: DataFrame, roots: DataFrame, sets:
     differing = (
         asked.join(sets.toDF("node", "own"), "node")
         .join(sets.toDF("ref", "its"), "ref")
-        .select("node", "ref", "component", "linked", F.array_except("own", "its").alias("more"), F.array_except("its", "own").alias("less"))
+        .select(
+            "node", "ref", "component", "linked", F.size("own").alias("n_own"), F.array_except("own", "its").alias("more"), F.array_except("its", "own").alias("less")
+        )
     )
     sizes = [F.size("more").alias("n_more"), F.size("less").alias("n_less")]
     both = F.concat(
         F.transform("more", lambda x: F.struct(x.alias("shingle"), F.lit(True).alias("has"))),
         F.transform("less", lambda x: F.struct(x.alias("shingle"), F.lit(False).alias("has"))),
     )
-    tokens = checkpointed(differing.select("node", "ref", "component", "linked", *sizes, F.explode(both).alias("t")).select("*", "t.*").drop("t"))
+    tokens = checkpointed(differing.select("node", "ref", "component", "linked", "n_own", *sizes, F.explode(both).alias("t")).select("*", "t.*").drop("t"))
     at = ["ref", "shingle", "has"]
     counted = tokens.join(tokens.groupBy(*at).agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), at)
-    # Differences that nobody shares come first in the order and match nothing, so only their number matters.
-    alone = F.col("n_more") + F.col("n_less") - F.count(F.lit(1)).over(Window.partitionBy("node", "ref"))
-    rarest = Window.partitionBy("node", "ref").orderBy("holders", F.desc("has"), "shingle")
     all_of = F.col("n_more") + F.col("n_less")
     slope = F.lit((100 - percent) / (100 + percent))
-    needed = F.floor((all_of - slope * (F.col("n_more") - F.col("n_less"))) / 2) + 1
-    first = counted.withColumns({"place": F.row_number().over(rarest) + alone, "prefix": all_of - needed + 1}).where("place <= prefix")
-    first = first.select(*at, F.col("node").alias("one"), F.col("component").alias("one_component"))
-    second = counted.where("linked is null").select(*at, "node", "component")
-    return first.join(second, at).where("component <> one_component").select(F.least("one", "node").alias("a"), F.greatest("one", "node").alias("b")).distinct()
+    counted = counted.withColumn("needed", F.floor((all_of - slope * (F.col("n_more") - F.col("n_less"))) / 2) + 1)
+    own = Window.partitionBy("node", "ref")
+    counted = counted.withColumn("alone", all_of - F.count(F.lit(1)).over(own)).withColumn("alone_more", F.col("n_more") - F.count_if("has").over(own))
+    counted = counted.withColumn("excess", (100 + percent) * F.col("alone") - (100 - percent) * F.col("n_own"))
+    # Differences that nobody shares come first in the order and match nothing, so only their number matters.
+    by_extra = F.col("needed") > F.col("n_less")
+    rarest = Window.partitionBy("node", "ref").orderBy("holders", F.desc("has"), "shingle")
+    place = F.row_number().over(rarest) + F.when(by_extra, F.col("alone_more")).otherwise(F.col("alone"))
+    first = counted.where(~by_extra | F.col("has")).withColumns({"place": place, "prefix": all_of - F.col("needed") + 1}).where("place <= prefix")
+    first = first.select(*at, F.col("node").alias("one"), F.col("component").alias("one_component"), F.col("excess").alias("one_excess"))
+    second = counted.where("linked is null").select(*at, "node", "component", "excess")
+    first, second = first.alias("x"), second.alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in at]
+    possible = (F.col("x.one_component") != F.col("y.component")) & (F.col("x.one_excess") + F.col("y.excess") <= 0)
+    return first.join(second, [*same, possible]).select(F.least("one", "node").alias("a"), F.greatest("one", "node").alias("b")).distinct()
 
 
 def near_duplicate_groups(
@@ -283,10 +295,11 @@ def one_of_each_group(docs: DataFrame, percent: int = 85, key: str = "doc_id", t
 
     Rows that repeat a kept key count as one document if their texts are equal; one of them stays.
     """
+    its_key, its_rows = absent_names(docs, "__kept", "__rows")
     groups = near_duplicate_groups(docs, percent, key, text)
-    kept = checkpointed(groups.where("kept").groupBy(F.col(key).alias("__kept")).agg(F.count(F.lit(1)).alias("__rows")))
+    kept = checkpointed(groups.where("kept").groupBy(F.col(key).alias(its_key)).agg(F.count(F.lit(1)).alias(its_rows)))
     columns = [docs[c] for c in docs.columns]
-    joined = docs.join(kept, docs[key].eqNullSafe(kept["__kept"]))
-    single = joined.where(F.col("__rows") == 1).select(*columns)
-    repeated = joined.where(F.col("__rows") > 1).select(*columns).dropDuplicates([key, text])
-    return single if kept.where(F.col("__rows") > 1).isEmpty() else single.union(repeated)
+    joined = docs.join(kept, docs[key].eqNullSafe(kept[its_key]))
+    single = joined.where(kept[its_rows] == 1).select(*columns)
+    repeated = joined.where(kept[its_rows] > 1).select(*columns).dropDuplicates([key, text])
+    return single if kept.where(F.col(its_rows) > 1).isEmpty() else single.union(repeated)
