@@ -833,6 +833,50 @@ ORACLE["nearest_information"] = people_query(
       SELECT x, -0.5772156649015329::DOUBLE + coalesce(sum(1::DOUBLE / (x - 1)) FILTER (WHERE x > 1) OVER (ORDER BY x), 0) AS psi
       FROM range(1, (SELECT max(n) + 1 FROM line)) AS t(x))""",
 )
+def split_of(level: str, rows: str) -> list[str]:
+    """Best split of each node in ``rows`` (node, row_id, g, h)."""
+    gain = "g_low * g_low / (h_low + 1) + (g - g_low) * (g - g_low) / (h - h_low + 1) - g * g / (h + 1)"
+    return [
+        f"""cells{level} AS (
+          SELECT t.node, f.idx, f.name, f.v, sum(t.g) AS g, sum(t.h) AS h FROM {rows} t JOIN feat f USING (row_id) WHERE f.allowed GROUP BY ALL)""",
+        f"""sums{level} AS (
+          SELECT node, idx, name, v, sum(g) OVER w AS g_low, sum(h) OVER w AS h_low, sum(g) OVER p AS g, sum(h) OVER p AS h
+          FROM cells{level} WINDOW p AS (PARTITION BY node, idx), w AS (PARTITION BY node, idx ORDER BY v))""",
+        f"""best{level} AS (
+          SELECT *, round({gain}, 9) AS gain FROM sums{level} WHERE h_low >= 1 AND h - h_low >= 1 AND round({gain}, 9) > 1e-6
+          QUALIFY row_number() OVER (PARTITION BY node ORDER BY round({gain}, 9) DESC, idx, v) = 1)""",
+    ]
+
+
+def below(rows: str, level: str) -> str:
+    return (
+        f"(SELECT CASE WHEN f.v > b.v THEN 2 * b.node + 2 ELSE 2 * b.node + 1 END AS node, t.row_id, t.g, t.h"
+        f" FROM {rows} t JOIN best{level} b USING (node) JOIN feat f ON f.row_id = t.row_id AND f.idx = b.idx)"
+    )
+
+
+ORACLE["boosted_first_tree"] = people_query(
+    f"""SELECT node::INTEGER AS node, b.name AS feature, {r("b.v")} AS edge, {r("b.gain")} AS gain, {r("sum(t.g)")} AS gradient,
+       {r("sum(t.h)")} AS curvature, {r("-0.1::DOUBLE * sum(t.g) / (sum(t.h) + 1)")} AS value
+    FROM (SELECT * FROM rows0 UNION ALL SELECT * FROM rows1 UNION ALL SELECT * FROM rows2) t
+    LEFT JOIN (SELECT * FROM best0 UNION ALL SELECT * FROM best1) b USING (node) GROUP BY node, b.name, b.v, b.gain""",
+    """cells_of AS (
+      SELECT row_id, 'age' AS name, 'age' AS col, '' AS val, age::DOUBLE AS v FROM people
+      UNION ALL SELECT row_id, 'education_' || val, 'education', val, (education = val)::INTEGER::DOUBLE FROM people, (SELECT DISTINCT education AS val FROM people)
+      UNION ALL SELECT row_id, 'gender_' || val, 'gender', val, (gender = val)::INTEGER::DOUBLE FROM people, (SELECT DISTINCT gender AS val FROM people)
+      UNION ALL SELECT row_id, 'occupation_' || val, 'occupation', val, (occupation = val)::INTEGER::DOUBLE FROM people, (SELECT DISTINCT occupation AS val FROM people))""",
+    """labelled AS (SELECT DISTINCT name, col, val FROM cells_of),
+    drawn AS (
+      SELECT name, row_number() OVER (ORDER BY col, val) AS idx,
+             row_number() OVER (ORDER BY sha256('42:boost:columns0:' || name)) <= floor(0.85::DOUBLE * count(*) OVER ()) AS allowed FROM labelled),
+    feat AS (SELECT c.row_id, c.name, c.v, d.idx, d.allowed FROM cells_of c JOIN drawn d USING (name))""",
+    f"""rows0 AS (
+      SELECT 0 AS node, row_id, 0.5::DOUBLE - income AS g, 0.25::DOUBLE AS h FROM people WHERE {lane(chr(39) + '42:boost:rows0:' + chr(39) + ' || row_id')} < 0.85)""",
+    *split_of("0", "rows0"),
+    f"rows1 AS {below('rows0', '0')}",
+    *split_of("1", "rows1"),
+    f"rows2 AS {below('rows1', '1')}",
+)
 ORACLE["mutual_information"] = people_query(
     f"SELECT feature, {r('mutual_information')} AS mutual_information FROM mi", INFORMATION
 )

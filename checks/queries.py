@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import cache
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from checks.settings import (
 )
 from veilframe.functions.draws import TRIAL, Draws
 from veilframe.functions.numeric import range_midpoint, rounded
-from veilframe.operators import drift, features, masks, moments, neighbours, privacy, scoring, utility
+from veilframe.operators import boosting, drift, features, masks, moments, neighbours, privacy, scoring, utility
 from veilframe.operators.clean import binary_target, cap_rows, clean_people, income_flag, person_cells, share_rows
 from veilframe.operators.models import ModelOptions, evaluate_models, unmasked
 from veilframe.operators.project import add_category_code, fill_numbers, project_numbers
@@ -650,6 +651,16 @@ def train_boosted(spark, sf):
     return trained(spark, sf, "XGBoost")
 
 
+@query
+def boosted_first_tree(spark, sf):
+    """Splits and leaf values of the first round, on drawn rows and features."""
+    df = people(spark, sf).withColumn("label", F.col("income"))
+    design = features.design_model(df, ["age"], PEOPLE.texts)
+    names = features.feature_names(design, ["age"], PEOPLE.texts)
+    trees = boosting.boost(design.transform(df), vector_to_array("features"), names, 1, 2, 0.1, 0.85, 0.85, Draws())
+    return tidy(boosting.tree_table(spark, trees[0], names, 0.1))
+
+
 @query
 def train_rff_svc(spark, sf):
     return trained(spark, sf, "SVM")

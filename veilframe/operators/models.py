@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, Transformer
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.functions.draws import Draws
+from veilframe.operators.boosting import SecondOrderBoosting
 from veilframe.operators.features import (
     add_fold,
     add_split,
@@ -293,10 +294,7 @@ def _svm(data: TrainingData, options: ModelOptions) -> tuple[Pipeline, list[dict
 
 
 def _boosted(data: TrainingData, options: ModelOptions) -> tuple[Pipeline, list[dict], dict]:
-    model = GBTClassifier(
-        featuresCol="kept", labelCol="label", maxIter=options.rounds, maxDepth=3, stepSize=0.08,
-        subsamplingRate=0.85, featureSubsetStrategy="0.85", seed=options.seed,
-    )
+    model = SecondOrderBoosting(featuresCol="kept", maxIter=options.rounds, maxDepth=3, stepSize=0.08, seed=options.seed)
     slicer, choices = _slicer(data, options)
     builder = ParamGridBuilder().addGrid(slicer.indices, choices)
     if options.tune:
