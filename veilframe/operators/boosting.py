@@ -5,7 +5,7 @@ Guestrin 2016). Rows stay where they are: a pass adds up gradients and curvature
 feature and value bin inside the tasks. The cells of all tasks are summed by the driver, by Spark
 where they are many, and where even the sums are many (thousands of features) windows over bins
 find the splits in Spark too; the driver then sees one row for each node. Margins are kept with the
-rows, so a round costs one pass for each level of its tree, whatever rounds came before.
+rows, but for those of the latest rounds, so a round costs one pass for each level of its tree.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ PENALTY = 1.0  # added to each node's curvature
 LEAST_CURVATURE = 1.0  # of a child
 LEAST_GAIN = 1e-6
 GAIN_PLACES = 9  # gains that agree to so many places are ties, which the first feature and bin win
-SETTLE_ROUNDS = 20
+SETTLE_ROUNDS = 10  # rounds after which the rows are written with their margins
 DRIVER_CELLS = 1 << 22  # cells that the driver reads at most; beyond, the splits are found in Spark
 WORKING = "row_id bigint, label double, bins binary, margin double"
 
@@ -115,7 +115,13 @@ def _matrix(batch: pa.RecordBatch, features: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, features)
 
 
-def cell_sums(rows: DataFrame, tree: Tree, level: int, features: int) -> DataFrame:
+def _margin(batch: pa.RecordBatch, bins: np.ndarray, steps: Sequence[tuple[Tree, np.ndarray]]) -> np.ndarray:
+    """The rows' margins with the steps of trees that came after they were written."""
+    margin = batch.column(batch.schema.get_field_index("margin")).to_numpy()
+    return sum((values[tree.node_of(bins, tree.depth, tree.bin)] for tree, values in steps), margin)
+
+
+def cell_sums(rows: DataFrame, tree: Tree, level: int, features: int, steps: Sequence[tuple[Tree, np.ndarray]] = ()) -> DataFrame:
     """node, feature, bin, g, h: gradients and curvatures of the rows at one level of the tree, summed within tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +131,7 @@ def cell_sums(rows: DataFrame, tree: Tree, level: int, features: int) -> DataFra
             if not batch.num_rows:
                 continue
             bins = _matrix(batch, features)
-            chance = 1 / (1 + np.exp(-batch.column(3).to_numpy()))
+            chance = 1 / (1 + np.exp(-_margin(batch, bins, steps)))
             node = tree.node_of(bins, level, tree.bin)
             there = node >= start
             cell = ((node[there] - start)[:, None] * features + np.arange(features)) * MOST_BINS + bins[there]
@@ -185,9 +191,8 @@ def best_of_cells(cells: list, level: int, features: int, allowed: Sequence[int]
     return found
 
 
-def find_splits(rows: DataFrame, tree: Tree, level: int, features: int, allowed: Sequence[int], partitions: int, most: int = DRIVER_CELLS) -> list:
+def find_splits(cells: DataFrame, level: int, features: int, allowed: Sequence[int], partitions: int, most: int = DRIVER_CELLS) -> list:
     """Best splits of one level, one row for each node. Few cells are summed by the driver, more by Spark."""
-    cells = cell_sums(rows, tree, level, features)
     bound = 2**level * features * MOST_BINS
     if bound > most:
         return best_splits(cells, allowed).collect()
@@ -203,12 +208,19 @@ def chosen_features(draws: Draws, number: int, names: Sequence[str], share: floa
 
 
 def grow_tree(
-    rows: DataFrame, depth: int, edges: Sequence[Sequence[float]], allowed: Sequence[int], partitions: int, most: int = DRIVER_CELLS
+    rows: DataFrame,
+    depth: int,
+    edges: Sequence[Sequence[float]],
+    allowed: Sequence[int],
+    partitions: int,
+    steps: Sequence[tuple[Tree, np.ndarray]] = (),
+    most: int = DRIVER_CELLS,
 ) -> Tree:
-    """One tree on the gradients at the rows' margins."""
+    """One tree on the gradients at the rows' margins, moved by ``steps``."""
     tree = Tree(depth)
     for level in range(depth):
-        splits = find_splits(rows, tree, level, len(edges), allowed, partitions, most)
+        cells = cell_sums(rows, tree, level, len(edges), steps)
+        splits = find_splits(cells, level, len(edges), allowed, partitions, most)
         if not splits:
             break
         for row in splits:
@@ -216,15 +228,13 @@ def grow_tree(
     return tree
 
 
-def _stepped(rows: DataFrame, tree: Tree, rate: float, features: int) -> DataFrame:
-    """Rows with their margins moved by the tree."""
-    values = tree.values(rate)
+def _stepped(rows: DataFrame, steps: Sequence[tuple[Tree, np.ndarray]], features: int) -> DataFrame:
+    """Rows with their margins moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                node = tree.node_of(_matrix(batch, features), tree.depth, tree.bin)
-                moved = pa.array(batch.column(3).to_numpy() + values[node])
+                moved = pa.array(_margin(batch, _matrix(batch, features), steps))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], moved], names=batch.schema.names)
 
     return rows.mapInArrow(run, WORKING)
@@ -245,31 +255,29 @@ def boost(
 ) -> list[Tree]:
     """Trees of ``rounds`` rounds on the array column ``features``; each round draws its rows by ``row_id``.
 
-    An empty table or a label with one value gives trees that split nothing. Lineage is cut every
-    SETTLE_ROUNDS rounds; between, the rows are persisted, so a lost executor repeats a few rounds.
+    An empty table or a label with one value gives trees that split nothing. Margins are written
+    every SETTLE_ROUNDS rounds; between, each pass adds the steps of the latest few trees itself, so
+    plans stay short and a lost executor costs a read.
     """
     draws = draws or Draws()
     values = df.select(F.col(row_id).cast("bigint").alias("row_id"), F.col(label).cast("double").alias("label"), features.alias("values"))
     edges = bin_edges(values, "values", len(names))
     rows = values.select("row_id", "label", _binned(F.col("values"), edges).alias("bins"), F.lit(0.0).alias("margin"))
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = settle(rows).persist(StorageLevel.MEMORY_AND_DISK)
     partitions = rows.rdd.getNumPartitions()
-    trees, stale = [], None
+    trees, steps = [], []
     for number in range(rounds):
         u = draws.uniform("boost", f"rows{number}", F.col("row_id"))
         sample = rows if row_share >= 1 else rows.where(u < row_share)
-        tree = grow_tree(sample, depth, edges, chosen_features(draws, number, names, feature_share), partitions)
+        tree = grow_tree(sample, depth, edges, chosen_features(draws, number, names, feature_share), partitions, steps)
         trees.append(tree)
-        if tree.feature[0] < 0:  # nothing to learn from this draw: margins stay
-            continue
-        if stale is not None:  # the first pass over the new rows has filled their place
-            stale.unpersist()
-        moved = _stepped(rows, tree, rate, len(names))
-        stale = rows
-        rows = settle(moved) if number % SETTLE_ROUNDS == SETTLE_ROUNDS - 1 else moved.persist(StorageLevel.MEMORY_AND_DISK)
-    for kept in (stale, rows):
-        if kept is not None:
-            kept.unpersist()
+        if tree.feature[0] >= 0:  # else there was nothing to learn from this draw
+            steps.append((tree, tree.values(rate)))
+        if len(steps) == SETTLE_ROUNDS and number < rounds - 1:
+            moved = settle(_stepped(rows, steps, len(names))).persist(StorageLevel.MEMORY_AND_DISK)
+            rows.unpersist()
+            rows, steps = moved, []
+    rows.unpersist()
     return trees
 
 
