@@ -17,6 +17,7 @@ from checks.settings import (
     ORDERS_PERTURB,
     ORDERS_SWAP,
     PERTURB,
+    PROPOSALS,
     SHARE,
     SIX,
     SWAP,
@@ -691,6 +692,91 @@ ORACLE["privacy_without_identifiers"] = trial([NOISE, GENERAL]).query(
        0::DOUBLE AS privacy_score, 1::DOUBLE AS privacy_loss FROM masked"""
 )
 ORACLE["sweep_privacy"] = trial(default_grid()).query(PRIVACY_SELECT, *privacy_parts())
+# The grid, written out: method, noise_std, bin, epsilon, category probability, swap share, strength.
+GRID_VALUES = """grid_settings(config_id, method, noise_std, generalization_bin, epsilon, gender_mask_probability, swap_fraction, perturbation_strength) AS (VALUES
+  (0, 'noise', 0.5, 10, 1, 0.025, 0, 0), (1, 'noise', 3, 10, 1, 0.15, 0, 0), (2, 'noise', 8, 10, 1, 0.4, 0, 0),
+  (3, 'generalization', 0, 10, 1, 0, 0, 0), (4, 'generalization', 0, 20, 1, 0, 0, 0), (5, 'generalization', 0, 30, 1, 0, 0, 0),
+  (6, 'differential_privacy', 0, 10, 0.5, 0, 0, 0), (7, 'differential_privacy', 0, 10, 1, 0, 0, 0), (8, 'differential_privacy', 0, 10, 3, 0, 0, 0),
+  (9, 'data_swapping', 0, 10, 1, 0, 0.05, 0), (10, 'data_swapping', 0, 10, 1, 0, 0.2, 0),
+  (11, 'feature_perturbation', 0, 10, 1, 0, 0, 0.05), (12, 'feature_perturbation', 0, 10, 1, 0, 0, 0.2),
+  (13, 'hybrid', 1.5, 10, 0.5, 0.075, 0.1, 0.1), (14, 'hybrid', 1.5, 10, 2, 0.075, 0.1, 0.1),
+  (15, 'hybrid', 1.5, 20, 0.5, 0.075, 0.1, 0.1), (16, 'hybrid', 1.5, 20, 2, 0.075, 0.1, 0.1),
+  (17, 'hybrid', 6, 10, 0.5, 0.3, 0.1, 0.1), (18, 'hybrid', 6, 10, 2, 0.3, 0.1, 0.1),
+  (19, 'hybrid', 6, 20, 0.5, 0.3, 0.1, 0.1), (20, 'hybrid', 6, 20, 2, 0.3, 0.1, 0.1))"""
+
+
+def parzen_draw(stage: str) -> str:
+    return lane(f"'42:parzen:{stage}:' || field || ':' || proposal || ':' || draw")
+
+
+def parzen_choice(name: str, field: str, values: Sequence[str], column: str, users: str, asked: str) -> list[str]:
+    """The category with the best ratio among 24 draws of the good one."""
+    listed = ", ".join(f"({i}, {quoted(v)})" for i, v in enumerate(values))
+    return [
+        f"""{name}_odds AS (
+          SELECT place, value, (sum(p) OVER (ORDER BY place)) AS upto, place = {len(values) - 1} AS final, p, ln(p) - ln(q) AS ratio FROM (
+            SELECT place, value, (good + 1)::DOUBLE / sum(good + 1) OVER () AS p, (bad + 1)::DOUBLE / sum(bad + 1) OVER () AS q FROM (
+              SELECT v.place, v.value, count(*) FILTER (WHERE s.good) AS good, count(*) FILTER (WHERE NOT s.good) AS bad
+              FROM (VALUES {listed}) AS v(place, value) LEFT JOIN (SELECT * FROM split WHERE {users}) s ON {column}::VARCHAR = v.value GROUP BY ALL)))""",
+        f"{name}_tries AS (SELECT *, {parzen_draw('choice')} AS u FROM (SELECT proposal, '{field}' AS field, unnest(range(24)) AS draw FROM {asked}))",
+        f"""{name}s AS (
+          SELECT t.proposal, o.value FROM {name}_tries t JOIN {name}_odds o ON t.u >= o.upto - o.p AND (t.u < o.upto OR o.final)
+          QUALIFY row_number() OVER (PARTITION BY t.proposal ORDER BY round(o.ratio, 9) DESC, t.draw, o.place) = 1)""",
+    ]
+
+
+PARZEN_FIELDS = "('noise', 'noise_std'), ('noise', 'gender_mask_probability'), ('generalization', 'gender_mask_probability'), ('differential_privacy', 'epsilon'), ('data_swapping', 'swap_fraction'), ('feature_perturbation', 'perturbation_strength'), ('hybrid', 'noise_std'), ('hybrid', 'epsilon'), ('hybrid', 'hybrid_dp_budget_fraction'), ('hybrid', 'swap_fraction'), ('hybrid', 'perturbation_strength')"
+METHOD_LIST = ("noise", "generalization", "differential_privacy", "data_swapping", "feature_perturbation", "hybrid")
+BELOW = "(1 / (1 + exp(-({} - k.mu) / k.scale)))"
+
+
+def proposed(field: str, default: str) -> str:
+    return f"{r(f'coalesce(max(c.x) FILTER (WHERE c.field = {quoted(field)}), {default})')} AS {field}"
+
+
+ORACLE["parzen_proposals"] = trial(default_grid()).query(
+    f"""SELECT m.proposal, m.value AS method, {proposed("noise_std", "0::DOUBLE")}, coalesce(any_value(b.value)::INTEGER, 10) AS generalization_bin,
+       {proposed("epsilon", "1::DOUBLE")}, {proposed("gender_mask_probability", "0::DOUBLE")}, {proposed("hybrid_dp_budget_fraction", "0.7::DOUBLE")},
+       {proposed("swap_fraction", "0::DOUBLE")}, {proposed("perturbation_strength", "0::DOUBLE")}
+    FROM methods m LEFT JOIN bins b ON b.proposal = m.proposal LEFT JOIN chosen c ON c.proposal = m.proposal GROUP BY m.proposal, m.value""",
+    *privacy_parts(),
+    GRID_VALUES,
+    f"""hist AS (SELECT g.*, 0.7 AS hybrid_dp_budget_fraction, {r("s.score")} AS objective FROM grid_settings g JOIN scored s USING (config_id)),
+    split AS (SELECT *, row_number() OVER (ORDER BY objective DESC, config_id) <= least(ceil(count(*) OVER () / 10), 25) AS good FROM hist),
+    asked AS (SELECT unnest(range({PROPOSALS})) AS proposal)""",
+    *parzen_choice("method", "method", METHOD_LIST, "method", "true", "asked"),
+    "binned AS (SELECT proposal FROM methods WHERE value IN ('generalization', 'hybrid'))",
+    *parzen_choice("bin", "generalization_bin", ("5", "10", "15", "20", "25", "30"), "generalization_bin", "method IN ('generalization', 'hybrid')", "binned"),
+    f"""uses(method, field) AS (VALUES {PARZEN_FIELDS}),
+    spans(field, low, high) AS (VALUES ('noise_std', 0.1::DOUBLE, 12::DOUBLE), ('epsilon', ln(0.2::DOUBLE), ln(6::DOUBLE)), ('gender_mask_probability', 0::DOUBLE, 0.65::DOUBLE),
+      ('swap_fraction', 0::DOUBLE, 0.45::DOUBLE), ('perturbation_strength', 0::DOUBLE, 0.45::DOUBLE), ('hybrid_dp_budget_fraction', 0.5::DOUBLE, 0.85::DOUBLE)),
+    observed AS (
+      SELECT p.field, p.low, p.high, s.good, s.config_id, CASE p.field WHEN 'noise_std' THEN noise_std::DOUBLE WHEN 'epsilon' THEN ln(epsilon::DOUBLE)
+        WHEN 'gender_mask_probability' THEN gender_mask_probability::DOUBLE WHEN 'swap_fraction' THEN swap_fraction::DOUBLE
+        WHEN 'perturbation_strength' THEN perturbation_strength::DOUBLE ELSE hybrid_dp_budget_fraction::DOUBLE END AS mu
+      FROM split s JOIN uses u USING (method) JOIN spans p USING (field)),
+    spaced AS (
+      SELECT *, row_number() OVER w AS nth, greatest(mu - coalesce(lag(mu) OVER w, low), coalesce(lead(mu) OVER w, high) - mu) AS reach,
+             count(*) OVER (PARTITION BY field, good) AS n FROM observed WINDOW w AS (PARTITION BY field, good ORDER BY mu, config_id)),
+    kern AS (
+      SELECT field, low, high, good, nth, mu, least(greatest(reach, (high - low) / least(100, n + 2)), high - low) * (sqrt(3) / pi()) AS scale FROM spaced
+      UNION ALL SELECT field, low, high, good, 0, (low + high) / 2, (high - low) * (sqrt(3) / pi()) FROM spans, (VALUES (true), (false)) AS g(good)),
+    tries AS (SELECT m.proposal, u.field, unnest(range(24)) AS draw FROM methods m JOIN uses u ON u.method = m.value),
+    picked AS (
+      SELECT t.*, floor({parzen_draw('kernel')} * (SELECT count(*) FROM kern k WHERE k.good AND k.field = t.field)) AS nth, {parzen_draw('value')} AS u FROM tries t),
+    inside AS (
+      SELECT t.proposal, t.field, t.draw, k.mu, k.scale, k.low, k.high, {BELOW.format('k.low')} + t.u * ({BELOW.format('k.high')} - {BELOW.format('k.low')}) AS q
+      FROM picked t JOIN kern k ON k.good AND k.field = t.field AND k.nth = t.nth),
+    drawn AS (SELECT proposal, field, draw, greatest(least(mu + scale * ln(q / (1 - q)), high), low) AS x FROM inside),
+    heights AS (
+      SELECT d.*, k.good, exp(-abs(d.x - k.mu) / k.scale) / (k.scale * pow(1 + exp(-abs(d.x - k.mu) / k.scale), 2)) / ({BELOW.format('k.high')} - {BELOW.format('k.low')}) AS height
+      FROM drawn d JOIN kern k USING (field)),
+    worth AS (
+      SELECT proposal, field, draw, any_value(x) AS x, ln(avg(height) FILTER (WHERE good)) - ln(avg(height) FILTER (WHERE NOT good)) AS gain FROM heights GROUP BY ALL),
+    chosen AS (
+      SELECT proposal, field, CASE WHEN field = 'epsilon' THEN exp(x) ELSE x END AS x FROM worth
+      QUALIFY row_number() OVER (PARTITION BY proposal, field ORDER BY round(gain, 9) DESC, draw) = 1)""",
+)
 ORACLE["sweep_searched_settings"] = trial(searched_settings()).query(PRIVACY_SELECT, *privacy_parts())
 
 # --- utility ---------------------------------------------------------------------------------------

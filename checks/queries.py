@@ -21,6 +21,7 @@ from checks.settings import (
     ORDERS_PERTURB,
     ORDERS_SWAP,
     PERTURB,
+    PROPOSALS,
     SHARE,
     SIX,
     SWAP,
@@ -33,7 +34,7 @@ from veilframe.operators import boosting, drift, features, masks, moments, neigh
 from veilframe.operators.clean import binary_target, cap_rows, clean_people, income_flag, person_cells, share_rows
 from veilframe.operators.models import ModelOptions, evaluate_models, unmasked
 from veilframe.operators.project import add_category_code, fill_numbers, project_numbers
-from veilframe.plans import report
+from veilframe.plans import parzen, report
 from veilframe.plans.candidates import ANCHORS, crossover_search, default_grid, random_search
 from veilframe.plans.sweep import SweepOptions, adaptive_sweep, measure, prepare, sweep
 from veilframe.sources.fixtures import (
@@ -46,7 +47,7 @@ from veilframe.sources.fixtures import (
     people_scores,
     table,
 )
-from veilframe.spec import MaskingConfig, MaskSpec
+from veilframe.spec import MaskingConfig, MaskSpec, config_frame
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -571,6 +572,15 @@ def sweep_privacy(spark, sf):
     return tidy(privacy.privacy_metrics(frame, PEOPLE))
 
 
+@query
+def parzen_proposals(spark, sf):
+    """Settings proposed from the privacy that the grid's settings reach on the whole table."""
+    people_rows = people(spark, sf)
+    scores = tidy(privacy.privacy_metrics(masks.evaluate_masks(people_rows, PEOPLE, default_grid(), TRIAL), PEOPLE))
+    history = config_frame(spark, default_grid()).join(scores.select("config_id", "privacy_score"), "config_id")
+    return tidy(parzen.proposals(history, PROPOSALS, "privacy_score"))
+
+
 @query
 def sweep_searched_settings(spark, sf):
     """Random picks with anchors, and crossover children, without repeats."""

@@ -21,3 +21,4 @@ CAP = 5000
 SHARE = 0.25
 KEPT = 8
 WEIGHT = 0.55
+PROPOSALS = 12

@@ -259,6 +259,8 @@ def boost(
     every SETTLE_ROUNDS rounds; between, each pass adds the steps of the latest few trees itself, so
     plans stay short and a lost executor costs a read.
     """
+    if not names:
+        return []
     draws = draws or Draws()
     values = df.select(F.col(row_id).cast("bigint").alias("row_id"), F.col(label).cast("double").alias("label"), features.alias("values"))
     edges = bin_edges(values, "values", len(names))

@@ -51,6 +51,18 @@ CROSSOVER_BINS = (5, 10, 15, 20, 25)
 ADAPTIVE_BUDGET = (0.5, 0.85)
 ADAPTIVE_BINS = (5, 30)
 
+USED_FIELDS = {  # the fields that a method looks at
+    "noise": ("noise_std", "gender_mask_probability"),
+    "generalization": ("generalization_bin", "gender_mask_probability"),
+    "differential_privacy": ("epsilon",),
+    "data_swapping": ("swap_fraction",),
+    "feature_perturbation": ("perturbation_strength",),
+    "hybrid": (
+        "noise_std", "generalization_bin", "epsilon", "hybrid_dp_budget_fraction", "swap_fraction",
+        "perturbation_strength",
+    ),
+}
+
 
 def suppression_for(noise: float) -> float:
     """Suppression probability that goes with a noise level."""
@@ -183,18 +195,7 @@ def distinct(configs: Iterable[MaskingConfig]) -> list[MaskingConfig]:
 
 def canonical(config: MaskingConfig) -> MaskingConfig:
     """Reset fields that the method ignores, so settings that mask alike share a label."""
-    used = {
-        "noise": ("noise_std", "gender_mask_probability"),
-        "generalization": ("generalization_bin", "gender_mask_probability"),
-        "differential_privacy": ("epsilon",),
-        "data_swapping": ("swap_fraction",),
-        "feature_perturbation": ("perturbation_strength",),
-        "hybrid": (
-            "noise_std", "generalization_bin", "epsilon", "hybrid_dp_budget_fraction", "swap_fraction",
-            "perturbation_strength",
-        ),
-    }
-    return MaskingConfig(config.method, **{name: getattr(config, name) for name in used[config.method]})
+    return MaskingConfig(config.method, **{name: getattr(config, name) for name in USED_FIELDS[config.method]})
 
 
 def default_candidates(seed: int = 42) -> list[MaskingConfig]:

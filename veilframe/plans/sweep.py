@@ -33,6 +33,7 @@ from veilframe.operators.utility import (
     utility_metrics,
 )
 from veilframe.plans.candidates import adaptive_settings, default_candidates
+from veilframe.plans.parzen import proposed_settings
 from veilframe.session import settle
 from veilframe.spec import CONFIG_SCHEMA, MaskingConfig, MaskSpec, config_frame
 
@@ -193,11 +194,16 @@ def adaptive_sweep(
     trials: int = 8,
     parents: int = 5,
     seed: int = 42,
+    search: str = "parzen",
 ) -> DataFrame:
-    """A sweep, then rounds of new settings: crossed from the best ones so far, and drawn from the whole ranges.
+    """A sweep, then rounds of new settings.
 
-    Settings that were measured before are drawn again, so ``trials`` new ones are measured.
+    ``parzen`` proposes them from the densities of good and bad settings so far. ``crossover`` takes
+    children of the best ``parents`` by turns with draws from the whole ranges, which also make up
+    for proposals that were measured before: ``trials`` new settings are measured.
     """
+    if search not in ("parzen", "crossover"):
+        raise ValueError(f"unknown search: {search}")
     options = options or SweepOptions()
     configs = default_candidates() if configs is None else list(configs)
     prepared = prepare(df, spec)
@@ -209,7 +215,8 @@ def adaptive_sweep(
     for number in range(rounds):
         top = [_config(row) for row in ranked(results).limit(parents).collect()]
         share = trials * (number + 1) // rounds - trials * number // rounds
-        fresh = adaptive_settings(top, share, known, seed + number)
+        fresh = proposed_settings(results, share, known, Draws(seed), first=2 * trials * number) if search == "parzen" else []
+        fresh += adaptive_settings(top, share - len(fresh), known | {c.label() for c in fresh}, seed + number)
         if not fresh:
             continue
         known |= {child.label() for child in fresh}
