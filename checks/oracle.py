@@ -154,6 +154,9 @@ def shifted(value: str, by: int) -> str:
 # --- masks -------------------------------------------------------------------------------------
 
 
+PERMUTED = -1  # in place of a number of buckets
+
+
 class Masks:
     """CTEs that mask ``people`` under the columns x (number), f (flag) and c (category)."""
 
@@ -235,6 +238,16 @@ class Masks:
             f"SELECT * EXCLUDE (u0, u1, u2, u3) FROM (SELECT * FROM {moved} UNION ALL SELECT * EXCLUDE (rk, k) FROM {ranked} WHERE NOT ({chosen}))"
         )
 
+    def swap_permuted(self, source: str, config: MaskingConfig) -> str:
+        drawn = self.draws(source, config, "swap")
+        ranked = self.add(f"SELECT *, row_number() OVER (ORDER BY u0, row_id) <= round_even((count(*) OVER ()) * {d(config.swap_fraction)}, 0) AS chosen FROM {drawn}")
+        placed = self.add(f"SELECT *, row_number() OVER (ORDER BY u1, row_id) AS r1, row_number() OVER (ORDER BY u2, row_id) AS r2 FROM {ranked} WHERE chosen")
+        draws = "u0, u1, u2, u3, chosen"
+        return self.add(
+            f"SELECT t.* EXCLUDE ({draws}, r1, r2) REPLACE (g.x AS x, g.c AS c) FROM {placed} t JOIN {placed} g ON t.r1 = g.r2"
+            f" UNION ALL SELECT * EXCLUDE ({draws}) FROM {ranked} WHERE NOT chosen"
+        )
+
     def swap_in_buckets(self, source: str, config: MaskingConfig, buckets: int) -> str:
         drawn = self.draws(source, config, "swap")
         window = f"PARTITION BY floor(u1 * {buckets}) ORDER BY u1, row_id"
@@ -297,7 +310,10 @@ class Masks:
         elif method == "differential_privacy":
             done = self.laplace("start0", config, config.epsilon)
         elif method == "data_swapping":
-            done = self.swap_in_buckets("start0", config, buckets) if buckets else self.swap("start0", config)
+            if buckets == PERMUTED:
+                done = self.swap_permuted("start0", config)
+            else:
+                done = self.swap_in_buckets("start0", config, buckets) if buckets else self.swap("start0", config)
         elif method == "feature_perturbation":
             done = self.perturb("start0", config)
         else:
@@ -410,6 +426,7 @@ ORACLE["cap_sample"] = people_query(
 ORACLE["share_sample"] = people_query(
     f"SELECT {PUBLIC} FROM people WHERE {lane(chr(39) + '42:cap:cap:' + chr(39) + ' || row_id')} < {SHARE}"
 )
+ORACLE["row_numbers"] = "SELECT (row_number() OVER ()) - 1 AS row_id, o_orderkey, o_totalprice FROM orders"
 ORACLE["range_midpoints"] = masked([GENERAL]).query(
     "SELECT row_id, m_x_label AS age, (split_part(m_x_label, '-', 1)::DOUBLE + split_part(m_x_label, '-', 2)::DOUBLE) / 2 AS midpoint FROM masked"
 )
@@ -460,6 +477,7 @@ for _name, _config, _spec in (
     ("mask_orders_generalize", ORDERS_GENERAL, ORDERS_PEOPLE),
 ):
     ORACLE[_name] = masked_rows(_config, _spec)
+ORACLE["mask_swap_permuted"] = masked_rows(SWAP, PEOPLE, PERMUTED)
 ORACLE["mask_swap_bucketed"] = masked_rows(SWAP, PEOPLE, SWAP_BUCKETS)
 for _name, _config in (("mask_suppress", NOISE), ("mask_randomized_response", LAPLACE)):
     ORACLE[_name] = masked([_config]).query(

@@ -47,6 +47,7 @@ from veilframe.sources.fixtures import (
     people_scores,
     table,
 )
+from veilframe.sources.tables import read_numbered
 from veilframe.spec import MaskingConfig, MaskSpec, config_frame
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +101,11 @@ def share_sample(spark, sf):
     return share_rows(people(spark, sf), SHARE, PEOPLE, Draws())
 
 
+@query
+def row_numbers(spark, sf):
+    return read_numbered(spark, f"{sf.rstrip('/')}/orders.parquet").select("row_id", "o_orderkey", "o_totalprice")
+
+
 @query
 def range_midpoints(spark, sf):
     table = masks.release(people(spark, sf), PEOPLE, GENERAL, Draws())
@@ -208,6 +214,13 @@ def mask_swap_bucketed(spark, sf):
     return masked_columns(masks.bucketed_swap(people(spark, sf), PEOPLE, SWAP, SWAP_BUCKETS), PEOPLE)
 
 
+@query
+def mask_swap_permuted(spark, sf):
+    """Exactly as many rows as ``mask_swap_exact`` moves, by a uniform permutation in 16 ranges."""
+    df = people(spark, sf)
+    return masked_columns(masks.permuted_swap(df, PEOPLE, SWAP, bucket_rows=max(1, df.count() // SWAP_BUCKETS)), PEOPLE)
+
+
 @query
 def mask_perturb(spark, sf):
     return masked_rows(people(spark, sf), PEOPLE, PERTURB)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.rows import people_rows
 from veilframe import Draws, MaskingConfig, MaskSpec
 from veilframe.functions.draws import gaussian_pair, laplace
-from veilframe.operators.masks import bucketed_swap, evaluate_masks, release, table_facts, wide
+from veilframe.operators.masks import bucketed_swap, evaluate_masks, permuted_swap, release, table_facts, wide
 from veilframe.streaming.masks import mask_stream
 
 SPEC = MaskSpec()
@@ -62,6 +62,14 @@ def test_swap_moves_pairs_among_exactly_n_rows(crowd, fraction, moved):
     assert frame.where("o_income <> m_income").count() == 0
 
 
+def test_permuted_swap_is_a_permutation_at_any_range(crowd):
+    frames = [permuted_swap(crowd, SPEC, SWAP, bucket_rows=rows).select("row_id", "o_age", "o_gender", "m_age", "m_gender").collect() for rows in (100, 100_000)]
+    assert sorted(frames[0]) == sorted(frames[1])
+    assert sorted((r["o_age"], r["o_gender"]) for r in frames[0]) == sorted((r["m_age"], r["m_gender"]) for r in frames[0])
+    moved = sum((r["o_age"], r["o_gender"]) != (r["m_age"], r["m_gender"]) for r in frames[0])
+    assert 0.2 * len(frames[0]) < moved <= 0.3 * len(frames[0]) + 1
+
+
 def test_bucketed_swap_keeps_the_pairs(crowd):
     frame = bucketed_swap(crowd, SPEC, SWAP, 8)
     assert frame.select("o_age", "o_gender").exceptAll(frame.select("m_age", "m_gender")).count() == 0

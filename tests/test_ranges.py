@@ -17,6 +17,7 @@ from veilframe.operators.moments import masked_cube, moments, original_cube
 from veilframe.operators.neighbours import digamma, nearest_information
 from veilframe.operators.project import text_codes
 from veilframe.operators.ranking import running_totals
+from veilframe.sources.tables import read_numbered
 
 
 @pytest.mark.parametrize("part_rows", [1, 10, 1000])
@@ -119,3 +120,13 @@ def test_digamma(spark):
     known = {1: -0.5772156649015329, 2: 0.42278433509846714, 10: 2.251752589066721, 1000: 6.907255195648812}
     for x, value in known.items():
         assert math.isclose(spark.range(1).select(digamma(F.lit(float(x))).alias("d")).first()["d"], value, abs_tol=1e-12)
+
+
+def test_rows_are_numbered_over_files(spark, tmp_path):
+    for name, low, high in (("b", 0, 700), ("a", 700, 900), ("c", 900, 905)):
+        spark.range(low, high, 1, 1).write.parquet(str(tmp_path / "t" / f"part={name}"))
+    rows = read_numbered(spark, str(tmp_path / "t")).collect()
+    assert sorted(r["row_id"] for r in rows) == list(range(905))
+    by_id = [r["id"] for r in sorted(rows, key=lambda r: r["row_id"])]
+    assert by_id == [*range(700, 900), *range(700), *range(900, 905)]
+    assert not any(c.startswith("__") for c in rows[0].asDict())

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.draws import Draws, gaussian_pair, key_number, laplace
-from veilframe.operators.ranking import BUCKET_ROWS, bucket_count, cut_points, draw_bucket, exact_median, smallest_mode, up_to
+from veilframe.operators.ranking import BUCKET_ROWS, bucket_count, cut_points, draw_bucket, exact_median, smallest_mode, up_to, running_totals
 from veilframe.session import settle
 from veilframe.spec import GENERALIZED, METHODS, PERTURBED, SUPPRESSED, MaskingConfig, MaskSpec
 
@@ -348,14 +348,35 @@ def _take_next(df: DataFrame, values: Sequence[str], buckets: int, across: bool)
     return taken.withColumns({v: F.col(f"__in.{v}") for v in values})
 
 
+def _permuted(df: DataFrame, values: Sequence[str], part_rows: int) -> DataFrame:
+    """Give every row the values of a row of its setting drawn by a uniform permutation.
+
+    Rows are ranked twice, by the draws ``__u1`` and ``__u2``; the k-th of the first order takes the
+    values of the k-th of the second. Both ranks are counted by ranges and joined on (setting, rank), so
+    no task holds more than a range, and a row may keep its own values.
+    """
+    one = F.lit(1).cast("bigint").alias("__one")
+    takers = df.select("*", F.struct("__u1", "row_id").alias("__order"), one)
+    givers = df.select("config_id", F.struct("__u2", "row_id").alias("__order"), F.struct(*values).alias("__in"), one)
+    takers, givers = (running_totals(side, ["config_id"], "__order", ["__one"], part_rows) for side in (takers, givers))
+    moved = takers.join(givers.select("config_id", "__one_upto", "__in"), ["config_id", "__one_upto"])
+    return moved.withColumns({v: F.col(f"__in.{v}") for v in values})
+
+
 def swap_rows(
-    df: DataFrame, spec: MaskSpec, draws: Draws, settings: Sequence[dict[str, object]], bucket_rows: int = BUCKET_ROWS
+    df: DataFrame,
+    spec: MaskSpec,
+    draws: Draws,
+    settings: Sequence[dict[str, object]],
+    bucket_rows: int = BUCKET_ROWS,
+    uniform: bool = False,
 ) -> DataFrame:
     """Move (number, category) together among exactly ``swap_n`` rows of each setting.
 
     The chosen rows form one random cycle: each takes the values of the next one. Only they
-    are shuffled, once; all other rows pass straight through. ``settings`` carry their cuts
-    (``settle_swap_cuts``).
+    are shuffled, once; all other rows pass straight through. With ``uniform`` they are permuted
+    instead, every permutation being equally likely, for two more shuffles of them. ``settings``
+    carry their cuts (``settle_swap_cuts``).
     """
     values = _swap_values(spec)
     most = max(s["swap_n"] for s in settings)
@@ -363,7 +384,10 @@ def swap_rows(
         return df
     drawn = _with_draws(df, draws, "swap")
     chosen = F.coalesce(up_to(_u(0), F.col("row_id"), _cfg("swap_u"), _cfg("swap_id")), F.lit(False))
-    moved = _take_next(drawn.where(chosen), values, bucket_count(most, bucket_rows), across=True)
+    if uniform:
+        moved = _permuted(drawn.where(chosen), values, bucket_rows)
+    else:
+        moved = _take_next(drawn.where(chosen), values, bucket_count(most, bucket_rows), across=True)
     return moved.select(df.columns).unionByName(drawn.where(~chosen).select(df.columns))
 
 
@@ -571,3 +595,12 @@ def bucketed_swap(
     facts = TableFacts(0, 0.0, 0, None, None)
     start = _start(wide(df, spec), spec, [setting_values(0, config, spec, facts)])
     return _finish(swap_rows_in_buckets(start, spec, draws or Draws(), buckets), spec, config.method)
+
+
+def permuted_swap(
+    df: DataFrame, spec: MaskSpec, config: MaskingConfig, draws: Draws | None = None, bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
+    """Wide frame of the swap by a uniform permutation."""
+    draws, facts = draws or Draws(), table_facts(df, spec)
+    placed = settle_swap_cuts(df, spec, [setting_values(0, config, spec, facts)], draws, facts.rows, bucket_rows)
+    return _finish(swap_rows(_start(wide(df, spec), spec, placed), spec, draws, placed, bucket_rows, uniform=True), spec, config.method)

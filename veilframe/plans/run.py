@@ -19,7 +19,7 @@ from veilframe.operators.ranking import number_rows
 from veilframe.plans import report
 from veilframe.plans.sweep import SweepOptions, adaptive_sweep, best_config
 from veilframe.session import settle
-from veilframe.sources.tables import read_people, read_table, write_report, write_rows
+from veilframe.sources.tables import read_numbered, read_people, read_table, write_report, write_rows
 from veilframe.spec import MaskingConfig, MaskSpec
 
 # Weight of the balance bonus and number of adaptive trials in a whole run.
@@ -44,7 +44,8 @@ def load(
     raw = read_table(spark, path) if path.rstrip("/").lower().endswith((".csv", ".parquet")) else read_people(spark, path)
     keyed = raw.withColumnRenamed(row_id, "row_id") if row_id else raw
     if "row_id" not in keyed.columns:
-        keyed = number_rows(keyed)
+        # Rows of Parquet files know their places; other formats are numbered through a checkpoint.
+        keyed = read_numbered(spark, path) if path.rstrip("/").lower().endswith(".parquet") else number_rows(keyed)
     elif repeated_ids(keyed).limit(1).count():
         raise ValueError(f"{row_id or 'row_id'} is not unique")
     people = clean_people(keyed)

@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.operators.joins import join_summary
+from veilframe.operators.ranking import running_totals
+from veilframe.session import settle
+
 # File names tried in a data folder, first match wins.
 DEFAULT_FILES = ("adult.csv", "adult_income.csv", "synthetic_adult_income.csv")
 
@@ -44,6 +48,21 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_numbered(spark: SparkSession, path: str, name: str = "row_id") -> DataFrame:
+    """A Parquet table with consecutive row numbers from 0, in the order of its files and of the rows in them.
+
+    Each row knows its file and its place in it, so only the rows before each file are counted, in a
+    pass that reads no column. Nothing is written, and a task that runs again finds the same numbers.
+    """
+    rows = spark.read.parquet(path)
+    placed = rows.withColumns({"__file": F.col("_metadata.file_path"), "__place": F.col("_metadata.row_index")})
+    files = settle(placed.groupBy("__file").agg(F.count(F.lit(1)).alias("__rows")))
+    before = running_totals(files, [], "__file", ["__rows"])
+    starts = before.select("__file", (F.col("__rows_upto") - F.col("__rows")).alias("__start"))
+    numbered = join_summary(placed, starts.select(F.col("__file").alias("file"), "__start"), {"file": F.col("__file")})
+    return numbered.withColumn(name, F.col("__start") + F.col("__place")).drop("__file", "__place", "__start")
+
+
 def read_people(spark: SparkSession, data_dir: str, files: Sequence[str] = DEFAULT_FILES) -> DataFrame:
     """First existing file of a data folder; raises when there is none."""
     return read_table(spark, first_existing(spark, [f"{data_dir.rstrip('/')}/{name}" for name in files]))
