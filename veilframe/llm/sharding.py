@@ -5,6 +5,10 @@ documents, give or take one. Documents begin in shards drawn by hash. In each ro
 documents move towards the shards that already hold most of the group, as far as the shards'
 quotas admit; documents without links fill what is left. Rounds work on counts per group and
 shard, never on pairs of documents.
+
+Shares of full shards leave small groups cut whose main shard has no room. So groups that are
+still cut, and small groups out of overfull shards, then move as a whole to shards drawn by their
+free places, until no group can be mended.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from veilframe.llm.common import checkpointed
 
 SHARDS = 40
 ROUNDS = 4
+MENDING_ROUNDS = 40  # far above what mending needs: each round halves the cut groups or so
 OVERHEAD = 16  # bytes of a row beside its text
 GROUP = ["_h", "_c", "_l"]
 
@@ -67,6 +72,45 @@ def propagate(units: DataFrame, quota: int, rounds: int = ROUNDS) -> DataFrame:
     return units
 
 
+def mend(units: DataFrame, shards: int, quota: int, rounds: int = MENDING_ROUNDS) -> DataFrame:
+    """Move whole groups of at most ``quota`` documents that are cut, or that stand in an overfull shard, to free places.
+
+    A shard above its quota gives up small groups by hash, about as many documents as it has too many.
+    Each moving group draws a shard with a chance in proportion to the free places; the shard admits
+    groups by another draw, as many as it has places for. Loads are one row for each shard.
+    """
+    for number in range(rounds):
+        held = units.groupBy(*GROUP, "shard").agg(F.sum("docs").alias("held"))
+        groups = checkpointed(
+            held.groupBy(*GROUP).agg(F.sum("held").alias("docs"), F.count(F.lit(1)).alias("parts"), F.max_by("shard", F.struct("held", "shard")).alias("home"))
+        )
+        small = F.col("docs") <= quota
+        # Per shard: documents of groups, and those of whole small groups in it. Both are bounded by the shards.
+        loads = {r["shard"]: r["held"] for r in held.groupBy("shard").agg(F.sum("held").alias("held")).collect()}
+        whole = {r["home"]: r["docs"] for r in groups.where(small & (F.col("parts") == 1)).groupBy("home").agg(F.sum("docs").alias("docs")).collect()}
+        free = [max(0, quota - loads.get(s, 0)) for s in range(shards)]
+        leaving = [min(1.0, max(0, loads.get(s, 0) - quota) / whole[s]) if whole.get(s) else 0.0 for s in range(shards)]
+        if not sum(free):
+            break
+
+        def draw(name: str, number: int = number) -> Column:
+            return F.pmod(F.xxhash64(*GROUP, F.lit(f"{name}{number}")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+        gone = F.get(F.array(*[F.lit(x) for x in leaving]), F.col("home"))
+        moving = groups.where(small & ((F.col("parts") > 1) | (draw("leave") < gone)))
+        edges = [sum(free[:s]) / sum(free) for s in range(shards)]
+        targets = [s for s in range(shards) if free[s]]
+        moving = moving.withColumn("target", _steps([edges[s] for s in targets], targets, draw("target")))
+        moving = checkpointed(moving.select(*GROUP, "docs", "target", draw("admit").alias("admit")))
+        asked = {r["target"]: r["docs"] for r in moving.groupBy("target").agg(F.sum("docs").alias("docs")).collect()}
+        if not asked:
+            break
+        share = [free[s] / asked[s] if asked.get(s) else 0.0 for s in range(shards)]
+        admitted = moving.where(F.col("admit") < F.get(F.array(*[F.lit(x) for x in share]), F.col("target"))).select(*GROUP, "target")
+        units = checkpointed(units.join(admitted, GROUP, "left").select(*GROUP, "first", "docs", F.coalesce("target", "shard").alias("shard")))
+    return units
+
+
 def _ranked(rows: DataFrame) -> DataFrame:
     """Rows with ``rank``, 0, 1, ... within each wanted shard, in the order of the group and key.
 
@@ -94,7 +138,7 @@ def _ranked(rows: DataFrame) -> DataFrame:
     )
 
 
-def _steps(table: list[int], values: list[int], at: Column) -> Column:
+def _steps(table: list, values: list[int], at: Column) -> Column:
     """Value of the last step that is not above ``at``."""
     chosen = F.lit(values[0])
     for edge, value in zip(table[1:], values[1:], strict=True):
@@ -106,7 +150,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id",
     """key, size, text_crc32, law (``rows``), shard, slot (0, 1, ... in the shard), grown_shard (null).
 
     Documents with equal texts are linked; a null text is linked with nothing and has no checksum.
-    Every row is placed, repeated ones and null keys too. Shards hold floor or ceil of the rows
+    Every row is placed, repeated ones and null keys too; how the table is split into files or
+    partitions does not matter. Shards hold floor or ceil of the rows
     divided by the shards. The work moves no text. Other columns are not looked at.
     """
     size = (F.coalesce(F.octet_length(docs[text]), F.lit(0)) + F.lit(OVERHEAD)).cast("long")
@@ -117,14 +162,14 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id",
             F.crc32(docs[text].cast("binary")).alias("_c"),
             F.xxhash64(docs[text]).alias("_h"),
             F.octet_length(docs[text]).alias("_l"),
-        ).withColumn("first", F.pmod(F.xxhash64("_key", "_h", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
+        ).withColumn("first", F.pmod(F.xxhash64("_key", "_h"), F.lit(shards)).cast("int"))
     )
     total = thin.count()
     quota, more = divmod(total, shards)
     cells = thin.where("_l is not null").groupBy(*GROUP, "first").agg(F.count(F.lit(1)).alias("docs"))
     linked = cells.groupBy(*GROUP).agg(F.sum("docs").alias("group_docs")).where("group_docs > 1").select(*GROUP)
     units = checkpointed(cells.join(linked, GROUP).withColumn("shard", F.col("first")))
-    units = propagate(units, max(quota, 1), rounds)
+    units = mend(propagate(units, max(quota, 1), rounds), shards, max(quota, 1))
 
     wanted = F.coalesce("shard", F.lit(shards))  # one past the last: no wish
     placed = thin.join(units.select(*GROUP, "first", "shard"), [*GROUP, "first"], "left").withColumn("wanted", wanted).drop("first", "shard")
