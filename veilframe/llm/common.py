@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -46,6 +48,14 @@ def absent_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def give_back_memory() -> None:
+    """Hand freed memory back to the system, where the C library can; the allocator keeps it otherwise."""
+    libc = ctypes.util.find_library("c")
+    trim = getattr(ctypes.CDLL(libc), "malloc_trim", None) if libc else None
+    if trim is not None:
+        trim(0)
+
+
 def crc32_mod(column: str, modulus: int) -> Column:
     """crc32 of a column's text, modulo a small number (null stays null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
@@ -210,28 +220,51 @@ def words_of(column: pa.Array, separators: np.ndarray = SPACES) -> Words:
     return Words(data, starts, ends, mix(hashes), np.searchsorted(starts, at), at)
 
 
-def words_by_slices(column: pa.Array, separators: np.ndarray = SPACES) -> Words:
-    """Like ``words_of`` for many texts held at once: read in slices, with the bytes of each distinct word only once.
+@dataclass
+class CodedTexts:
+    """Words of many texts held at once: a small number for each word, and the bytes of each distinct word once.
 
-    Takes some tens of bytes for each word instead of for each byte of text. ``bytes_at`` is empty.
+    Takes a few bytes for each word; ``words_of`` takes tens for each byte of text.
     """
-    hashes, counts, known, sizes, data = [], [], [], [], []
-    for low, high in slices(column):
-        words = words_of(column[low:high], separators)
-        distinct, first = np.unique(words.hashes, return_index=True)
-        lengths = words.ends[first] - words.starts[first]
-        hashes.append(words.hashes)
-        counts.append(np.diff(words.rows))
-        known.append(distinct)
-        sizes.append(lengths)
-        data.append(words.data[ranges(words.starts[first], lengths)])
-    joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    hashes, sizes, data = joined(hashes, np.uint64), joined(sizes, np.int64), joined(data, np.uint8)
-    distinct, first = np.unique(joined(known, np.uint64), return_index=True)
-    ends = np.cumsum(sizes)[first]
-    place = np.searchsorted(distinct, hashes)
-    rows = np.append(0, np.cumsum(joined(counts, np.int64)))
-    return Words(data, (ends - sizes[first])[place], ends[place], hashes, rows, np.zeros(0, np.int64))
+
+    codes: np.ndarray  # distinct word of each word
+    rows: np.ndarray  # text k has the words rows[k]:rows[k + 1]
+    hashes: np.ndarray  # of the distinct words, in order
+    data: np.ndarray
+    starts: np.ndarray  # of the distinct words' bytes
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, column: pa.Array, separators: np.ndarray = SPACES) -> CodedTexts:
+        known, local, counts, sizes, data = [], [], [], [], []
+        for low, high in slices(column):
+            words = words_of(column[low:high], separators)
+            distinct, first, codes = np.unique(words.hashes, return_index=True, return_inverse=True)
+            lengths = words.ends[first] - words.starts[first]
+            known.append(distinct)
+            local.append(codes.astype(np.int32))
+            counts.append(np.diff(words.rows))
+            sizes.append(lengths)
+            data.append(words.data[ranges(words.starts[first], lengths)])
+        joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        distinct, first = np.unique(joined(known, np.uint64), return_index=True)
+        codes = [np.searchsorted(distinct, k).astype(np.int32)[c] for k, c in zip(known, local, strict=True)]
+        sizes = joined(sizes, np.int64)
+        ends = np.cumsum(sizes)[first]
+        rows = np.append(0, np.cumsum(joined(counts, np.int64)))
+        return cls(joined(codes, np.int32), rows, distinct, joined(data, np.uint8), ends - sizes[first], ends)
+
+    def some_rows(self, low: int, high: int) -> Words:
+        """The words of texts ``low`` to ``high``, the latter left out."""
+        codes = self.codes[self.rows[low] : self.rows[high]]
+        return Words(self.data, self.starts[codes], self.ends[codes], self.hashes[codes], self.rows[low : high + 1] - self.rows[low], np.zeros(0, np.int64))
+
+
+def row_groups(rows: np.ndarray, words: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about so many words; a longer row is a range of its own."""
+    group = rows[:-1] // words
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+    yield from ((a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if a < b)
 
 
 _PLACE = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)

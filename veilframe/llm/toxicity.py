@@ -22,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import NOT_ALNUM, Words, batch_of, column_of, map_slices, mix, ranges, sampled, slices, window_hashes, words_by_slices, words_of
+from veilframe.llm.common import (
+    NOT_ALNUM, CodedTexts, Words, batch_of, column_of, give_back_memory, map_slices, mix, ranges, row_groups, sampled, slices, window_hashes, words_of,
+)
 
 WINDOW, STRIDE = 24, 12  # a phrase of up to 13 words is whole in some window
 WORD_SIZE, CHAR_SIZE, HIDDEN = 8, 8, 8
@@ -32,8 +34,8 @@ FIT_BYTES = 16 << 20  # of their texts
 MAX_VOCABULARY = 60_000
 STEPS, BATCH, RATE = 700, 256, 0.01
 BATCH_WINDOWS = 2048
-BATCH_ROWS_WORDS = 1 << 16  # words of the rows whose windows are scored at a time
-BATCH_WORDS = 1 << 15  # distinct words whose characters are read at a time
+BATCH_ROWS_WORDS = 1 << 15  # words of the rows whose windows are scored at a time
+BATCH_WORDS = 1 << 14  # distinct words whose characters are read at a time
 SLICE = 2 << 20
 CUT = 0.7
 
@@ -51,12 +53,16 @@ class UniqueWords:
     @classmethod
     def of(cls, words: Words, vocabulary: np.ndarray) -> UniqueWords:
         hashes, first, of_word = np.unique(words.hashes, return_index=True, return_inverse=True)
-        starts, sizes = words.starts[first], words.ends[first] - words.starts[first]
+        return cls.spelled(of_word, hashes, words.data, words.starts[first], words.ends[first], vocabulary)
+
+    @classmethod
+    def spelled(cls, of_word: np.ndarray, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocabulary: np.ndarray) -> UniqueWords:
+        sizes = ends - starts
         begins = np.cumsum(sizes) - sizes
         grams = np.zeros(int(sizes.sum()), np.uint16)
         for low in range(0, len(hashes), BATCH_WORDS):
             part = slice(low, low + BATCH_WORDS)
-            here = words.data[ranges(starts[part], sizes[part])].astype(np.uint64)
+            here = data[ranges(starts[part], sizes[part])].astype(np.uint64)
             before, after = np.zeros_like(here), np.zeros_like(here)
             before[1:], after[:-1] = here[:-1], here[1:]
             first = begins[part] - begins[low]
@@ -200,11 +206,9 @@ class ToxicityModel:
     slope: float
     shift: float
 
-    def window_logits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    def window_logits(self, words: Words | CodedTexts) -> tuple[np.ndarray, np.ndarray]:
         """Logit of every window of every row, and the rows they belong to; rows are read some at a time."""
-        group = words.rows[:-1] // BATCH_ROWS_WORDS
-        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
-        found = [(self._row_logits(words.some_rows(a, b)), a) for a, b in zip(edges[:-1], edges[1:], strict=True) if a < b]
+        found = [(self._row_logits(words.some_rows(a, b)), a) for a, b in row_groups(words.rows, BATCH_ROWS_WORDS)]
         if not found:
             return np.zeros(0, np.float32), np.zeros(0, np.int64)
         return np.concatenate([logits for (logits, _), _ in found]), np.concatenate([row + a for (_, row), a in found])
@@ -240,7 +244,7 @@ class ToxicityModel:
         return np.where(np.isinf(best), 0.0, _squash(self.slope * np.clip(best, -15, 15) + self.shift))
 
 
-def windows(words: Words) -> tuple[np.ndarray, np.ndarray]:
+def windows(words: Words | CodedTexts) -> tuple[np.ndarray, np.ndarray]:
     """First words of the overlapping windows of all rows, and the rows; the last words of a row are in some window."""
     counts = np.diff(words.rows)
     many = np.where(counts > 0, np.maximum(-(-(counts - WINDOW) // STRIDE), 0) + 1, 0)
@@ -249,35 +253,39 @@ def windows(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return words.rows[row] + number * STRIDE, row
 
 
-def _distinct_rows(words: Words, slots: int = 12, shared: int = 3) -> np.ndarray:
+def _distinct_rows(texts: CodedTexts, slots: int = 12, shared: int = 3) -> np.ndarray:
     """Marks the first row of each family of near copies: rows that share few least shingle hashes with earlier ones."""
-    counts = np.diff(words.rows)
-    distinct = np.ones(len(counts), bool)
-    long = np.flatnonzero(counts >= 5)
-    if not len(long):
-        return distinct
-    at = np.flatnonzero(words.left_in_row() >= 5)
-    shingles = window_hashes(words.hashes, 5)[at]
-    begins = np.searchsorted(at, words.rows[long])
-    least = np.stack([np.minimum.reduceat(mix(shingles + np.uint64(k)), begins) for k in range(slots)], axis=1)
+    distinct = np.ones(len(texts.rows) - 1, bool)
     seen: list[set[int]] = [set() for _ in range(slots)]
-    for row, values in zip(long.tolist(), least.tolist(), strict=True):
-        if sum(v in s for v, s in zip(values, seen, strict=True)) >= shared:
-            distinct[row] = False
-        else:
-            for v, s in zip(values, seen, strict=True):
-                s.add(v)
+    for a, b in row_groups(texts.rows, BATCH_ROWS_WORDS):
+        words = texts.some_rows(a, b)
+        long = np.flatnonzero(np.diff(words.rows) >= 5)
+        if not len(long):
+            continue
+        at = np.flatnonzero(words.left_in_row() >= 5)
+        shingles = window_hashes(words.hashes, 5)[at]
+        begins = np.searchsorted(at, words.rows[long])
+        least = np.stack([np.minimum.reduceat(mix(shingles + np.uint64(k)), begins) for k in range(slots)], axis=1)
+        for row, values in zip((long + a).tolist(), least.tolist(), strict=True):
+            if sum(v in s for v, s in zip(values, seen, strict=True)) >= shared:
+                distinct[row] = False
+            else:
+                for v, s in zip(values, seen, strict=True):
+                    s.add(v)
     return distinct
 
 
-def _presence(words: Words, labels: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct word hashes, with the numbers of positive and negative rows (of those marked) that hold them."""
-    row = words.row_of_word()
-    used = rows[row]
-    hashes, of = np.unique(words.hashes[used], return_inverse=True)
-    pairs = np.unique(row[used] * max(len(hashes), 1) + of)
-    of, positive = pairs % max(len(hashes), 1), labels[pairs // max(len(hashes), 1)] == 1
-    return hashes, np.bincount(of, positive, len(hashes)), np.bincount(of, ~positive, len(hashes))
+def _presence(texts: CodedTexts, labels: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """For each distinct word, the numbers of positive and of negative rows (of those marked) that hold it."""
+    held = np.zeros((2, len(texts.hashes)))
+    for a, b in row_groups(texts.rows, BATCH_ROWS_WORDS):
+        row = np.repeat(np.arange(a, b), np.diff(texts.rows[a : b + 1]))
+        used = rows[row]
+        pairs = np.unique(row[used] * len(texts.hashes) + texts.codes[texts.rows[a] : texts.rows[b]][used])
+        word, positive = pairs % len(texts.hashes), labels[pairs // len(texts.hashes)] == 1
+        held[0] += np.bincount(word, positive, len(texts.hashes))
+        held[1] += np.bincount(word, ~positive, len(texts.hashes))
+    return held
 
 
 def _calibrate(best: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
@@ -306,9 +314,9 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int = 7)
     if not len(labels) or labels.min() == labels.max():
         share = float(labels.mean()) if len(labels) else 0.0
         return ToxicityModel(np.zeros(0, np.uint64), Network(0), 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    words = words_by_slices(pa.array(texts, pa.string()), NOT_ALNUM)
+    words = CodedTexts.of(pa.array(texts, pa.string()), NOT_ALNUM)
     distinct = _distinct_rows(words)
-    hashes, in_positive, in_negative = _presence(words, labels, distinct)
+    hashes, (in_positive, in_negative) = words.hashes, _presence(words, labels, distinct)
     repeated = np.flatnonzero(in_positive + in_negative >= 2)
     if len(repeated) > MAX_VOCABULARY:
         commonest = np.argsort(-(in_positive + in_negative)[repeated], kind="stable")[:MAX_VOCABULARY]
@@ -317,20 +325,20 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int = 7)
     # Evidence: a word stands in positive documents more often than the best of so many words would by chance.
     prior = float(np.clip(labels[distinct].mean(), 0.01, 0.99))
     holding = in_positive + in_negative
-    surplus = (in_positive - holding * prior) / np.sqrt(holding * prior * (1 - prior))
+    surplus = (in_positive - holding * prior) / np.sqrt(np.maximum(holding, 1) * prior * (1 - prior))
     beyond_chance = np.sqrt(2 * np.log(max(len(repeated), 2))) + 1
     evident = hashes[(surplus > beyond_chance) & (in_positive > 4 * in_negative)]
     if not len(evident):
         evident = hashes[np.argsort(-surplus, kind="stable")[:10]]
     starts, row = windows(words)
     end = words.rows[row + 1]
-    mark = np.concatenate([[0], np.cumsum(np.isin(words.hashes, evident))])
+    mark = np.append(0, np.cumsum(np.isin(hashes, evident)[words.codes], dtype=np.int32))
     marked = mark[np.minimum(starts + WINDOW, end)] > mark[starts]
     positive = np.flatnonzero(marked & (labels[row] == 1))
     negative = np.flatnonzero(labels[row] == 0)
     if not len(positive) or not len(negative):
         positive, negative = np.flatnonzero(labels[row] == 1), np.flatnonzero(labels[row] == 0)
-    unique = UniqueWords.of(words, vocabulary)
+    unique = UniqueWords.spelled(words.codes, hashes, words.data, words.starts, words.ends, vocabulary)
     network = Network(len(vocabulary), seed)
     model = ToxicityModel(vocabulary, network, 1.0, 0.0)
     rng = np.random.default_rng(seed)
@@ -369,6 +377,8 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int = 7)
     np.maximum.at(best, row, logits.astype(np.float64))
     used = distinct & ~np.isinf(best)
     model.slope, model.shift = _calibrate(np.clip(best[used], -15, 15), labels[used])
+    del words, unique, mark, logits, moments
+    give_back_memory()  # the driver has other things to hold than what fitting took
     return model
 
 
