@@ -14,9 +14,9 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from checks.people import people  # noqa: E402
 from checks.queries import QUERIES  # noqa: E402
 from veilframe.session import local_session  # noqa: E402
-from veilframe.sources.fixtures import people  # noqa: E402
 
 HEADLINE = (
     "clean_people_table",

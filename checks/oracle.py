@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from checks.people import ORDERS_PEOPLE, PEOPLE
 from checks.queries import searched_settings
 from checks.settings import (
     CAP,
@@ -26,7 +27,6 @@ from checks.settings import (
 )
 from veilframe.functions.draws import key_number
 from veilframe.plans.candidates import ANCHORS, default_grid
-from veilframe.sources.fixtures import ORDERS_PEOPLE, PEOPLE
 from veilframe.spec import MaskingConfig, MaskSpec
 
 ORACLE: dict[str, str] = {}
@@ -53,31 +53,16 @@ def u(tag: str) -> str:
 
 
 PEOPLE_CTE = f"""
-people_u AS (
-  SELECT o_orderkey AS row_id, {u("age1")} AS a1, {u("age2")} AS a2, {u("gender")} AS g, {u("edu")} AS e,
-         {u("occ")} AS o, {u("income")} AS i, {u("score")} AS s1, {u("other")} AS s2
-  FROM orders),
-people_v AS (
-  SELECT row_id, i, s1, s2,
-    least(greatest(round_even(39::DOUBLE + 13::DOUBLE * (sqrt(-2::DOUBLE * ln(a1)) * cos(2::DOUBLE * pi() * a2)), 0), 18), 75)::INTEGER AS age,
-    CASE WHEN g < 0.48 THEN 'Female' ELSE 'Male' END AS gender,
-    CASE WHEN e < 0.33 THEN 'HS-grad' WHEN e < 0.55 THEN 'Some-college' WHEN e < 0.75 THEN 'Bachelors'
-         WHEN e < 0.85 THEN 'Masters' WHEN e < 0.95 THEN 'Assoc' ELSE 'Doctorate' END AS education,
-    CASE WHEN o < 0.16 THEN 'Adm-clerical' WHEN o < 0.32 THEN 'Craft-repair' WHEN o < 0.46 THEN 'Exec-managerial'
-         WHEN o < 0.64 THEN 'Prof-specialty' WHEN o < 0.8 THEN 'Sales' WHEN o < 0.88 THEN 'Tech-support'
-         ELSE 'Other-service' END AS occupation
-  FROM people_u),
-people_l AS (
-  SELECT *, (-1.1)::DOUBLE + (age - 38::DOUBLE) / 24::DOUBLE
-    + CASE education WHEN 'HS-grad' THEN (-0.7)::DOUBLE WHEN 'Some-college' THEN (-0.25)::DOUBLE WHEN 'Assoc' THEN 0.05::DOUBLE
-        WHEN 'Bachelors' THEN 0.65::DOUBLE WHEN 'Masters' THEN 1.0::DOUBLE ELSE 1.35::DOUBLE END
-    + CASE occupation WHEN 'Exec-managerial' THEN 0.9::DOUBLE WHEN 'Prof-specialty' THEN 0.75::DOUBLE
-        WHEN 'Tech-support' THEN 0.35::DOUBLE WHEN 'Sales' THEN 0.05::DOUBLE WHEN 'Craft-repair' THEN (-0.1)::DOUBLE
-        WHEN 'Adm-clerical' THEN (-0.35)::DOUBLE ELSE (-0.85)::DOUBLE END
-    + CASE WHEN gender = 'Male' THEN 0.12::DOUBLE ELSE (-0.08)::DOUBLE END AS logit
-  FROM people_v),
-people_p AS (SELECT *, 1::DOUBLE / (1::DOUBLE + exp(-logit)) AS chance FROM people_l),
-people AS (SELECT row_id, age, gender, CASE WHEN i < chance THEN 1 ELSE 0 END AS income, education, occupation, chance, s1, s2 FROM people_p)"""
+joined AS (
+  SELECT o_orderkey, o_custkey % 2 AS odd, o_totalprice, o_orderpriority, coalesce(c_mktsegment, 'none') AS segment,
+         18 + floor((coalesce(c_acctbal, 0) + 1000::DOUBLE) / 11000::DOUBLE * 58::DOUBLE) AS years
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
+people_p AS (
+  SELECT o_orderkey AS row_id, years::INTEGER AS age, CASE WHEN odd = 0 THEN 'Female' ELSE 'Male' END AS gender,
+         (o_totalprice / 5000::DOUBLE + (years - 18) * 0.8::DOUBLE + CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 15::DOUBLE ELSE 0 END >= 80)::INTEGER AS income,
+         o_orderpriority AS education, segment AS occupation, (years - 17) / 60::DOUBLE AS chance, {u("score")} AS s1, {u("other")} AS s2
+  FROM joined),
+people AS (SELECT row_id, age, gender, income, education, occupation, chance, s1, s2 FROM people_p)"""
 
 DIRTY_CTE = """
 dirty AS (

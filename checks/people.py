@@ -1,8 +1,9 @@
-"""Person tables derived from the ``orders`` table for checks and benchmarks.
+"""The test tables of the registered queries: orders and their customers in the roles of people.
 
-Every value is a keyed draw of the order key, so both engines derive the same table. The
-derived table is written once per application next to the checkpoints and read back, as a
-user's own table would be: queries scan Parquet, with pruning and pushed filters.
+Columns of ``orders`` and ``customer`` stand for a person's: the customer's balance for the age, the
+order's priority and the customer's segment for the carried texts. The flag is a rule over price, age
+and priority, so that there is something to learn. The joined table is written once per
+application next to the checkpoints and read back, as a user's own table would be.
 """
 
 from __future__ import annotations
@@ -12,31 +13,10 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.functions.draws import gaussian_pair
 from veilframe.session import shared_table_path
 from veilframe.sources.tables import path_exists
 from veilframe.spec import MaskSpec
 
-# Label model of the person table.
-EDUCATION_SHARES = (
-    ("HS-grad", 0.33), ("Some-college", 0.22), ("Bachelors", 0.20),
-    ("Masters", 0.10), ("Assoc", 0.10), ("Doctorate", 0.05),
-)
-OCCUPATION_SHARES = (
-    ("Adm-clerical", 0.16), ("Craft-repair", 0.16), ("Exec-managerial", 0.14), ("Prof-specialty", 0.18),
-    ("Sales", 0.16), ("Tech-support", 0.08), ("Other-service", 0.12),
-)
-EDUCATION_BOOST = {
-    "HS-grad": -0.7, "Some-college": -0.25, "Assoc": 0.05, "Bachelors": 0.65, "Masters": 1.0, "Doctorate": 1.35,
-}
-OCCUPATION_BOOST = {
-    "Exec-managerial": 0.9, "Prof-specialty": 0.75, "Tech-support": 0.35, "Sales": 0.05, "Craft-repair": -0.1,
-    "Adm-clerical": -0.35, "Other-service": -0.85,
-}
-SHARE_FEMALE = 0.48
-AGE_MEAN, AGE_STD, AGE_LOW, AGE_HIGH = 39.0, 13.0, 18.0, 75.0
-BASE_LOGIT, AGE_PIVOT, AGE_SLOPE, MALE_EFFECT, FEMALE_EFFECT = -1.1, 38.0, 24.0, 0.12, -0.08
-
 PEOPLE = MaskSpec()
 ORDERS_PEOPLE = MaskSpec(
     numeric="price_k", lower=1.0, upper=500.0, numeric_default=250.0, flag="big",
@@ -54,22 +34,6 @@ def _u(tag: str, key: Column) -> Column:
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
-def _pick(u: Column, shares: tuple[tuple[str, float], ...]) -> Column:
-    bound, choice = 0.0, None
-    for value, share in shares[:-1]:
-        bound = round(bound + share, 10)
-        choice = F.when(u < bound, F.lit(value)) if choice is None else choice.when(u < bound, F.lit(value))
-    return choice.otherwise(F.lit(shares[-1][0]))
-
-
-def _lookup(column: Column, values: dict[str, float]) -> Column:
-    choice = None
-    for value, number in values.items():
-        hit = column == value
-        choice = F.when(hit, F.lit(number)) if choice is None else choice.when(hit, F.lit(number))
-    return choice
-
-
 def written_once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     place = hashlib.sha256(sf_dir.rstrip("/").encode()).hexdigest()[:10]
     path = shared_table_path(spark, f"{name}-{place}.parquet")
@@ -79,39 +43,36 @@ def written_once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFram
     return spark.read.parquet(path)
 
 
-def derive_people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One person per order with the log odds of a high income."""
-    key = F.col("o_orderkey")
-    z, _ = gaussian_pair(_u("age1", key), _u("age2", key))
-    age = F.bround(F.lit(AGE_MEAN) + F.lit(AGE_STD) * z)
-    drawn = table(spark, sf_dir, "orders").select(
-        key.alias("row_id"),
-        F.greatest(F.least(age, F.lit(AGE_HIGH)), F.lit(AGE_LOW)).cast("int").alias("age"),
-        F.when(_u("gender", key) < SHARE_FEMALE, "Female").otherwise("Male").alias("gender"),
-        _pick(_u("edu", key), EDUCATION_SHARES).alias("education"),
-        _pick(_u("occ", key), OCCUPATION_SHARES).alias("occupation"),
-    )
-    gender_effect = F.when(F.col("gender") == "Male", F.lit(MALE_EFFECT)).otherwise(F.lit(FEMALE_EFFECT))
-    logit = (
-        F.lit(BASE_LOGIT)
-        + (F.col("age") - F.lit(AGE_PIVOT)) / F.lit(AGE_SLOPE)
-        + _lookup(F.col("education"), EDUCATION_BOOST)
-        + _lookup(F.col("occupation"), OCCUPATION_BOOST)
-        + gender_effect
-    )
-    chance = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("logit")))
-    return drawn.withColumn("logit", logit).withColumn(
-        "income", F.when(_u("income", F.col("row_id")) < chance, 1).otherwise(0)
-    )
+def orders_with_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    return orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
 
 
-def people_with_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written_once(spark, sf_dir, "people", derive_people)
+def derive_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One person per order: balances from -1,000 to 10,000 give ages from 18 to 75."""
+    balance = F.coalesce(F.col("c_acctbal"), F.lit(0.0))
+    age = (F.lit(18) + F.floor((balance + F.lit(1000.0)) / F.lit(11000.0) * F.lit(58.0))).cast("int")
+    hurry = F.when(F.col("education").isin("1-URGENT", "2-HIGH"), F.lit(15.0)).otherwise(F.lit(0.0))
+    points = F.col("price") / F.lit(5000.0) + (F.col("age") - F.lit(18)) * F.lit(0.8) + hurry
+    return (
+        orders_with_customers(spark, sf_dir)
+        .select(
+            F.col("o_orderkey").alias("row_id"),
+            age.alias("age"),
+            F.when(F.col("o_custkey") % 2 == 0, "Female").otherwise("Male").alias("gender"),
+            F.col("o_orderpriority").alias("education"),
+            F.coalesce(F.col("c_mktsegment"), F.lit("none")).alias("occupation"),
+            F.col("o_totalprice").alias("price"),
+        )
+        .withColumn("income", F.when(points >= 80, 1).otherwise(0))
+    )
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One clean person per order."""
-    return people_with_logit(spark, sf_dir).select("row_id", "age", "gender", "income", "education", "occupation")
+    rows = written_once(spark, sf_dir, "people", derive_people)
+    return rows.select("row_id", "age", "gender", "income", "education", "occupation")
 
 
 def people_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,10 +113,8 @@ def people_aliased(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders_people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Real columns under the same roles (``ORDERS_PEOPLE``); no label model."""
-    orders = table(spark, sf_dir, "orders")
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    return orders.join(customer, orders.o_custkey == customer.c_custkey, "left").select(
+    """Other columns under the same roles (``ORDERS_PEOPLE``)."""
+    return orders_with_customers(spark, sf_dir).select(
         F.col("o_orderkey").alias("row_id"),
         (F.col("o_totalprice") / F.lit(1000.0)).alias("price_k"),
         (F.col("o_totalprice") >= 250000).cast("int").alias("big"),
@@ -166,10 +125,10 @@ def orders_people(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def people_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """People with two keyed score columns (``p`` sharper than ``q``), for the metric operators."""
-    chance = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("logit")))
+    """People with two keyed score columns that rise with the age (``p`` more than ``q``), for the metric operators."""
+    chance = (F.col("age") - F.lit(17)) / F.lit(60.0)
     key = F.col("row_id")
-    return people_with_logit(spark, sf_dir).select(
+    return people(spark, sf_dir).select(
         "row_id", "age", "gender", "income", "education", "occupation",
         F.col("income").alias("y"),
         (F.lit(0.7) * chance + F.lit(0.3) * _u("score", key)).alias("p"),

@@ -9,6 +9,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks.people import (
+    ORDERS_PEOPLE,
+    PEOPLE,
+    orders_people,
+    people,
+    people_aliased,
+    people_dirty,
+    people_scores,
+    table,
+)
 from checks.settings import (
     CAP,
     GENERAL,
@@ -37,16 +47,6 @@ from veilframe.operators.project import add_category_code, fill_numbers, project
 from veilframe.plans import parzen, report
 from veilframe.plans.candidates import ANCHORS, crossover_search, default_grid, random_search
 from veilframe.plans.sweep import SweepOptions, adaptive_sweep, measure, prepare, sweep
-from veilframe.sources.fixtures import (
-    ORDERS_PEOPLE,
-    PEOPLE,
-    orders_people,
-    people,
-    people_aliased,
-    people_dirty,
-    people_scores,
-    table,
-)
 from veilframe.sources.tables import read_numbered
 from veilframe.spec import MaskingConfig, MaskSpec, config_frame
 

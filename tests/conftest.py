@@ -25,6 +25,6 @@ def small():
 
 @pytest.fixture(scope="session")
 def crowd(spark):
-    from veilframe.sources.fixtures import people
+    from checks.people import people
 
     return people(spark, SMALL)
