@@ -26,7 +26,7 @@ from checks.settings import (
     WEIGHT,
 )
 from veilframe.functions.draws import key_number
-from veilframe.plans.candidates import ANCHORS, default_grid
+from veilframe.plans.candidates import ANCHORS, default_candidates, default_grid
 from veilframe.spec import MaskingConfig, MaskSpec
 
 ORACLE: dict[str, str] = {}
@@ -384,6 +384,7 @@ cells AS (
          {known(strip("education"))} AS education, {known(strip("occupation"))} AS occupation FROM aliased)"""
 
 ORACLE["clean_people_table"] = people_query(CLEAN, DIRTY_CTE, CELLS)
+ORACLE["csv_round_trip"] = ORACLE["clean_people_table"]
 ORACLE["clean_people_aliased"] = people_query(CLEAN, DIRTY_CTE, ALIASED_CELLS)
 ORACLE["income_text_to_flag"] = people_query(
     "SELECT row_id, regexp_matches(class, '(?i)>50K|1|high')::INTEGER AS income FROM aliased", DIRTY_CTE, ALIASED_CELLS
@@ -1076,15 +1077,16 @@ RESULTS = f"""results AS (SELECT *, {OBJECTIVE} AS objective_score, score AS pri
 placed AS (SELECT *, row_number() OVER (ORDER BY objective_score DESC, config_id) AS place FROM results)"""
 
 
-def screened(body: str) -> str:
-    return trial(ANCHORS).query(
-        body, *fidelity_parts(), RETAINED, UTILITY, *class_parts(), DISCLOSURE, PRIVACY_RENAMED, label_cte(ANCHORS), RESULTS
+def screened(body: str, configs: Sequence[MaskingConfig] = ANCHORS) -> str:
+    return trial(configs).query(
+        body, *fidelity_parts(), RETAINED, UTILITY, *class_parts(), DISCLOSURE, PRIVACY_RENAMED, label_cte(configs), RESULTS
     )
 
 
 THREE = ", ".join(f"{r(c)} AS {c}" for c in ("privacy_score", "utility_score", "objective_score"))
 ORACLE["sweep_best"] = screened(f"SELECT config_id, config_label, {THREE} FROM placed WHERE place = 1")
 ORACLE["sweep_ranked"] = screened(f"SELECT config_id, method, {THREE} FROM placed")
+ORACLE["sweep_candidates"] = screened(f"SELECT config_id, method, {THREE} FROM placed", default_candidates())
 ORACLE["report_top_k"] = screened(f"SELECT '#' || place AS rank, method, {THREE} FROM placed WHERE place <= 5")
 ORACLE["report_unpivot"] = screened(
     " UNION ALL ".join(

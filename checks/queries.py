@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from functools import cache
 
@@ -45,9 +46,10 @@ from veilframe.operators.clean import binary_target, cap_rows, clean_people, inc
 from veilframe.operators.models import ModelOptions, evaluate_models, unmasked
 from veilframe.operators.project import add_category_code, fill_numbers, project_numbers
 from veilframe.plans import parzen, report
-from veilframe.plans.candidates import ANCHORS, crossover_search, default_grid, random_search
+from veilframe.plans.candidates import ANCHORS, crossover_search, default_candidates, default_grid, random_search
 from veilframe.plans.sweep import SweepOptions, adaptive_sweep, measure, prepare, sweep
-from veilframe.sources.tables import read_numbered
+from veilframe.session import shared_table_path
+from veilframe.sources.tables import read_numbered, read_people, write_rows
 from veilframe.spec import MaskingConfig, MaskSpec, config_frame
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +80,15 @@ def clean_people_aliased(spark, sf):
     return clean_people(people_aliased(spark, sf))
 
 
+@query
+def csv_round_trip(spark, sf):
+    """The damaged people written as CSV, found in their folder by name, read as text and cleaned."""
+    folder = shared_table_path(spark, f"csv-{uuid.uuid4().hex}")
+    write_rows(people_dirty(spark, sf), f"{folder}/adult.csv", "csv")
+    raw = read_people(spark, folder)
+    return clean_people(raw.withColumn("row_id", F.col("row_id").cast("bigint")))
+
+
 @query
 def income_text_to_flag(spark, sf):
     return people_aliased(spark, sf).select("row_id", income_flag(F.col("class")).alias("income"))
@@ -635,6 +646,13 @@ def sweep_ranked(spark, sf):
     return tidy(screened(spark, sf).select("config_id", "method", "privacy_score", "utility_score", "objective_score"))
 
 
+@query
+def sweep_candidates(spark, sf):
+    """All production candidates, ranked without training."""
+    found = sweep(people(spark, sf), PEOPLE, default_candidates(), SCREEN)
+    return tidy(found.select("config_id", "method", "privacy_score", "utility_score", "objective_score"))
+
+
 QUICK = ModelOptions(models=("Logistic Regression", "Random Forest"), tune=False, cross_validate=False, trees=20)
 
 

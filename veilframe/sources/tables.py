@@ -21,6 +21,10 @@ CSV_MISSING = (
 )
 
 
+# Blanks at the ends of a cell are kept: a cell of " ?" is not the missing mark "?".
+CSV_WRITING = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Ask the file system that owns ``path`` (local, HDFS, object store)."""
     jvm = spark.sparkContext._jvm
@@ -72,7 +76,7 @@ def write_rows(df: DataFrame, path: str, file_format: str = "parquet") -> None:
     """Row-level output keeps Spark's partitioning: one file per task, never one task."""
     writer = df.write.mode("overwrite")
     if file_format == "csv":
-        writer.option("header", True).csv(path)
+        writer.options(**CSV_WRITING).csv(path)
     else:
         writer.format(file_format).save(path)
 
