@@ -42,10 +42,11 @@ def check(rows, texts, evenness=0.5):
         assert r["taken"] == r["copies"] * r["size"] and 0 <= r["copies"] <= 2
         given[r["source"]] += r["rate"] * r["size"]
         if r["size"] and r["rate"] < 2:
-            multipliers[r["source"]].add(round(math.log(r["rate"]) / r["size"] ** (1 - evenness), 9))
+            if r["rate"] > 1e-3:  # rates have nine places
+                multipliers[r["source"]].add(math.log(r["rate"]) / r["size"] ** (1 - evenness))
     for source, words in given.items():
         assert words == pytest.approx(float(targets[source]), rel=1e-6, abs=1e-3)  # the constraints of the dual hold
-        assert len(multipliers[source]) <= 1  # one tilt for each source
+        assert max(multipliers[source], default=0) - min(multipliers[source], default=0) < 1e-5  # one tilt for each source
     return sizes, targets
 
 
