@@ -1105,6 +1105,16 @@ ORACLE["report_summary"] = screened(
     " round(risk, 4) AS reidentification_risk, round(dis, 4) AS attribute_disclosure_risk, round(leak, 4) AS information_leakage,"
     " 0::DOUBLE AS overfitting_rate, 0::DOUBLE AS underfitting_rate, 0::DOUBLE AS memorization_risk_rate FROM placed WHERE place = 1"
 )
+# A table with one class, as long as there are people of it.
+ORACLE["train_one_class"] = people_query(
+    """SELECT v.model, 0::DOUBLE AS accuracy, 0::DOUBLE AS precision, 0::DOUBLE AS recall, 0::DOUBLE AS f1, 1::DOUBLE AS rmse, 0::DOUBLE AS roc_auc,
+       0::DOUBLE AS train_accuracy, 0::DOUBLE AS validation_accuracy, 0::DOUBLE AS train_validation_gap, 1::DOUBLE AS validation_log_loss,
+       1::DOUBLE AS test_log_loss, 0::DOUBLE AS cv_accuracy_mean, 0::DOUBLE AS cv_accuracy_std, 0::INTEGER AS feature_count,
+       false AS overfitting_flag, true AS underfitting_flag, 0::DOUBLE AS sensitive_signal_correlation, false AS memorization_risk_flag,
+       '{}' AS best_params
+    FROM (VALUES ('Logistic Regression'), ('Random Forest'), ('SVM'), ('XGBoost')) AS v(model)
+    WHERE (SELECT count(DISTINCT income) FROM people WHERE income = 1) < 2"""
+)
 
 # --- reports -------------------------------------------------------------------------------------------
 
