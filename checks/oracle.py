@@ -59,7 +59,7 @@ joined AS (
   FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
 people_p AS (
   SELECT o_orderkey AS row_id, years::INTEGER AS age, CASE WHEN odd = 0 THEN 'Female' ELSE 'Male' END AS gender,
-         (o_totalprice / 5000::DOUBLE + (years - 18) * 0.8::DOUBLE + CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 15::DOUBLE ELSE 0 END >= 80)::INTEGER AS income,
+         (o_totalprice / 8000::DOUBLE + (years - 18) * 0.8::DOUBLE + CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 15::DOUBLE ELSE 0 END >= 60)::INTEGER AS income,
          o_orderpriority AS education, segment AS occupation, (years - 17) / 60::DOUBLE AS chance, {u("score")} AS s1, {u("other")} AS s2
   FROM joined),
 people AS (SELECT row_id, age, gender, income, education, occupation, chance, s1, s2 FROM people_p)"""

@@ -54,7 +54,7 @@ def derive_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     balance = F.coalesce(F.col("c_acctbal"), F.lit(0.0))
     age = (F.lit(18) + F.floor((balance + F.lit(1000.0)) / F.lit(11000.0) * F.lit(58.0))).cast("int")
     hurry = F.when(F.col("education").isin("1-URGENT", "2-HIGH"), F.lit(15.0)).otherwise(F.lit(0.0))
-    points = F.col("price") / F.lit(5000.0) + (F.col("age") - F.lit(18)) * F.lit(0.8) + hurry
+    points = F.col("price") / F.lit(8000.0) + (F.col("age") - F.lit(18)) * F.lit(0.8) + hurry
     return (
         orders_with_customers(spark, sf_dir)
         .select(
@@ -65,7 +65,7 @@ def derive_people(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.coalesce(F.col("c_mktsegment"), F.lit("none")).alias("occupation"),
             F.col("o_totalprice").alias("price"),
         )
-        .withColumn("income", F.when(points >= 80, 1).otherwise(0))
+        .withColumn("income", F.when(points >= 60, 1).otherwise(0))
     )
 
 
