@@ -178,6 +178,13 @@ def test_roc_auc_equals_pair_counting(spark, part_rows):
     assert scoring.roc_auc(df, part_rows=part_rows).first()["roc_auc"] == pytest.approx(pairs / (len(pos) * len(neg)))
 
 
+def test_roc_auc_of_parts_in_several_ranges(spark):
+    """A key may be named ``part``, which the ranges have a column for as well."""
+    df = spark.createDataFrame([(k % 2, k / 40, "test" if k % 3 else "train") for k in range(40)], "y int, p double, part string")
+    found, whole = (scoring.roc_auc(df, ["part"], part_rows=n).collect() for n in (5, 1000))
+    assert sorted(found) == sorted(whole)
+
+
 def test_scores_of_one_class_are_defined(spark):
     df = spark.createDataFrame([(1, 0.2, 0), (1, 0.9, 1)], "y int, p double, predicted int")
     assert scoring.roc_auc(df).first()["roc_auc"] == 0.0
