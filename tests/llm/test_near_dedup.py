@@ -4,6 +4,7 @@ from itertools import combinations
 import numpy as np
 
 from tests.llm.conftest import LONG, ODD_PAIRS, spaced_words
+from veilframe.llm import near_dedup
 from veilframe.llm.components import components
 from veilframe.llm.near_dedup import near_duplicate_groups, one_of_each_group, super_minhash
 
@@ -65,6 +66,30 @@ def test_many_copies_far_from_each_other(table):
     assert result(near_duplicate_groups(table(texts.items()).repartition(5))) == expected
 
 
+def test_candidates_of_a_large_group_of_copies(table, monkeypatch):
+    """Copies with changes of their own are hardly ever candidates, although they lack the same words of their text."""
+    rng = np.random.default_rng(3)
+    texts = {}
+    for k in range(300):
+        words = [f"w{i}" for i in range(150)]
+        for at in rng.integers(0, 150, rng.integers(1, 5)):
+            words[at] = f"own{k}x{at}"
+        words[-1] = "the" if k else "odd"
+        texts[k] = " ".join(words)
+    seen, cross_pairs = [], near_dedup._cross_pairs
+
+    def counted(*args):
+        pairs = cross_pairs(*args)
+        seen.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(near_dedup, "_cross_pairs", counted)
+    expected = brute_force(texts)
+    assert len({root for _, root in expected.values()}) > 30
+    assert result(near_duplicate_groups(table(texts.items()))) == expected
+    assert seen[0] < len(texts)
+
+
 def test_chains_and_thresholds(table):
     """Copies with growing edits: each links to the next, far ones only through others."""
     rng = np.random.default_rng(5)

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import Words, absent_names, batch_of, checkpointed, column_of, map_slices, mix, window_hashes, words_of
@@ -24,8 +24,10 @@ from veilframe.llm.components import components
 BANDS = 24
 BAND_SIZE = 4
 SHINGLE = 5
+SKETCH_LANES = 8
 _ROUND = np.uint64(0xD1B54A32D192ED03)
 _LEVEL_BITS = np.uint64(56)
+_LANES = [f"flips_{k}" for k in range(SKETCH_LANES)]
 
 
 def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -172,6 +174,14 @@ def _references(members: DataFrame) -> DataFrame:
     return members.select("band", "node").join(refs, "band")
 
 
+def _sketch(rows: Window) -> dict[str, Column]:
+    """Bits that the differences (shingle, has) of ``rows`` flip; those of two rows' both sets cancel out."""
+    place = F.xxhash64("shingle", "has")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))
+    lane = F.pmod(F.shiftright(place, 6), F.lit(SKETCH_LANES))
+    return {name: F.bit_xor(F.when(lane == k, bit).otherwise(F.lit(0).cast("bigint"))).over(rows) for k, name in enumerate(_LANES)}
+
+
 def _cross_pairs(referred: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs in a band that may still be linked although their components differ.
 
@@ -181,9 +191,11 @@ def _cross_pairs(referred: DataFrame, links: DataFrame, roots: DataFrame, sets:
     while |b| > c (|B| + |H|). So 2 |a & b| > |a| - c (|A| - |H|): A shares about half of its
     differences with B. Then one of A's rarest differences, as many as leave fewer than that half,
     is shared with B. If more are needed than A lacks of H's shingles, some of those that A has
-    beside H's must be shared, and only these are looked at. Differences that no other document has
-    in the same way count in full against a link: with u_A and u_B of them, a link needs
-    u_A + u_B <= c (|A| + |B|). Copies of one text differ from it in ways of their own, so few pairs come up.
+    beside H's must be shared, and only these are looked at. Differences that no document of another
+    component has in the same way count in full against a link: with u_A and u_B of them and a' and b'
+    the others, a link needs u_A + u_B + |a' ^ b'| <= c (|A| + |B|). The numbers of a' and b' bound |a' ^ b'|
+    from below, and so do the bits in which their sketches differ: each difference flips one of
+    SKETCH_LANES * 64 bits. So a group of copies that differ in ways of their own gives few pairs, however large it is.
     """
     named = referred.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
     others = named.where("node <> ref").groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
@@ -205,23 +217,30 @@ def _cross_pairs(referred: DataFrame, links: DataFrame, roots: DataFrame, sets:
     )
     tokens = checkpointed(differing.select("node", "ref", "component", "linked", "n_own", *sizes, F.explode(both).alias("t")).select("*", "t.*").drop("t"))
     at = ["ref", "shingle", "has"]
-    counted = tokens.join(tokens.groupBy(*at).agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), at)
+    held = tokens.groupBy(*at).agg(F.count(F.lit(1)).alias("holders"), F.min("component").alias("low"), F.max("component").alias("high"))
+    counted = tokens.join(held.where("low < high").drop("low", "high"), at)
     all_of = F.col("n_more") + F.col("n_less")
     slope = F.lit((100 - percent) / (100 + percent))
     counted = counted.withColumn("needed", F.floor((all_of - slope * (F.col("n_more") - F.col("n_less"))) / 2) + 1)
     own = Window.partitionBy("node", "ref")
     counted = counted.withColumn("alone", all_of - F.count(F.lit(1)).over(own)).withColumn("alone_more", F.col("n_more") - F.count_if("has").over(own))
     counted = counted.withColumn("excess", (100 + percent) * F.col("alone") - (100 - percent) * F.col("n_own"))
-    # Differences that nobody shares come first in the order and match nothing, so only their number matters.
+    known_more = F.col("n_more") - F.col("alone_more")
+    counted = counted.withColumns({"known_more": known_more, "known_less": all_of - F.col("alone") - known_more, **_sketch(own)})
+    # Differences that no other component shares come first in the order and match nothing, so only their number matters.
     by_extra = F.col("needed") > F.col("n_less")
     rarest = Window.partitionBy("node", "ref").orderBy("holders", F.desc("has"), "shingle")
     place = F.row_number().over(rarest) + F.when(by_extra, F.col("alone_more")).otherwise(F.col("alone"))
     first = counted.where(~by_extra | F.col("has")).withColumns({"place": place, "prefix": all_of - F.col("needed") + 1}).where("place <= prefix")
-    first = first.select(*at, F.col("node").alias("one"), F.col("component").alias("one_component"), F.col("excess").alias("one_excess"))
-    second = counted.where("linked is null").select(*at, "node", "component", "excess")
+    sides = ["component", "excess", "known_more", "known_less", *_LANES]
+    first = first.select(*at, F.col("node").alias("one"), *[F.col(c).alias(f"one_{c}") for c in sides])
+    second = counted.where("linked is null").select(*at, "node", *sides)
     first, second = first.alias("x"), second.alias("y")
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in at]
-    possible = (F.col("x.one_component") != F.col("y.component")) & (F.col("x.one_excess") + F.col("y.excess") <= 0)
+    flipped = sum((F.bit_count(F.col(f"x.one_{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in _LANES), F.lit(0))
+    uneven = sum((F.abs(F.col(f"x.one_{c}") - F.col(f"y.{c}")) for c in ("known_more", "known_less")), F.lit(0))
+    least = F.col("x.one_excess") + F.col("y.excess") + (100 + percent) * F.greatest(flipped, uneven)
+    possible = (F.col("x.one_component") != F.col("y.component")) & (least <= 0)
     return first.join(second, [*same, possible]).select(F.least("one", "node").alias("a"), F.greatest("one", "node").alias("b")).distinct()
 
 
