@@ -148,6 +148,13 @@ def test_components(spark):
     assert components(edges.limit(0)).count() == 0
 
 
+def test_components_by_rounds_and_in_one_task(spark):
+    edges = spark.createDataFrame([(k, (k * 7 + 1) % 400) for k in range(300)], "a bigint, b bigint").repartition(9)
+    by_rounds, at_once = (sorted(components(edges, n).collect()) for n in (0, 10_000))
+    assert by_rounds == at_once and len(at_once) > 200
+    assert components(edges, 10_000).rdd.getNumPartitions() == 1
+
+
 def test_one_of_each_group_beside_any_column_name(spark):
     names = ["__kept", "__rows", "_rows", "kept", "component_id", "_id", "_n", "_k1", "_text", "node", "band", "root", "size", "n_shingles"]
     same = "one two three four five six seven eight nine"

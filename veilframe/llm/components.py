@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.common import batch_of, checkpointed
 
+TASK_EDGES = 200_000  # two numbers each
+
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over one partition's edges; each node but the roots gets an edge to its root."""
@@ -34,16 +36,19 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch_of(node=found[:, 0], root=found[:, 1])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, root) for every node that an edge touches and that is not itself a root.
 
     ``edges`` has two non-null long columns; direction, repeats and loops do not matter. The root
     is the smallest node of the component. Each round hooks neighbours to their minimum, first
     towards larger and then towards smaller nodes, so the edges never get more than they were,
-    and a long chain halves. An empty table has no rows.
+    and a long chain halves. Once no more than ``task_edges`` are left, one task takes them all. An
+    empty table has no rows.
     """
     stars = checkpointed(edges.toDF("node", "root").mapInArrow(_forest, "node bigint, root bigint"))
-    while not _is_star_forest(stars):
+    while stars.count() > task_edges:
+        if _is_star_forest(stars):
+            return stars
         both = stars.union(stars.select("root", "node"))
         least = both.groupBy("node").agg(F.min("root").alias("least"))
         larger = (
@@ -55,7 +60,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = larger.groupBy("node").agg(F.min("root").alias("least"))
         smaller = larger.join(least, "node").where("root <> least").select(F.col("root").alias("node"), F.col("least").alias("root"))
         stars = checkpointed(smaller.union(least.select("node", "least")).mapInArrow(_forest, "node bigint, root bigint"))
-    return stars
+    return checkpointed(stars.coalesce(1).mapInArrow(_forest, "node bigint, root bigint"))
 
 
 def _is_star_forest(edges: DataFrame) -> bool:
