@@ -73,6 +73,13 @@ def test_codes_of_texts_with_one_prefix(spark):
     assert codes == {t: i for i, t in enumerate(sorted(texts, key=str.encode))}
 
 
+def test_long_summaries_are_not_broadcast(spark):
+    """Their size as Spark guesses it would allow that."""
+    df = spark.createDataFrame([(k, k) for k in range(50)], "k int, v int")
+    plan = join_summary(df, df.select("k", (F.col("v") + 1).alias("s")), {"k": F.col("k")}, limit=10)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_summary_joins_broadcast_or_salt(spark):
     df = spark.createDataFrame([("hot", i) for i in range(500)] + [(None, 1), ("rare", 2), ("gone", 3)], "k string, v int")
     summary = spark.createDataFrame([("hot", 1.0), (None, 2.0), ("rare", 3.0)], "k string, s double")
