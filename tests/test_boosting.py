@@ -109,3 +109,35 @@ def test_estimator_learns_and_draws(sample, spark):
     for few in (vectors.limit(0), vectors.where("label = 1")):
         fitted = boosting.SecondOrderBoosting(maxIter=2).fit(few)
         assert all(r["probability"][1] >= 0.5 for r in fitted.transform(vectors).select("probability").collect())
+
+
+def test_equal_rows_are_passed_once(spark, monkeypatch):
+    """Trees of grouped rows are those of all rows, draws included; a round passes the different rows only."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 4, (3000, 2))
+    y = (rng.random(3000) < 1 / (1 + np.exp(1.5 - x[:, 0]))).astype(float)
+    df = spark.createDataFrame([(i, float(t), [float(v) for v in r]) for i, (t, r) in enumerate(zip(y, x, strict=True))], "row_id long, label double, x array<double>")
+    grow, passed, found = boosting.grow_tree, [], []
+
+    def counted(rows, *args):
+        passed.append(rows.count())
+        return grow(rows, *args)
+
+    monkeypatch.setattr(boosting, "grow_tree", counted)
+    for choice in (boosting.worth_grouping, lambda *_: False):
+        monkeypatch.setattr(boosting, "worth_grouping", choice)
+        found.append(boosting.boost(df, F.col("x"), ["a", "b"], 12, 2, 0.3, row_share=0.7, draws=Draws(3)))
+    assert max(passed[:12]) <= 32 < min(passed[12:])
+    for one, other in zip(*found, strict=True):
+        assert list(one.feature) == list(other.feature) and list(one.edge) == list(other.edge)
+        assert one.values(0.3) == pytest.approx(other.values(0.3), abs=1e-9)
+
+
+def test_draws_below_a_share(spark):
+    rows = spark.range(2000)
+    for draws in (Draws(5), Draws(5, "xxhash64")):
+        u = draws.uniform("k", "s", F.col("id"))
+        met = rows.select(u.alias("u")).first()["u"]
+        for share in (0.0, 1e-9, 0.3, 0.85, met, 1.0, 2.0):
+            wrong = rows.where((u < F.lit(share)) != draws.below("k", "s", F.col("id"), share))
+            assert wrong.count() == 0
