@@ -2,11 +2,14 @@
 
 import json
 
+import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tests.rows import people_rows
 from veilframe import Draws, MaskingConfig, MaskSpec
+from veilframe.operators import models
 from veilframe.operators.masks import evaluate_masks
 from veilframe.operators.models import MODEL_SCHEMA, ModelOptions, evaluate_models, unmasked
 from veilframe.plans import candidates, report
@@ -180,3 +183,30 @@ def test_whole_run(spark, crowd, tmp_path, masked_format):
     } <= written
     drift = spark.read.option("header", True).csv(f"{out}/statistical_validation")
     assert drift.count() == 5
+
+
+def test_machine_passes_equal_rows_once(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 3, (900, 2)).astype(float)
+    y = (x[:, 0] + rng.normal(size=900) > 1).astype(float)
+    rows = [(float(t), 1.5 if t else 0.75, r.tolist()) for t, r in zip(y, x, strict=True)]
+    df = spark.createDataFrame(rows, "label double, weight double, x array<double>").withColumn("scaled", array_to_vector("x"))
+    fourier = models.FourierFeatures("scaled", "fourier", 16, 1)
+    fit, passed = models.LinearSVC._fit, []
+
+    def counted(self, dataset):
+        passed.append(dataset.count())
+        return fit(self, dataset)
+
+    monkeypatch.setattr(models.LinearSVC, "_fit", counted)
+    found = []
+    for kind in (models.FourierSVC, models.LinearSVC):
+        machine = kind(featuresCol="fourier", labelCol="label", weightCol="weight", maxIter=60, regParam=0.01, standardization=False)
+        machine.fourier = fourier
+        fitted = machine.copy({machine.regParam: 0.02}).fit(fourier.transform(df))
+        sides = fitted.transform(fourier.transform(df)).select("label", "weight", vector_to_array("rawPrediction")[1]).collect()
+        t, w, margin = np.array(sides).T
+        loss = (w * np.maximum(0, 1 - (2 * t - 1) * margin)).sum() / w.sum()
+        found.append(loss + 0.02 / 2 * (fitted.coefficients.toArray() ** 2).sum())
+    assert passed[0] <= 18 and passed[1] == 900
+    assert found[0] == pytest.approx(found[1], rel=0.01)
