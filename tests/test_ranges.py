@@ -137,3 +137,29 @@ def test_rows_are_numbered_over_files(spark, tmp_path):
     by_id = [r["id"] for r in sorted(rows, key=lambda r: r["row_id"])]
     assert by_id == [*range(700, 900), *range(700), *range(900, 905)]
     assert not any(c.startswith("__") for c in rows[0].asDict())
+
+
+def test_original_values_are_counted_once_for_all_settings(spark, monkeypatch):
+    """Drift makes points of the masked side of each setting's rows only; the distances stay those of all points."""
+    spec = MaskSpec()
+    df = people_rows(spark, [(18 + i % 30, "Male" if i % 3 else "Female", i % 2) for i in range(600)])
+    configs = [MaskingConfig("noise", noise_std=3.0), MaskingConfig("data_swapping", swap_fraction=0.5)]
+    original, frame = wide(df, spec), evaluate_masks(df, spec, configs, TRIAL)
+    edges = drift.spec_edges(original, spec, 8)
+    assert drift.original_points(original, spec, edges).count() == 30 + 2
+    made, distances = [], drift.distances
+
+    def kept(points, hist):
+        made.append(points)
+        return distances(points, hist)
+
+    monkeypatch.setattr(drift, "distances", kept)
+    columns = ["config_id", "feature", "ks_statistic", "kl_divergence", "wasserstein_distance"]
+    found = sorted(drift.drift_table(original, frame, spec, edges).select(columns).collect())
+    assert made[0].count() == 2 * (600 * 2 + 30 + 2)
+    points = drift.number_points(frame, spec, edges)
+    assert points.count() == 2 * 600 * 4
+    hist = drift.histogram(points, drift.pooled_bounds(moments(original_cube(original, spec), spec).drop("config_id"), moments(masked_cube(frame, spec), spec)))
+    for row in distances(points, hist).collect():
+        same = next(r for r in found if (r["config_id"], r["feature"]) == (row["config_id"], row["feature"]))
+        assert tuple(same)[2::2] == pytest.approx((row["ks_statistic"], row["wasserstein_distance"]), abs=1e-12)
