@@ -23,6 +23,11 @@ def many(spark):
     return df.withColumn("x", array_to_vector("v")).repartition(3).persist()
 
 
+@pytest.fixture(autouse=True)
+def any_size(monkeypatch):
+    monkeypatch.setattr(forest, "LEAST_ROWS", 1)
+
+
 def scored(model, df):
     columns = ["label", "prediction", vector_to_array("probability")[1].alias("p")]
     return np.array([tuple(r) for r in model.transform(df).orderBy("row_id").select(*columns).collect()])
@@ -70,6 +75,11 @@ def test_different_rows_go_to_mllib(many):
     assert not isinstance(model, forest.GroupedForestModel)
 
 
+def test_small_tables_go_to_mllib(many, monkeypatch):
+    monkeypatch.setattr(forest, "LEAST_ROWS", 4001)
+    assert not isinstance(GroupedForest(**SETTINGS, numTrees=2).fit(many), forest.GroupedForestModel)
+
+
 def test_table_without_a_split(many):
     """A tree that finds no split predicts its bag's share."""
     flat = many.withColumn("x", array_to_vector(F.array(F.lit(1.0), F.lit(2.0))))

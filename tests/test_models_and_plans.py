@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tests.rows import people_rows
 from veilframe import Draws, MaskingConfig, MaskSpec
 from veilframe.operators import models
+from veilframe.operators.features import add_split
 from veilframe.operators.masks import evaluate_masks
 from veilframe.operators.models import MODEL_SCHEMA, ModelOptions, evaluate_models, unmasked
 from veilframe.plans import candidates, report
@@ -210,3 +211,20 @@ def test_machine_passes_equal_rows_once(spark, monkeypatch):
         found.append(loss + 0.02 / 2 * (fitted.coefficients.toArray() ** 2).sum())
     assert passed[0] <= 18 and passed[1] == 900
     assert found[0] == pytest.approx(found[1], rel=0.01)
+
+
+def test_folds_are_drawn_only_where_they_are_read(crowd):
+    for options, drawn in ((dict(tune=False, cross_validate=False), False), (dict(tune=True, cross_validate=False), True), (dict(tune=False), True)):
+        data = models.prepare(unmasked(crowd, SPEC), SPEC, False, ModelOptions(**options))
+        assert ("fold" in data.frame.columns) == drawn
+        data.frame.unpersist()
+
+
+def test_split_compares_digits_with_the_same_parts(spark):
+    rows = spark.range(5000).withColumnRenamed("id", "row_id")
+    for draws in (Draws(), Draws(3, "xxhash64")):
+        u = draws.uniform("models", "split", F.col("row_id"))
+        expected = F.when(u < 0.6, "train").when(u < 0.6 + 0.2, "validation").otherwise("test")
+        found = add_split(rows, draws)
+        assert found.where(F.col("part") != expected).count() == 0
+        assert "conv(" not in found._jdf.queryExecution().optimizedPlan().toString()
